@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +25,17 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors of `spark`, once; queries do so before Python tasks import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sonarrow_shipped", None) is None:
+        top = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="sonarrow-")) / "sonarrow_package.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(target))
+        sc._sonarrow_shipped = str(target)
+    return spark
