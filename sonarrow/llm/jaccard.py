@@ -3,7 +3,7 @@
 1. Each text becomes its set of word shingles; rows of equal sets are one vertex from here on.
 2. Sets that share a signature are candidates. In each such group the least set is compared with the others.
 3. Links make components. Groups that still hold sets of several components are gone through again: pairs of different
-   components are compared block by block, each pair in the first group that holds both, until none is left untested.
+   components are compared, those of large groups block by block, until none is left untested.
 4. Every row gets the least id of its component.
 
 Sets of one component need no further comparison, so a group of thousands of near copies costs about as many
@@ -27,7 +27,9 @@ from .words import U64
 #: Texts in groups up to which their hashes (8 bytes each) are broadcast to the scan that fetches them; beyond, a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Sets of a block in which pairs of a crowded group are compared.
-BLOCK = 256
+BLOCK = 512
+#: Members up to which a group's pairs are written out, and shingles taken at once into an incidence matrix.
+SMALL, COLUMNS = 16, 8192
 
 
 def _signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -82,50 +84,64 @@ def _verified(pairs: DataFrame, shingles: DataFrame, num: int, den: int) -> Data
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _crossing(groups: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between sets of different components that share a group (signature, set_id, label).
-
-    A group falls into blocks of about `BLOCK` members by hash; two blocks are compared in one place. A pair is compared
-    in the least signature that both sets have. Within a place, sets that links have joined are not compared again.
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each left set with each right set."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    values, column, count = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    twice = count > 1
+    place = np.cumsum(twice) - 1
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    keep = twice[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(twice.sum()), COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        x[row[i:j], column[i:j] - at] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out
+
+
+def _crossing_small(groups: DataFrame, tested: DataFrame) -> DataFrame:
+    """Untested pairs of different components in groups (signature, set_id, label) of at most `SMALL` members."""
+    x = groups.select("signature", F.col("set_id").alias("a"), F.col("label").alias("la"))
+    y = groups.select("signature", F.col("set_id").alias("b"), F.col("label").alias("lb"))
+    return x.join(y, "signature").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def _crossing_large(groups: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between sets of different components in groups (signature, set_id, label, k) of k members.
+
+    A group falls into blocks of about `BLOCK` members by hash, and two blocks are compared in one place, all pairs at
+    once by a product of incidence matrices; for any two components one link is returned.
     """
-    held = groups.groupBy("set_id").agg(F.sort_array(F.collect_set("signature")).alias("all"))  # at most two bands' signatures
-    count = groups.groupBy("signature").agg(F.count("*").alias("k"))
-    g = groups.join(count, "signature").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
+    g = groups.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
     g = g.withColumn("own", F.pmod(F.xxhash64("set_id", "signature"), F.col("blocks")).cast("int"))
     g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     g = g.select("signature", "set_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"))
-    g = g.join(held, "set_id").join(shingles.select("set_id", "shingles"), "set_id")
+    g = g.join(shingles.select("set_id", "shingles"), "set_id")
 
     def compare(t):
-        own = t.column("signature")[0].as_py()
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        ids, labels, left = (t.column(c).to_pylist() for c in ("set_id", "label", "left"))
-        held = [np.array(x, np.int64) for x in t.column("all").to_pylist()]
-        sets = [np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()]
-        root = {x: x for x in labels}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        links = []
-        order = np.argsort([len(s) for s in sets], kind="stable").tolist()
-        for at, p in enumerate(order):
-            for q in order[at + 1 :]:
-                if len(sets[q]) * num > len(sets[p]) * den:
-                    break
-                if (i != j and left[p] == left[q]) or find(labels[p]) == find(labels[q]):
-                    continue
-                shared = np.intersect1d(held[p], held[q], assume_unique=True)
-                if shared[0] != own:
-                    continue
-                both, union = _common(sets[p], sets[q])
-                if den * both >= num * union:
-                    links.append((ids[p], ids[q]))
-                    root[find(labels[p])] = find(labels[q])
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+        ids, labels, left = (np.array(t.column(c).to_pylist()) for c in ("set_id", "label", "left"))
+        sets = [np.frombuffer(x.as_buffer(), U64) for c in t.column("shingles").chunks for x in c]
+        size = np.array([len(x) for x in sets])
+        alone = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        rows, cols = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(left), np.flatnonzero(~left))
+        names, counts = np.unique(labels, return_counts=True)
+        most = labels == names[counts.argmax()]  # pairs within the largest component need no comparison
+        links = {}
+        for r, c in ((rows[~most[rows]], cols), (rows[most[rows]], cols[~most[cols]])):
+            if alone and len(r) and most[r[0]]:
+                continue  # these pairs were compared the other way round
+            both = _overlaps([sets[k] for k in r], [sets[k] for k in c]).astype(np.int64)
+            ok = den * both >= num * (size[r][:, None] + size[c][None, :] - both)
+            ok &= labels[r][:, None] != labels[c][None, :]
+            for p, q in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                links.setdefault((labels[r[p]], labels[c[q]]), (ids[r[p]], ids[c[q]]))
+        return pa.table({"a": pa.array([x for x, _ in links.values()], pa.int64()), "b": pa.array([x for _, x in links.values()], pa.int64())})
 
     return g.groupBy("signature", "i", "j").applyInArrow(compare, "a long, b long")
 
@@ -170,7 +186,10 @@ def join_components(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     labelled = stage.put(labelled, "labelled")
     mixed = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("signature")
     open_groups = stage.put(labelled.join(mixed, "signature", "left_semi"), "open")
-    more = stage.put(_crossing(open_groups, shingles, num, den), "more")
+    count = open_groups.groupBy("signature").agg(F.count("*").alias("k"))
+    counted = open_groups.join(count, "signature")
+    few = _verified(_crossing_small(counted.where(F.col("k") <= SMALL), pairs), shingles, num, den)
+    more = stage.put(few.unionByName(_crossing_large(counted.where(F.col("k") > SMALL), shingles, num, den)), "more")
     if stats is not None:
         stats |= {"rows": rows.count(), "distinct": distinct.count(), "signatures": each.count(), "members": members.count(), "wanted": n_wanted, "pairs": pairs.count(), "links": links.count(), "open": open_groups.count(), "open_groups": mixed.count(), "more": more.count(), "largest": open_groups.groupBy("signature").count().agg(F.max("count")).first()[0]}
     label = components(links.unionByName(more), stage, "second")
