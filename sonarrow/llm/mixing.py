@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
         .withColumn("full", F.coalesce(F.sum("limit").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("stopped", (F.col("total") - F.col("full")) / F.col("open") >= F.col("limit") / F.col("weight"))
-        .withColumn("level", F.min(F.when(~F.col("stopped"), (F.col("total") - F.col("full")) / F.col("open"))).over(Window.partitionBy()))
+        .withColumn("level", F.max(F.when(~F.col("stopped"), (F.col("total") - F.col("full")) / F.col("open"))).over(Window.partitionBy()))
         .select("source", "source_size", F.when(F.col("stopped"), F.col("limit")).otherwise(F.col("level") * F.col("weight")).alias("target"))
     )
 
@@ -54,14 +54,14 @@ def _size_class(size: Column) -> Column:
     return F.concat(F.lpad(F.length(h).cast("string"), 2, "0"), F.substring(h, 1, 2))
 
 
-def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), share=1.5, most=2.0, carry=()) -> DataFrame:
-    """Rows of `docs` with how often the mix takes each: (id, carried columns, size, source_size, target, copies).
+def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=(3, 1, 2), share=1.5, most=2.0) -> DataFrame:
+    """Rows of `docs` with how often the mix takes each: (id, text_hash, source, size, source_size, target, copies).
 
     Null texts have size 0, the null source is a source, rows of equal id are separate documents, an empty table gives an
     empty result. A source without words has target 0 and is not taken. Copies are at most ceil(most) for any document.
     """
     stage = Stage(docs.sparkSession, "mix")
-    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
     d = d.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     digest = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
     d = d.withColumn("digest", digest).withColumn("class", _size_class(F.col("size"))).withColumn("bucket", F.substring("digest", 1, 2))
@@ -88,11 +88,18 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
         d.join(starts, cell)
         .withColumn("rank", rank)
         .withColumn("rate", rate)
-        .select(F.col("_id").alias(id_col), *[F.col(f"_c_{c}").alias(c) for c in carry], "size", "source_size", "target", crossed.cast("long").alias("copies"))
+        .select(F.col("_id").alias(id_col), "text_hash", F.col("source").alias(source_col), "size", "source_size", "target", crossed.cast("long").alias("copies"))
     )
 
 
-def emit(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of `docs`, each as often as it is taken, with the columns of `docs`."""
-    taken = mix(docs, carry=[c for c in docs.columns if c != how.get("id_col", "doc_id")], **how)
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def emit(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", **how) -> DataFrame:
+    """The mix itself: the rows of `docs`, each as often as it is taken, with the columns of `docs`.
+
+    Rows that agree in id, text and source are one document here, with the copies of all of them.
+    """
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    taken = taken.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col(source_col).alias("_source")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
+    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    joined = own.join(taken.where("_copies > 0"), own[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")) & own[source_col].eqNullSafe(F.col("_source")))
+    repeated = joined.where("_rows > 1").dropDuplicates(["_id", "_hash", "_source"])
+    return joined.where("_rows = 1").unionByName(repeated).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -24,7 +24,7 @@ w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE
 f AS (SELECT *, coalesce(sum(lim) OVER (ORDER BY lim / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS full_,
              sum(weight) OVER (ORDER BY lim / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_ FROM w),
 g AS (SELECT *, (total - full_) / open_ >= lim / weight AS stopped FROM f),
-t AS (SELECT key, source_size, CASE WHEN stopped THEN lim ELSE weight * min(CASE WHEN NOT stopped THEN (total - full_) / open_ END) OVER () END AS target,
+t AS (SELECT key, source_size, CASE WHEN stopped THEN lim ELSE weight * max(CASE WHEN NOT stopped THEN (total - full_) / open_ END) OVER () END AS target,
              CAST('0x' || substr(md5(key), 1, 5) AS BIGINT)::DOUBLE / 1048576 AS off FROM g),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.off,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
