@@ -53,7 +53,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url_col="url", time_col
     either. Repeated captures stay apart. An empty table of either kind gives an empty or entirely unlisted result.
     """
     c = captures.withColumns({"host": host_of(F.col(url_col)), "_path": path_of(F.col(url_col)), "_day": F.coalesce(F.to_date(time_col), F.lit("0001-01-01").cast("date"))})
-    asked = c.where("host != ''").groupBy("host", "_path", "_day").agg(F.lit(1).alias("_one")).drop("_one")
+    asked = c.where((F.col("host") != "") & F.col(time_col).isNotNull()).groupBy("host", "_path", "_day").agg(F.lit(1).alias("_one")).drop("_one")
     span = asked.agg(F.min("_day").alias("a"), F.max("_day").alias("b")).first()
     first, last = F.lit(span.a), F.lit(span.b)
     # months before the first and after the last fetch are asked by no capture
