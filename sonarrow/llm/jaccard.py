@@ -4,7 +4,7 @@
 2. Sets that share a signature are candidates. In each such group the least set is compared with the others.
 3. Links make components. Groups that still hold sets of several components are gone through again: pairs of different
    components are compared, those of large groups block by block, until none is left untested.
-4. Every row gets the least id of its component.
+4. Every row gets the least id of its component, or one row of each component is kept.
 
 Sets of one component need no further comparison, so a group of thousands of near copies costs about as many
 comparisons as it has members. Shingles are computed again for sets in groups only and never held for all texts.
@@ -24,7 +24,7 @@ from .shingles import set_hash, sets
 from .staging import Stage
 from .words import U64
 
-#: Texts in groups up to which their hashes (8 bytes each) are broadcast to the scan that fetches them; beyond, a shuffle.
+#: Rows of one or two numbers up to which a table is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Sets of a block in which pairs of a crowded group are compared.
 BLOCK = 512
@@ -146,25 +146,21 @@ def _crossing_large(groups: DataFrame, shingles: DataFrame, num: int, den: int)
     return g.groupBy("signature", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def join_components(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3, similarity=(90, 100), stats: dict | None = None) -> DataFrame:
-    """One row for each row of `docs`: id, n_shingles, component_id (the least id reachable over links, its own included).
-
-    Rows link when den * |intersection| >= num * |union| for similarity (num, den) of at least 4/5. Rows of one set are
-    linked; a null text and one without words have an empty set and are linked with nothing. A null id is a row whose
-    component has the least id of the others, or null. Rows of equal id stay apart. Sets and shingles are told apart by
-    64-bit hashes.
-    """
-    spark, (num, den) = docs.sparkSession, similarity
-    stage = Stage(spark, "jaccard")
+def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) -> DataFrame:
+    """(_id, text_hash, n_shingles, set_id, root) of each row; sets of one component have one root."""
+    num, den = similarity
+    stage = Stage(docs.sparkSession, "jaccard")
     rows = stage.put(_signed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), shingle, num, den), "rows")
-    full = rows.where("set_id is not null")
-    distinct = full.groupBy("set_id").agg(F.first("signatures").alias("signatures"), F.min("text_hash").alias("text_hash"))
-    distinct = stage.put(distinct, "distinct")
-    each = distinct.select("set_id", F.explode("signatures").alias("signature"))
+    each = rows.select("set_id", F.explode("signatures").alias("signature"))
     shared = each.groupBy("signature").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("signature", "a")
-    members = stage.put(each.join(shared, "signature").select("signature", "set_id", "a").distinct(), "members")
-
-    wanted = stage.put(members.select("set_id").distinct().join(distinct.select("set_id", "text_hash"), "set_id").select("text_hash"), "wanted")
+    shared = stage.put(shared, "shared")
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    members = stage.put(each.join(few, "signature").select("signature", "set_id", "a").distinct(), "members")
+    rows = stage.put(rows.drop("signatures"), "sets")
+    stage.drop("rows", "shared")
+
+    hash_of = rows.where("set_id is not null").groupBy("set_id").agg(F.min("text_hash").alias("text_hash"))
+    wanted = stage.put(members.select("set_id").distinct().join(hash_of, "set_id").select("text_hash"), "wanted")
     n_wanted = wanted.count()
     texts = docs.select(F.col(text_col).alias("_text")).where(F.col(text_col).isNotNull()).withColumn("text_hash", F.xxhash64("_text"))
     texts = texts.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "text_hash", "left_semi")
@@ -191,13 +187,43 @@ def join_components(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     few = _verified(_crossing_small(counted.where(F.col("k") <= SMALL), pairs), shingles, num, den)
     more = stage.put(few.unionByName(_crossing_large(counted.where(F.col("k") > SMALL), shingles, num, den)), "more")
     if stats is not None:
-        stats |= {"rows": rows.count(), "distinct": distinct.count(), "signatures": each.count(), "members": members.count(), "wanted": n_wanted, "pairs": pairs.count(), "links": links.count(), "open": open_groups.count(), "open_groups": mixed.count(), "more": more.count(), "largest": open_groups.groupBy("signature").count().agg(F.max("count")).first()[0]}
+        stats |= {"rows": rows.count(), "members": members.count(), "wanted": n_wanted, "pairs": pairs.count(), "links": links.count(), "open": open_groups.count(), "open_groups": mixed.count(), "more": more.count(), "largest": open_groups.groupBy("signature").count().agg(F.max("count")).first()[0]}
     label = components(links.unionByName(more), stage, "second")
 
-    of_set = full.groupBy("set_id").agg(F.min("_id").alias("least"))
-    of_set = of_set.join(label, F.col("set_id") == F.col("vertex"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
-    of_root = of_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = of_set.join(of_root, "root").select("set_id", "component_id")
-    return rows.join(found, "set_id", "left").select(
-        F.col("_id").alias(id_col), "n_shingles", F.when(F.col("set_id").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    stage.drop("members", "wanted", "shingles", "links", "labelled", "open", "more")
+    root = rows.join(label, F.col("set_id") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "set_id"))
+    return root.select("_id", "text_hash", "n_shingles", "set_id", "root")
+
+
+def join_components(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3, similarity=(90, 100), stats: dict | None = None) -> DataFrame:
+    """One row for each row of `docs`: id, n_shingles, component_id (the least id reachable over links, its own included).
+
+    Rows link when den * |intersection| >= num * |union| for similarity (num, den) of at least 4/5. Rows of one set are
+    linked; a null text and one without words have an empty set and are linked with nothing. A null id is a row whose
+    component has the least id of the others, or null. Rows of equal id stay apart. Sets and shingles are told apart by
+    64-bit hashes.
+    """
+    rows = _connected(docs, id_col, text_col, shingle, similarity, stats)
+    least = rows.where("root is not null").groupBy("root").agg(F.min("_id").alias("component_id"))
+    found = rows.join(least, "root", "left")
+    return found.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3, similarity=(90, 100)) -> DataFrame:
+    """`docs` with one row of each component: that of the least id, then text hash. Rows with an empty set all stay.
+
+    The rows to go are fewer than those to stay, and texts are not shuffled while the former's keys may be broadcast.
+    """
+    stage = Stage(docs.sparkSession, "one")
+    rows = _connected(docs, id_col, text_col, shingle, similarity, None).where("root is not null")
+    keys = rows.groupBy("root", "_id", "text_hash").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "text_hash")).alias("first")
+    keys = stage.put(keys.join(keys.groupBy("root").agg(first), "root").withColumn("stays", F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("text_hash") == F.col("first.text_hash"))), "keys")
+    marked = keys.where("not stays or times > 1").select("_id", F.col("text_hash").alias("_hash"), "stays")
+    few = marked.count() <= BROADCAST_ROWS
+    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    side = F.broadcast(marked) if few else marked
+    joined = own.join(side, own[id_col].eqNullSafe(side["_id"]) & (own["_text_hash"] == side["_hash"]) & own[text_col].isNotNull(), "left")
+    once = joined.where("stays is null").select(*docs.columns)
+    repeated = joined.where("stays").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return once.unionByName(repeated)

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A written table needs its shuffle files no more; with this setting they go when the write ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; where the session names none (tests), a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -25,7 +29,12 @@ class Stage:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
