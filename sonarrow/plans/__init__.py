@@ -1 +1,3 @@
+"""Named queries: importing the modules below registers them in `catalog`."""
 
+from . import signal_queries, timeline_queries  # noqa: F401
