@@ -12,6 +12,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, where an expression would repeat it for each element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """Coordinates (r, k, v) times (k, c, v): an equality join on k and one aggregation; zeros are left out before."""
     p = a.where("v != 0").select("r", "k", F.col("v").alias("_a")).join(b.select("k", "c", F.col("v").alias("_b")), "k")
@@ -30,17 +35,14 @@ def transpose(df: DataFrame) -> DataFrame:
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
     """An array less its mean, over the root of its population variance and eps."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    centred = F.transform(x, lambda v: v - mean)
-    var = F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v) / n
-    return F.transform(centred, lambda v: v / F.sqrt(var + eps))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    scaled = lambda c: let(F.sqrt(total(F.transform(c, lambda v: v * v)) / F.size(c) + eps), lambda r: F.transform(c, lambda v: v / r))
+    return let(x, lambda y: let(total(y) / F.size(y), lambda m: let(F.transform(y, lambda v: v - m), scaled)))
 
 
 def softmax_row(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    total = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(e, lambda v: v / total)
+    share = lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda t: F.transform(e, lambda v: v / t))
+    return let(x, lambda y: let(F.array_max(y), lambda m: let(F.transform(y, lambda v: F.exp(v - m)), share)))
 
 
 def conv1d(x: Column, kernel: list[float], stride: int, pad: int, bias: float = 0.0) -> Column:
@@ -61,7 +63,7 @@ def conv1d(x: Column, kernel: list[float], stride: int, pad: int, bias: float =
 
 def magnitude(x: Column, n: int) -> Column:
     """The root of re^2 + im^2 where the first n values are re and the others im."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(F.pow(F.get(x, i), 2) + F.pow(F.get(x, i + n), 2)))
+    return let(x, lambda y: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(F.pow(F.get(y, i), 2) + F.pow(F.get(y, i + n), 2))))
 
 
 def split_heads(x: Column, heads: int, width: int) -> Column:
