@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -60,7 +61,7 @@ def greedy_encoder(vocab: dict[bytes, int]):
     longest = max(map(len, vocab), default=0)
     split = re.compile(PIECES.encode())
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(text: pd.Series) -> pd.Series:
         def one(s):
             out = []
@@ -87,7 +88,7 @@ def decode(df: DataFrame, keys: list[str], vocab: DataFrame) -> DataFrame:
     return d.select(*keys, F.decode(F.unhex(F.array_join(F.col("s.h"), "")), "UTF-8").alias("text"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def compressibility(text: pd.Series) -> pd.Series:
     """Bytes over an estimate of their compressed size: 12, 1 a literal, 4 a match of 4 to 255 bytes within 1024 back."""
 
