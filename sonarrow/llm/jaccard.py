@@ -204,7 +204,8 @@ def join_components(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     64-bit hashes.
     """
     rows = _connected(docs, id_col, text_col, shingle, similarity, stats)
-    least = rows.where("root is not null").groupBy("root").agg(F.min("_id").alias("component_id"))
+    # a written table, so that a component that holds a third of all rows can be split in the join
+    least = Stage(docs.sparkSession, "least").put(rows.where("root is not null").groupBy("root").agg(F.min("_id").alias("component_id")), "least")
     found = rows.join(least, "root", "left")
     return found.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -216,9 +217,10 @@ def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3,
     """
     stage = Stage(docs.sparkSession, "one")
     rows = _connected(docs, id_col, text_col, shingle, similarity, None).where("root is not null")
-    keys = rows.groupBy("root", "_id", "text_hash").agg(F.count("*").alias("times"))
+    keys = stage.put(rows.groupBy("root", "_id", "text_hash").agg(F.count("*").alias("times")), "times")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "text_hash")).alias("first")
-    keys = stage.put(keys.join(keys.groupBy("root").agg(first), "root").withColumn("stays", F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("text_hash") == F.col("first.text_hash"))), "keys")
+    first = stage.put(keys.groupBy("root").agg(first), "first")  # written, so that a large component can be split in the join
+    keys = stage.put(keys.join(first, "root").withColumn("stays", F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("text_hash") == F.col("first.text_hash"))), "keys")
     marked = keys.where("not stays or times > 1").select("_id", F.col("text_hash").alias("_hash"), "stays")
     few = marked.count() <= BROADCAST_ROWS
     own = docs.withColumn("_text_hash", F.xxhash64(text_col))
