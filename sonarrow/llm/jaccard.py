@@ -3,7 +3,8 @@
 1. Each text becomes its set of word shingles; rows of equal sets are one vertex from here on.
 2. Sets that share a signature are candidates. In each such group the least set is compared with the others.
 3. Links make components. Groups that still hold sets of several components are gone through again: pairs of different
-   components are compared, those of large groups block by block, until none is left untested.
+   components are compared, block by block, until none is left untested.
+   Parity sketches, an exact lower bound of the difference, leave few pairs for which whole sets are sent.
 4. Every row gets the least id of its component, or one row of each component is kept.
 
 Sets of one component need no further comparison, so a group of thousands of near copies costs about as many
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .arrow import append
 from .components import components
 from .partition import Signer
-from .shingles import set_hash, sets
+from .shingles import close_pairs, least_difference, parity, set_hash, sets
 from .staging import Stage
 from .words import U64
 
@@ -28,8 +29,8 @@ from .words import U64
 BROADCAST_ROWS = 1_000_000
 #: Sets of a block in which pairs of a crowded group are compared.
 BLOCK = 512
-#: Members up to which a group's pairs are written out, and shingles taken at once into an incidence matrix.
-SMALL, COLUMNS = 16, 8192
+#: Pairs for each member beyond which a place is a crowd, and shingles taken at once into an incidence matrix.
+CROWD, COLUMNS = 4, 8192
 
 
 def _signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -64,24 +65,32 @@ def _common(a: bytes, b: bytes) -> tuple[int, int]:
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Only pairs, not sets, are copied by the first join."""
-    s = lambda k: shingles.select(F.col("set_id").alias(k), F.col("shingles").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
-    # the larger set must not be too large for the smaller one
-    sizes = shingles.select("set_id", "n")
-    near = pairs.join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("_n")), "a")
-    joined = near.join(s("b"), "b").where((F.least("_n", "nb") * den >= F.greatest("_n", "nb") * num)).drop("_n").join(s("a"), "a")
+    """The pairs (a, b) whose sets are similar: those that their parities leave, compared in full."""
+    s = lambda k, c: shingles.select(F.col("set_id").alias(k), F.col(c).alias(f"s{k}"), F.col("n").alias(f"n{k}"))
 
-    def run(batches):
-        for t in batches:
-            a, b = t.column("a"), t.column("b")
-            ok = []
-            for x, y in zip(t.column("sa"), t.column("sb"), strict=True):
-                both, union = _common(x.as_buffer(), y.as_buffer())
-                ok.append(den * both >= num * union)
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+    def keep(test):
+        def run(batches):
+            for t in batches:
+                a, b = t.column("a"), t.column("b")
+                ok = [test(x.as_buffer(), y.as_buffer(), m, n) for x, y, m, n in zip(t.column("sa"), t.column("sb"), t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
+                ok = pa.array(ok, pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
+
+        return run
+
+    def may_be(x, y, m, n):
+        return least_difference(np.frombuffer(x, U64), np.frombuffer(y, U64)) * (den + num) <= (m + n) * (den - num)
+
+    def is_similar(x, y, m, n):
+        both, union = _common(x, y)
+        return den * both >= num * union
+
+    def joined(p, c):
+        j = p.join(s("b", c), "b").join(s("a", c), "a")
+        return j.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "sa", "sb", "na", "nb")
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    few = joined(pairs, "parity").mapInArrow(keep(may_be), "a long, b long")
+    return joined(few, "shingles").mapInArrow(keep(is_similar), "a long, b long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -105,23 +114,63 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _crossing_small(groups: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of different components in groups (signature, set_id, label) of at most `SMALL` members."""
-    x = groups.select("signature", F.col("set_id").alias("a"), F.col("label").alias("la"))
-    y = groups.select("signature", F.col("set_id").alias("b"), F.col("label").alias("lb"))
-    return x.join(y, "signature").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+def _blocks(groups: DataFrame) -> DataFrame:
+    """Groups (signature, set_id, label, k) of k members fall into blocks of about `BLOCK` by hash; a row for each two blocks."""
+    g = groups.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
+    g = g.withColumn("own", F.pmod(F.xxhash64("set_id", "signature"), F.col("blocks")).cast("int"))
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return g.select("signature", "set_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"))
+
+
+def _crossing(groups: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components in groups (signature, set_id, label, k) that parities do not rule out.
+
+    Where a place has more pairs than `CROWD` a member, a row (signature, null, null) says so instead. Rows of a place
+    come one after another, so that many small groups cost one call and not one each.
+    """
+    g = _blocks(groups).join(shingles.select("set_id", "n", "parity"), "set_id").repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j")
+
+    def one(t):
+        size, label, left, ids = (np.array(t.column(c).to_pylist()) for c in ("n", "label", "left", "set_id"))
+        sketches = [np.frombuffer(x, U64) for x in t.column("parity").to_pylist()]
+        p, q = close_pairs(size, sketches, label, num, den)
+        if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+            across = left[p] != left[q]
+            p, q = p[across], q[across]
+        if len(p) > CROWD * len(ids):
+            return [(t.column("signature")[0].as_py(), None, None)]
+        return [(None, int(x), int(y)) for x, y in zip(np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), strict=True)]
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            rest = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            key = [np.array(rest.column(c)) for c in ("signature", "i", "j")]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+            out, at = [], 0
+            for e in cuts.tolist():
+                if e - at > 1:
+                    out += one(rest.slice(at, e - at))
+                at = e
+            rest = rest.slice(at)
+            yield table(out)
+        if rest is not None and len(rest) > 1:
+            yield table(one(rest))
+
+    def table(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["signature", "a", "b"])
+
+    return g.mapInArrow(run, "signature long, a long, b long")
 
 
 def _crossing_large(groups: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between sets of different components in groups (signature, set_id, label, k) of k members.
+    """Links between sets of different components in crowded groups (signature, set_id, label, k).
 
-    A group falls into blocks of about `BLOCK` members by hash, and two blocks are compared in one place, all pairs at
-    once by a product of incidence matrices; for any two components one link is returned.
+    Two blocks are compared in one place, all pairs at once by a product of incidence matrices; for any two components one
+    link is returned.
     """
-    g = groups.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
-    g = g.withColumn("own", F.pmod(F.xxhash64("set_id", "signature"), F.col("blocks")).cast("int"))
-    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    g = g.select("signature", "set_id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"))
+    g = _blocks(groups)
     g = g.join(shingles.select("set_id", "shingles"), "set_id")
 
     def compare(t):
@@ -169,11 +218,12 @@ def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) ->
     def make():
         def f(batch):
             x = list(sets(batch.column("_text"), shingle))
-            return [pa.array([set_hash(s) for s in x], pa.int64()), pa.array([len(s) for s in x], pa.int64()), pa.array([s.tobytes() for s in x], pa.binary())]
+            odd = pa.array([parity(s).tobytes() for s in x], pa.binary())
+            return [pa.array([set_hash(s) for s in x], pa.int64()), pa.array([len(s) for s in x], pa.int64()), pa.array([s.tobytes() for s in x], pa.binary()), odd]
 
         return f
 
-    shingles = stage.put(append(texts, make, "set_id long, n long, shingles binary", drop=("_text",)).drop("text_hash"), "shingles")
+    shingles = stage.put(append(texts, make, "set_id long, n long, shingles binary, parity binary", drop=("_text",)).drop("text_hash"), "shingles")
 
     pairs = members.where("a != set_id").select("a", F.col("set_id").alias("b")).distinct()
     links = stage.put(_verified(pairs, shingles, num, den), "links")
@@ -184,13 +234,16 @@ def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) ->
     open_groups = stage.put(labelled.join(mixed, "signature", "left_semi"), "open")
     count = open_groups.groupBy("signature").agg(F.count("*").alias("k"))
     counted = open_groups.join(count, "signature")
-    few = _verified(_crossing_small(counted.where(F.col("k") <= SMALL), pairs), shingles, num, den)
-    more = stage.put(few.unionByName(_crossing_large(counted.where(F.col("k") > SMALL), shingles, num, den)), "more")
+    crossing = stage.put(_crossing(counted, shingles, num, den), "crossing")
+    untested = crossing.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    crowds = crossing.where("a is null").select("signature").distinct()
+    more = _verified(untested, shingles, num, den).unionByName(_crossing_large(counted.join(crowds, "signature", "left_semi"), shingles, num, den))
+    more = stage.put(more, "more")
     if stats is not None:
         stats |= {"rows": rows.count(), "members": members.count(), "wanted": n_wanted, "pairs": pairs.count(), "links": links.count(), "open": open_groups.count(), "open_groups": mixed.count(), "more": more.count(), "largest": open_groups.groupBy("signature").count().agg(F.max("count")).first()[0]}
     label = components(links.unionByName(more), stage, "second")
 
-    stage.drop("members", "wanted", "shingles", "links", "labelled", "open", "more")
+    stage.drop("members", "wanted", "shingles", "links", "labelled", "open", "crossing", "more")
     root = rows.join(label, F.col("set_id") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "set_id"))
     return root.select("_id", "text_hash", "n_shingles", "set_id", "root")
 

@@ -42,3 +42,45 @@ def sets(column, size: int) -> Iterator[np.ndarray]:
 def set_hash(x: np.ndarray) -> int:
     """A signed 64-bit hash of a set."""
     return int(mix64(np.array([mix64(x ^ U64(0x5DEECE66D)).sum(dtype=U64)], U64)).view(np.int64)[0])
+
+
+def parity(x: np.ndarray) -> np.ndarray:
+    """Of each of B buckets whether it holds an odd number of elements, as bits; B is a power of two of at least 2n."""
+    b = max(64, 1 << (2 * len(x) - 1).bit_length())
+    odd = np.bincount((x & U64(b - 1)).astype(np.int64), minlength=b) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets, from their parities; the longer one folds onto the shorter."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def close_pairs(size: np.ndarray, sketches: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels that parities and sizes do not rule out, each once."""
+    words = np.array([len(s) for s in sketches])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(words).tolist():
+        own = np.flatnonzero(words == n)
+        more = np.flatnonzero(words > n)
+        every = np.concatenate([own, more])
+        a = np.stack([sketches[i] for i in own])
+        b = np.concatenate([a, *[np.bitwise_xor.reduce(sketches[i].reshape(-1, n), axis=0)[None] for i in more]])
+        step = max(1, (4 << 20) // (8 * n * len(b)))
+        for at in range(0, len(own), step):
+            p = own[at : at + step]
+            both = size[p][:, None] + size[every][None, :]
+            ok = labels[p][:, None] != labels[every][None, :]
+            ok &= np.minimum(size[p][:, None], size[every][None, :]) * den >= np.maximum(size[p][:, None], size[every][None, :]) * num
+            ok &= np.arange(len(every))[None, :] > np.arange(at, at + len(p))[:, None]
+            if ok.any():
+                d = np.bitwise_count(a[at : at + step][:, None, :] ^ b[None]).sum(axis=2, dtype=np.int64)
+                ok &= d * (den + num) <= both * (den - num)
+                i, j = np.nonzero(ok)
+                left.append(p[i])
+                right.append(every[j])
+    return np.concatenate(left), np.concatenate(right)

@@ -83,9 +83,10 @@ def test_against_all_pairs(spark, shingle, similarity):
     assert len(set(roots(full, Fraction(*similarity)))) == len(full)
 
 
-def test_crowds(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [0, 1000])
+def test_crowds(spark, monkeypatch, crowd):
     """Groups beyond the pair limit, in several blocks, give the same."""
-    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     rng = random.Random(4)
