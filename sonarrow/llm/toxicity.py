@@ -83,12 +83,16 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
     feature = np.concatenate(table)
     w, b = np.zeros(len(keys)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
+    least, best = np.inf, (w, b)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     soft = lambda z: np.logaddexp(0, z)
     for step in range(1, steps + 1):
         z = b + np.bincount(doc, w[feature], len(rows))
         up = sigmoid(z)
         rest = soft(z[~positive]).mean() - prior * soft(z[positive]).mean()
+        risk = prior * soft(-z[positive]).mean() + max(0.0, rest) + decay / 2 * (w @ w)
+        if risk < least:  # steps that climb back may overshoot, so the best point on the way is the result
+            least, best = risk, (w, b)
         slope = np.zeros(len(rows))
         if rest >= 0:  # the whole risk
             slope[positive] = prior * (up[positive] - 1) / n_p - prior * up[positive] / n_p
@@ -98,9 +102,9 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
             slope[~positive] = -up[~positive] / n_u
         g = np.append(np.bincount(feature, slope[doc], len(keys)) + decay * w, slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        d = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        d = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - d[:-1], b - d[-1]
-    return Model(keys, w, b)
+    return Model(keys, *best)
 
 
 def _drawn(id_col, n: int, most: int, seed: int):
