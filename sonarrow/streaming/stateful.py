@@ -22,7 +22,7 @@ class Feeder(StatefulProcessor):
         self.key, self.window, self.least = key, window, least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rest", T.StructType.fromDDL("buffer array<double>, offset long"))
+        self.state = handle.getValueState("rest", T.StructType([T.StructField("buffer", T.ArrayType(T.DoubleType())), T.StructField("offset", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         buffer, offset = self.state.get() if self.state.exists() else ([], 0)
@@ -51,7 +51,7 @@ class Activation(StatefulProcessor):
     """Two phases: the first text of a key sets the prompt it has to repeat, later ones that are near it activate."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("prompt", T.StructType.fromDDL("prompt string, active boolean"))
+        self.state = handle.getValueState("prompt", T.StructType([T.StructField("prompt", T.StringType()), T.StructField("active", T.BooleanType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         prompt, active = self.state.get() if self.state.exists() else (None, False)
@@ -68,3 +68,10 @@ class Activation(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+def activations(stream: DataFrame) -> DataFrame:
+    """(conv_id, turn, active) of a stream of texts (conv_id, turn, text), with the phase kept from batch to batch."""
+    schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("active", T.BooleanType())])
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return stream.groupBy("conv_id").transformWithStateInPandas(Activation(), schema, "Append", "None")
