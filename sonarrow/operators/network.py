@@ -1,0 +1,183 @@
+"""The encoder-decoder over windows of log-mel frames: numpy inside the task that holds a window, weights broadcast.
+
+Tensors go by the names that model files use. A window is encoded and decoded in one call, as its attention caches are
+never rows; Spark spreads the windows. The caller bounds the weights that are broadcast (they are one model).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+
+def norm(x, w, b):
+    return (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5) * w + b
+
+
+def gelu(x):
+    return 0.5 * x * (1 + np.tanh(0.7978846 * (x + 0.044715 * x**3)))
+
+
+def conv(x, w, b, stride):
+    """x (channels, frames), w (out, channels, width), zeros at the ends."""
+    width = w.shape[2]
+    x = np.pad(x, ((0, 0), (width // 2, width // 2)))
+    at = np.arange(0, x.shape[1] - width + 1, stride)
+    return np.einsum("oiw,itw->ot", w, x[:, at[:, None] + np.arange(width)]) + b[:, None]
+
+
+def attend(q, k, v, heads, causal=False):
+    """All heads at once; the last query is aligned with the last key. Returns the output and (head, query, key) scores."""
+    split = lambda x: x.reshape(len(x), heads, -1).transpose(1, 0, 2)
+    q, k, v = split(q), split(k), split(v)
+    s = q @ k.transpose(0, 2, 1) / np.sqrt(q.shape[2])
+    if causal:
+        late = np.arange(s.shape[2])[None, :] > s.shape[2] - s.shape[1] + np.arange(s.shape[1])[:, None]
+        s = np.where(late, -np.inf, s)
+    p = np.exp(s - s.max(-1, keepdims=True))
+    p /= p.sum(-1, keepdims=True)
+    return (p @ v).transpose(1, 0, 2).reshape(q.shape[1], -1), p
+
+
+class Network:
+    """Tensors by name and the hyperparameters n_audio_head, n_audio_layer, n_text_head, n_text_layer, n_text_ctx."""
+
+    def __init__(self, tensors: dict[str, np.ndarray], hparams: dict[str, int]):
+        self.t, self.h = tensors, hparams
+
+    def linear(self, x, name):
+        y = x @ self.t[f"{name}.weight"].T
+        return y + self.t[f"{name}.bias"] if f"{name}.bias" in self.t else y
+
+    def normed(self, x, name):
+        return norm(x, self.t[f"{name}.weight"], self.t[f"{name}.bias"])
+
+    def mlp(self, x, block):
+        return x + self.linear(gelu(self.linear(self.normed(x, f"{block}.mlp_ln"), f"{block}.mlp.0")), f"{block}.mlp.2")
+
+    def encode(self, mel: np.ndarray) -> np.ndarray:
+        """(context, state) of (mels, 2 * context) frames."""
+        pos = self.t["encoder.positional_embedding"]
+        if mel.shape[1] != 2 * len(pos):
+            raise ValueError("a window has twice as many frames as the encoder's context")
+        x = gelu(conv(mel, self.t["encoder.conv1.weight"], self.t["encoder.conv1.bias"], 1))
+        x = gelu(conv(x, self.t["encoder.conv2.weight"], self.t["encoder.conv2.bias"], 2)).T + pos
+        for i in range(self.h["n_audio_layer"]):
+            b = f"encoder.blocks.{i}"
+            y = self.normed(x, f"{b}.attn_ln")
+            y, _ = attend(*(self.linear(y, f"{b}.attn.{k}") for k in ("query", "key", "value")), self.h["n_audio_head"])
+            x = self.mlp(x + self.linear(y, f"{b}.attn.out"), b)
+        return self.normed(x, "encoder.ln_post")
+
+
+class Decoder:
+    """One hypothesis over an encoded window: `step` takes tokens, and what it computed for them stays in the cache."""
+
+    def __init__(self, net: Network, encoded: np.ndarray):
+        self.net, self.past = net, 0
+        self.blocks = [f"decoder.blocks.{i}" for i in range(net.h["n_text_layer"])]
+        self.cross = [tuple(net.linear(encoded, f"{b}.cross_attn.{k}") for k in ("key", "value")) for b in self.blocks]
+        self.own: list = [None] * len(self.blocks)
+        self.scores: list = []
+
+    def fork(self) -> Decoder:
+        d = object.__new__(Decoder)
+        d.__dict__ = {**self.__dict__, "own": list(self.own), "scores": []}
+        return d
+
+    def step(self, tokens) -> np.ndarray:
+        """Scores of the next token after each of `tokens`; `scores` then holds each block's (head, token, time) attention."""
+        net, heads = self.net, self.net.h["n_text_head"]
+        if self.past + len(tokens) > net.h["n_text_ctx"]:
+            raise ValueError("the decoder's context is full")
+        emb = net.t["decoder.token_embedding.weight"]
+        x = emb[np.asarray(tokens)] + net.t["decoder.positional_embedding"][self.past : self.past + len(tokens)]
+        self.scores = []
+        for i, b in enumerate(self.blocks):
+            y = net.normed(x, f"{b}.attn_ln")
+            new = tuple(net.linear(y, f"{b}.attn.{k}") for k in ("key", "value"))
+            self.own[i] = new if self.own[i] is None else tuple(np.concatenate(z) for z in zip(self.own[i], new, strict=True))
+            y, _ = attend(net.linear(y, f"{b}.attn.query"), *self.own[i], heads, causal=True)
+            x = x + net.linear(y, f"{b}.attn.out")
+            y, p = attend(net.linear(net.normed(x, f"{b}.cross_attn_ln"), f"{b}.cross_attn.query"), *self.cross[i], heads)
+            self.scores.append(p)
+            x = net.mlp(x + net.linear(y, f"{b}.cross_attn.out"), b)
+        self.past += len(tokens)
+        return net.normed(x, "decoder.ln") @ emb.T
+
+
+def log_softmax(x):
+    x = x - x.max()
+    return x - np.log(np.exp(x).sum())
+
+
+def beam(net: Network, encoded: np.ndarray, prompt: list[int], end: int, width: int, most: int, mask=None) -> tuple[list[int], float]:
+    """The hypothesis of best mean log-probability, its end token counted, of a search `width` wide over `most` steps.
+
+    A hypothesis ends only if its end token is among the best `width` of all; the search stops at `width` ended ones.
+    `mask(tokens, scores)` may rewrite a row of scores. A width of 1 is greedy.
+    """
+    d = Decoder(net, encoded)
+    live = [(0.0, [], d, log_softmax((mask or (lambda t, s: s))([], d.step(prompt)[-1])))]
+    done: list[tuple[float, list[int]]] = []
+    for _ in range(most):
+        if len(done) >= width or not live:
+            break
+        best = sorted(((s + lp[i], k, int(i)) for k, (s, _, _, lp) in enumerate(live) for i in np.argsort(-lp, kind="stable")[:width]), key=lambda x: (-x[0], x[1], x[2]))[:width]
+        new = []
+        for s, k, i in best:
+            tokens, dec = live[k][1], live[k][2]
+            if i == end:
+                done.append((s / (len(tokens) + 1), tokens))
+            elif dec.past < net.h["n_text_ctx"]:
+                f = dec.fork()
+                row = f.step([i])[-1]
+                new.append((s, [*tokens, i], f, log_softmax(mask([*tokens, i], row) if mask else row)))
+        live = new
+    done += [(s / (len(t) + 1), t) for s, t, _, _ in live] if len(done) < width else []
+    return max(((s, t) for s, t in done), key=lambda x: x[0], default=(0.0, []))[::-1]
+
+
+def generated(shape: tuple[int, ...], seed: int) -> np.ndarray:
+    """Weights from -0.1 to 0.1 by a linear congruential generator, for models that are to be the same everywhere."""
+    s, out = (seed * 2654435761 + 1) % 2**32, []
+    for _ in range(int(np.prod(shape))):
+        s = (s * 1664525 + 1013904223) % 2**32
+        out.append((s >> 8) / 2**24 * 0.2 - 0.1)
+    return np.array(out, np.float32).reshape(shape)
+
+
+def toy() -> Network:
+    """2 mels, 3 positions, state 4, 2 heads, one layer each way, 8 tokens and a text context of 4."""
+    w: dict[str, tuple[int, ...]] = {"encoder.conv1.weight": (4, 2, 3), "encoder.conv1.bias": (4,), "encoder.conv2.weight": (4, 4, 3), "encoder.conv2.bias": (4,), "encoder.positional_embedding": (3, 4)}
+
+    def block(p, kinds):
+        for k in kinds:
+            w.update({f"{p}.{k}_ln.weight": (4,), f"{p}.{k}_ln.bias": (4,)})
+            for m in ("query", "key", "value", "out"):
+                w[f"{p}.{k}.{m}.weight"] = (4, 4)
+                if m != "key":
+                    w[f"{p}.{k}.{m}.bias"] = (4,)
+        w.update({f"{p}.mlp_ln.weight": (4,), f"{p}.mlp_ln.bias": (4,), f"{p}.mlp.0.weight": (16, 4), f"{p}.mlp.0.bias": (16,), f"{p}.mlp.2.weight": (4, 16), f"{p}.mlp.2.bias": (4,)})
+
+    block("encoder.blocks.0", ["attn"])
+    w.update({"encoder.ln_post.weight": (4,), "encoder.ln_post.bias": (4,), "decoder.token_embedding.weight": (8, 4), "decoder.positional_embedding": (4, 4)})
+    block("decoder.blocks.0", ["attn", "cross_attn"])
+    w.update({"decoder.ln.weight": (4,), "decoder.ln.bias": (4,)})
+    return Network({k: generated(s, i + 1) for i, (k, s) in enumerate(w.items())}, {"n_audio_head": 2, "n_audio_layer": 1, "n_text_head": 2, "n_text_layer": 1, "n_text_ctx": 4})
+
+
+def decode_windows(df: DataFrame, net: Network, keys: list[str], frames: str, prompt: list[int], end: int, width: int, most: int) -> DataFrame:
+    """(keys, tokens, score) of rows whose `frames` is array<array<double>> (mels, frames): one window a row."""
+    held = df.sparkSession.sparkContext.broadcast((net.t, net.h))
+    schema = T.StructType([f for f in df.schema if f.name in keys] + [T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType())])
+
+    def run(batches):
+        n = Network(*held.value)
+        for b in batches:
+            got = [beam(n, n.encode(np.array([list(r) for r in m], float)), prompt, end, width, most) for m in b[frames]]
+            yield pd.DataFrame({**{k: b[k] for k in keys}, "tokens": [t for t, _ in got], "score": [float(s) for _, s in got]})
+
+    return df.select(*keys, frames).mapInPandas(run, schema)

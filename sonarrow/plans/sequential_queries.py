@@ -57,3 +57,14 @@ def stream_windows(spark, d):
     return out.select("start_s", "n", F.round("total", 4).alias("total"))
 
 
+
+
+@query("toy_decode")
+def toy_decode(spark, d):
+    """Windows of six frames of two bands, from each embedding, through the toy network with a beam of 2."""
+    from ..operators import network
+    from .views import vectors
+
+    x = vectors(spark, d).select("vec_id", F.array(F.slice("x", 1, 6), F.slice("x", 7, 6)).alias("mel"))
+    out = network.decode_windows(x, network.toy(), ["vec_id"], "mel", [1], 0, 2, 3)
+    return out.select("vec_id", F.size("tokens").alias("n"), F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"), R("score").alias("score"))

@@ -1,0 +1,61 @@
+"""The network's invariants on the toy model."""
+
+import numpy as np
+import pytest
+
+from sonarrow.operators import network as N
+
+
+@pytest.fixture(scope="module")
+def net():
+    return N.toy()
+
+
+def test_encoder(net):
+    mel = N.generated((2, 6), 99)
+    x = net.encode(mel)
+    assert x.shape == (3, 4) and np.isfinite(x).all() and (x == net.encode(mel)).all()
+    with pytest.raises(ValueError):
+        net.encode(mel[:, :5])
+
+
+def test_attention():
+    k, v = np.array([[1.0], [-1.0]]), np.array([[10.0], [20.0]])
+    assert N.attend(np.array([[0.0]]), k, v, 1)[0] == pytest.approx(15)
+    assert N.attend(np.array([[50.0]]), k, v, 1)[0] == pytest.approx(10)
+    out, p = N.attend(np.ones((2, 1)), k, np.array([[7.0], [9.0]]), 1, causal=True)
+    assert out[0, 0] == 7 and p.sum(-1) == pytest.approx(np.ones((1, 2)))
+
+
+def test_decoder(net):
+    enc = N.generated((3, 4), 99)
+    tokens = [1, 5, 2, 7]
+    full = N.Decoder(net, enc).step(tokens)
+    d = N.Decoder(net, enc)
+    assert np.allclose(full, np.concatenate([d.step([t]) for t in tokens]), atol=1e-5)
+    assert all(np.allclose(p.sum(-1), 1) for p in d.scores)
+    with pytest.raises(ValueError):
+        d.step([1])
+    a = N.Decoder(net, enc)
+    a.step([1])
+    b = a.fork()
+    b.step([3])
+    assert np.allclose(a.step([5]), full[1], atol=1e-5)
+
+
+def test_beam(net):
+    enc = N.generated((3, 4), 99)
+    tokens, score = N.beam(net, enc, [1], 0, 1, 3)
+    d, want, total = N.Decoder(net, enc), [], 0.0
+    row = d.step([1])[-1]
+    for _ in range(3):
+        lp = N.log_softmax(row)
+        t = int(np.argmax(lp))
+        total += lp[t]
+        if t == 0:
+            break
+        want.append(t)
+        row = d.step([t])[-1]
+    assert tokens == want and score == pytest.approx(total / (len(want) + 1))
+    never = lambda t, s: np.where(np.arange(8) == 3, -np.inf, s)
+    assert 3 not in N.beam(net, enc, [1], 0, 3, 3, never)[0]
