@@ -72,11 +72,14 @@ def _tensors(r: _Reader):
         yield "tensor", name, dtype, dims[::-1], r.take(size_of(dtype, int(np.prod(dims)), name))
 
 
-def parse(data: bytes, vad: bool = False) -> list[tuple]:
-    """(kind, name, dtype, shape, value) of a file; the container is told by its first four bytes."""
+def parse(data: bytes, vad: bool = False, architecture: str | None = None) -> list[tuple]:
+    """(kind, name, dtype, shape, value) of a file; the container is told by its first four bytes.
+
+    A GGUF file of another architecture than the one asked for is refused.
+    """
     magic = struct.unpack_from("<I", data)[0] if len(data) >= 4 else None
     if magic == GGUF:
-        return list(_gguf(data))
+        return list(_gguf(data, architecture))
     if magic != GGML:
         raise ValueError("neither ggml nor GGUF")
     r = _Reader(data, 4)
@@ -101,7 +104,7 @@ def parse(data: bytes, vad: bool = False) -> list[tuple]:
     return out + list(_tensors(r))
 
 
-def _gguf(data: bytes):
+def _gguf(data: bytes, architecture: str | None):
     r = _Reader(data, 4)
     version, n_tensors, n_keys = r.number("I"), r.number("Q"), r.number("Q")
     if version not in (2, 3):
@@ -110,7 +113,7 @@ def _gguf(data: bytes):
     for _ in range(n_keys):
         key = r.gguf_string().decode("utf-8", "replace")
         meta[key] = r.gguf_value(r.number("I"))
-    if meta.get("general.architecture", b"whisper") != b"whisper":
+    if architecture is not None and meta.get("general.architecture") != architecture.encode():
         raise ValueError("another architecture")
     for k in HPARAMS:
         found = [v for key, v in meta.items() if key.endswith("." + k)]
@@ -132,11 +135,11 @@ def _gguf(data: bytes):
         yield ("filters", "mel", 0, shape, value) if name == "mel_filters" else ("tensor", name, dtype, shape, value)
 
 
-def to_gguf(rows: list[tuple]) -> bytes:
+def to_gguf(rows: list[tuple], architecture: str = "speech") -> bytes:
     """A GGUF file of parsed rows: tensors by name, 32-byte alignment, half precision widened, quantized blocks as they are."""
     text = lambda s: struct.pack("<Q", len(s)) + s
-    keys = [(b"general.architecture", STRING, text(b"whisper")), (b"general.alignment", 4, struct.pack("<I", ALIGN))]
-    keys += [(f"whisper.{n}".encode(), 5, v) for kind, n, _, _, v in rows if kind == "hparam"]
+    keys = [(b"general.architecture", STRING, text(architecture.encode())), (b"general.alignment", 4, struct.pack("<I", ALIGN))]
+    keys += [(f"{architecture}.{n}".encode(), 5, v) for kind, n, _, _, v in rows if kind == "hparam"]
     tokens = [v for kind, n, _, _, v in sorted((x for x in rows if x[0] == "token"), key=lambda x: int(x[1]))]
     keys.append((b"tokenizer.ggml.tokens", ARRAY, struct.pack("<IQ", STRING, len(tokens)) + b"".join(map(text, tokens))))
     tensors = sorted(("mel_filters" if kind == "filters" else n, t, s, v) for kind, n, t, s, v in rows if kind in ("tensor", "filters"))
@@ -171,14 +174,14 @@ def dequantized(dtype: int, value: bytes) -> np.ndarray:
     return ((q - (8 if dtype == 2 else 16)) * d).astype(np.float32).ravel()
 
 
-def read(spark: SparkSession, path: str, vad: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, vad: bool = False, architecture: str | None = None) -> DataFrame:
     """Rows of SCHEMA for all files under `path`; a file that cannot be read is one row with its error."""
 
     def run(batches):
         for b in batches:
             for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:
-                    rows = [(file, *x, None) for x in parse(content, vad)]
+                    rows = [(file, *x, None) for x in parse(content, vad, architecture)]
                 except (ValueError, struct.error) as e:
                     rows = [(file, None, None, None, None, None, str(e))]
                 kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.string())

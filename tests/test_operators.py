@@ -1,6 +1,7 @@
 """Known answers and invariants of the signal, time-line, decoding, text and file operators."""
 
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -178,6 +179,24 @@ def test_blocks():
     assert models.dequantized(8, f(0.5) + np.arange(-2, 30, dtype="i1").tobytes())[:3].tolist() == [-1.0, -0.5, 0.0]
 
 
+def test_model_files(spark, tmp_path):
+    f = lambda *x: struct.pack(f"<{len(x)}i", *x)
+    data = struct.pack("<I", models.GGML) + f(5, 3, 4, 2, 1, 4, 4, 2, 1, 2, 1) + f(2, 3) + np.arange(6, dtype="<f4").tobytes()
+    data += f(3) + b"".join(f(len(w)) + w for w in (b"a", b"", b"\xff"))
+    data += f(2, 1, 0, 3, 2) + b"w" + np.arange(6, dtype="<f4").tobytes() + f(2, 2, 8, 32, 1) + b"qq" + struct.pack("<e", 0.5) + bytes(32)
+    (tmp_path / "a.bin").write_bytes(data)
+    (tmp_path / "b.gguf").write_bytes(models.to_gguf(models.parse(data)))
+    (tmp_path / "c.bin").write_bytes(data[:-1])
+    (tmp_path / "d.bin").write_bytes(b"none")
+    rows = models.read(spark, str(tmp_path)).collect()
+    by = lambda end: sorted((r.kind, r.name, r.dtype, tuple(r["shape"]), bytes(r.value)) for r in rows if r.path.endswith(end) and not r.error)
+    assert by("a.bin") == by("b.gguf") and len(by("a.bin")) == 11 + 1 + 5 + 2
+    assert ("token", "4", 0, (4,), b"[_extra_token_4]") in by("a.bin") and ("tensor", "w", 0, (2, 3), np.arange(6, dtype="<f4").tobytes()) in by("a.bin")
+    assert sorted(r.path[-5:] for r in rows if r.error) == ["c.bin", "d.bin"]
+    with pytest.raises(ValueError):
+        models.parse(models.to_gguf(models.parse(data)), architecture="other")
+
+
 def test_files(spark, tmp_path):
     x = np.array([[0, 32767], [16384, 0], [-16384, 0]], float) / 32767
     (tmp_path / "a.wav").write_bytes(wav.encode(x, 16000))
