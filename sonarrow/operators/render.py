@@ -117,4 +117,17 @@ def mean_logprob(tokens: Column) -> Column:
 
 def write(documents: DataFrame, path: str, key: str, format_: str) -> None:
     """Documents as text files under path, a folder for each key, written by the tasks that hold them."""
-    documents.select(F.col(key).alias("key"), F.col("body").alias("value")).write.partitionBy("key").option("lineSep", "").mode("overwrite").text(f"{path}/{format_}")
+    body = F.regexp_replace("body", r"\n\z", "")  # the writer ends it
+    documents.select(F.col(key).alias("key"), body.alias("value")).write.partitionBy("key").mode("overwrite").text(f"{path}/{format_}")
+
+
+def write_all(df: DataFrame, keys: list[str], order: str, path: str, formats=FORMATS) -> None:
+    """Every format asked for from one cached pass over the segments; json_full takes the place of json."""
+    made = {"txt": txt, "vtt": vtt, "srt": srt, "csv": csv, "json": json, "json_full": json_full, "wts": wts}
+    kept = df.cache()
+    try:
+        for f in formats:
+            if not (f == "json" and "json_full" in formats):
+                write(made[f](kept, keys, order), path, keys[0], f)
+    finally:
+        kept.unpersist()

@@ -181,3 +181,12 @@ def feed_windows(df: DataFrame, keys: list[str], x: str, window: int, least: int
         return out
 
     return df.select(*keys, "i", x).groupBy(*keys).applyInPandas(run, _schema(df, keys, WINDOW_ROWS))
+
+
+def uniforms(seed: int, n: int) -> list[float]:
+    """Numbers from 0 to below 1 of the 64-bit linear congruential generator that sampling draws from."""
+    s, out = seed, []
+    for _ in range(n):
+        s = (s * 6364136223846793005 + 1442695040888963407) % 2**64
+        out.append((s >> 40) / 2**24)
+    return out

@@ -155,3 +155,13 @@ def reflect_median(df: DataFrame, keys: list[str], value: str, n: int, width: in
 def zscore(df: DataFrame, by: list[str], value: str, eps: float = 1e-9) -> DataFrame:
     w = Window.partitionBy(*by)
     return df.withColumn(value, (F.col(value) - F.avg(value).over(w)) / F.sqrt(F.var_pop(value).over(w) + eps))
+
+
+def assign_parts(tokens: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """`tokens` (keys, k, w0, ...) with the part of their split segment: the first that ends after they begin, or the last.
+
+    A segment's parts are bounded by its length, and both sides meet on the segment's keys.
+    """
+    j = tokens.join(parts.select(*keys, "part", "p1"), keys)
+    fits = F.min(F.when(F.col("w0") < F.col("p1"), F.col("part")))
+    return j.groupBy(*tokens.columns).agg(F.coalesce(fits, F.max("part")).alias("part"))

@@ -172,3 +172,20 @@ def civil_date_parts(spark, d):
     return e.select("event_id", F.year(day).alias("y"), F.month(day).alias("m"), F.day(day).alias("d"), F.date_format("ts", "HH:mm").alias("hm"), days.alias("days"))
 
 
+
+
+@query(
+    "split_tokens",
+    f"""WITH {SEGMENTS}, p AS (SELECT conv_id, turn, part, t0 + (t1 - t0) / length(text) * least(length(text), (part + 1) * 40) AS p1 FROM (SELECT *, unnest(range(0, (length(text) - 1) // 40 + 1)) AS part FROM segments WHERE length(text) > 0)),
+w AS (SELECT conv_id, turn, t0, t1, k - 1 AS k, l[k] AS word FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM (SELECT conv_id, turn, t0, t1, string_split(text, ' ') AS l FROM segments))),
+s AS (SELECT *, sum(length(word)) OVER (PARTITION BY conv_id, turn) AS t, coalesce(sum(length(word)) OVER (PARTITION BY conv_id, turn ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w),
+x AS (SELECT conv_id, turn, k, CASE WHEN t > 0 THEN t0 + (t1 - t0) * b / t ELSE t0 END AS w0 FROM s)
+SELECT conv_id, turn, CAST(part AS BIGINT) AS part, count(*) AS n FROM (SELECT x.conv_id, x.turn, x.k, coalesce(min(part) FILTER (round(w0, 6) < round(p1, 6)), max(part)) AS part FROM x JOIN p USING (conv_id, turn) GROUP BY ALL) GROUP BY conv_id, turn, part""",
+)
+def split_tokens(spark, d):
+    s = segments(spark, d)
+    keys = ["conv_id", "turn"]
+    words = s.select(*keys, "t0", "t1", F.posexplode(F.split("text", " ")).alias("k", "word"))
+    words = L.token_times(words, keys, F.col("t0"), F.col("t1")).select(*keys, "k", R("w0").alias("w0"))
+    parts = L.split_by_char(s, 40).withColumn("p1", R("p1"))
+    return L.assign_parts(words, parts, keys).groupBy(*keys, F.col("part").cast("long").alias("part")).agg(F.count("*").alias("n"))

@@ -172,6 +172,18 @@ def test_render(spark):
     assert body(render.csv) == 'start,end,text\n0,2500,"Hello"\n2500,5000,"say ""hi"""\n'
 
 
+def test_write_all(spark, tmp_path):
+    d = spark.createDataFrame([(1, 0, 0.0, 2.5, "Hello"), (2, 0, 0.0, 1.0, "x")], "c int, k int, t0 double, t1 double, text string")
+    render.write_all(d, ["c"], "k", str(tmp_path / "out"), ("txt", "srt", "json"))
+    got = {str(p.relative_to(tmp_path / "out").parent): p.read_text() for p in (tmp_path / "out").rglob("part-*")}
+    assert got["txt/key=1"] == "Hello\n" and got["srt/key=2"].startswith("1\n00:00:00,000") and '"text": "x"' in got["json/key=2"]
+
+
+def test_uniforms():
+    u = sequential.uniforms(42, 1000)
+    assert all(0 <= x < 1 for x in u) and abs(sum(u) / 1000 - 0.5) < 0.05
+
+
 def test_blocks():
     f = lambda *x: np.array(x, "<f2").tobytes()
     assert models.dequantized(7, f(0.5, 2.0) + bytes([1, 0, 0, 0]) + bytes([3] + [0] * 15))[:2].tolist() == [11.5, 2.0]
