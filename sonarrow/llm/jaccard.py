@@ -114,6 +114,16 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _open(labelled: DataFrame) -> DataFrame:
+    """The groups of `labelled` (signature, set_id, label) with several labels, their size k added.
+
+    Of groups with the same members, told by two 64-bit hashes of these, one stays: near copies share many signatures.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "set_id")).alias(f"m{k}") for k in range(2)]
+    groups = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k"), *marks).where("x < y")
+    return labelled.join(groups.groupBy("k", "m0", "m1").agg(F.min("signature").alias("signature")).select("signature", "k"), "signature")
+
+
 def _blocks(groups: DataFrame) -> DataFrame:
     """Groups (signature, set_id, label, k) of k members fall into blocks of about `BLOCK` by hash; a row for each two blocks."""
     g = groups.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
@@ -230,17 +240,14 @@ def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) ->
     label = components(links, stage, "first")
     labelled = members.join(label.select(F.col("vertex").alias("set_id"), "root"), "set_id", "left").select("signature", "set_id", F.coalesce("root", "set_id").alias("label"))
     labelled = stage.put(labelled, "labelled")
-    mixed = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("signature")
-    open_groups = stage.put(labelled.join(mixed, "signature", "left_semi"), "open")
-    count = open_groups.groupBy("signature").agg(F.count("*").alias("k"))
-    counted = open_groups.join(count, "signature")
+    counted = stage.put(_open(labelled), "open")
     crossing = stage.put(_crossing(counted, shingles, num, den), "crossing")
     untested = crossing.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     crowds = crossing.where("a is null").select("signature").distinct()
     more = _verified(untested, shingles, num, den).unionByName(_crossing_large(counted.join(crowds, "signature", "left_semi"), shingles, num, den))
     more = stage.put(more, "more")
     if stats is not None:
-        stats |= {"rows": rows.count(), "members": members.count(), "wanted": n_wanted, "pairs": pairs.count(), "links": links.count(), "open": open_groups.count(), "open_groups": mixed.count(), "more": more.count(), "largest": open_groups.groupBy("signature").count().agg(F.max("count")).first()[0]}
+        stats |= {"rows": rows.count(), "members": members.count(), "wanted": n_wanted, "pairs": pairs.count(), "links": links.count(), "open": counted.count(), "open_groups": counted.select("signature").distinct().count(), "more": more.count(), "largest": counted.agg(F.max("k")).first()[0]}
     label = components(links.unionByName(more), stage, "second")
 
     stage.drop("members", "wanted", "shingles", "links", "labelled", "open", "crossing", "more")
