@@ -134,17 +134,19 @@ def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", t
                 cuts = [np.concatenate([[0], np.cumsum(x)]) for x in n]
                 for i in range(s.n):
                     u, c = np.unique(np.concatenate([b[q[i] : q[i + 1]] for b, q in zip(bucket, cuts, strict=True)]), return_counts=True)
-                    idx.append(u.astype(np.int32).tobytes())
+                    idx.append(u.astype(np.uint16).tobytes())
                     cnt.append((c / max(c.sum(), 1)).astype(np.float32).tobytes())
             return [pa.array(idx, pa.binary()), pa.array(cnt, pa.binary())]
 
         return f
 
-    got = append(sample, make, "idx binary, cnt binary", drop=("_text",)).toArrow().sort_by([("_draw", "ascending"), ("idx", "ascending")])
+    got = append(sample, make, "idx binary, cnt binary", drop=("_text",)).toArrow()
     languages = sorted(counts)
     number = {x: i for i, x in enumerate(languages)}
-    rows = [(np.frombuffer(a.as_py(), np.int32), np.frombuffer(c.as_py(), np.float32)) for a, c in zip(got.column("idx"), got.column("cnt"), strict=True)]
-    return train(rows, np.array([number[x] for x in got.column("_lang").to_pylist()], int), languages)
+    rows = [(np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(c.as_buffer(), np.float32)) for a, c in zip(got.column("idx"), got.column("cnt"), strict=True)]
+    labels, drawn = (got.column(c).to_pylist() for c in ("_lang", "_draw"))
+    order = sorted(range(len(rows)), key=lambda i: (drawn[i], rows[i][0].tobytes(), labels[i]))
+    return train([rows[i] for i in order], np.array([number[labels[i]] for i in order], int), languages)
 
 
 def predict(docs: DataFrame, model: Model | None, *, text_col="text") -> DataFrame:

@@ -64,12 +64,14 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
     n_p, n_u = int(positive.sum()), int((~positive).sum())
     if not n_p or not n_u or not 0 < prior < 1:
         return Model(np.zeros(0, U64), np.zeros(0), np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)) if 0 < prior < 1 else -30.0 if prior <= 0 else 30.0)
-    both = [np.unique(np.concatenate([x for x, p in zip(rows, positive, strict=True) if p == side]), return_counts=True) for side in (True, False)]
-    (keys, count), (keys_u, count_u) = both
+    keys, count = np.unique(np.concatenate([x for x, p in zip(rows, positive, strict=True) if p]), return_counts=True)
     keep = count >= 3
     keys, count = keys[keep], count[keep]
-    at = np.minimum(np.searchsorted(keys_u, keys), max(len(keys_u) - 1, 0))
-    share_u = (np.where(keys_u[at] == keys, count_u[at], 0) + 1) / (n_u + 2) if len(keys_u) else np.full(len(keys), 1 / (n_u + 2))
+    count_u = np.zeros(len(keys), np.int64)
+    for x in (x for x, p in zip(rows, positive, strict=True) if not p and len(keys)):  # each feature once a document
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        count_u[at[keys[at] == x]] += 1
+    share_u = (count_u + 1) / (n_u + 2)
     lift = (count / n_p - share_u) / np.sqrt(share_u * (1 - share_u) * (1 / n_p + 1 / n_u))
     best = np.argsort(-lift, kind="stable")[:MOST_FEATURES]
     keys = np.sort(keys[best[lift[best] >= LEAST_LIFT]])
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text",
         return f
 
     got = append(pool, make, "h binary", drop=("_text",)).toArrow()
-    h = [np.frombuffer(x.as_py(), U64) for x in got.column("h")]
+    h = [np.frombuffer(x.as_buffer(), U64) for x in got.column("h")]
     p, u = (np.array(got.column(c).to_pylist(), bool) for c in ("_p", "_u"))
     # the unlabelled draw is of all text, confirmed documents among it included
     rows = [x for x, y in zip(h, p, strict=True) if y] + [x for x, y in zip(h, u, strict=True) if y]
