@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .words import U64
 
 #: Rows of one or two numbers up to which a table is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bits of the bitmap that sieves signatures, at most (16 MB).
+MOST_BITS = 1 << 27
 #: Sets of a block in which pairs of a crowded group are compared.
 BLOCK = 512
 #: Pairs for each member beyond which a place is a crowd, and shingles taken at once into an incidence matrix.
@@ -55,6 +58,33 @@ def _signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return append(docs, make, "n_shingles long, set_id long, signatures array<long>", drop=("_text",))
 
 
+def _sieved(rows: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """(set_id, signature) of `rows` but for most of those that are none of the `n` signatures of `shared`.
+
+    The sieve is a bitmap over the signatures' low bits, of fixed greatest size; a fuller one lets more rows through to
+    the join that decides.
+    """
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * n).bit_length()))
+    low = F.col("signature").bitwiseAND(F.lit(bits - 1))
+    parts = shared.select(F.shiftright(low, 15).alias("part"), low.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+    sieve = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for part, bitmap in parts.groupBy("part").agg(F.bitmap_construct_agg("bit")).toLocalIterator():
+        sieve[part] = np.frombuffer(bitmap, np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(sieve.ravel())
+
+    def run(batches):
+        sieve = held.value
+        for b in batches:
+            lists = b.column("signatures")
+            flat = lists.flatten()
+            x = flat.to_numpy(zero_copy_only=False).view(U64) & U64(bits - 1)
+            ok = pa.array((sieve[x >> U64(3)] >> (x & U64(7)).astype(np.uint8)) & 1 == 1)
+            ids = b.column("set_id").take(pc.list_parent_indices(lists).filter(ok))
+            yield pa.RecordBatch.from_arrays([ids, flat.filter(ok)], names=["set_id", "signature"])
+
+    return rows.select("set_id", "signatures").mapInArrow(run, "set_id long, signature long")
+
+
 def _common(a: bytes, b: bytes) -> tuple[int, int]:
     """The sizes of intersection and union of two sets of hashes."""
     x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
@@ -213,8 +243,9 @@ def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) ->
     each = rows.select("set_id", F.explode("signatures").alias("signature"))
     shared = each.groupBy("signature").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("signature", "a")
     shared = stage.put(shared, "shared")
-    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    members = stage.put(each.join(few, "signature").select("signature", "set_id", "a").distinct(), "members")
+    n_shared = shared.count()
+    few = F.broadcast(shared) if n_shared <= BROADCAST_ROWS else shared
+    members = stage.put(_sieved(rows, shared, n_shared).join(few, "signature").select("signature", "set_id", "a").distinct(), "members")
     rows = stage.put(rows.drop("signatures"), "sets")
     stage.drop("rows", "shared")
 
