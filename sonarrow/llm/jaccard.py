@@ -28,6 +28,8 @@ from .words import U64
 
 #: Rows of one or two numbers up to which a table is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Slices, a power of two, in which all signatures are shuffled one after another.
+SLICES = 4
 #: Bits of the bitmap that sieves signatures, at most (16 MB).
 MOST_BITS = 1 << 27
 #: Sets of a block in which pairs of a crowded group are compared.
@@ -241,13 +243,17 @@ def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) ->
     stage = Stage(docs.sparkSession, "jaccard")
     rows = stage.put(_signed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), shingle, num, den), "rows")
     each = rows.select("set_id", F.explode("signatures").alias("signature"))
-    shared = each.groupBy("signature").agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("signature", "a")
-    shared = stage.put(shared, "shared")
+    # slice by slice, so that the shuffle files of one are gone before the next begins
+    slices = [f"shared{k}" for k in range(SLICES)]
+    for k, name in enumerate(slices):
+        own = each.where(F.col("signature").bitwiseAND(F.lit(SLICES - 1)) == k).groupBy("signature")
+        part = stage.put(own.agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("signature", "a"), name)
+        shared = shared.unionByName(part) if k else part
     n_shared = shared.count()
     few = F.broadcast(shared) if n_shared <= BROADCAST_ROWS else shared
     members = stage.put(_sieved(rows, shared, n_shared).join(few, "signature").select("signature", "set_id", "a").distinct(), "members")
     rows = stage.put(rows.drop("signatures"), "sets")
-    stage.drop("rows", "shared")
+    stage.drop("rows", *slices)
 
     hash_of = rows.where("set_id is not null").groupBy("set_id").agg(F.min("text_hash").alias("text_hash"))
     wanted = stage.put(members.select("set_id").distinct().join(hash_of, "set_id").select("text_hash"), "wanted")
