@@ -45,10 +45,20 @@ def prompt_split(spark, d):
     r"""WITH t AS (SELECT doc_id, substr(text, 1, 400) AS s FROM documents) SELECT doc_id, CAST(len(regexp_extract_all(s, '[A-Za-z]+')) AS BIGINT) AS letters, CAST(len(regexp_extract_all(s, '[0-9]+')) AS BIGINT) AS digits FROM t WHERE NOT regexp_matches(s, '''')""",
 )
 def pretokenize_counts(spark, d):
-    """Runs of letters and of digits among the pre-tokens; texts with an apostrophe, whose contractions part words, are left out."""
+    """The first 400 characters only, as its SQL; texts with an apostrophe, whose contractions part words, are left out. pretokenize_counts_full is the whole job."""
     t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("s")).where(~F.col("s").contains("'"))
-    count = lambda p: F.size(F.filter(X.pretokens(F.col("s")), lambda x: x.rlike(p))).cast("long")
-    return t.select("doc_id", count("^ ?[A-Za-z]+$").alias("letters"), count("^ ?[0-9]+$").alias("digits"))
+    return letters_and_digits(t, "s")
+
+
+@query("pretokenize_counts_full")
+def pretokenize_counts_full(spark, d):
+    return letters_and_digits(table(spark, d, "documents"), "text")
+
+
+def letters_and_digits(t, text):
+    """Runs of letters and of digits among the pre-tokens of each document's text."""
+    count = lambda p: F.size(F.filter("p", lambda x: x.rlike(p))).cast("long")
+    return t.select("doc_id", X.pretokens(F.col(text)).alias("p")).select("doc_id", count("^ ?[A-Za-z]+$").alias("letters"), count("^ ?[0-9]+$").alias("digits"))
 
 
 @query("greedy_encode")
