@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
+from collections import deque
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,26 +61,36 @@ def greedy_encoder(vocab: dict[bytes, int]):
 
     The vocabulary travels with the function; its size is the caller's to bound.
     """
-    longest = max(map(len, vocab), default=0)
+    lengths = [sorted({len(w) for w in vocab if w[:1] == bytes([i])}, reverse=True) for i in range(256)]
     split = re.compile(PIECES.encode())
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(text: pd.Series) -> pd.Series:
-        def one(s):
-            out = []
-            for piece in split.findall(s.encode()) if s is not None else ():
-                i = 0
-                while i < len(piece):
-                    for n in range(min(longest, len(piece) - i), 0, -1):
-                        if (k := vocab.get(piece[i : i + n])) is not None:
-                            out.append(k)
-                            i += n
-                            break
-                    else:
-                        i += 1
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(text: pa.Array) -> pa.Array:
+        known: dict[bytes, list[int]] = {}  # ids of short pieces, which come again
+
+        def ids(piece):
+            out, i = [], 0
+            while i < len(piece):
+                for n in lengths[piece[i]]:
+                    if (k := vocab.get(piece[i : i + n])) is not None:
+                        out.append(k)
+                        i += n
+                        break
+                else:
+                    i += 1
+            if len(piece) <= 32 and len(known) < 100_000:
+                known[piece] = out
             return out
 
-        return text.map(one)
+        flat, ends = array("i"), array("i", [0])
+        for s in text:
+            out = []
+            for piece in split.findall(s.as_py().encode()) if s.is_valid else ():
+                out += ids(piece) if (k := known.get(piece)) is None else k
+            flat.fromlist(out)
+            ends.append(len(flat))
+        numbers = lambda x: pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)])
+        return pa.ListArray.from_arrays(numbers(ends), numbers(flat))
 
     return encode
 
@@ -100,8 +113,6 @@ def compressibility(text: pd.Series) -> pd.Series:
         while i < len(b):
             best = 0
             for j in reversed(seen.get(b[i : i + 4], ())):
-                if i - j > 1024:
-                    break
                 n = 4
                 while n < 255 and i + n < len(b) and b[j + n] == b[i + n]:
                     n += 1
@@ -111,7 +122,12 @@ def compressibility(text: pd.Series) -> pd.Series:
             step = best if best >= 4 and len(b) - i >= 4 else 1
             cost += 4 if step > 1 else 1
             for k in range(i, min(i + step, len(b) - 3)):
-                seen.setdefault(b[k : k + 4], []).append(k)
+                seen.setdefault(b[k : k + 4], deque()).append(k)
+                if k >= 1024:  # too far back for what follows
+                    old = b[k - 1024 : k - 1020]
+                    seen[old].popleft()
+                    if not seen[old]:
+                        del seen[old]
             i += step
         return len(b) / cost
 

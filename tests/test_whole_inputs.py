@@ -1,5 +1,7 @@
 """Queries over whole inputs: long texts, apostrophes, tables of several files, against brute force."""
 
+import random
+
 from sonarrow.plans import catalog
 
 LONG = ["the hello of 12 " * 300, "don't stop, it's 9 o'clock and we'll see\n\n  'twas " * 40, "Gr\u00fc\u00dfe \u4e16\u754c 7x8 'st " * 200, "a" * 450 + "'re 42", "short 1", "'", "  "]
@@ -39,3 +41,42 @@ def test_pretokens_of_whole_texts(spark, tmp_path):
         p = [x.removeprefix(b" ") for x in pieces(t.encode())]
         want[i] = (sum(x.isalpha() for x in p), sum(x.isdigit() for x in p))
     assert got == want and len(got) == len(LONG)
+
+
+def test_greedy_encode_of_whole_texts(spark, tmp_path):
+    words = [bytes([i]) for i in range(256)] + [w.encode() for w in ("he", "llo", "hello", " the", "the", " of", " and", "en", "er", "ch")]
+    documents(spark, tmp_path, LONG)
+    got = {r.doc_id: (r.n, r.checksum) for r in catalog.QUERIES["greedy_encode"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(LONG):
+        n = s = 0
+        for p in pieces(t.encode()):
+            while p:
+                k = max((k for k, w in enumerate(words) if p.startswith(w)), key=lambda k: len(words[k]))
+                n, s, p = n + 1, (s * 31 + k) % 1000003, p[len(words[k]) :]
+        want[i] = (n, s)
+    assert max(len(t) for t in LONG) > 4000 and got == want
+
+
+def ratio(b):
+    """The estimate with every start within 1024 bytes tried."""
+    cost, i = 12, 0
+    while i < len(b):
+        best = 0
+        for s in range(max(0, i - 1024), i):
+            n = 0
+            while n < 255 and i + n < len(b) and b[s + n % (i - s)] == b[i + n]:
+                n += 1
+            best = max(best, n)
+        cost, i = (cost + 4, i + best) if best >= 4 else (cost + 1, i + 1)
+    return len(b) / cost
+
+
+def test_compression_ratio_of_whole_texts(spark, tmp_path):
+    r = random.Random(3)
+    noise = "".join(r.choice("abcdefgh é") for _ in range(1100))
+    texts = [noise[:400] + "la " * 300, noise[:300] * 2, noise + noise[:200], noise[:1020] + noise[:60], noise[:1] * 3000, "abc"]
+    texts += ["".join(r.choice("ab") for _ in range(1500))]
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.conv_id: x.ratio for x in catalog.QUERIES["compression_ratio"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(ratio(t.encode()), 6) for i, t in enumerate(texts)}
