@@ -1,6 +1,7 @@
 """Queries over whole inputs: long texts, apostrophes, tables of several files, against brute force."""
 
 import random
+from datetime import datetime, timedelta
 
 from sonarrow.plans import catalog
 
@@ -80,3 +81,17 @@ def test_compression_ratio_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {x.conv_id: x.ratio for x in catalog.QUERIES["compression_ratio"](spark, str(tmp_path)).collect()}
     assert got == {i: round(ratio(t.encode()), 6) for i, t in enumerate(texts)}
+
+
+def test_stream_windows_over_files_in_any_order(spark, tmp_path):
+    r = random.Random(5)
+    at = [i * 3600 * 24 * 30 // 400 for i in range(400)]
+    r.shuffle(at)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=t), r.random() * 100) for i, t in enumerate(at)]
+    for k, late in enumerate((3, 0, 2, 1)):  # files newest first, then oldest, each over a week, and one shuffled over the month
+        some = sorted(rows[:300], key=lambda x: x[1])[75 * late : 75 * late + 75]
+        spark.createDataFrame(some, "event_id long, ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(rows[300:], "event_id long, ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    key = lambda n: sorted((x.start_s, x.n, x.total) for x in catalog.QUERIES[n](spark, str(tmp_path)).collect())
+    assert sum(x[1] for x in key("sliding_hop_window")) == 4 * len(rows)
+    assert key("stream_windows") == key("sliding_hop_window")
