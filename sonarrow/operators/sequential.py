@@ -1,15 +1,17 @@
-"""What has to be folded in order, one stream at a time: full activity segmentation, recurrent cells, warping, window feeding.
+"""What has to be taken in order, one stream at a time: full activity segmentation, window feeding, warping.
 
-Each works on the ordered series of a key in one Arrow group; a key's series is one stream's and goes through in one pass.
+Spark windows do the work on rows; what is left for a fold is a row for each run or window, and the fold of a stream
+holds a state of a few numbers while the sorted rows of its partition go by in batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -17,170 +19,275 @@ def _schema(df: DataFrame, keys: list[str], rest: str) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name in keys] + list(T.StructType.fromDDL(rest)))
 
 
-def speech_spans(p, window: int, rate: int, total: int, threshold=0.5, min_speech_ms=250, min_silence_ms=100, max_speech_s=float("inf")) -> Iterator[tuple[int, int]]:
-    """Spans of samples, before padding, from a probability for each window of samples.
+def fold(df: DataFrame, keys: list[str], order: str, make: Callable, rest: str) -> DataFrame:
+    """(keys, rest): the rows of each key in order through the state that `make()` gives.
 
-    A span opens at the threshold and may end at the first window under the lower threshold; it does once silence has
-    lasted long enough, unless speech comes back before. A span that grows too long is split at the last silence of over
-    98 ms, or on the spot if there was none; split parts are not tested for length, other spans must exceed the minimum.
+    A state has take(arrays) and end(), which return lists of tuples of `rest`. Only the state of one key is held.
+    """
+    schema = _schema(df, keys, rest)
+    columns = [c for c in df.columns if c not in keys]
+
+    def run(batches):
+        key, state = None, None
+
+        def table(rows):
+            kinds = [f.dataType for f in schema]
+            arrow = {T.LongType: pa.int64(), T.DoubleType: pa.float64()}
+            cols = list(zip(*[(*k, *r) for k, r in rows], strict=True)) or [()] * len(schema)
+            made = [pa.array(c, like.field(f.name).type if f.name in keys else arrow[type(t)]) for c, f, t in zip(cols, schema, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(made, names=schema.names)
+
+        like = None
+        for b in batches:
+            like, out = b.schema, []
+            names = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            cuts = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]] + [len(names)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if state is None or names[i] != key:
+                    out += [(key, r) for r in state.end()] if state is not None else []
+                    key, state = names[i], make()
+                part = b.slice(i, j - i)
+                out += [(key, r) for r in state.take({c: part.column(c).to_numpy(zero_copy_only=False) for c in columns})]
+            yield table(out)
+        if state is not None:
+            yield table([(key, r) for r in state.end()])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+
+
+class Spans:
+    """Speech spans of one stream, before padding, from its runs of loud (1), hushed (-1) and undecided (0) windows.
+
+    A span opens with a loud window. Once silence, counted from its first hushed window, has lasted `quiet` samples the
+    span ends where the silence began; if it is longer than `least` it counts. In a span that has lasted over `most`, the
+    last silence of over `brief` is where it is split, and what came after that silence goes on as a span; without such a
+    silence it is split on the spot, and the window there is lost. Parts that are split off count at any length.
+
+    Which window ends or splits a span follows by division, so that a run costs the same at any length.
     """
-    low = max(threshold - 0.15, 0.01)
-    least, quiet, brief = rate * min_speech_ms // 1000, rate * min_silence_ms // 1000, rate * 98 // 1000
-    most = max_speech_s * rate
-    start = None  # of the open span
-    silence = None  # where the current silence began
-    cut, resume = 0, 0  # a silence to split at, and where speech came back after it
-    for i, x in enumerate(p):
-        t = i * window
-        loud, hushed = x >= threshold, x < low
-        if loud and silence is not None:
-            silence = None
-            if resume < cut:
-                resume = t
-        if loud and start is None:
-            start = t
-            continue
-        if start is not None and t - start > most:
-            yield start, cut or t
-            split_here = cut == 0
-            start = resume if cut and resume >= cut else None
-            cut, resume, silence = 0, 0, None
-            if split_here:
-                continue
-        if hushed and start is not None:
-            silence = t if silence is None else silence
-            if t - silence > brief:
-                cut = silence
-            if t - silence >= quiet:
-                if silence - start > least:
-                    yield start, silence
-                start, silence, cut, resume = None, None, 0, 0
-    end = min(len(p) * window, total)
-    if start is not None and end - start > least:
-        yield start, end
-
-
-def vad_segments(df: DataFrame, keys: list[str], p: str, window: int, rate: int, **options) -> DataFrame:
-    """(keys, k, start, end) in samples from (keys, i, p); timeline.pad adds the padding."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("i")
-        spans = list(speech_spans(g[p].to_numpy(), window, rate, len(g) * window, **options))
-        out = pd.DataFrame(spans, columns=["start", "end"], dtype="int64")
-        out.insert(0, "k", np.arange(1, len(out) + 1))
-        for c in reversed(keys):
-            out.insert(0, c, g[c].iloc[0])
-        return out
-
-    return df.select(*keys, "i", p).groupBy(*keys).applyInPandas(run, _schema(df, keys, "k long, start long, end long"))
-
 
-class Lstm:
-    """A cell with gates in the order input, forget, candidate, output, and its state."""
+    def __init__(self, window: int, rate: int, total: int | None = None, min_speech_ms=250, min_silence_ms=100, max_speech_s=float("inf")):
+        self.window, self.total = window, total
+        self.least, self.quiet, self.brief = (rate * ms // 1000 for ms in (min_speech_ms, min_silence_ms, 98))
+        self.most = 1 << 60 if max_speech_s == float("inf") else int(max_speech_s * rate)
+        self.n = 0
+        self._close()
+
+    def _close(self, resumed=None):
+        self.opened, self.hush, self.cut, self.back = resumed, None, None, None
+
+    def _hushed_until(self, last: int):
+        """The pending silence, seen to last up to window `last`, may be one to split at."""
+        if last * self.window - self.hush > self.brief:
+            self.cut, self.back = self.hush, None
+
+    def run(self, first: int, last: int, level: int) -> Iterator[tuple[int, int]]:
+        w = self.window
+        self.n = last + 1
+        if level > 0:
+            if self.cut is not None and self.back is None:
+                self.back = first * w
+            self.hush = None
+        while first <= last:
+            if self.opened is None:
+                if level <= 0:
+                    return
+                self.opened = first * w
+                first += 1
+                continue
+            if level < 0 and self.hush is None:
+                self.hush = first * w
+            late = max(first, (self.opened + self.most) // w + 1)
+            done = max(first, -(-(self.hush + self.quiet) // w)) if level < 0 else late
+            if late > last and (level >= 0 or done > last):
+                if level < 0:
+                    self._hushed_until(last)
+                return
+            if done < late:
+                if self.hush - self.opened > self.least:
+                    yield self.opened, self.hush
+                return self._close()
+            if level < 0 and late > first:
+                self._hushed_until(late - 1)
+            yield self.opened, late * w if self.cut is None else self.cut
+            first = late + 1 if self.cut is None else late
+            self._close(self.back)
+
+    def finish(self) -> Iterator[tuple[int, int]]:
+        end = self.n * self.window if self.total is None else min(self.n * self.window, self.total)
+        if self.opened is not None and end - self.opened > self.least:
+            yield self.opened, end
+
+
+class _NumberedSpans:
+    def __init__(self, *args, **options):
+        self.spans, self.k = Spans(*args, **options), 0
+
+    def _numbered(self, found):
+        for start, end in found:
+            self.k += 1
+            yield self.k, start, end
+
+    def take(self, x):
+        return [r for run in zip(x["first"].tolist(), x["last"].tolist(), x["level"].tolist(), strict=True) for r in self._numbered(self.spans.run(*run))]
+
+    def end(self):
+        return list(self._numbered(self.spans.finish()))
+
+
+def levels(df: DataFrame, keys: list[str], p: str, threshold: float = 0.5) -> DataFrame:
+    """(keys, first, last, level): the runs of windows (keys, i, p) at the threshold or over it, under the lower one, or between."""
+    w = Window.partitionBy(*keys).orderBy("i")
+    level = F.when(F.col(p) >= threshold, 1).when(F.col(p) < max(threshold - 0.15, 0.01), -1).otherwise(0)
+    d = df.select(*keys, "i", level.alias("level"))
+    d = d.withColumn("new", F.coalesce(F.col("level") != F.lag("level").over(w), F.lit(True)).cast("long"))
+    d = d.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*keys, "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.min("level").alias("level")).drop("run")
+
+
+def vad_segments(df: DataFrame, keys: list[str], p: str, window: int, rate: int, threshold: float = 0.5, **options) -> DataFrame:
+    """(keys, k, start, end) in samples from (keys, i, p), i from 0 without gaps; timeline.pad adds the padding."""
+    return fold(levels(df, keys, p, threshold), keys, "first", lambda: _NumberedSpans(window, rate, **options), "k long, start long, end long")
+
+
+def warp(cost: np.ndarray) -> np.ndarray:
+    """The cheapest monotone paths through cost matrices (matrix, token, time), all of one shape, from first to last pair.
+
+    Returns (step, matrix, 2) with -1 before a path begins. A step is diagonal or up a token only if that is strictly
+    cheapest, else it is along time. Cells of one anti-diagonal depend on the two before, so each is one array operation
+    over all matrices.
+    """
+    k, n, m = cost.shape
+    cost = cost.astype(np.float32)
+    wall = np.full((k, n + 1), np.inf, np.float32)  # totals of a diagonal, by token; the time follows from its number
+    older, old = wall.copy(), wall
+    older[:, 0] = 0
+    moves = np.zeros((n + m + 1, k, n + 1), np.int8)  # bit 0: up a token, bit 1: along time
+    moves[np.arange(n + 1), :, np.arange(n + 1)] = 1  # no time is left
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        both, up, along = older[:, i - 1], old[:, i - 1], old[:, i]
+        diagonal, upward = (both < up) & (both < along), (up < both) & (up < along)
+        moves[d][:, i] = np.where(diagonal, 3, np.where(upward, 1, 2))
+        new = wall.copy()
+        new[:, i] = cost[:, i - 1, d - i - 1] + np.where(diagonal, both, np.where(upward, up, along))
+        older, old = old, new
+    every = np.arange(k)
+    i, j = np.full(k, n), np.full(k, m)
+    steps = []
+    while (on := i > 0).any():
+        steps.append(np.stack([np.where(on, i - 1, -1), np.where(on, np.maximum(j - 1, 0), -1)], 1))
+        move = np.where(on, moves[i + j, every, i], 0)
+        i, j = i - (move & 1), j - (move >> 1)
+    return np.stack(steps[::-1])
+
+
+def first_times(cost: np.ndarray) -> np.ndarray:
+    """(matrix, token): the first time of each token on the cheapest path through cost (matrix, token, time)."""
+    out = np.zeros(cost.shape[:2], np.int64)
+    for step in warp(cost)[::-1]:
+        on = np.flatnonzero(step[:, 0] >= 0)
+        out[on, step[on, 0]] = step[on, 1]
+    return out
 
-    def __init__(self, w_in: np.ndarray, w_own: np.ndarray, bias: np.ndarray):
-        self.w_in, self.w_own, self.bias = w_in, w_own, bias
-        self.h = self.c = np.zeros(w_own.shape[1])
 
-    def step(self, x: np.ndarray) -> np.ndarray:
-        i, f, g, o = np.split(self.w_in @ x + self.w_own @ self.h + self.bias, 4)
-        s = lambda v: 1 / (1 + np.exp(-v))
-        self.c = s(f) * self.c + s(i) * np.tanh(g)
-        self.h = s(o) * np.tanh(self.c)
-        return self.h
+#: Cells of cost matrices of one shape that are solved together.
+CELLS = 1 << 20
 
 
-def recurrent_probs(df: DataFrame, keys: list[str], x: str, make, width: int, head: np.ndarray) -> DataFrame:
-    """(keys, i, p): non-overlapping windows of `width` samples, the last one zero-padded, through a cell that carries on.
+def onsets(df: DataFrame, keys: list[str], token: str, time: str, cost: str) -> DataFrame:
+    """(keys, token, onset): the first time of each token on the cheapest path, from (keys, token, time, cost).
 
-    `make()` gives a fresh cell for each stream; p is the logistic of head times its rectified state.
+    A key has one matrix, with tokens and times from 0; where a pair is missing its key has no onsets.
     """
+    cells = F.array_sort(F.collect_list(F.struct(F.col(token).cast("long").alias("i"), F.col(time).cast("long").alias("j"), F.col(cost).cast("float").alias("c"))))
+    d = df.groupBy(*keys).agg(cells.alias("_c"), (F.max(token) + 1).cast("long").alias("_n"), (F.max(time) + 1).cast("long").alias("_m"))
+    d = d.select(*keys, "_n", "_m", F.col("_c.c").alias("_c")).where(F.size("_c") == F.col("_n") * F.col("_m"))
+    schema = _schema(df, keys, "_onsets array<long>")
+
+    def run(batches):
+        for b in batches:
+            n, m = (b.column(c).to_numpy() for c in ("_n", "_m"))
+            values = b.column("_c")
+            at, flat = values.offsets.to_numpy(), values.values.to_numpy()
+            found: list = [None] * len(n)
+            for shape in {*zip(n.tolist(), m.tolist(), strict=True)}:
+                own = np.flatnonzero((n == shape[0]) & (m == shape[1]))
+                step = max(1, CELLS // (shape[0] * shape[1]))
+                for k in range(0, len(own), step):
+                    some = own[k : k + step]
+                    x = np.stack([flat[at[r] : at[r + 1]] for r in some]).reshape(len(some), *shape)
+                    for r, onset in zip(some.tolist(), first_times(x), strict=True):
+                        found[r] = onset
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+
+    return d.mapInArrow(run, schema).select(*keys, F.posexplode("_onsets").alias(token, "onset")).withColumn(token, F.col(token).cast("long"))
+
+
+def last_advance(last: Column, least, window) -> Column:
+    """How far a decoded window moves on: to its last time token if that lies at `least` or later, else by the whole window."""
+    return F.when(last >= least, last).otherwise(window)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        v = g.sort_values("i")[x].to_numpy(float)
-        v = np.concatenate([v, np.zeros(-len(v) % width)]).reshape(-1, width)
-        cell = make()
-        p = [1 / (1 + np.exp(-(head @ np.maximum(cell.step(row), 0)))) for row in v]
-        out = pd.DataFrame({"i": np.arange(len(p)), "p": np.array(p, float)})
-        for c in reversed(keys):
-            out.insert(0, c, g[c].iloc[0])
-        return out
-
-    return df.select(*keys, "i", x).groupBy(*keys).applyInPandas(run, _schema(df, keys, "i long, p double"))
 
+WINDOW_ROWS = "start long, length long, advance long, mean double"
 
-def warp(cost: np.ndarray) -> list[tuple[int, int]]:
-    """The cheapest monotone path through a (tokens, times) matrix, from the first pair to the last.
 
-    A step is diagonal or up a token only if that is strictly cheapest, else it is along time.
-    """
-    n, m = cost.shape
-    total = np.full((n + 1, m + 1), np.inf, np.float32)
-    total[0, 0] = 0
-    step = np.zeros((n + 1, m + 1), np.int8)  # 0 along time, 1 up a token, 2 both
-    step[:, 0] = 1
-    for j in range(1, m + 1):
-        for i in range(1, n + 1):
-            both, up, along = total[i - 1, j - 1], total[i - 1, j], total[i, j - 1]
-            step[i, j] = 2 if both < up and both < along else 1 if up < both and up < along else 0
-            total[i, j] = cost[i - 1, j - 1] + (along, up, both)[step[i, j]]
-    step[0, :] = 0
-    step[0, 0] = 1
-    path, i, j = [], n, m
-    while i or j:
-        path.append((i - 1, max(j - 1, 0)))
-        s = step[i, j] if i else 0
-        i, j = i - (s > 0), j - (s != 1)
-    return path[::-1]
+class _Chain:
+    """Of a window for each sample those that one reaches from the first by advancing; no state but the next start."""
 
+    def __init__(self, window: int, last: int | None):
+        self.window, self.last, self.next = window, last, 0
 
-def onsets(df: DataFrame, keys: list[str], token: str, time: str, cost: str) -> DataFrame:
-    """(keys, token, onset): the first time of each token on the cheapest path, from (keys, token, time, cost)."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        m = g.pivot(index=token, columns=time, values=cost).to_numpy(np.float32)
-        first: dict[int, int] = {}
-        for i, j in warp(m):
-            first.setdefault(i, j)
-        out = pd.DataFrame({token: np.arange(len(m)), "onset": [first.get(i, 0) for i in range(len(m))]})
-        for c in reversed(keys):
-            out.insert(0, c, g[c].iloc[0])
+    def take(self, x):
+        out, first = [], int(x["i"][0])
+        while first <= self.next < first + len(x["i"]):
+            k = self.next - first
+            n, go = int(x["length"][k]), int(x["advance"][k])
+            if n < self.window and (self.last is None or n <= self.last):
+                self.next = -1  # what remains is kept back or dropped
+                break
+            out.append((self.next, n, go, float(x["mean"][k])))
+            self.next += go
         return out
 
-    return df.select(*keys, token, time, cost).groupBy(*keys).applyInPandas(run, _schema(df, keys, f"{token} long, onset long"))
+    def end(self):
+        return []
 
 
-WINDOW_ROWS = "start long, length long, advance long, mean double"
+def feed_windows(df: DataFrame, keys: list[str], x: str, mark: str, window: int, least: int, last: int | None) -> DataFrame:
+    """Windows (keys, start, length, advance, mean) of whole streams (keys, i, x, mark), i from 0 without gaps.
 
-
-def feed(buffer: np.ndarray, offset: int, window: int, least: int, last: int | None = None):
-    """Windows that are full, as (start, length, advance, mean), with what remains of the buffer and its offset.
-
-    A window moves on to its last mark, a sample under 50, or by its whole length if that is nearer than `least`. With
-    `last`, windows that are not full are drained too while more than `last` samples remain.
+    A window moves on to its last mark, the end of a sample that a decoder gave a time token, or by its whole length if
+    that mark is nearer than `least`. With `last`, windows at the end that are not full come too while over `last`
+    samples remain; without, they are kept back. Each sample's own window comes from running sums and the running last
+    mark, so its cost does not grow with the window; the fold then picks those that follow one another.
     """
-    out = []
-    while len(buffer) >= window or (last is not None and len(buffer) > last):
-        w = buffer[:window]
-        marks = np.flatnonzero(w < 50)
-        go = int(marks[-1]) + 1 if len(marks) else 0
-        go = min(go if go >= least else window, len(buffer))
-        out.append((offset, len(w), go, float(w.mean())))
-        buffer, offset = buffer[go:], offset + go
-    return out, buffer, offset
-
-
-def feed_windows(df: DataFrame, keys: list[str], x: str, window: int, least: int, last: int | None) -> DataFrame:
-    """The windows of whole streams (keys, i, x), as streaming.stateful finds them batch by batch."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows, _, _ = feed(g.sort_values("i")[x].to_numpy(float), 0, window, least, last)
-        out = pd.DataFrame(rows, columns=["start", "length", "advance", "mean"])
-        for c in reversed(keys):
-            out.insert(0, c, g[c].iloc[0])
-        return out
-
-    return df.select(*keys, "i", x).groupBy(*keys).applyInPandas(run, _schema(df, keys, WINDOW_ROWS))
+    w = Window.partitionBy(*keys)
+    so_far = w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    i = F.col("i")
+    d = df.select(*keys, "i", F.col(x).alias("_x"), F.when(F.col(mark), i).alias("_at"))
+    d = d.withColumns({"_sum": F.sum("_x").over(so_far), "_mark": F.max("_at").over(so_far), "_n": F.max("i").over(w) + 1, "_all": F.sum("_x").over(w), "_end": F.max("_at").over(w)})
+    full = i + window <= F.col("_n")
+    ahead = lambda c, rest: F.when(full, F.lead(c, window - 1).over(w.orderBy("i"))).otherwise(F.col(rest))
+    d = d.withColumns({"length": F.when(full, window).otherwise(F.col("_n") - i), "_last": ahead("_mark", "_end") - i + 1, "mean": (ahead("_sum", "_all") - F.col("_sum") + F.col("_x"))})
+    advance = F.least(last_advance(F.coalesce(F.when(F.col("_last") > 0, F.col("_last")), F.lit(0)), least, F.lit(window)), F.col("length"))
+    d = d.select(*keys, "i", F.col("length").cast("long").alias("length"), advance.cast("long").alias("advance"), (F.col("mean") / F.col("length")).alias("mean"))
+    return fold(d, keys, "i", lambda: _Chain(window, last), WINDOW_ROWS)
+
+
+def drained(x: np.ndarray, marks: np.ndarray, offset: int, window: int, least: int, last: int | None = None):
+    """Windows (start, length, advance, mean) at the front of a buffer, and how many samples they use up; see feed_windows."""
+    out, at = [], 0
+    while len(x) - at >= window or (last is not None and len(x) - at > last):
+        n = min(window, len(x) - at)
+        own = np.flatnonzero(marks[at : at + n])
+        go = int(own[-1]) + 1 if len(own) else 0
+        go = min(go if go >= least else window, n)
+        out.append((offset + at, n, go, float(x[at : at + n].mean())))
+        at += go
+    return out, at
 
 
 def uniforms(seed: int, n: int) -> list[float]:

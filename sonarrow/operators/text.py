@@ -103,7 +103,7 @@ def decode(df: DataFrame, keys: list[str], vocab: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def compressibility(text: pd.Series) -> pd.Series:
-    """Bytes over an estimate of their compressed size: 12, 1 a literal, 4 a match of 4 to 255 bytes within 1024 back."""
+    """Bytes over an estimate of their compressed size: 12, 1 a literal, 4 a match of 4 to 255 bytes within 1024 back; 1 if empty."""
 
     def one(s):
         if s is None:
@@ -129,7 +129,7 @@ def compressibility(text: pd.Series) -> pd.Series:
                     if not seen[old]:
                         del seen[old]
             i += step
-        return len(b) / cost
+        return len(b) / cost if b else 1.0
 
     return text.map(one)
 

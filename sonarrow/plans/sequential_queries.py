@@ -1,8 +1,7 @@
-"""Queries that fold streams in order, and the streaming forms."""
+"""Queries that take streams in order, and the streaming forms."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import sequential as Q
@@ -10,40 +9,68 @@ from ..operators import timeline as L
 from ..streaming import windows
 from ..tables import table
 from .catalog import query
-from .views import signal, tensor
+from .views import SIGNAL, TOKENS, signal, tensor, tokens
 
 R = lambda c: F.round(c, 6)
 
 
-@query("vad_segments_full")
-def vad_segments_full(spark, d):
+def _spans_sql(least: int, quiet: int, brief: int, most: int) -> str:
+    """Padded spans by one recursive step for each window of each user: s the open span, h silence, c where to split, b where to go on."""
+    return f"""WITH RECURSIVE {SIGNAL}, pr AS (SELECT user_id, i, x / 300.0 >= 0.5 AS up, x / 300.0 < 0.35 AS down FROM signal),
+z AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS i, NULL::BIGINT AS s, NULL::BIGINT AS h, NULL::BIGINT AS c, NULL::BIGINT AS b, NULL::BIGINT AS es, NULL::BIGINT AS ee FROM pr
+UNION ALL SELECT user_id, i, CASE WHEN ends THEN NULL ELSE s END, CASE WHEN ends THEN NULL ELSE h END, CASE WHEN ends THEN NULL ELSE c END, CASE WHEN ends THEN NULL ELSE b END,
+  CASE WHEN ends AND h - s > {least} THEN s ELSE es END, CASE WHEN ends AND h - s > {least} THEN h ELSE ee END
+ FROM (SELECT *, down AND s IS NOT NULL AND i - h >= {quiet} AS ends FROM (SELECT user_id, i, down, s, h, CASE WHEN longer THEN h ELSE c END AS c, CASE WHEN longer THEN NULL ELSE b END AS b, es, ee
+  FROM (SELECT *, coalesce(i - h > {brief} AND (c IS NULL OR c <> h), false) AS longer FROM (SELECT user_id, i, down, s, CASE WHEN down AND s IS NOT NULL THEN coalesce(h, i) ELSE h END AS h, c, b, es, ee
+   FROM (SELECT user_id, i, down, CASE WHEN opens THEN i WHEN over THEN CASE WHEN c IS NULL THEN NULL ELSE b END ELSE s END AS s, CASE WHEN over THEN NULL ELSE h END AS h, CASE WHEN over THEN NULL ELSE c END AS c,
+     CASE WHEN over THEN NULL ELSE b END AS b, CASE WHEN over THEN s END AS es, CASE WHEN over THEN coalesce(c, i) END AS ee
+    FROM (SELECT *, up AND s IS NULL AS opens, s IS NOT NULL AND i - s > {most} AS over FROM (SELECT p.user_id, p.i, p.up, p.down, z.s, CASE WHEN p.up THEN NULL ELSE z.h END AS h, z.c,
+      CASE WHEN p.up AND z.h IS NOT NULL AND z.c IS NOT NULL AND z.b IS NULL THEN p.i ELSE z.b END AS b FROM z JOIN pr p ON p.user_id = z.user_id AND p.i = z.i + 1))))) q))),
+n AS (SELECT user_id, count(*) AS n FROM signal GROUP BY user_id),
+f AS (SELECT user_id, es AS s, ee AS e FROM z WHERE ee IS NOT NULL UNION ALL SELECT user_id, s, n AS e FROM z JOIN n USING (user_id) WHERE i = n - 1 AND s IS NOT NULL AND n - s > {least}),
+g AS (SELECT *, row_number() OVER w AS k, s - lag(e) OVER w AS before, lead(s) OVER w - e AS after FROM f JOIN n USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY s))
+SELECT user_id, k, CAST(CASE WHEN before IS NULL THEN greatest(0, s - 1) WHEN before < 2 THEN s - before // 2 ELSE s - 1 END AS BIGINT) AS start, CAST(CASE WHEN after IS NULL THEN least(n, e + 1) WHEN after < 2 THEN e + after // 2 ELSE e + 1 END AS BIGINT) AS end FROM g"""
+
+
+def _spans(spark, d, rate, **options):
     s = signal(spark, d).withColumn("p", F.col("x") / 300.0)
     n = s.groupBy("user_id").agg(F.count("*").alias("n"))
-    spans = Q.vad_segments(s, ["user_id"], "p", 1, 1000, min_speech_ms=1, min_silence_ms=2, max_speech_s=0.02)
+    spans = Q.vad_segments(s, ["user_id"], "p", 1, rate, **options)
     return L.pad(spans.join(n, "user_id"), ["user_id"], 1, F.col("n")).select("user_id", "k", "start", "end")
 
 
-@query("lstm_vad_probs")
-def lstm_vad_probs(spark, d):
-    rng = np.random.default_rng(11)
-    w_in, w_own, bias, head = rng.normal(0, 0.4, (16, 8)), rng.normal(0, 0.4, (16, 4)), rng.normal(0, 0.1, 16), rng.normal(0, 1, 4)
-    s = signal(spark, d).withColumn("x", F.col("x") / 300.0)
-    return Q.recurrent_probs(s, ["user_id"], "x", lambda: Q.Lstm(w_in, w_own, bias), 8, head).select("user_id", "i", R("p").alias("p"))
+@query("vad_segments_full", _spans_sql(1, 2, 98, 20))
+def vad_segments_full(spark, d):
+    return _spans(spark, d, 1000, min_speech_ms=1, min_silence_ms=2, max_speech_s=0.02)
+
+
+@query("vad_segments_split", _spans_sql(0, 4, 1, 6))
+def vad_segments_split(spark, d):
+    """The same with silences that are long enough to split at before they end a span."""
+    return _spans(spark, d, 20, min_speech_ms=10, min_silence_ms=200, max_speech_s=0.3)
 
 
 @query("dtw_align")
 def dtw_align(spark, d):
-    """Each embedding of even id as 16 tokens warped onto the next one's 64 values, by the least absolute difference."""
+    """Each embedding's 64 values as tokens warped onto the next one's 64 values, by the least absolute difference."""
     t = tensor(spark, d)
-    a = t.where("vec_id % 2 = 0 and pos < 16").select("vec_id", F.col("pos").cast("long").alias("token"), F.col("v").alias("a"))
-    b = t.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("pos").cast("long").alias("time"), F.col("v").alias("b"))
+    a = t.select("vec_id", F.col("pos").cast("long").alias("token"), F.col("v").alias("a"))
+    b = t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pos").cast("long").alias("time"), F.col("v").alias("b"))
     cost = a.join(b, "vec_id").withColumn("cost", F.abs(F.col("a") - F.col("b")))
     return Q.onsets(cost, ["vec_id"], "token", "time", "cost")
 
 
-@query("feed_windows")
+@query(
+    "feed_windows",
+    f"""WITH RECURSIVE {TOKENS}, n AS (SELECT user_id, count(*) AS n FROM tokens GROUP BY user_id),
+a AS (SELECT t.user_id, t.i, least(30, n - t.i) AS length, coalesce(max(CASE WHEN is_ts THEN t.i END) OVER w - t.i + 1, 0) AS mark, avg(x) OVER w AS mean, n FROM tokens t JOIN n USING (user_id) WINDOW w AS (PARTITION BY t.user_id ORDER BY t.i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+g AS (SELECT user_id, i, length, least(CASE WHEN mark >= 5 THEN mark ELSE 30 END, length) AS go, mean FROM a WHERE length = 30 OR length > 2),
+z AS (SELECT user_id, i, length, go, mean FROM g WHERE i = 0 UNION ALL SELECT g.user_id, g.i, g.length, g.go, g.mean FROM z JOIN g ON g.user_id = z.user_id AND g.i = z.i + z.go)
+SELECT user_id, i AS start, CAST(length AS BIGINT) AS length, CAST(go AS BIGINT) AS advance, round(mean, 6) AS mean FROM z""",
+)
 def feed_windows(spark, d):
-    return Q.feed_windows(signal(spark, d), ["user_id"], "x", 30, 5, 2).withColumn("mean", R("mean"))
+    """Streams of tokens fed in windows of 30 that move on to their last time token; tails of over 2 are decoded at the end."""
+    return Q.feed_windows(tokens(spark, d), ["user_id"], "x", "is_ts", 30, 5, 2).withColumn("mean", R("mean"))
 
 
 @query(
@@ -55,16 +82,3 @@ def stream_windows(spark, d):
     h = windows.hops(windows.file_stream(spark, f"{d}/events.parquet"), "4 hours", "1 hour")
     out = windows.drain(h.select(F.unix_timestamp("window.start").alias("start_s"), "n", "total"), ["start_s"])
     return out.select("start_s", "n", F.round("total", 4).alias("total"))
-
-
-
-
-@query("toy_decode")
-def toy_decode(spark, d):
-    """Windows of six frames of two bands, from each embedding, through the toy network with a beam of 2."""
-    from ..operators import network
-    from .views import vectors
-
-    x = vectors(spark, d).select("vec_id", F.array(F.slice("x", 1, 6), F.slice("x", 7, 6)).alias("mel"))
-    out = network.decode_windows(x, network.toy(), ["vec_id"], "mel", [1], 0, 2, 3)
-    return out.select("vec_id", F.size("tokens").alias("n"), F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"), R("score").alias("score"))

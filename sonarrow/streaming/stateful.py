@@ -10,25 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.sequential import WINDOW_ROWS, feed
+from ..operators.sequential import WINDOW_ROWS, drained
 
+#: The state store these need; the session's owner sets spark.sql.streaming.stateStore.providerClass to it.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Feeder(StatefulProcessor):
-    """State of a stream: the samples not yet consumed and the offset of the first."""
+    """State of a stream: the samples not yet consumed, their marks, and the offset of the first."""
 
-    def __init__(self, key: str, window: int, least: int):
-        self.key, self.window, self.least = key, window, least
+    def __init__(self, key: str, window: int, least: int, last: int):
+        self.key, self.window, self.least, self.last = key, window, least, last
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rest", T.StructType([T.StructField("buffer", T.ArrayType(T.DoubleType())), T.StructField("offset", T.LongType())]))
+        fields = [T.StructField("buffer", T.ArrayType(T.DoubleType())), T.StructField("marks", T.ArrayType(T.BooleanType())), T.StructField("offset", T.LongType())]
+        self.state = handle.getValueState("rest", T.StructType(fields))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        buffer, offset = self.state.get() if self.state.exists() else ([], 0)
-        new = pd.concat(list(rows)).sort_values("i")["x"].to_numpy(float)
-        out, rest, offset = feed(np.concatenate([np.array(buffer, float), new]), offset, self.window, self.least)
-        self.state.update((rest.tolist(), offset))
+        buffer, marks, offset = self.state.get() if self.state.exists() else ([], [], 0)
+        new = pd.concat(list(rows)).sort_values("i")
+        x = np.concatenate([np.array(buffer, float), new["x"].to_numpy(float)])
+        m = np.concatenate([np.array(marks, bool), new["mark"].fillna(False).to_numpy(bool)])
+        over = bool(new["ends"].fillna(False).any())
+        out, used = drained(x, m, offset, self.window, self.least, self.last if over else None)
+        if over:  # the stream is done, and what is left is too short to be decoded
+            self.state.clear()
+        else:
+            self.state.update((x[used:].tolist(), m[used:].tolist(), offset + used))
         d = pd.DataFrame(out, columns=["start", "length", "advance", "mean"])
         d.insert(0, self.key, key[0])
         yield d
@@ -37,41 +45,62 @@ class Feeder(StatefulProcessor):
         pass
 
 
-def feed_stream(stream: DataFrame, key: str, window: int, least: int) -> DataFrame:
-    """Full windows (key, start, length, advance, mean) of a stream of samples (key, i, x), as soon as they are full.
+def feed_stream(stream: DataFrame, key: str, window: int, least: int, last: int) -> DataFrame:
+    """Windows (key, start, length, advance, mean) of a stream of samples (key, i, x, mark, ends), as soon as they are full.
 
-    A batch's samples are put in order by i; streams whose batches overlap in time need ordering before.
+    A sample with `ends` is its stream's last: the windows that are not full come then, while over `last` samples remain.
+    A batch's samples are put in order by i; streams whose batches overlap in time need ordering before. The session has
+    to use STATE_STORE.
     """
     schema = T.StructType([stream.schema[key], *T.StructType.fromDDL(WINDOW_ROWS)])
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return stream.groupBy(key).transformWithStateInPandas(Feeder(key, window, least), schema, "Append", "None")
+    return stream.groupBy(key).transformWithStateInPandas(Feeder(key, window, least, last), schema, "Append", "None")
 
 
 class Activation(StatefulProcessor):
-    """Two phases: the first text of a key sets the prompt it has to repeat, later ones that are near it activate."""
+    """Two phases: the first text of a key sets the prompt it has to repeat, later ones that are near it activate.
+
+    What was heard is as many words as the prompt has; it activates at a similarity of 0.8 or more and a length of 0.8 to
+    1.2 times the prompt's. The text that set the prompt is kept, as is the one that activated.
+    """
+
+    def __init__(self, words: int):
+        self.words = words
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("prompt", T.StructType([T.StructField("prompt", T.StringType()), T.StructField("active", T.BooleanType())]))
+        fields = [T.StructField(n, T.StringType()) for n in ("prompt", "enrolled", "heard")]
+        self.state = handle.getValueState("phase", T.StructType(fields))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        prompt, active = self.state.get() if self.state.exists() else (None, False)
+        prompt, enrolled, heard = self.state.get() if self.state.exists() else (None, None, None)
         out = []
-        for r in pd.concat(list(rows)).sort_values("turn").itertuples():
-            words = r.text.lower().split()[:2]
+        for turn, text in pd.concat(list(rows)).sort_values("turn")[["turn", "text"]].itertuples(index=False):
+            text = text or ""
+            said = " ".join(text.lower().split(" ")[: self.words])
             if prompt is None:
-                prompt = " ".join(words)
-            elif not active and " ".join(words) == prompt:
-                active = True
-            out.append((key[0], r.turn, active))
-        self.state.update((prompt, active))
+                prompt, enrolled = said, text
+            elif heard is None and prompt and likeness(said, prompt) >= 0.8 and 0.8 <= len(said) / len(prompt) <= 1.2:
+                heard = text
+            out.append((key[0], turn, heard is not None))
+        self.state.update((prompt, enrolled, heard))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "active"])
 
     def close(self) -> None:
         pass
 
 
-def activations(stream: DataFrame) -> DataFrame:
+def likeness(a: str, b: str) -> float:
+    """1 - edit distance over the longer length, as text.similarity; two empty texts are alike."""
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    place, row = np.arange(len(y) + 1), np.arange(len(y) + 1)
+    for i, c in enumerate(x):
+        kept = np.append(i + 1, np.minimum(row[1:] + 1, row[:-1] + (y != c)))
+        row = np.minimum.accumulate(kept - place) + place  # insertions along the row
+    return 1 - row[-1] / max(len(x), len(y))
+
+
+def activations(stream: DataFrame, words: int = 2) -> DataFrame:
     """(conv_id, turn, active) of a stream of texts (conv_id, turn, text), with the phase kept from batch to batch."""
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("active", T.BooleanType())])
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return stream.groupBy("conv_id").transformWithStateInPandas(Activation(), schema, "Append", "None")
+    return stream.groupBy("conv_id").transformWithStateInPandas(Activation(words), schema, "Append", "None")

@@ -56,8 +56,12 @@ def test_scalars(spark):
     assert len(lookups.LANGUAGE_CODES) == len(lookups.LANGUAGE_NAMES) == 100
 
 
-def probs(p):
-    return np.array(p)
+def spans(p, threshold=0.5, **options):
+    """Spans of one stream given as an array, run by run."""
+    level = np.where(np.array(p) >= threshold, 1, np.where(np.array(p) < threshold - 0.15, -1, 0))
+    cuts = np.flatnonzero(np.diff(level, prepend=9))
+    s = sequential.Spans(1, 1000, len(p), **options)
+    return [x for a, b in zip(cuts, np.append(cuts[1:], len(p)), strict=True) for x in s.run(int(a), int(b) - 1, int(level[a]))] + list(s.finish())
 
 
 @pytest.mark.parametrize(
@@ -68,10 +72,12 @@ def probs(p):
         ([0.9] * 3 + [0.4] * 4 + [0.9] * 2 + [0.1], {"min_speech_ms": 0, "min_silence_ms": 0}, [(0, 9)]),
         ([0.9] * 3 + [0.1] * 2 + [0.9] * 3, {"min_speech_ms": 0, "min_silence_ms": 5}, [(0, 8)]),
         ([0.9] * 30, {"min_speech_ms": 0, "max_speech_s": 0.01}, [(0, 11), (12, 23), (24, 30)]),
+        # a silence of over 98 ms that did not end the span is where it is split, and speech goes on after it
+        ([0.9] * 50 + [0.0] * 150 + [0.9] * 200, {"min_speech_ms": 0, "min_silence_ms": 300, "max_speech_s": 0.3}, [(0, 50), (200, 400)]),
     ],
 )
 def test_speech_spans(p, options, want):
-    assert list(sequential.speech_spans(probs(p), 1, 1000, len(p), **options)) == want
+    assert spans(p, **options) == want
 
 
 def test_core_is_the_full_machine_without_minimums(spark):
@@ -79,7 +85,7 @@ def test_core_is_the_full_machine_without_minimums(spark):
     p = rng.random(400)
     d = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(p)], "k int, i long, p double")
     got = sorted((r.start, r.end) for r in timeline.hysteresis(d, ["k"], "p").collect())
-    assert got == list(sequential.speech_spans(p, 1, 1000, 400, min_speech_ms=0, min_silence_ms=0))
+    assert got == spans(p, min_speech_ms=0, min_silence_ms=0)
 
 
 def test_padding_and_map(spark):
@@ -129,15 +135,32 @@ def test_median(spark):
         assert [r.v for r in timeline.reflect_median(d, ["u"], "v", len(x)).orderBy("pos").collect()] == want
 
 
-def test_warp():
-    assert sequential.warp(np.zeros((2, 3))) == [(0, 0), (1, 0), (1, 1), (1, 2)]
-    path = sequential.warp(9 * (1 - np.eye(3)))
-    assert path[0] == (0, 0) and path[-1] == (2, 2)
-
-
-def test_lstm_rests_at_zero():
-    c = sequential.Lstm(np.ones((4, 1)), np.zeros((4, 1)), np.zeros(4))
-    assert c.step(np.zeros(1)).tolist() == [0.0] and c.c.tolist() == [0.0]
+def monotone(i, j):
+    """All monotone paths from (0, 0) to (i, j)."""
+    if (i, j) == (0, 0):
+        return [[(0, 0)]]
+    return [[*p, (i, j)] for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if a >= 0 and b >= 0 for p in monotone(a, b)]
+
+
+def test_warp(spark):
+    path = lambda cost: [tuple(s[0]) for s in sequential.warp(np.array([cost])).tolist()]
+    assert path(np.zeros((2, 3))) == [(0, 0), (1, 0), (1, 1), (1, 2)]
+    assert path(9 * (1 - np.eye(3))) == [(0, 0), (1, 1), (2, 2)]
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 1), (1, 4), (4, 1), (3, 5), (4, 4)):
+        cost = rng.integers(1, 100, (6, n, m)).astype(float) + rng.random((6, n, m)) / 8
+        for x, got in zip(cost, sequential.warp(cost).transpose(1, 0, 2).tolist(), strict=True):
+            got = [tuple(p) for p in got if p[0] >= 0]
+            assert got == min(monotone(n - 1, m - 1), key=lambda p: sum(x[i, j] for i, j in p))
+    rows = [(k, i, j, float(rng.random())) for k, (n, m) in enumerate(((3, 4), (3, 4), (2, 5))) for i in range(n) for j in range(m)]
+    d = spark.createDataFrame(rows + [(9, 0, 0, 1.0), (9, 1, 1, 1.0)], "u int, tok int, t int, c double")
+    got = {(r.u, r.tok): r.onset for r in sequential.onsets(d, ["u"], "tok", "t", "c").collect()}
+    want = {}
+    for u, n, m in ((0, 3, 4), (1, 3, 4), (2, 2, 5)):
+        c = {(i, j): v for k, i, j, v in rows if k == u}
+        for i, j in reversed(min(monotone(n - 1, m - 1), key=lambda p: sum(c[x] for x in p))):
+            want[u, i] = j
+    assert got == want  # the matrix with missing pairs has none
 
 
 def test_ranking(spark):
@@ -225,16 +248,47 @@ def test_files(spark, tmp_path):
     assert wav.parse(bytes(back))[1].ravel().tolist() == [0, 32767, -32767]
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    from sonarrow.streaming import stateful, windows
+@pytest.fixture
+def stateful(spark):
+    from sonarrow.streaming import stateful
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, stateful.STATE_STORE)
+    yield stateful
+    spark.conf.set(key, before)
+
+
+def test_streams_equal_batches(spark, tmp_path, stateful):
+    from sonarrow.streaming import windows
 
     rng = np.random.default_rng(6)
-    rows = [(u, i, float(rng.random() * 300)) for u in range(5) for i in range(200)]
-    d = spark.createDataFrame(rows, "user_id int, i long, x double")
+    ends = [200, 199, 40, 31, 29]
+    rows = [(u, i, float(rng.random() * 300), bool(rng.random() < 0.1), i == n - 1) for u, n in enumerate(ends) for i in range(n)]
+    d = spark.createDataFrame(rows, "user_id int, i long, x double, mark boolean, ends boolean")
     for k in range(4):
         d.where(F.col("i").between(50 * k, 50 * k + 49)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/part{k}")
     s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/part*")
-    got = windows.drain(stateful.feed_stream(s, "user_id", 30, 5), ["user_id", "start"], "append")
-    want = sequential.feed_windows(d, ["user_id"], "x", 30, 5, None)
+    got = windows.drain(stateful.feed_stream(s, "user_id", 30, 5, 2), ["user_id", "start"], "append")
+    want = sequential.feed_windows(d, ["user_id"], "x", "mark", 30, 5, 2)
     key = lambda f: sorted((r.user_id, r.start, r.length, r.advance, round(r["mean"], 9)) for r in f.collect())
     assert key(got) == key(want)
+    for u, n in enumerate(ends):  # the last windows are decoded, and at most 2 samples are dropped
+        assert n - 2 <= max(r.start + r.advance for r in want.where(F.col("user_id") == u).collect()) <= n
+    kept = sequential.feed_windows(d, ["user_id"], "x", "mark", 30, 5, None).collect()
+    assert {r.length for r in kept} == {30} and not [r for r in kept if r.user_id == 4]
+
+
+def test_activation_stream(spark, tmp_path, stateful):
+    from sonarrow.streaming import windows
+
+    rows = [(1, 0, "Hey Listener now"), (1, 1, "something else"), (1, 2, "hey listenar, go"), (1, 3, "other"), (2, 0, "one two"), (2, 1, "three four"), (3, 0, None), (3, 1, "")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    for k in range(4):
+        d.where(F.col("turn") == k).coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+    s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/part*")
+    got = windows.drain(stateful.activations(s), ["conv_id", "turn"], "append")
+    assert {(r.conv_id, r.turn) for r in got.collect() if r.active} == {(1, 2), (1, 3)}
+    pairs = [("cat", "bat"), ("", ""), ("abc", ""), ("kitten", "sitting"), ("gr\u00fcn", "grau")]
+    sim = [r.s for r in spark.createDataFrame(pairs, "a string, b string").select(text.similarity(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert sim == pytest.approx([stateful.likeness(a, b) for a, b in pairs])

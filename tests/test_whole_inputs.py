@@ -70,13 +70,13 @@ def ratio(b):
                 n += 1
             best = max(best, n)
         cost, i = (cost + 4, i + best) if best >= 4 else (cost + 1, i + 1)
-    return len(b) / cost
+    return len(b) / cost if b else 1.0
 
 
 def test_compression_ratio_of_whole_texts(spark, tmp_path):
     r = random.Random(3)
     noise = "".join(r.choice("abcdefgh é") for _ in range(1100))
-    texts = [noise[:400] + "la " * 300, noise[:300] * 2, noise + noise[:200], noise[:1020] + noise[:60], noise[:1] * 3000, "abc"]
+    texts = [noise[:400] + "la " * 300, noise[:300] * 2, noise + noise[:200], noise[:1020] + noise[:60], noise[:1] * 3000, "abc", "", noise[:600] + noise[5:430], noise[:604] + noise[600:1025] + noise[:20]]
     texts += ["".join(r.choice("ab") for _ in range(1500))]
     spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {x.conv_id: x.ratio for x in catalog.QUERIES["compression_ratio"](spark, str(tmp_path)).collect()}
