@@ -9,9 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under `spark.checkpoint.dir`; where the session names none (tests), under a temporary one."""
+    """A new path under `spark.checkpoint.dir`.
+
+    Where a local session (tests) names none, a temporary folder is set; on a cluster that would be another folder on each
+    machine, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sonarrow-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
