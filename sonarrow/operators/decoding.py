@@ -128,3 +128,39 @@ def beam_step(beams: DataFrame, scores: DataFrame, keys: list[str], width: int)
     d = top_k(scores, [*keys, "beam"], width).drop("rank").join(beams, [*keys, "beam"]).withColumn("total", F.col("total") + F.col("v"))
     w = Window.partitionBy(*keys).orderBy(F.col("total").desc(), "beam", "id")
     return d.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= width)
+
+
+def first_token(id_: Column, v: Column, first_time: int, last_initial: int) -> Column:
+    """Before anything is sampled only times up to the last initial one keep their score."""
+    return F.when((id_ >= first_time) & (id_ <= last_initial), v)
+
+
+def suppress_blank(id_: Column, v: Column, blank: int, sampled: Column) -> Column:
+    """Right after the first token the blank is masked."""
+    return F.when((id_ == blank) & (sampled == 1), F.lit(None)).otherwise(v)
+
+
+def final_hypothesis(df: DataFrame, keys: list[str], total: str, length: str, order: str) -> DataFrame:
+    """The hypothesis of best mean log-probability, its end token counted; of equals the last in `order`."""
+    w = Window.partitionBy(*keys).orderBy((F.col(total) / (F.col(length) + 1)).desc(), F.col(order).desc())
+    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def unconditioned(segments: DataFrame, keys: list[str], conditioned: str, text: str) -> DataFrame:
+    """Segments of windows decoded with the context and without it: with it, unless that gave no text and without it is there."""
+    w = Window.partitionBy(*keys)
+    has_text = F.max(F.col(conditioned) & (F.coalesce(F.col(text), F.lit("")) != "")).over(w)
+    retried = F.max(~F.col(conditioned)).over(w)
+    return segments.withColumn("_keep", has_text | ~retried).where(F.col(conditioned) == F.col("_keep")).drop("_keep")
+
+
+def stage_timings(runs: DataFrame, stage: str, seconds: str) -> DataFrame:
+    """(stage, calls, total, longest, mean, share) of stage runs, the share being of all seconds."""
+    s = runs.groupBy(stage).agg(F.count("*").alias("calls"), F.sum(seconds).alias("total"), F.max(seconds).alias("longest"))
+    return s.withColumns({"mean": F.col("total") / F.col("calls"), "share": F.col("total") / F.sum("total").over(Window.partitionBy())})
+
+
+def progress(df: DataFrame, keys: list[str], done: str, total: str, step: int) -> DataFrame:
+    """(keys, percent, done): how much was done when a multiple of `step` per cent was first reached."""
+    percent = F.floor(F.least(F.lit(100), F.floor(F.col(done) * 100 / F.col(total))) / step) * step
+    return df.groupBy(*keys, percent.alias("percent")).agg(F.min(done).alias(done))

@@ -87,8 +87,10 @@ def wts(df, keys, order, audio="in.wav", font="font.ttf"):
 
 
 def negotiated(df: DataFrame, keys: list[str], order: str, format_: str) -> DataFrame:
-    """(keys, content_type, body) in the format each document asks for; unknown ones get JSON."""
+    """(keys, content_type, body) in the format each document asks for; unknown ones get JSON, verbose_json that of tokens."""
     kinds = {"text": (txt, "text/plain; charset=utf-8"), "srt": (srt, "application/x-subrip"), "vtt": (vtt, "text/vtt")}
+    if "tokens" in df.columns:
+        kinds["verbose_json"] = (json_full, "application/json")
     asked = F.when(F.col(format_).isin(*kinds), F.col(format_)).otherwise("json")
     d = df.withColumn("_f", asked)
     out = [f(d.where(F.col("_f") == k), keys, order).withColumn("content_type", F.lit(t)) for k, (f, t) in {**kinds, "json": (json, "application/json")}.items()]

@@ -95,6 +95,12 @@ def high_pass(x: Column, cutoff: float, rate: float) -> Column:
     return F.transform(x, lambda v, i: F.when(i == 0, v).otherwise(v * (dt / (rc + dt))))
 
 
+def high_pass_at(i: Column, x: Column, cutoff: float, rate: float) -> Column:
+    """The same for a sample x at place i, as its factor depends on nothing else."""
+    dt, rc = 1 / rate, 1 / (2 * math.pi * cutoff)
+    return F.when(i == 0, x).otherwise(x * (dt / (rc + dt)))
+
+
 def quiet_tail(df: DataFrame, keys: list[str], last: int, threshold: float) -> DataFrame:
     """Is the mean amplitude of the last `last` samples at most `threshold` times that of all? Not if there are no others."""
     w = Window.partitionBy(*keys)

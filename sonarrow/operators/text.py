@@ -201,19 +201,66 @@ def persona(template: Column, *values: Column) -> Column:
 
 
 def form_options(fields: Column) -> dict[str, Column]:
-    """Options of a request's fields (map): bad numbers are ignored, flags are true or 1, the language auto is none."""
+    """Options of a request's fields (map), null or their default where absent.
+
+    A number that does not parse, or a negative one where there are none, counts as absent; flags are set by true or 1; the
+    language auto and an empty prompt are none.
+    """
     get = lambda k: F.try_element_at(fields, F.lit(k))
-    number = lambda k, kind, default: F.coalesce(get(k).try_cast(kind), F.lit(default))
-    flag = lambda k: F.coalesce(F.lower(get(k)).isin("true", "1"), F.lit(False))
+    whole = lambda k: F.when(get(k).rlike(r"^\+?[0-9]+$"), get(k).try_cast("long"))
+    number = lambda k, default: F.coalesce(F.when(get(k).rlike(r"^\S+$"), get(k).try_cast("double")), F.lit(default))
+    flag = lambda k: F.coalesce(get(k).isin("true", "1"), F.lit(False))
     return {
         "language": F.when(get("language") != "auto", get("language")),
         "translate": flag("translate"),
-        "beam_size": number("beam_size", "int", 5),
-        "temperature": number("temperature", "double", 0.0),
-        "offset_ms": number("offset_t", "long", 0),
+        "tinydiarize": flag("tinydiarize"),
+        "suppress_non_speech": flag("suppress_nst"),
+        "carry_initial_prompt": flag("carry_initial_prompt"),
+        "initial_prompt": F.nullif(get("prompt"), F.lit("")),
+        "max_context": whole("max_context"),
+        "max_len": F.coalesce(whole("max_len"), F.lit(0)),
+        "best_of": F.coalesce(whole("best_of"), F.lit(5)),
+        "beam_size": F.coalesce(whole("beam_size"), F.lit(5)),
+        "audio_ctx": whole("audio_ctx"),
+        "word_threshold": number("word_thold", 0.01),
+        "entropy_threshold": number("entropy_thold", 2.4),
+        "logprob_threshold": number("logprob_thold", -1.0),
+        "no_speech_threshold": number("no_speech_thold", 0.6),
+        "temperature": number("temperature", 0.0),
+        "temperature_inc": number("temperature_inc", 0.2),
+        "response_format": F.coalesce(get("response_format"), F.lit("json")),
+        "diarize": flag("diarize"),
+        "offset_ms": F.coalesce(whole("offset"), F.lit(0)),
+        "duration_ms": F.coalesce(whole("duration"), F.lit(0)),
     }
 
 
+def ladder(start: Column, step: Column) -> Column:
+    """The temperatures start, start + step, ... up to 1 as an array; a step that is not positive gives start alone."""
+    n = F.greatest(F.floor((F.lit(1 + 1e-6) - start) / step + 1e-9), F.lit(0)).cast("int")
+    return F.when(step > 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.least(F.lit(1.0), start + i * step))).otherwise(F.array(start))
+
+
+def joined_text(segments: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, text, n): the texts of a transcript's segments in order, put together as they are."""
+    g = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("s"), F.count("*").alias("n"))
+    return g.select(*keys, F.array_join(F.col("s.t"), "").alias("text"), "n")
+
+
+def model_type(layers: Column) -> Column:
+    """A model's size by its number of encoder layers."""
+    # fixed values of the format
+    sizes = {4: "tiny", 6: "base", 12: "small", 24: "medium", 32: "large"}
+    out = F.lit("unknown")
+    for n, name in sizes.items():
+        out = F.when(layers == n, name).otherwise(out)
+    return out
+
+
+def is_multilingual(vocabulary: Column) -> Column:
+    return vocabulary >= 51865
+
+
 def load_path(body: Column) -> Column:
     """The model named by a load request: the JSON field, or the trimmed body."""
     return F.coalesce(F.nullif(F.regexp_extract(body, r'"model"\s*:\s*"([^"]*)"', 1), F.lit("")), F.trim(body))

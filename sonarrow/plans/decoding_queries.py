@@ -118,10 +118,10 @@ def timestamp_mass(spark, d):
 
 @query(
     "best_of_n",
-    f"WITH {LOGP}, s AS (SELECT label, vec_id, round(avg(v) FILTER (id < 8), 2) AS score FROM lp GROUP BY label, vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM s) SELECT label, vec_id, score FROM r WHERE k = 1",
+    f"WITH {LOGP}, s AS (SELECT label, vec_id, round(avg(v), 2) AS score FROM lp GROUP BY label, vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM s) SELECT label, vec_id, score FROM r WHERE k = 1",
 )
 def best_of_n(spark, d):
-    s = logp(spark, d).groupBy("label", "vec_id").agg(F.round(F.avg(F.when(F.col("id") < 8, F.col("v"))), 2).alias("score"))
+    s = logp(spark, d).groupBy("label", "vec_id").agg(F.round(F.avg("v"), 2).alias("score"))
     return D.best_attempt(s, ["label"], "score", "vec_id")
 
 
@@ -151,27 +151,28 @@ def silence_gate(spark, d):
     return j.where(~quiet & (F.trim("text") != "")).select("doc_id", "quality", "toxic")
 
 
-BEAMS = ", w AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings), sc AS (SELECT lp.label, w.n // 5 AS step, CAST(w.n % 5 AS BIGINT) AS beam, id, v FROM lp JOIN w USING (vec_id) WHERE n < 15)"
+BEAMS = ", w AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings), sc AS (SELECT lp.label, w.n // 15 AS tile, w.n % 15 // 5 AS step, CAST(w.n % 5 AS BIGINT) AS beam, id, v FROM lp JOIN w USING (vec_id))"
 
 
 def _step(k, prev):
-    return f""", t{k} AS (SELECT *, row_number() OVER (PARTITION BY label, beam ORDER BY v DESC, id) AS r FROM sc WHERE step = {k}),
-s{k} AS (SELECT label, slot, total, beam, id FROM (SELECT t.label, t.beam, t.id, b.total + t.v AS total, row_number() OVER (PARTITION BY t.label ORDER BY b.total + t.v DESC, t.beam, t.id) AS slot FROM t{k} t JOIN {prev} b USING (label, beam) WHERE r <= 5) WHERE slot <= 5),
-b{k + 1} AS (SELECT label, CAST(slot - 1 AS BIGINT) AS beam, total FROM s{k})"""
+    return f""", t{k} AS (SELECT *, row_number() OVER (PARTITION BY label, tile, beam ORDER BY v DESC, id) AS r FROM sc WHERE step = {k}),
+s{k} AS (SELECT label, tile, slot, total, beam, id FROM (SELECT t.label, t.tile, t.beam, t.id, b.total + t.v AS total, row_number() OVER (PARTITION BY t.label, t.tile ORDER BY b.total + t.v DESC, t.beam, t.id) AS slot FROM t{k} t JOIN {prev} b USING (label, tile, beam) WHERE r <= 5) WHERE slot <= 5),
+b{k + 1} AS (SELECT label, tile, CAST(slot - 1 AS BIGINT) AS beam, total FROM s{k})"""
 
 
-@query("beam_step", f"WITH {LOGP}{BEAMS}, b0 AS (SELECT DISTINCT label, beam, 0.0::DOUBLE AS total FROM sc){_step(0, 'b0')}{_step(1, 'b1')}{_step(2, 'b2')} SELECT label, CAST(slot AS INT) AS slot, beam, id, round(total, 6) AS total FROM s2")
+@query("beam_step", f"WITH {LOGP}{BEAMS}, b0 AS (SELECT DISTINCT label, tile, beam, 0.0::DOUBLE AS total FROM sc WHERE step = 0){_step(0, 'b0')}{_step(1, 'b1')}{_step(2, 'b2')} SELECT label, CAST(tile AS BIGINT) AS tile, CAST(slot AS INT) AS slot, beam, id, round(total, 6) AS total FROM s2")
 def beam_step(spark, d):
+    """Three steps over each fifteen embeddings of a label: scores of five beams at a time."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    w = table(spark, d, "embeddings").select("label", "vec_id", n.alias("n")).where("n < 15").select("vec_id", F.expr("n div 5").alias("step"), (F.col("n") % 5).cast("long").alias("beam"))
-    s = logp(spark, d).join(w, "vec_id").select("label", "step", "beam", "id", "v")
-    beams = s.select("label", "beam").distinct().withColumn("total", F.lit(0.0))
+    w = table(spark, d, "embeddings").select("label", "vec_id", n.alias("n")).select("vec_id", F.expr("n div 15").cast("long").alias("tile"), F.expr("n % 15 div 5").alias("step"), (F.col("n") % 5).cast("long").alias("beam"))
+    s = logp(spark, d).join(w, "vec_id").select("label", "tile", "step", "beam", "id", "v")
+    beams = s.where("step = 0").select("label", "tile", "beam").distinct().withColumn("total", F.lit(0.0))
     for k in range(3):
-        out = D.beam_step(beams, s.where(F.col("step") == k).drop("step"), ["label"], 5)
-        beams = out.select("label", (F.col("slot") - 1).cast("long").alias("beam"), "total")
-    return out.select("label", "slot", "beam", "id", R("total").alias("total"))
+        out = D.beam_step(beams, s.where(F.col("step") == k).drop("step"), ["label", "tile"], 5)
+        beams = out.select("label", "tile", (F.col("slot") - 1).cast("long").alias("beam"), "total")
+    return out.select("label", "tile", "slot", "beam", "id", R("total").alias("total"))
 
 
 @query(
@@ -195,6 +196,46 @@ def guided_command_score(spark, d):
     return s.groupBy("vec_id").agg(F.max(F.struct(F.round("s", 9).alias("o"), "cmd", "s")).alias("b")).select("vec_id", "b.cmd", R("b.s").alias("score"))
 
 
+@query("first_token", f"WITH {SCORES} SELECT vec_id, id, round(CASE WHEN id >= {TIMES} AND id <= 55 THEN v ELSE -9999.0 END, 6) AS v FROM scores")
+def first_token(spark, d):
+    """The first token has to be a time near the window's start, here one of eight."""
+    return scores(spark, d).select("vec_id", "id", R(F.coalesce(D.first_token(F.col("id"), F.col("v"), TIMES, 55), F.lit(-9999.0))).alias("v"))
+
+
+@query("suppress_blank", f"WITH {SCORES} SELECT vec_id, id, vec_id % 3 AS sampled, round(CASE WHEN id = 20 AND vec_id % 3 = 1 THEN -9999.0 ELSE v END, 6) AS v FROM scores")
+def suppress_blank(spark, d):
+    s = scores(spark, d).withColumn("sampled", F.col("vec_id") % 3)
+    return s.select("vec_id", "id", "sampled", R(F.coalesce(D.suppress_blank(F.col("id"), F.col("v"), 20, F.col("sampled")), F.lit(-9999.0))).alias("v"))
+
+
+@query("final_hypothesis", f"WITH {LOGP}, h AS (SELECT label, vec_id, vec_id % 7 AS length, round(sum(v), 0) AS total FROM lp GROUP BY label, vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY total / (length + 1) DESC, vec_id DESC) AS k FROM h) SELECT label, vec_id, length, total + 0.0 AS total FROM r WHERE k = 1")
+def final_hypothesis(spark, d):
+    h = logp(spark, d).groupBy("label", "vec_id").agg(F.round(F.sum("v"), 0).alias("total")).withColumn("length", F.col("vec_id") % 7)
+    return D.final_hypothesis(h, ["label"], "total", "length", "vec_id").select("label", "vec_id", "length", (F.col("total") + 0.0).alias("total"))
+
+
+@query("unconditioned_retry", "WITH e AS (SELECT user_id, event_type IN ('error', 'click') AS conditioned, CASE WHEN event_type = 'click' THEN '' ELSE event_type END AS text FROM events), w AS (SELECT user_id, conditioned, max(text) AS longest, count(*) AS n FROM e GROUP BY user_id, conditioned), c AS (SELECT user_id, bool_or(conditioned AND longest <> '') AS fine, bool_or(NOT conditioned) AS other FROM w GROUP BY user_id) SELECT user_id, conditioned, w.n FROM w JOIN c USING (user_id) WHERE conditioned = (fine OR NOT other)")
+def unconditioned_retry(spark, d):
+    """Users as windows, their errors and clicks (without text) as decoded with the context, the rest as decoded without."""
+    e = table(spark, d, "events").select("user_id", F.col("event_type").isin("error", "click").alias("conditioned"), F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type")).alias("text"))
+    return D.unconditioned(e, ["user_id"], "conditioned", "text").groupBy("user_id", "conditioned").agg(F.count("*").alias("n"))
+
+
+@query("stage_timings", "WITH s AS (SELECT event_type AS stage, CAST(count(*) AS BIGINT) AS calls, sum(value) AS total, max(value) AS longest FROM events GROUP BY event_type) SELECT stage, calls, round(total, 4) AS total, round(longest, 6) AS longest, round(total / calls, 6) AS mean, round(total / sum(total) OVER (), 9) AS share FROM s")
+def stage_timings(spark, d):
+    """Event types as stages and their values as seconds."""
+    t = D.stage_timings(table(spark, d, "events"), "event_type", "value")
+    return t.select(F.col("event_type").alias("stage"), "calls", F.round("total", 4).alias("total"), R("longest").alias("longest"), R("mean").alias("mean"), F.round("share", 9).alias("share"))
+
+
+@query("progress", "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done FROM events), p AS (SELECT user_id, done, CAST(least(100, done * 100 // n) AS INT) AS percent FROM s JOIN n USING (user_id)) SELECT user_id, CAST(percent AS BIGINT) // 10 * 10 AS percent, min(done) AS done FROM p GROUP BY user_id, CAST(percent AS BIGINT) // 10 * 10")
+def progress(spark, d):
+    """When each tenth of a user's events was done."""
+    s = tokens(spark, d).select("user_id", (F.col("i") + 1).alias("done"))
+    n = s.groupBy("user_id").agg(F.max("done").alias("n"))
+    return D.progress(s.join(n, "user_id"), ["user_id"], "done", "n", 10)
+
+
 @query(
     "vocab_specials",
     "WITH v AS (SELECT unnest(range(50200, 51864)) AS id) SELECT id, id > 50257 AND id < 50364 AS special, id >= 50364 AS is_time, CASE WHEN id >= 50364 THEN round((id - 50364) * 0.02::DOUBLE, 2) ELSE -1 END AS seconds FROM v",

@@ -18,18 +18,20 @@ def _rows(df, value="x"):
     return df.select("vec_id", F.posexplode(value).alias("pos", "v")).select("vec_id", LONG("pos"), R("v").alias("v"))
 
 
-@query("matmul", f"WITH {TENSOR} SELECT a.vec_id AS r, CAST(b.pos AS BIGINT) AS c, round(sum(a.v * b.v), 6) AS v FROM tensor a JOIN tensor b ON a.pos = b.vec_id WHERE a.vec_id < 20 AND b.vec_id < 64 GROUP BY a.vec_id, b.pos")
+@query("matmul", f"WITH {TENSOR} SELECT a.vec_id AS r, CAST(b.pos AS BIGINT) AS c, round(sum(a.v * b.v), 6) AS v FROM tensor a JOIN tensor b ON a.pos = b.vec_id WHERE b.vec_id < 64 GROUP BY a.vec_id, b.pos")
 def matmul(spark, d):
+    """All embeddings times a matrix of 64 rows: the embeddings of the first 64 ids."""
     t = tensor(spark, d)
-    a = t.where("vec_id < 20").select(F.col("vec_id").alias("r"), F.col("pos").cast("long").alias("k"), "v")
+    a = t.select(F.col("vec_id").alias("r"), F.col("pos").cast("long").alias("k"), "v")
     b = t.where("vec_id < 64").select(F.col("vec_id").alias("k"), F.col("pos").cast("long").alias("c"), "v")
     return M.matmul(a, b).select("r", "c", R("v").alias("v"))
 
 
-@query("matmul_t", f"WITH {TENSOR} SELECT a.vec_id AS r, b.vec_id AS c, round(sum(a.v * b.v), 6) AS v FROM tensor a JOIN tensor b USING (pos) WHERE a.vec_id < 20 AND b.vec_id < 20 GROUP BY a.vec_id, b.vec_id")
+@query("matmul_t", f"WITH {TENSOR} SELECT a.vec_id AS r, b.vec_id AS c, round(sum(a.v * b.v), 6) AS v FROM tensor a JOIN tensor b USING (pos) WHERE b.vec_id < 64 GROUP BY a.vec_id, b.vec_id")
 def matmul_t(spark, d):
-    t = tensor(spark, d).where("vec_id < 20").select(F.col("vec_id").alias("r"), F.col("pos").cast("long").alias("c"), "v")
-    a, b = t.withColumnRenamed("c", "k"), M.transpose(t).withColumnRenamed("r", "k")
+    """All embeddings times the transpose of that matrix."""
+    t = tensor(spark, d).select(F.col("vec_id").alias("r"), F.col("pos").cast("long").alias("c"), "v")
+    a, b = t.withColumnRenamed("c", "k"), M.transpose(t.where("r < 64")).withColumnRenamed("r", "k")
     return M.matmul(a, b).select("r", "c", R("v").alias("v"))
 
 
@@ -88,18 +90,19 @@ def stft_conv(spark, d):
 
 def _attention(causal):
     see = "AND b.n <= a.n" if causal else ""
-    return f"""WITH g AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, embedding FROM embeddings), h AS (SELECT label, rn - 1 AS n, [x::DOUBLE FOR x IN embedding[1:16]] AS q, [x::DOUBLE FOR x IN embedding[17:32]] AS k, [x::DOUBLE FOR x IN embedding[33:48]] AS v FROM g WHERE rn <= 8),
-s AS (SELECT a.label, a.n, b.n AS kk, list_dot_product(a.q, b.k) / 4.0 AS s, b.v FROM h a JOIN h b ON a.label = b.label {see}), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label, n)) AS e FROM s),
-p AS (SELECT *, e / sum(e) OVER (PARTITION BY label, n) AS p FROM e), c AS (SELECT label, n, p, v, unnest(range(0, 16)) AS c FROM p) SELECT label, CAST(n AS BIGINT) AS n, CAST(c AS BIGINT) AS c, round(sum(p * v[c + 1]), 6) AS y FROM c GROUP BY label, n, c"""
+    return f"""WITH g AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn, embedding FROM embeddings), h AS (SELECT label, rn // 8 AS tile, rn % 8 AS n, [x::DOUBLE FOR x IN embedding[1:16]] AS q, [x::DOUBLE FOR x IN embedding[17:32]] AS k, [x::DOUBLE FOR x IN embedding[33:48]] AS v FROM g),
+s AS (SELECT a.label, a.tile, a.n, b.n AS kk, list_dot_product(a.q, b.k) / 4.0 AS s, b.v FROM h a JOIN h b ON a.label = b.label AND a.tile = b.tile {see}), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label, tile, n)) AS e FROM s),
+p AS (SELECT *, e / sum(e) OVER (PARTITION BY label, tile, n) AS p FROM e), c AS (SELECT label, tile, n, p, v, unnest(range(0, 16)) AS c FROM p) SELECT label, CAST(tile AS BIGINT) AS tile, CAST(n AS BIGINT) AS n, CAST(c AS BIGINT) AS c, round(sum(p * v[c + 1]), 6) AS y FROM c GROUP BY label, tile, n, c"""
 
 
 def _attend(spark, d, causal):
+    """Attention within windows of eight embeddings of a label, in order of their ids."""
     from pyspark.sql import Window
 
     n = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")
-    h = vectors(spark, d).withColumn("n", n).where("n < 8").withColumn("h", M.split_heads(F.col("x"), 4, 16))
-    h = h.select("label", "n", F.col("h")[0].alias("q"), F.col("h")[1].alias("k"), F.col("h")[2].alias("v"))
-    return M.attention(h, ["label"], "n", "q", "k", "v", 16, causal).select("label", "n", LONG("c"), R("y").alias("y"))
+    h = vectors(spark, d).withColumn("n", n).withColumns({"tile": F.expr("n div 8"), "n": F.col("n") % 8}).withColumn("h", M.split_heads(F.col("x"), 4, 16))
+    h = h.select("label", "tile", "n", F.col("h")[0].alias("q"), F.col("h")[1].alias("k"), F.col("h")[2].alias("v"))
+    return M.attention(h, ["label", "tile"], "n", "q", "k", "v", 16, causal).select("label", "tile", "n", LONG("c"), R("y").alias("y"))
 
 
 @query("attention_single_head", _attention(False))
@@ -132,10 +135,11 @@ def q8_block_sums(spark, d):
     return q.groupBy("vec_id", "blk").agg(F.sum("q").alias("s"), R(F.max("d") * F.sum("q")).alias("scaled"))
 
 
-@query("q8_dot", f"WITH {Q8}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.blk, sum(CAST(a.q AS BIGINT) * b.q) AS s, max(a.d) AS da, max(b.d) AS db FROM qq a JOIN qq b USING (blk, pos) WHERE a.vec_id < 10 AND b.vec_id < 30 GROUP BY a.vec_id, b.vec_id, a.blk) SELECT a, b, round(sum(CAST(s AS DOUBLE) * da * db), 6) AS dot FROM s GROUP BY a, b")
+@query("q8_dot", f"WITH {Q8}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.blk, sum(CAST(a.q AS BIGINT) * b.q) AS s, max(a.d) AS da, max(b.d) AS db FROM qq a JOIN qq b USING (blk, pos) WHERE b.vec_id < 64 GROUP BY a.vec_id, b.vec_id, a.blk) SELECT a, b, round(sum(CAST(s AS DOUBLE) * da * db), 6) AS dot FROM s GROUP BY a, b")
 def q8_dot(spark, d):
+    """All embeddings times the rows of a matrix, the embeddings of the first 64 ids."""
     q = M.quantize_q8(tensor(spark, d), ["vec_id"]).withColumnRenamed("vec_id", "id")
-    return M.q8_dot(q.where("id < 10"), q.where("id < 30")).select("a", "b", R("dot").alias("dot"))
+    return M.q8_dot(q, q.where("id < 64")).select("a", "b", R("dot").alias("dot"))
 
 
 Q5 = f"{TENSOR}, b5 AS (SELECT vec_id, CAST(pos // 32 AS INT) AS blk, pos, v, min(v) OVER w AS m, (max(v) OVER w - min(v) OVER w) / 31 AS d FROM tensor WINDOW w AS (PARTITION BY vec_id, pos // 32)), q5 AS (SELECT vec_id, blk, pos, m, d, CAST(CASE WHEN d > 0 THEN least(31, floor((v - m) / d + 0.5)) ELSE 0 END AS INT) AS q FROM b5)"

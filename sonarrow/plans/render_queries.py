@@ -57,14 +57,14 @@ def render_json(spark, d):
 
 
 def _with_tokens(spark, d):
-    """A segment's first three words as tokens, with probabilities from their lengths."""
-    words = F.slice(F.split("text", " "), 1, 3)
+    """A segment's words as tokens, with probabilities from their lengths."""
+    words = F.split("text", " ")
     p = lambda w: (F.length(w) % 10 + 1) / 11.0
     token = lambda w, i: F.struct(i.alias("id"), F.concat(F.lit(" "), w).alias("text"), p(w).alias("prob"), F.round(F.ln(p(w)), 4).alias("logprob"), (F.col("t0") + i * 0.25).alias("t0"), (F.col("t0") + i * 0.25 + 0.25).alias("t1"), F.when(i == 1, F.col("t0") + 0.02).alias("t_dtw"))
     return segments(spark, d).withColumn("tokens", F.transform(words, token))
 
 
-TOK = f"{SEGMENTS}, w AS (SELECT *, string_split(text, ' ')[1:3] AS l FROM segments), tk AS (SELECT conv_id, turn, t0 AS s0, i - 1 AS id, l[i] AS word, (length(l[i]) % 10 + 1) / 11.0::DOUBLE AS p FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM w)), tt AS (SELECT *, s0 + id * 0.25::DOUBLE AS t0, s0 + id * 0.25::DOUBLE + 0.25::DOUBLE AS t1, round(ln(p), 4) AS plog FROM tk)"
+TOK = f"{SEGMENTS}, w AS (SELECT *, string_split(text, ' ') AS l FROM segments), tk AS (SELECT conv_id, turn, t0 AS s0, i - 1 AS id, l[i] AS word, (length(l[i]) % 10 + 1) / 11.0::DOUBLE AS p FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM w)), tt AS (SELECT *, s0 + id * 0.25::DOUBLE AS t0, s0 + id * 0.25::DOUBLE + 0.25::DOUBLE AS t1, round(ln(p), 4) AS plog FROM tk)"
 TOKEN_DOC = f"""'        {{' || {NL} || '          "id": ' || id || ',' || {NL} || '          "text": "' || {JSON.format("' ' || word")} || '",' || {NL} || '          "p": ' || printf('%.6f', p) || ',' || {NL} || '          "plog": ' || printf('%.6f', plog) || ',' || {NL} || '          "timestamps": {{ "from": "' || {_clock('t0', ',')} || '", "to": "' || {_clock('t1', ',')} || '" }},' || {NL} || '          "t_dtw": ' || printf('%.6f', CASE WHEN id = 1 THEN s0 + 0.02::DOUBLE ELSE -1.0::DOUBLE END) || {NL} || '        }}'"""
 JSON_FULL_DOC = JSON_DOC.replace("""|| '"' || chr(10) || '    }'""", """|| '",' || chr(10) || '      "tokens": [' || chr(10) || toks || chr(10) || '      ]' || chr(10) || '    }'""")
 
@@ -86,11 +86,12 @@ def render_wts(spark, d):
 
 @query(
     "render_negotiated",
-    f"WITH {NUMBERED} SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN 'text/plain; charset=utf-8' WHEN 1 THEN 'application/x-subrip' WHEN 2 THEN 'text/vtt' ELSE 'application/json' END AS content_type, CASE conv_id % 4 WHEN 0 THEN {TXT} WHEN 1 THEN {SRT} WHEN 2 THEN {VTT} ELSE {JSON_DOC} END AS body FROM num GROUP BY conv_id",
+    f"""WITH {TOK}, num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM segments), td AS (SELECT conv_id, turn, string_agg({TOKEN_DOC}, ',' || {NL} ORDER BY id) AS toks FROM tt GROUP BY conv_id, turn)
+SELECT conv_id, CASE conv_id % 5 WHEN 0 THEN 'text/plain; charset=utf-8' WHEN 1 THEN 'application/x-subrip' WHEN 2 THEN 'text/vtt' ELSE 'application/json' END AS content_type, CASE conv_id % 5 WHEN 0 THEN {TXT} WHEN 1 THEN {SRT} WHEN 2 THEN {VTT} WHEN 3 THEN {JSON_FULL_DOC} ELSE {JSON_DOC} END AS body FROM num JOIN td USING (conv_id, turn) GROUP BY conv_id""",
 )
 def render_negotiated(spark, d):
-    asked = F.element_at(F.array(*[F.lit(x) for x in ("text", "srt", "vtt", "pdf")]), (F.col("conv_id") % 4 + 1).cast("int"))
-    return K.negotiated(segments(spark, d).withColumn("format", asked), FULL, "turn", "format")
+    asked = F.element_at(F.array(*[F.lit(x) for x in ("text", "srt", "vtt", "verbose_json", "pdf")]), (F.col("conv_id") % 5 + 1).cast("int"))
+    return K.negotiated(_with_tokens(spark, d).withColumn("format", asked), FULL, "turn", "format")
 
 
 @query(
@@ -106,9 +107,9 @@ def avg_score(spark, d):
     return _with_tokens(spark, d).select("conv_id", "turn", F.round(K.mean_logprob(F.col("tokens")), 6).alias("score"))
 
 
-@query("escapes", f"SELECT page_id, {JSON.format('substr(url, 1, 60)')} AS j, '''' || replace(substr(url, 1, 60), '''', '''' || chr(92) || '''''') || '''' AS s FROM pages")
+@query("escapes", f"SELECT page_id, {JSON.format('url')} AS j, '''' || replace(url, '''', '''' || chr(92) || '''''') || '''' AS s FROM pages")
 def escapes(spark, d):
-    u = F.substring("url", 1, 60)
+    u = F.col("url")
     return table(spark, d, "pages").select("page_id", S.json_escape(u).alias("j"), S.shell_quote(u).alias("s"))
 
 

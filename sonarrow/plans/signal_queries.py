@@ -103,8 +103,7 @@ def log_mel(spark, d):
 
 @query("highpass_closed_form", f"WITH {SIGNAL} SELECT user_id, i, round(CASE WHEN i = 0 THEN x ELSE x * (1 / 16000.0) / (1 / (2 * pi() * 100) + 1 / 16000.0) END, 6) AS y FROM signal")
 def highpass_closed_form(spark, d):
-    a = signal(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
-    return a.select("user_id", F.posexplode(G.high_pass(F.col("s.x"), 100, 16000)).alias("i", "y")).select("user_id", F.col("i").cast("long").alias("i"), R("y").alias("y"))
+    return signal(spark, d).select("user_id", "i", R(G.high_pass_at(F.col("i"), F.col("x"), 100, 16000)).alias("y"))
 
 
 @query(
@@ -120,7 +119,7 @@ def vad_energy_tail(spark, d):
 @query(
     "diarize_rms",
     f"""WITH {SIGNAL}, f AS (SELECT user_id, i // 2 AS i, x AS left_, lead(x) OVER (PARTITION BY user_id ORDER BY i) AS right_, i AS o FROM signal), st AS (SELECT * FROM f WHERE o % 2 = 0 AND right_ IS NOT NULL),
-g AS (SELECT DISTINCT user_id, s AS seg, s * 7 AS a, CASE WHEN s = 2 THEN s * 7 ELSE s * 7 + 5 END AS b FROM signal, (SELECT unnest(range(0, 4)) AS s)),
+g AS (SELECT user_id, s AS seg, s * 7 AS a, CASE WHEN s = 2 THEN s * 7 ELSE s * 7 + 5 END AS b FROM (SELECT user_id, unnest(range(0, (count(*) // 2) // 7 + 1)) AS s FROM signal GROUP BY user_id)),
 e AS (SELECT g.user_id, g.seg, sqrt(avg(left_ * left_)) AS l, sqrt(avg(right_ * right_)) AS r FROM g JOIN st ON st.user_id = g.user_id AND st.i >= a AND st.i < b GROUP BY g.user_id, g.seg)
 SELECT g.user_id, g.seg, g.a, g.b, CASE WHEN l IS NULL THEN -1 WHEN r > l THEN 1 ELSE 0 END AS speaker FROM g LEFT JOIN e USING (user_id, seg)""",
 )
@@ -128,7 +127,8 @@ def diarize_rms(spark, d):
     s = signal(spark, d)
     stereo = s.groupBy("user_id", F.expr("i div 2").alias("f")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("x"))).alias("left"), F.max(F.when(F.col("i") % 2 == 1, F.col("x"))).alias("right"))
     stereo = stereo.where("right is not null").withColumnRenamed("f", "i")
-    spans = s.select("user_id").distinct().withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    # spans over the whole of each user, the last of which may lie beyond the end
+    spans = s.groupBy("user_id").agg(F.expr("count(*) div 2 div 7").alias("n")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("seg"))
     spans = spans.withColumn("a", F.col("seg") * 7).withColumn("b", F.when(F.col("seg") == 2, F.col("seg") * 7).otherwise(F.col("seg") * 7 + 5))
     return G.louder_channel(stereo, spans, ["user_id"], 16).withColumn("speaker", F.coalesce("speaker", F.lit(-1)))
 
@@ -140,10 +140,10 @@ def crop_window(spark, d):
 
 @query(
     "f16_codec",
-    """WITH b AS (SELECT h, (h >> 10) & 31 AS e, h & 1023 AS f FROM (SELECT unnest(range(0, 65536, 7)) AS h)) SELECT CAST(h AS INT) AS h,
+    """WITH b AS (SELECT h, (h >> 10) & 31 AS e, h & 1023 AS f FROM (SELECT unnest(range(0, 65536)) AS h)) SELECT CAST(h AS INT) AS h,
 round((CASE WHEN h & 32768 <> 0 THEN -1.0 ELSE 1.0 END) * (CASE WHEN e = 0 THEN f / 1024.0 * pow(2, -14) ELSE (1 + f / 1024.0) * pow(2, e - 15) END) * 1048576, 3) AS scaled, CAST(h AS INT) AS again FROM b WHERE e < 31 AND h <> 32768""",
 )
 def f16_codec(spark, d):
-    h = spark.range(0, 65536, 7).select(F.col("id").cast("int").alias("h")).where("(shiftright(h, 10) & 31) < 31 and h <> 32768")
+    h = spark.range(0, 65536).select(F.col("id").cast("int").alias("h")).where("(shiftright(h, 10) & 31) < 31 and h <> 32768")
     x = h.withColumn("x", S.half_to_float(F.col("h")))
     return x.select("h", F.round(F.col("x") * 1048576, 3).alias("scaled"), S.float_to_half(F.col("x")).alias("again"))

@@ -9,14 +9,18 @@ from ..tables import table
 from .catalog import query
 
 R = lambda c: F.round(c, 6)
-PAIRS = "p AS (SELECT a.item_id AS a, b.item_id AS b, lower(array_to_string(string_split(a.text, ' ')[1:4], ' ')) AS ta, lower(array_to_string(string_split(b.text, ' ')[1:4], ' ')) AS tb FROM benchmark a JOIN benchmark b ON b.item_id BETWEEN a.item_id AND a.item_id + 9 WHERE regexp_full_match(a.text, '[\\x00-\\x7f]*') AND regexp_full_match(b.text, '[\\x00-\\x7f]*'))"
+#: What items are held against.
+PROMPTS = ["that and one", "re the on", "here we go", "i"]
+_PROMPTS = ", ".join(f"({k}, '{p}')" for k, p in enumerate(PROMPTS))
+# prompts are ASCII, so any other character is as far from them as the tilde that stands for it, in bytes and in characters
+PAIRS = f"p AS (SELECT item_id AS a, k AS b, prompt AS ta, lower(array_to_string(string_split(regexp_replace(text, '[^\\x00-\\x7f]', '~', 'g'), ' ')[1:4], ' ')) AS tb FROM benchmark, (VALUES {_PROMPTS}) v(k, prompt))"
 SIM = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 1.0 ELSE 1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))::DOUBLE END"
 
 
 def pairs(spark, d):
-    t = table(spark, d, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("item_id", F.lower(X.first_words(F.col("text"), 4)).alias("t"))
-    a = t.select(F.col("item_id").alias("a"), F.col("t").alias("ta"), F.explode(F.sequence("item_id", F.col("item_id") + 9)).alias("b"))
-    return a.join(t.select(F.col("item_id").alias("b"), F.col("t").alias("tb")), "b")
+    """The first four words of every item beside every prompt."""
+    prompts = F.array(*[F.struct(F.lit(k).alias("b"), F.lit(p).alias("ta")) for k, p in enumerate(PROMPTS)])
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("a"), F.lower(X.first_words(F.col("text"), 4)).alias("tb"), F.inline(prompts))
 
 
 @query("fuzzy_wake_match", f"WITH {PAIRS}, s AS (SELECT a, b, {SIM.format('ta', 'tb')} AS s, ta, tb FROM p) SELECT a, b, round(s, 6) AS s, s > 0.7 AS accepted, s >= 0.8 AND length(tb) / length(ta)::DOUBLE BETWEEN 0.8 AND 1.2 AS activated FROM s")
@@ -40,19 +44,20 @@ def prompt_split(spark, d):
     return table(spark, d, "benchmark").select("item_id", p.alias("prompt"), c.alias("command"))
 
 
-@query(
-    "pretokenize_counts",
-    r"""WITH t AS (SELECT doc_id, substr(text, 1, 400) AS s FROM documents) SELECT doc_id, CAST(len(regexp_extract_all(s, '[A-Za-z]+')) AS BIGINT) AS letters, CAST(len(regexp_extract_all(s, '[0-9]+')) AS BIGINT) AS digits FROM t WHERE NOT regexp_matches(s, '''')""",
-)
+# without a look ahead: white space goes one character at a time, which leaves runs of letters and digits as they are
+_COUNTS = r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '''(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\x0B\f\rA-Za-z0-9]+|[ \t\n\x0B\f\r]') AS p FROM documents)
+SELECT doc_id, CAST(len(list_filter(p, lambda x: regexp_full_match(x, ' ?[A-Za-z]+'))) AS BIGINT) AS letters, CAST(len(list_filter(p, lambda x: regexp_full_match(x, ' ?[0-9]+'))) AS BIGINT) AS digits FROM t"""
+
+
+@query("pretokenize_counts", _COUNTS)
 def pretokenize_counts(spark, d):
-    """The first 400 characters only, as its SQL; texts with an apostrophe, whose contractions part words, are left out. pretokenize_counts_full is the whole job."""
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("s")).where(~F.col("s").contains("'"))
-    return letters_and_digits(t, "s")
+    return letters_and_digits(table(spark, d, "documents"), "text")
 
 
-@query("pretokenize_counts_full")
+@query("pretokenize_counts_full", _COUNTS)
 def pretokenize_counts_full(spark, d):
-    return letters_and_digits(table(spark, d, "documents"), "text")
+    """The name that the whole job had while pretokenize_counts read prefixes."""
+    return pretokenize_counts(spark, d)
 
 
 def letters_and_digits(t, text):
@@ -69,15 +74,16 @@ def greedy_encode(spark, d):
     return t.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: (s * 31 + x) % 1000003).alias("checksum"))
 
 
-@query("greedy_round_trip", "SELECT conv_id, turn, text FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7f]+')")
+@query("greedy_round_trip", "SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations")
 def greedy_round_trip(spark, d):
-    """Texts encoded by longest match and decoded by a join with the vocabulary are themselves."""
+    """Texts encoded by longest match and decoded by a join with the vocabulary are themselves; one without ids is empty."""
     words = [bytes([i]) for i in range(256)] + [b"th", b"the", b" the", b"ing"]
     ids = X.greedy_encoder({w: i for i, w in enumerate(words)})
-    t = table(spark, d, "conversations").where(F.col("text").rlike(r"^[\x00-\x7f]+$"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
     e = t.select("conv_id", "turn", F.posexplode(ids("text")).alias("k", "id"))
     vocab = spark.createDataFrame([(i, bytearray(w)) for i, w in enumerate(words)], "id int, bytes binary")
-    return X.decode(e, ["conv_id", "turn"], F.broadcast(vocab))
+    back = X.decode(e, ["conv_id", "turn"], F.broadcast(vocab))
+    return t.select("conv_id", "turn").join(back, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query("compression_ratio")
@@ -99,9 +105,9 @@ def json_path(spark, d):
     return e.select("event_id", F.variant_get("v", "$.k", "bigint").alias("k"), F.concat("event_type", F.lit(":"), F.get_json_object("props", "$.k")).alias("tag"))
 
 
-@query("chat_body", """SELECT conv_id, CAST(count(*) AS BIGINT) AS n, '{"model":"m","messages":[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY turn) || ']' || CASE WHEN conv_id % 2 = 0 THEN ',"temperature":0.5' ELSE '' END || '}' AS body FROM conversations WHERE NOT contains(text, '/') GROUP BY conv_id""")
+@query("chat_body", """SELECT conv_id, CAST(count(*) AS BIGINT) AS n, '{"model":"m","messages":[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(text) || '}', ',' ORDER BY turn) || ']' || CASE WHEN conv_id % 2 = 0 THEN ',"temperature":0.5' ELSE '' END || '}' AS body FROM conversations GROUP BY conv_id""")
 def chat_body(spark, d):
-    c = table(spark, d, "conversations").where(~F.col("text").contains("/"))
+    c = table(spark, d, "conversations")
     m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
     g = c.groupBy("conv_id").agg(m.alias("m"), F.count("*").alias("n"))
     return g.select("conv_id", "n", X.chat_body(F.lit("m"), F.col("m"), temperature=F.when(F.col("conv_id") % 2 == 0, 0.5)).alias("body"))
@@ -125,25 +131,41 @@ def session_messages(spark, d):
     return saved.select("conv_id", F.inline(F.from_json("json", "array<struct<turn:bigint,role:string,content:string>>")))
 
 
-@query("persona_render", "SELECT conv_id, turn, role || ' of ' || conv_id || ' says ' || substr(text, 1, 20) AS line FROM conversations")
+@query("persona_render", "SELECT conv_id, turn, role || ' of ' || conv_id || ' says ' || text AS line FROM conversations")
 def persona_render(spark, d):
-    line = X.persona(F.lit("{0} of {1} says {2}"), F.col("role"), F.col("conv_id").cast("string"), F.substring("text", 1, 20))
+    line = X.persona(F.lit("{0} of {1} says {2}"), F.col("role"), F.col("conv_id").cast("string"), F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", line.alias("line"))
 
 
 @query(
     "form_options",
-    "WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '-' ELSE 'de' END AS language, event_id % 2 = 0 AS translate, CAST(CASE WHEN event_id % 5 = 0 THEN 5 ELSE k END AS INT) AS beam_size, 0.0::DOUBLE AS temperature, k * 10 AS offset_ms FROM k",
+    """WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '-' ELSE 'de' END AS language, event_id % 2 = 0 AS translate, false AS tinydiarize, event_id % 2 = 1 AS suppress_non_speech, false AS carry_initial_prompt,
+CASE WHEN event_id % 4 = 0 THEN '-' ELSE 'p' || k END AS initial_prompt, k * 2 AS max_context, CAST(0 AS BIGINT) AS max_len, CAST(CASE WHEN event_id % 5 = 0 THEN 5 ELSE k END AS BIGINT) AS beam_size, CAST(CASE WHEN event_id % 5 = 0 THEN -1 ELSE k END AS BIGINT) AS audio_ctx, k / 8.0::DOUBLE AS word_threshold, 2.4::DOUBLE AS entropy_threshold,
+-1.0::DOUBLE AS logprob_threshold, 0.6::DOUBLE AS no_speech_threshold, CASE WHEN event_id % 7 = 0 THEN 'verbose_json' ELSE 'json' END AS response_format, false AS diarize, k * 10 AS offset_ms, CAST(0 AS BIGINT) AS duration_ms, 6 AS rungs FROM k""",
 )
 def form_options(spark, d):
-    k = F.get_json_object("props", "$.k")
-    fields = F.map_from_arrays(
-        F.array(*[F.lit(x) for x in ("language", "translate", "beam_size", "temperature", "offset_t")]),
-        F.array(F.when(F.col("event_id") % 3 == 0, "auto").otherwise("de"), F.when(F.col("event_id") % 2 == 0, "1").otherwise("no"), F.when(F.col("event_id") % 5 == 0, "many").otherwise(k), F.lit("warm"), F.concat(k, F.lit("0"))),
-    )
+    k, n = F.get_json_object("props", "$.k"), F.col("event_id")
+    asked = {
+        "language": F.when(n % 3 == 0, "auto").otherwise("de"),
+        "translate": F.when(n % 2 == 0, "1").otherwise("no"),
+        "tinydiarize": F.lit("TRUE"),
+        "suppress_nst": F.when(n % 2 == 1, "true").otherwise("0"),
+        "prompt": F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("p"), k)),
+        "max_context": (k.cast("long") * 2).cast("string"),
+        "max_len": F.lit("-3"),
+        "beam_size": F.when(n % 5 == 0, "many").otherwise(k),
+        "audio_ctx": F.when(n % 5 == 0, " 7").otherwise(k),
+        "word_thold": (k.cast("double") / 8).cast("string"),
+        "temperature": F.lit("warm"),
+        "response_format": F.when(n % 7 == 0, "verbose_json").otherwise("json"),
+        "offset": F.concat(k, F.lit("0")),
+        "duration": F.lit("long"),
+    }
+    fields = F.map_from_arrays(F.array(*map(F.lit, asked)), F.array(*asked.values()))
     o = X.form_options(F.col("f"))
-    e = table(spark, d, "events").select("event_id", fields.alias("f"))
-    return e.select("event_id", F.coalesce(o["language"], F.lit("-")).alias("language"), o["translate"].alias("translate"), o["beam_size"].alias("beam_size"), o["temperature"].alias("temperature"), o["offset_ms"].alias("offset_ms"))
+    named = {**o, "language": F.coalesce(o["language"], F.lit("-")), "initial_prompt": F.coalesce(o["initial_prompt"], F.lit("-")), "audio_ctx": F.coalesce(o["audio_ctx"], F.lit(-1))}
+    rungs = F.size(X.ladder(named.pop("temperature"), named.pop("temperature_inc")))
+    return table(spark, d, "events").select("event_id", fields.alias("f")).select("event_id", *[c.alias(x) for x, c in named.items() if x != "best_of"], rungs.alias("rungs"))
 
 
 @query("multipart_fields", "SELECT event_id, event_type AS kind, props AS file FROM events")
@@ -162,3 +184,16 @@ def static_routes(spark, d):
 @query("command_list", "SELECT item_id, lower(trim(text)) AS command FROM benchmark WHERE trim(text) <> ''")
 def command_list(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.lower(F.trim("text")).alias("command")).where("command <> ''")
+
+
+@query("joined_text", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
+def joined_text(spark, d):
+    """Each conversation's segments as one text."""
+    return X.joined_text(table(spark, d, "conversations"), ["conv_id"], "turn", "text")
+
+
+@query("model_types", "SELECT l_quantity, CASE CAST(l_quantity AS INT) WHEN 4 THEN 'tiny' WHEN 6 THEN 'base' WHEN 12 THEN 'small' WHEN 24 THEN 'medium' WHEN 32 THEN 'large' ELSE 'unknown' END AS kind, count(*) AS n, CAST(sum(CASE WHEN 51840 + l_quantity >= 51865 THEN 1 ELSE 0 END) AS BIGINT) AS multilingual FROM lineitem GROUP BY l_quantity")
+def model_types(spark, d):
+    """What quantities would say as a model's layers, and, from 51840 on, as the size of its vocabulary."""
+    q = table(spark, d, "lineitem").select("l_quantity", X.model_type(F.col("l_quantity").cast("int")).alias("kind"), X.is_multilingual(F.col("l_quantity") + 51840).alias("m"))
+    return q.groupBy("l_quantity", "kind").agg(F.count("*").alias("n"), F.sum(F.col("m").cast("long")).alias("multilingual"))
