@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import column, tidy
 from .chunks import Memory
 from .words import hashes, slices, spans
 
@@ -89,15 +89,22 @@ def _memory(path: str) -> Memory:
 def _token_ids(column, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each slice of texts: its first row, its ids (each text's with the end id), and where each text's begin."""
     memory = _memory(path)
-    for s in slices(column):
+    before: list[np.ndarray] = []  # ids of the parts of a long text
+    for s in slices(column, parts=True):
         begins, ends, n = spans(s)
         ids, per = memory.flat(memory.look(s.data, begins, ends, hashes(s.data, begins, ends)))
+        if s.more:
+            before.append(ids.astype(np.uint32))
+            continue
         after = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum(n)])]  # ids before each text
         at = after + np.arange(len(after))  # an end id follows each text
         out = np.full(int(at[-1]), END, np.uint32)
         keep = np.ones(len(out), bool)
         keep[at[1:] - 1] = False
         out[keep] = ids
+        if before:
+            out, before = np.concatenate([*before, out]), []
+            at = np.array([0, len(out)])
         yield s.first, out, at
 
 
@@ -109,13 +116,14 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, id_col="doc_id", text
 
     `tokenizer` is the path of a tokenizers file whose pre-tokenizer splits at white space, on every executor. Null and
     empty texts are a piece of the end id alone. Rows of equal id are documents of their own. An empty table has no
-    pieces. Long texts are cut into many windows and never split among tasks.
+    pieces. Long texts are read in parts, cut into many windows and never split among tasks; a task holds the ids of
+    the longest text. Other columns of `docs`, whatever their names, are not read.
     """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    d = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text"))
     kind = d.schema["_id"].dataType
     schema = T.StructType([T.StructField(id_col, kind), *T.StructType.fromDDL(SCHEMA)])
     item = max(1, capacity // PARTS)
@@ -186,4 +194,4 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, id_col="doc_id", text
         if held:
             yield flush()
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(tidy(run), schema)

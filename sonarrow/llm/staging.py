@@ -2,39 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import scratch
 
-#: A written table needs its shuffle files no more; with this setting they go when the write ends.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; where the session names none (tests), a temporary one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="sonarrow-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+#: Settings of the writes below, of which none changes a result: a written table needs its shuffle files no more, so they
+#: go when the write ends; batches sent to Python are small, as executors keep the buffers of the largest.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 class Stage:
     """Tables of one operator run: `put` writes and rereads one, `drop` deletes one that nothing needs any more."""
 
     def __init__(self, spark: SparkSession, operator: str):
-        self.spark, self.root = spark, f"{shared_root(spark)}/{operator}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, scratch(spark, operator)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        conf, before = self.spark.conf, self.spark.conf.get(CLEAN_UP, "false")
-        conf.set(CLEAN_UP, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in WRITING}
         try:
+            for k, v in WRITING.items():
+                conf.set(k, v)
             df.write.parquet(path)
         finally:
-            conf.set(CLEAN_UP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -44,20 +44,34 @@ def _powers(n: int) -> np.ndarray:
 
 
 class Slice:
-    """Some whole texts: `data` their bytes, `at` where each begins (and the last ends), `first` the first one's row."""
+    """Some texts: `data` their bytes, `at` where each begins (and the last ends), `first` the first one's row.
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, first: int):
-        self.data, self.at, self.first, self.n = data, at, first, len(at) - 1
+    `more` says that the one text it holds goes on in the next slice.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, first: int, more: bool = False):
+        self.data, self.at, self.first, self.n, self.more = data, at, first, len(at) - 1, more
 
     def lower(self) -> Slice:
-        return Slice(_LOWER[self.data], self.at, self.first)
+        return Slice(_LOWER[self.data], self.at, self.first, self.more)
+
 
-    def text(self, i: int) -> bytes:
-        return self.data[self.at[i] : self.at[i + 1]].tobytes()
+def _cut(data: np.ndarray, most: int) -> int:
+    """The end of a part of about `most` bytes that ends with white space, or that of the text."""
+    at = most
+    while at < len(data):
+        space = np.flatnonzero(_SPACE[data[at : at + most]])
+        if len(space):
+            return at + int(space[0]) + 1
+        at += most
+    return len(data)
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """The texts of a string column (null: empty) in order, about `most` bytes at a time; a longer text is alone."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, parts: bool = False) -> Iterator[Slice]:
+    """The texts of a string column (null: empty) in order, about `most` bytes at a time; a longer text is alone.
+
+    With `parts`, a text longer than that comes in several slices, cut behind white space, so that no word is cut.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -70,7 +84,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Slice]:
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
-        yield Slice(data[at[i] : at[j]], at[i : j + 1] - at[i], i)
+        if parts and at[j] - at[i] > most:
+            text = data[at[i] : at[j]]
+            while len(text):
+                end = _cut(text, most)
+                yield Slice(text[:end], np.array([0, end]), i, end < len(text))
+                text = text[end:]
+        else:
+            yield Slice(data[at[i] : at[j]], at[i : j + 1] - at[i], i)
         i = j
 
 
@@ -92,9 +113,18 @@ def spans(s: Slice, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray,
 
 
 def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; spans lie in order and don't overlap."""
-    if len(begins) == 0:
-        return np.zeros(0, U64)
+    """A 64-bit hash of each span; spans lie in order and don't overlap. Some 64 bytes for each byte of a span are used at once."""
+    out = np.empty(len(begins), U64)
+    after = np.cumsum(ends - begins)
+    i = 0
+    while i < len(begins):
+        j = max(i + 1, int(np.searchsorted(after, (after[i - 1] if i else 0) + SLICE_BYTES, "right")))
+        out[i:j] = _hashed(data, begins[i:j], ends[i:j])
+        i = j
+    return out
+
+
+def _hashed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lens = ends - begins
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])
     total = int(first[-1] + lens[-1])
