@@ -1,14 +1,16 @@
 """N-gram Jaccard join of texts, exact, by universe partitions (see partition.py for the signatures).
 
 1. Each text becomes its set of word shingles; rows of equal sets are one vertex from here on.
-2. Sets that share a signature are candidates. In each such group the least set is compared with the others.
-3. Links make components. Groups that still hold sets of several components are gone through again: pairs of different
-   components are compared, block by block, until none is left untested.
-   Parity sketches, an exact lower bound of the difference, leave few pairs for which whole sets are sent.
+2. Sets that share a signature are candidates. In each such group all sets are compared with the one that shares most
+   signatures with others, which in a family of near copies is the text they come from.
+3. Links make components. Groups that still hold sets of several components have their sets compared with the one that
+   shares most outside the first one's component, and last pair by pair across components, block by block, until no pair
+   is left untested.
 4. Every row gets the least id of its component, or one row of each component is kept.
 
+Parity sketches, an exact lower bound of the difference, come first and leave few pairs for which whole sets are sent.
 Sets of one component need no further comparison, so a group of thousands of near copies costs about as many
-comparisons as it has members. Shingles are computed again for sets in groups only and never held for all texts.
+comparisons as it has members. Shingles are computed again for sets in such pairs only and never held for all texts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import append
+from .arrow import append, column, tidy
 from .components import components
 from .partition import Signer
 from .shingles import close_pairs, least_difference, parity, set_hash, sets
@@ -39,25 +41,26 @@ CROWD, COLUMNS = 4, 8192
 
 
 def _signed(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """`docs` (_id, _text) without texts: text_hash, n_shingles, set_id, signatures. Empty sets have set_id null."""
+    """`docs` (_id, _text) without texts: text_hash, n_shingles, set_id, parity, signatures. Empty sets have set_id null."""
 
     def make():
         signer = Signer(num, den)
 
-        def f(batch):
-            n, ids, sigs = [], [], []
-            for x in sets(batch.column("_text"), size):
+        def f(texts):
+            n, ids, odd, sigs = [], [], [], []
+            for x in sets(texts, size):
                 n.append(len(x))
+                odd.append(parity(x).tobytes() if len(x) else None)
                 ids.append(set_hash(x) if len(x) else None)
                 sigs.append(signer(x).view(np.int64) if len(x) else np.zeros(0, np.int64))
             at = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-            return [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            return [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(odd, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
 
         return f
 
     docs = docs.withColumn("text_hash", F.xxhash64("_text"))
-    return append(docs, make, "n_shingles long, set_id long, signatures array<long>", drop=("_text",))
+    return append(docs, "_text", make, "n_shingles long, set_id long, parity binary, signatures array<long>", drop=("_text",))
 
 
 def _sieved(rows: DataFrame, shared: DataFrame, n: int) -> DataFrame:
@@ -84,7 +87,7 @@ def _sieved(rows: DataFrame, shared: DataFrame, n: int) -> DataFrame:
             ids = b.column("set_id").take(pc.list_parent_indices(lists).filter(ok))
             yield pa.RecordBatch.from_arrays([ids, flat.filter(ok)], names=["set_id", "signature"])
 
-    return rows.select("set_id", "signatures").mapInArrow(run, "set_id long, signature long")
+    return rows.select("set_id", "signatures").mapInArrow(tidy(run), "set_id long, signature long")
 
 
 def _common(a: bytes, b: bytes) -> tuple[int, int]:
@@ -96,33 +99,38 @@ def _common(a: bytes, b: bytes) -> tuple[int, int]:
     return both, len(z) - both
 
 
-def _verified(pairs: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: those that their parities leave, compared in full."""
-    s = lambda k, c: shingles.select(F.col("set_id").alias(k), F.col(c).alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+def _kept(pairs: DataFrame, sets: DataFrame, column: str, num: int, den: int, test) -> DataFrame:
+    """The pairs (a, b) whose sizes allow it and whose `column` of `sets` passes `test`."""
+    side = lambda k: sets.select(F.col("set_id").alias(k), F.col(column).alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+
+    def run(batches):
+        for t in batches:
+            ok = [test(x.as_buffer(), y.as_buffer(), m, n) for x, y, m, n in zip(t.column("sa"), t.column("sb"), t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+
+    j = pairs.join(side("b"), "b").join(side("a"), "a")
+    j = j.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "sa", "sb", "na", "nb")
+    return j.mapInArrow(tidy(run), "a long, b long")
 
-    def keep(test):
-        def run(batches):
-            for t in batches:
-                a, b = t.column("a"), t.column("b")
-                ok = [test(x.as_buffer(), y.as_buffer(), m, n) for x, y, m, n in zip(t.column("sa"), t.column("sb"), t.column("na").to_pylist(), t.column("nb").to_pylist(), strict=True)]
-                ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([a.filter(ok), b.filter(ok)], names=["a", "b"])
 
-        return run
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parities do not rule out."""
 
-    def may_be(x, y, m, n):
+    def test(x, y, m, n):
         return least_difference(np.frombuffer(x, U64), np.frombuffer(y, U64)) * (den + num) <= (m + n) * (den - num)
 
-    def is_similar(x, y, m, n):
+    return _kept(pairs, sketches, "parity", num, den, test)
+
+
+def _similar(pairs: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by their shingles."""
+
+    def test(x, y, m, n):
         both, union = _common(x, y)
         return den * both >= num * union
 
-    def joined(p, c):
-        j = p.join(s("b", c), "b").join(s("a", c), "a")
-        return j.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b", "sa", "sb", "na", "nb")
-
-    few = joined(pairs, "parity").mapInArrow(keep(may_be), "a long, b long")
-    return joined(few, "shingles").mapInArrow(keep(is_similar), "a long, b long")
+    return _kept(pairs, shingles, "shingles", num, den, test)
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -203,7 +211,7 @@ def _crossing(groups: DataFrame, shingles: DataFrame, num: int, den: int) -> Dat
     def table(out):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["signature", "a", "b"])
 
-    return g.mapInArrow(run, "signature long, a long, b long")
+    return g.mapInArrow(tidy(run), "signature long, a long, b long")
 
 
 def _crossing_large(groups: DataFrame, shingles: DataFrame, num: int, den: int) -> DataFrame:
@@ -237,57 +245,103 @@ def _crossing_large(groups: DataFrame, shingles: DataFrame, num: int, den: int)
     return g.groupBy("signature", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) -> DataFrame:
-    """(_id, text_hash, n_shingles, set_id, root) of each row; sets of one component have one root."""
-    num, den = similarity
-    stage = Stage(docs.sparkSession, "jaccard")
-    rows = stage.put(_signed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), shingle, num, den), "rows")
+def _shared(rows: DataFrame, stage: Stage) -> DataFrame:
+    """(signature, set_id) for all signatures that several sets of `rows` have."""
     each = rows.select("set_id", F.explode("signatures").alias("signature"))
     # slice by slice, so that the shuffle files of one are gone before the next begins
     slices = [f"shared{k}" for k in range(SLICES)]
     for k, name in enumerate(slices):
         own = each.where(F.col("signature").bitwiseAND(F.lit(SLICES - 1)) == k).groupBy("signature")
-        part = stage.put(own.agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("signature", "a"), name)
+        part = stage.put(own.agg(F.min("set_id").alias("a"), F.max("set_id").alias("z")).where("a < z").select("signature"), name)
         shared = shared.unionByName(part) if k else part
-    n_shared = shared.count()
-    few = F.broadcast(shared) if n_shared <= BROADCAST_ROWS else shared
-    members = stage.put(_sieved(rows, shared, n_shared).join(few, "signature").select("signature", "set_id", "a").distinct(), "members")
-    rows = stage.put(rows.drop("signatures"), "sets")
-    stage.drop("rows", *slices)
-
-    hash_of = rows.where("set_id is not null").groupBy("set_id").agg(F.min("text_hash").alias("text_hash"))
-    wanted = stage.put(members.select("set_id").distinct().join(hash_of, "set_id").select("text_hash"), "wanted")
-    n_wanted = wanted.count()
-    texts = docs.select(F.col(text_col).alias("_text")).where(F.col(text_col).isNotNull()).withColumn("text_hash", F.xxhash64("_text"))
-    texts = texts.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "text_hash", "left_semi")
-    texts = texts.groupBy("text_hash").agg(F.first("_text").alias("_text"))
+    n = shared.count()
+    few = F.broadcast(shared) if n <= BROADCAST_ROWS else shared
+    members = stage.put(_sieved(rows, shared, n).join(few, "signature").select("signature", "set_id").distinct(), "common")
+    stage.drop(*slices)
+    # how much a set has in common with others
+    degree = members.groupBy("set_id").agg(F.count("*").alias("degree"))
+    members = stage.put(members.join(degree, "set_id"), "members")
+    stage.drop("common")
+    return members
 
-    def make():
-        def f(batch):
-            x = list(sets(batch.column("_text"), shingle))
-            odd = pa.array([parity(s).tobytes() for s in x], pa.binary())
-            return [pa.array([set_hash(s) for s in x], pa.int64()), pa.array([len(s) for s in x], pa.int64()), pa.array([s.tobytes() for s in x], pa.binary()), odd]
 
-        return f
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of the sets of each group of `members` (signature, set_id, degree) with its centre.
+
+    The centre is the set of greatest degree, of those for which `may_be_centre` holds if there is such a column.
+    """
+    centre = F.struct("degree", "set_id")
+    centre = F.max(F.when(F.col("may_be_centre"), centre) if "may_be_centre" in members.columns else centre)
+    centres = members.groupBy("signature").agg(centre.getField("set_id").alias("centre"))
+    pairs = members.join(centres, "signature").where("set_id != centre")
+    return pairs.select(F.least("set_id", "centre").alias("a"), F.greatest("set_id", "centre").alias("b")).distinct()
 
-    shingles = stage.put(append(texts, make, "set_id long, n long, shingles binary, parity binary", drop=("_text",)).drop("text_hash"), "shingles")
-
-    pairs = members.where("a != set_id").select("a", F.col("set_id").alias("b")).distinct()
-    links = stage.put(_verified(pairs, shingles, num, den), "links")
-    label = components(links, stage, "first")
-    labelled = members.join(label.select(F.col("vertex").alias("set_id"), "root"), "set_id", "left").select("signature", "set_id", F.coalesce("root", "set_id").alias("label"))
-    labelled = stage.put(labelled, "labelled")
-    counted = stage.put(_open(labelled), "open")
-    crossing = stage.put(_crossing(counted, shingles, num, den), "crossing")
-    untested = crossing.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    crowds = crossing.where("a is null").select("signature").distinct()
-    more = _verified(untested, shingles, num, den).unionByName(_crossing_large(counted.join(crowds, "signature", "left_semi"), shingles, num, den))
-    more = stage.put(more, "more")
+
+def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) -> DataFrame:
+    """(_id, text_hash, n_shingles, set_id, root) of each row; sets of one component have one root."""
+    num, den = similarity
+    stage = Stage(docs.sparkSession, "jaccard")
+    rows = stage.put(_signed(docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")), shingle, num, den), "rows")
+    members = _shared(rows, stage)
+    in_groups = members.select("set_id").distinct()
+    of = rows.where("set_id is not null").join(in_groups, "set_id", "left_semi")
+    sketches = stage.put(of.groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("parity").alias("parity"), F.min("text_hash").alias("text_hash")), "sketches")
+    rows = stage.put(rows.drop("signatures", "parity"), "sets")
+    stage.drop("rows")
+
+    def shingles_of(ids: DataFrame, name: str) -> DataFrame:
+        """(set_id, n, shingles) of the sets `ids`, computed again from one text each."""
+        wanted = stage.put(sketches.join(ids, "set_id", "left_semi").select("text_hash"), f"{name}-wanted")
+        texts = docs.select(column(text_col).alias("_text")).where("_text is not null").withColumn("text_hash", F.xxhash64("_text"))
+        texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "text_hash", "left_semi")
+        texts = texts.groupBy("text_hash").agg(F.first("_text").alias("_text"))
+
+        def make():
+            def f(column):
+                x = list(sets(column, shingle))
+                return [pa.array([set_hash(s) for s in x], pa.int64()), pa.array([len(s) for s in x], pa.int64()), pa.array([s.tobytes() for s in x], pa.binary())]
+
+            return f
+
+        return stage.put(append(texts, "_text", make, "set_id long, n long, shingles binary", drop=("_text", "text_hash")), name)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The similar ones of some pairs (a, b)."""
+        maybe = stage.put(_possible(pairs, sketches, num, den), f"{name}-maybe")
+        shingles = shingles_of(ends(maybe), f"{name}-shingles")
+        links = stage.put(_similar(maybe, shingles, num, den), name)
+        stage.drop(f"{name}-maybe", f"{name}-wanted", f"{name}-shingles")
+        return links
+
+    def labels(links: DataFrame, name: str) -> DataFrame:
+        """`members` with the component of each set."""
+        label = components(links, stage, name).select(F.col("vertex").alias("set_id"), "root")
+        return stage.put(members.join(label, "set_id", "left").select("signature", "set_id", "degree", F.coalesce("root", "set_id").alias("label")), f"{name}-labels")
+
+    first = stage.put(_stars(members), "first-pairs")
+    links = linked(first, "first")
+    labelled = labels(links, "one")
+    # groups of several components: their next centre lies outside the component of the first
+    tops = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("degree", "set_id", "label")).getField("label").alias("top")).where("x < y")
+    again = labelled.join(tops.select("signature", "top"), "signature").withColumn("may_be_centre", F.col("label") != F.col("top"))
+    second = stage.put(_stars(again).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    links = links.unionByName(linked(second, "second"))
+    tested = first.unionByName(second)
+    labelled = labels(links, "two")
+    counted = stage.put(_open(labelled.drop("degree")), "open")
+    crossing = stage.put(_crossing(counted, sketches, num, den), "crossing")
+    untested = crossing.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    crowds = stage.put(counted.join(crossing.where("a is null").select("signature").distinct(), "signature", "left_semi"), "crowds")
+    shingles = shingles_of(ends(untested).unionByName(crowds.select("set_id")).distinct(), "last-shingles")
+    more = stage.put(_similar(untested, shingles, num, den).unionByName(_crossing_large(crowds, shingles, num, den)), "more")
     if stats is not None:
-        stats |= {"rows": rows.count(), "members": members.count(), "wanted": n_wanted, "pairs": pairs.count(), "links": links.count(), "open": counted.count(), "open_groups": counted.select("signature").distinct().count(), "more": more.count(), "largest": counted.agg(F.max("k")).first()[0]}
-    label = components(links.unionByName(more), stage, "second")
+        stats |= {"rows": rows.count(), "members": members.count(), "sets": sketches.count(), "pairs": first.count(), "second": second.count(), "links": links.count(), "open": counted.count(), "open_groups": counted.select("signature").distinct().count(), "untested": untested.count(), "crowds": crowds.count(), "more": more.count(), "largest": counted.agg(F.max("k")).first()[0]}
+    label = components(links.unionByName(more), stage, "all")
 
-    stage.drop("members", "wanted", "shingles", "links", "labelled", "open", "crossing", "more")
+    stage.drop("members", "sketches", "first-pairs", "first", "one-labels", "second-pairs", "second", "two-labels", "open", "crossing", "crowds", "last-shingles-wanted", "last-shingles", "more")
     root = rows.join(label, F.col("set_id") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "set_id"))
     return root.select("_id", "text_hash", "n_shingles", "set_id", "root")
 
@@ -297,8 +351,9 @@ def join_components(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 
     Rows link when den * |intersection| >= num * |union| for similarity (num, den) of at least 4/5. Rows of one set are
     linked; a null text and one without words have an empty set and are linked with nothing. A null id is a row whose
-    component has the least id of the others, or null. Rows of equal id stay apart. Sets and shingles are told apart by
-    64-bit hashes.
+    component has the least id of the others, or null. Rows of equal id stay apart. An empty table gives an empty one.
+    Other columns of `docs`, whatever their names, are not read. Long texts are shingled in parts; a task holds the word
+    hashes of its longest text. Sets and shingles are told apart by 64-bit hashes.
     """
     rows = _connected(docs, id_col, text_col, shingle, similarity, stats)
     # a written table, so that a component that holds a third of all rows can be split in the join
@@ -310,7 +365,10 @@ def join_components(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3, similarity=(90, 100)) -> DataFrame:
     """`docs` with one row of each component: that of the least id, then text hash. Rows with an empty set all stay.
 
-    The rows to go are fewer than those to stay, and texts are not shuffled while the former's keys may be broadcast.
+    A null id comes after all others. Of rows that agree in id and text one stays; which one's other columns are kept is
+    not defined. An empty table gives an empty one. The columns of `docs` may have any names. Long texts are shingled in
+    parts; a task holds the word hashes of its longest text. The rows to go are fewer than those to stay, and texts are
+    not shuffled while the former's keys may be broadcast.
     """
     stage = Stage(docs.sparkSession, "one")
     rows = _connected(docs, id_col, text_col, shingle, similarity, None).where("root is not null")
@@ -320,9 +378,10 @@ def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=3,
     keys = stage.put(keys.join(first, "root").withColumn("stays", F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("text_hash") == F.col("first.text_hash"))), "keys")
     marked = keys.where("not stays or times > 1").select("_id", F.col("text_hash").alias("_hash"), "stays")
     few = marked.count() <= BROADCAST_ROWS
-    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    # the rows themselves are one column, so that no name of theirs can be mistaken for one of these
+    own = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("hash"), column(text_col).isNotNull().alias("has_text"))
     side = F.broadcast(marked) if few else marked
-    joined = own.join(side, own[id_col].eqNullSafe(side["_id"]) & (own["_text_hash"] == side["_hash"]) & own[text_col].isNotNull(), "left")
-    once = joined.where("stays is null").select(*docs.columns)
-    repeated = joined.where("stays").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    joined = own.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & F.col("has_text"), "left")
+    once = joined.where("stays is null").select("row.*")
+    repeated = joined.where("stays").dropDuplicates(["_id", "_hash"]).select("row.*")
     return once.unionByName(repeated)

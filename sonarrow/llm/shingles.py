@@ -22,10 +22,17 @@ def _joined(h: np.ndarray, size: int) -> np.ndarray:
 
 def sets(column, size: int) -> Iterator[np.ndarray]:
     """The distinct `size`-word shingles of each text, ascending; a text of fewer words has its whole sequence as one."""
-    for s in slices(column):
+    before: list[np.ndarray] = []  # word hashes of the parts of a long text
+    for s in slices(column, parts=True):
         s = s.lower()
         begins, ends, n = spans(s)
         h = hashes(s.data, begins, ends)
+        if s.more:
+            before.append(h)
+            continue
+        if before:
+            h, before = np.concatenate([*before, h]), []
+            n = np.array([len(h)])
         runs = _joined(h, size) if len(h) >= size else None
         at = np.concatenate([[0], np.cumsum(n)]).tolist()
         for a, b in zip(at[:-1], at[1:], strict=True):

@@ -125,3 +125,38 @@ def test_signatures_miss_nothing(num):
             similar += 1
             assert len(np.intersect1d(sign(x), sign(y)))
     assert similar > 500
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Names used inside do not matter, and a text of several parts has the shingles of the whole."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(330_000))
+    rows = [(1, long, 7, 7, 7, 7, 7), (2, long + " tail", 7, 7, 7, 7, 7), (3, "a b c d e f", 7, 7, 7, 7, 7), (3, "a b c d e f", 7, 7, 7, 7, 7), (None, None, 7, 7, 7, 7, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, stays int, Row int, hash int, _id int, id int")
+    kept = jaccard.one_of_each(d)
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    n = len(shingle_sets([long], 3)[0])
+    assert {r.n_shingles for r in jaccard.join_components(d.where("doc_id < 3")).collect()} == {n, n + 1}
+
+
+def test_families_of_templates(spark):
+    """Near-template texts whose similarity lies under the bound: nothing links, and few pairs are sent whole."""
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(300)]
+    pairs = {}
+    for n in (60, 120):
+        texts = []
+        for k in range(n):
+            w = list(base)
+            for i in rng.sample(range(0, 300, 6), 15):
+                w[i] = f"u{k}x{i}"
+            texts.append(" ".join(w))
+        stats: dict = {}
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = jaccard.join_components(d, stats=stats).collect()
+        sets = shingle_sets(texts, 3)
+        r = roots(sets, Fraction(9, 10))
+        least = {k: min(j for j in range(n) if r[j] == k) for k in set(r)}
+        assert {x.doc_id: x.component_id for x in got} == {i: least[r[i]] for i in range(n)}
+        pairs[n] = stats["untested"] + stats["pairs"] + stats["second"]
+    assert pairs[120] <= 2**1.3 * max(pairs[60], 1) + 100
