@@ -1,14 +1,19 @@
 """Language-model scoring by class-based n-grams, and by a smoothed unigram as the base.
 
-P(w_i | w_{i-1}) = P(class_i | class_{i-1}) * P(w_i | class_i). Classes come from exchange clustering of units: each of the
-most frequent words is a unit, and the rarer words are bundled by their last two bytes. Counts are of all training text:
+P(w_i | w_{i-1}) = P(class_i | class_{i-1}) * P(w_i | class_i). Every word of the training text gets its class by exchange:
 
 1. every word's count, as a table by word hash in the shared folder; its size grows with the text;
-2. bigrams of units (`UNITS` squared numbers at most), from which classes and transitions are made on the driver;
-3. scores: words among the `HEAD` most frequent are looked up in the task, the others are joined with the table of counts.
-
-Transitions are smoothed by the classes' shares, emissions like the base: (c + 0.5) / (tokens + 0.5 (words + 1)), where
-the last one is for all unseen words of a class.
+2. the `FREQUENT` most frequent words are exchanged until none moves, on the driver, over their bigrams; all other words
+   are one more unit there, in a class of its own;
+3. `ROUNDS` rounds of distributed exchange: a pass counts, for each further word, the classes of its neighbours, and each
+   word goes to the class of greatest gain while the others stay. Neighbours that are not among the `HEAD` most frequent
+   words count as of the class of all others, whose words are never moved into it;
+4. a last pass counts class bigrams, those of words beyond the head included;
+5. scores: words of the head are looked up in the task, the others are joined with the table of counts and classes.
+
+Transitions are smoothed by the classes' shares, emissions like the base: (c + 0.5) / (tokens + 0.5 (words + 1)) in a
+class, the last one for all unseen words. An unseen word has no class: its probability is summed over classes, and what
+follows it is told by the classes' shares.
 """
 
 from __future__ import annotations
@@ -17,31 +22,42 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import append
-from .brown import exchange
+from .arrow import append, column, others, tidy
+from .brown import exchange, gains
 from .staging import Stage
 from .words import U64, hashes, slices, spans
 
-#: Words looked up in tasks; units: the end, frequent words, bundles; classes; weight of the classes' shares.
-HEAD, FREQUENT, BUNDLES, CLASSES, SMOOTH = 1 << 18, 767, 256, 64, 20.0
-UNITS = 1 + FREQUENT + BUNDLES
-#: The hash that stands for the end of a text, and the bins per doubling in which word counts are looked through.
-END, BINS = 0x656E64, 64
-#: Counts that a task holds before it hands them on.
-HELD = 2_000_000
-
-
-def _tokens(column):
-    """For each slice: word hashes, each word's bundle, and how many words each text has."""
-    for s in slices(column):
+#: Words looked up in tasks; words exchanged on the driver; classes, the first of which is the end's; weight of the classes' shares.
+HEAD, FREQUENT, CLASSES, SMOOTH = 1 << 18, 1022, 64, 20.0
+#: Rounds of exchange over all further words.
+ROUNDS = 2
+#: Of neighbours: the class of words that have none yet or are not looked up; of words: not seen in training.
+REST = UNSEEN = CLASSES
+#: Slots of a word's context: what follows it by class, what stands before it by class, itself.
+BEFORE, OWN, SLOTS = CLASSES + 1, 2 * (CLASSES + 1), 2 * (CLASSES + 1) + 1
+#: The hashes that stand for the end of a text and for class bigrams, and the bins per doubling in which counts are looked through.
+END, GRID, BINS = 0x656E64, 0x67726964, 64
+#: Rows that a task holds before it hands them on.
+HELD = 1_000_000
+
+
+def _tokens(texts):
+    """For some texts at a time: the word hashes of all, and how many each text has. Long texts are read in parts."""
+    before: list[np.ndarray] = []
+    for s in slices(texts, parts=True):
         s = s.lower()
         begins, ends, n = spans(s)
-        last, before = s.data[ends - 1].astype(np.int64), np.where(ends - begins > 1, s.data[np.maximum(ends - 2, 0)], 0)
-        bundle = (last * 251 + before) * 40503 % 65536 >> 8
-        yield hashes(s.data, begins, ends), bundle.astype(np.int16), n
+        h = hashes(s.data, begins, ends)
+        if s.more:
+            before.append(h)
+            continue
+        if before:
+            h, before = np.concatenate([*before, h]), []
+            n = np.array([len(h)])
+        yield h, n
 
 
 def _with_ends(x: np.ndarray, n: np.ndarray, end) -> np.ndarray:
@@ -53,53 +69,80 @@ def _with_ends(x: np.ndarray, n: np.ndarray, end) -> np.ndarray:
     return out
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, bundle, c) of all texts of `docs` (_text): hashes, with the end as a word of its own."""
+def _summed(docs: DataFrame, count, other: bool = False) -> DataFrame:
+    """Rows (word, slot, n), or (word, slot, other, n), that `count()` finds in the texts of `docs` (_text), added up in the tasks and then over all."""
+    keys = {"word": pa.int64(), "slot": pa.int16(), **({"other": pa.int64()} if other else {})}
 
     def run(batches):
-        held: list = []
+        found = count()
+        held: list[tuple] = []
+        size = 0
 
         def merged():
-            h, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            return u, b[first], np.bincount(inverse, c).astype(np.int64)
-
-        def out(h, b, c):
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(b, pa.int16()), pa.array(c)], names=["word", "bundle", "c"])
-
-        for t in batches:
-            for h, b, n in _tokens(t.column("_text")):
-                u, first, c = np.unique(np.append(h, U64(END)), return_index=True, return_counts=True)
-                c[np.searchsorted(u, U64(END))] = len(n)
-                held.append((u, np.append(b, np.int16(-1))[first], c))
-                if sum(len(x[0]) for x in held) > HELD:
+            *key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort(key[::-1])
+            key = [k[order] for k in key]
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for k in key:
+                new[1:] |= k[1:] != k[:-1]
+            first = np.flatnonzero(new)
+            return *(k[first] for k in key), np.add.reduceat(n[order], first) if len(first) else n
+
+        def out(*x):
+            return pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64) if v.dtype == U64 else v, t) for v, t in zip(x, keys.values(), strict=False)), pa.array(x[-1], pa.int64())], names=[*keys, "n"])
+
+        for b in batches:
+            for part in found(b.column("_text")):
+                held.append(part)
+                size += len(part[0])
+                if size > HELD:
                     held = [merged()]
-                    if len(held[0][0]) > HELD // 2:
+                    size = len(held[0][0])
+                    if size > HELD // 2:
                         yield out(*held[0])
-                        held = []
+                        held, size = [], 0
         if held:
             yield out(*merged())
 
-    return docs.select("_text").mapInArrow(run, "word long, bundle short, c long").groupBy("word", "bundle").agg(F.sum("c").alias("c"))
+    ddl = ", ".join(f"{k} {'short' if t == pa.int16() else 'long'}" for k, t in keys.items()) + ", n long"
+    return docs.select("_text").mapInArrow(tidy(run), ddl).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _counted(word: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (word, slot) pairs and how often each is there."""
+    u, inverse = np.unique(word, return_inverse=True)
+    pair, n = np.unique(inverse * SLOTS + slot, return_counts=True)
+    return u[pair // SLOTS], (pair % SLOTS).astype(np.int16), n
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, c) of all texts of `docs` (_text): hashes, with the end as a word of its own."""
+
+    def count():
+        def f(texts):
+            for h, n in _tokens(texts):
+                u, c = np.unique(h, return_counts=True)
+                yield np.append(u, U64(END)), np.zeros(len(u) + 1, np.int16), np.append(c, len(n))
+
+        return f
+
+    return _summed(docs, count).select("word", F.col("n").alias("c"))
 
 
 @dataclass
 class Model:
-    """What scoring needs in every task; sizes are bounded by HEAD, UNITS and CLASSES."""
+    """What scoring needs in every task; sizes are bounded by HEAD and CLASSES."""
 
     words: np.ndarray  # the head's hashes, ascending
     counts: np.ndarray  # their counts
-    units: np.ndarray  # their units, or -1: by bundle
-    classes: np.ndarray  # of each unit
-    transition: np.ndarray  # log10, from class to class
-    share: np.ndarray  # log10 of the denominator of a class's emissions
+    classes: np.ndarray  # their classes; REST: none yet
+    frequent: np.ndarray  # whether they are the end or exchanged on the driver
     tokens: int
     distinct: int
-
-
-def _units(m: Model, at: np.ndarray, found: np.ndarray, bundle: np.ndarray) -> np.ndarray:
-    own = np.where(found, m.units[at], -1) if len(m.units) else np.full(len(at), -1)
-    return np.where(own >= 0, own, 1 + FREQUENT + bundle)
+    transition: np.ndarray | None = None  # log10, from class to class; the last row is for after an unseen word
+    share: np.ndarray | None = None  # log10 of the denominator of a class's emissions
+    unseen: np.ndarray | None = None  # log10 of the probability of an unseen word after each class
 
 
 def _look(m: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,126 +153,249 @@ def _look(m: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit_pairs(docs: DataFrame, m: Model) -> DataFrame:
-    """(pair, n): counts of unit after unit, as first * UNITS + second, a text beginning after an end."""
-    held = docs.sparkSession.sparkContext.broadcast(m)
+    """(pair, n): counts of unit after unit, as first * units + second; a text begins after an end, unit 0.
+
+    Frequent words are units by place in the head, all other words are the last unit.
+    """
+    number = np.cumsum(m.frequent & (m.words != U64(END)))
+    unit = np.where(m.frequent, np.where(m.words == U64(END), 0, number), FREQUENT + 1).astype(np.int16)
+    units = FREQUENT + 2
+    held = docs.sparkSession.sparkContext.broadcast((m.words, unit))
 
     def run(batches):
-        model = held.value
-        total = np.zeros(UNITS * UNITS, np.int64)
+        words, unit = held.value
+        look = Model(words, words, words, words, 0, 0)
+        total = np.zeros(units * units, np.int64)
         for t in batches:
-            for h, b, n in _tokens(t.column("_text")):
-                u = _with_ends(_units(model, *_look(model, h), b), n, 0)
-                total += np.bincount(np.append(0, u[:-1]) * UNITS + u, minlength=UNITS * UNITS)
+            for h, n in _tokens(t.column("_text")):
+                at, found = _look(look, h)
+                u = _with_ends(np.where(found, unit[at], units - 1) if len(unit) else np.full(len(h), units - 1), n, 0).astype(np.int64)
+                pair, c = np.unique(np.append(0, u[:-1]) * units + u, return_counts=True)
+                total[pair] += c
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
-    return docs.select("_text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.select("_text").mapInArrow(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def contexts(docs: DataFrame, m: Model, beyond: bool) -> DataFrame:
+    """(word, slot, n): the neighbours by class of all words that are not frequent.
+
+    With `beyond`, (word, slot, other, n) of words beyond the head alone, and `other` is the word that follows where that
+    is one of them too. The word GRID has the class bigrams of all text, as pairs of slots.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((m.words, m.classes.astype(np.int16), m.frequent))
+
+    def count():
+        words, classes, frequent = held.value
+        look = Model(words, words, words, words, 0, 0)
+        none = lambda n: [np.zeros(n, np.int64)] if beyond else []
+
+        def f(texts):
+            for h, n in _tokens(texts):
+                at, found = _look(look, h)
+                c = np.where(found, classes[at], REST) if len(words) else np.full(len(h), REST)
+                wanted = ~found if beyond or not len(words) else ~(found & frequent[at])
+                h, c, wanted = _with_ends(h, n, U64(END)), _with_ends(c, n, 0).astype(np.int64), _with_ends(wanted, n, False)
+                before, last = np.append(U64(END), h[:-1]), np.append(0, c[:-1])
+                grid, k = np.unique(last * BEFORE + c, return_counts=True)
+                yield np.full(len(grid), U64(GRID)), grid.astype(np.int16), *none(len(grid)), k
+                same = before == h
+                w = np.flatnonzero(wanted)
+                into, out = w[~same[w]], w[~same[w + 1]] + 1  # an end is never wanted, so each has a next
+                if beyond:
+                    pairs = out[c[out] == REST]
+                    into, out = into[last[into] != REST], out[c[out] != REST]
+                    if len(pairs):
+                        yield h[pairs - 1], np.full(len(pairs), REST, np.int16), h[pairs].view(np.int64), np.ones(len(pairs), np.int64)
+                word, slot, k = _counted(np.concatenate([h[into], h[out - 1], h[w[same[w]]]]), np.concatenate([BEFORE + last[into], c[out], np.full(int(same[w].sum()), OWN)]))
+                yield word, slot, *none(len(word)), k
+
+        return f
+
+    return _summed(docs, count, other=beyond)
+
+
+def _grid(found: DataFrame) -> np.ndarray:
+    """The class bigrams of a table of contexts."""
+    rows = found.where(F.col("word") == GRID).select("slot", "n").toArrow()  # a cell of the grid each
+    grid = np.zeros(BEFORE * BEFORE)
+    grid[np.array(rows.column("slot"), np.int64)] = np.array(rows.column("n"))
+    return grid.reshape(BEFORE, BEFORE)
+
+
+def assigned(found: DataFrame, m: Model, grid: np.ndarray) -> DataFrame:
+    """(word, class): the class of greatest gain for each word of `found`; a word of the head leaves its own only for more."""
+    lists = found.where(F.col("word") != GRID).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("at"))  # SLOTS at most
+    held = found.sparkSession.sparkContext.broadcast((m.words, m.classes, grid))
+
+    def run(batches):
+        words, classes, grid = held.value
+        look = Model(words, words, words, words, 0, 0)
+        for b in batches:
+            word = b.column("word").to_numpy().view(U64)
+            lists = b.column("at")
+            to, cells = lists.offsets.to_numpy(), lists.values
+            slot, n = cells.field("slot").to_numpy().astype(np.int64), cells.field("n").to_numpy().astype(float)
+            best = np.zeros(len(word), np.int16)
+            for i in range(0, len(word), 2048):
+                j = min(i + 2048, len(word))
+                own = slice(to[i], to[j])
+                table = np.zeros((j - i, SLOTS))
+                table[np.repeat(np.arange(j - i), np.diff(to[i : j + 1])), slot[own]] = n[own]
+                at, known = _look(look, word[i:j])
+                now = np.where(known, classes[at], REST).astype(np.int64) if len(words) else np.full(j - i, REST)
+                g = gains(grid, table[:, :BEFORE], table[:, BEFORE:OWN], table[:, OWN], now)[:, 1:CLASSES]
+                top = g.argmax(1) + 1
+                stay = now != REST
+                mine = g[np.arange(j - i), np.where(stay, now - 1, 0)]
+                top[stay] = np.where(g.max(1) > mine + 1e-6 * np.abs(mine), top, now)[stay]
+                best[i:j] = top
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(best)], names=["word", "class"])
+
+    return lists.mapInArrow(tidy(run), "word long, class short")
+
+
+def _into_head(m: Model, classes: DataFrame) -> None:
+    """The classes of words of the head, HEAD rows at most, go into the model."""
+    head = classes.where("in_head").select("word", "class").toArrow()
+    at, found = _look(m, np.array(head.column("word"), np.int64).view(U64))
+    m.classes = m.classes.copy()
+    m.classes[at[found]] = np.array(head.column("class"))[found]
 
 
 def train(docs: DataFrame, stage: Stage) -> tuple[Model, DataFrame]:
-    """The model of all texts of `docs` (_text), and the table of word counts."""
+    """The model of all texts of `docs` (_text), and the table (word, c, class, in_head) of all its words."""
     counts = stage.put(word_counts(docs), "counts")
-    class_of = F.floor(F.log2(F.col("c").cast("double")) * BINS)
-    binned = counts.groupBy(class_of.alias("bin")).agg(F.count("*").alias("n")).collect()  # BINS for each doubling of a count
+    bin_of = F.floor(F.log2(F.col("c").cast("double")) * BINS)
+    binned = counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect()  # BINS for each doubling of a count
     least, room = None, HEAD
     for bin_, n in sorted(((r[0], r[1]) for r in binned), reverse=True):
         if n > room:
             break
         least, room = bin_, room - n
+    in_head = (bin_of >= (least if least is not None else 1 << 40)) | (F.col("word") == END)
     total = counts.groupBy().agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.where(class_of >= (least if least is not None else 1 << 40)).toArrow()  # HEAD rows at most
-    word, bundle, c = (np.array(head.column(x)) for x in ("word", "bundle", "c"))
-    word = word.view(U64)
+    head = counts.where(in_head).toArrow()  # HEAD rows and the end at most
+    word, c = np.array(head.column("word"), np.int64).view(U64), np.array(head.column("c"), np.int64)
     order = np.argsort(word)
-    word, bundle, c = word[order], bundle[order].astype(np.int64), c[order]
-    units = np.full(len(word), -1)
-    is_end = bundle < 0
-    units[is_end] = 0
-    frequent = np.lexsort((word, -c))
-    frequent = frequent[~is_end[frequent]][:FREQUENT]
-    units[frequent] = 1 + np.arange(len(frequent))
-    m = Model(word, c, units, np.zeros(UNITS, int), np.zeros((1, 1)), np.zeros(1), int(total[0]), int(total[1]))
+    word, c = word[order], c[order]
+    frequent = word == U64(END)
+    by_count = np.lexsort((word, -c))
+    frequent[by_count[~frequent[by_count]][:FREQUENT]] = True
+    m = Model(word, c, np.where(word == U64(END), 0, REST).astype(np.int16), frequent, int(total[0]), int(total[1]))
 
     got = unit_pairs(docs, m).toArrow()
-    pairs = np.zeros(UNITS * UNITS)
-    pairs[np.array(got.column("pair"))] = np.array(got.column("n"))
-    pairs = pairs.reshape(UNITS, UNITS)
-    fixed = np.full(UNITS, -1)
-    fixed[0] = 0  # the end is a class of its own
-    m.classes = exchange(pairs, CLASSES, fixed)
-
-    grid = np.zeros((CLASSES, CLASSES))
-    np.add.at(grid, (m.classes[:, None], m.classes[None, :]), pairs)
+    units = FREQUENT + 2
+    pairs = np.zeros(units * units)
+    pairs[np.array(got.column("pair"), np.int64)] = np.array(got.column("n"))
+    fixed = np.full(units, -1)
+    fixed[0], fixed[-1] = 0, REST
+    m.classes[frequent & (word != U64(END))] = exchange(pairs.reshape(units, units), CLASSES + 1, fixed)[1 : int(frequent.sum()) + 1 - int((word == U64(END)).sum())]
+
+    known = counts.select("word", "c", in_head.alias("in_head"))
+    for k in range(ROUNDS):
+        found = stage.put(contexts(docs, m, beyond=False), f"contexts{k}")
+        classes = stage.put(assigned(found, m, _grid(found)).join(known, "word"), f"classes{k}")
+        _into_head(m, classes)
+        stage.drop(f"contexts{k}")
+
+    found = stage.put(contexts(docs, m, beyond=True), "beyond")
+    grid = _grid(found)
+    last = found.where(F.col("word") != GRID).join(classes.select("word", "class"), "word")
+    last = last.join(classes.select(F.col("word").alias("other"), F.col("class").cast("int").alias("next")), "other", "left").select("class", F.coalesce("next", "slot").alias("slot"), "n")
+    last = last.groupBy("slot", "class").agg(F.sum("n").alias("n")).toArrow()  # SLOTS x CLASSES at most
+    for slot, own, n in zip(*(x.to_pylist() for x in (last.column("slot"), last.column("class"), last.column("n"))), strict=True):
+        if slot < REST:
+            grid[own, slot] += n
+        elif slot == OWN:
+            grid[own, own] += n
+        else:
+            grid[slot - BEFORE, own] += n
+    grid = grid[:CLASSES, :CLASSES]
     arrived = grid.sum(0)
     part = (arrived + 0.5) / (arrived + 0.5).sum()
-    m.transition = np.log10((grid + SMOOTH * part[None, :]) / (grid.sum(1)[:, None] + SMOOTH))
-    # tokens and words of each class: of the units that are words, and of bundles less the words that have left them
-    bundles = np.zeros((BUNDLES, 2))
-    for b, n, k in counts.where("bundle >= 0").groupBy("bundle").agg(F.sum("c"), F.count("*")).collect():
-        bundles[b] = n, k
-    np.subtract.at(bundles, bundle[frequent], np.stack([c[frequent], np.ones(len(frequent))], axis=1))
+    transition = (grid + SMOOTH * part[None, :]) / (grid.sum(1)[:, None] + SMOOTH)
+    transition = np.concatenate([transition, part[None]])
     own = np.zeros((CLASSES, 2))
-    np.add.at(own, m.classes[1 : 1 + len(frequent)], np.stack([c[frequent], np.ones(len(frequent))], axis=1))
-    np.add.at(own, m.classes[1 + FREQUENT :], bundles)
-    own[0] += c[is_end].sum(), is_end.sum()
-    m.share = np.log10(own[:, 0] + 0.5 * (own[:, 1] + 1))
-    return m, counts
+    np.add.at(own, m.classes[frequent], np.stack([c[frequent], np.ones(int(frequent.sum()))], axis=1))
+    for k, n, words in classes.groupBy("class").agg(F.sum("c"), F.count("*")).collect():
+        own[k] += n, words
+    denominator = own[:, 0] + 0.5 * (own[:, 1] + 1)
+    m.transition, m.share, m.unseen = np.log10(transition), np.log10(denominator), np.log10(transition @ (0.5 / denominator))
+    return m, classes
+
+
+def _table(x: np.ndarray) -> Column:
+    """A matrix as one constant array, row by row."""
+    return F.split(F.lit(",".join(map(repr, x.ravel().tolist()))), ",").cast("array<double>")
 
 
-def score(docs: DataFrame, m: Model, counts: DataFrame, stage: Stage, *, text_col="text") -> DataFrame:
+def score(docs: DataFrame, m: Model, words: DataFrame, stage: Stage, *, text_col="text") -> DataFrame:
     """`docs` with n_tokens, n_known, base_score and score; see `lm_scores`."""
     held = docs.sparkSession.sparkContext.broadcast(m)
 
     def make():
         model = held.value
-        log_c = np.log10(model.counts + 0.5)
+        log_c = np.log10(model.counts + 0.5) if len(model.counts) else np.zeros(1)
+        classes = model.classes if len(model.classes) else np.zeros(1, np.int16)
+        at, found = _look(model, np.array([END], U64))
+        end_known = bool(found[0])
+        end_log = float(log_c[at[0]]) if end_known else float(np.log10(0.5))
 
-        def f(batch):
+        def f(texts):
             cols: list[list] = [[], [], [], []]
-            tail_words, tail_counts, tail_n = [], [], []
-            end_at, end_found = _look(model, np.array([END], U64))
-            end_log = log_c[end_at[0]] if end_found[0] else np.log10(0.5)
-            for h, b, n in _tokens(batch.column("_text")):
+            rare: list[tuple] = []
+            for h, n in _tokens(texts):
                 at, found = _look(model, h)
-                own = _with_ends(model.classes[_units(model, at, found, b)], n, model.classes[0])
-                link = model.transition[np.append(model.classes[0], own[:-1]), own] - model.share[own]
                 text = np.repeat(np.arange(len(n)), n)
-                seen = np.bincount(text, np.where(found, log_c[at] if len(log_c) else 0.0, 0.0), len(n)) + end_log
+                own = _with_ends(np.where(found, classes[at], -1).astype(np.int64), n, 0)
+                before = np.append(0, own[:-1])
+                both = (own >= 0) & (before >= 0)
+                link = np.where(own >= 0, -model.share[own], 0.0) + np.where(both, model.transition[before, own], 0.0)
                 first = np.cumsum(n + 1) - (n + 1)
                 cols[0].append(n + 1)
-                cols[1].append(np.bincount(text, found, len(n)).astype(np.int64) + int(end_found[0]))
-                cols[2].append(seen)
+                cols[1].append(np.bincount(text, found, len(n)).astype(np.int64) + end_known)
+                cols[2].append(np.bincount(text, np.where(found, log_c[at], 0.0), len(n)) + end_log)
                 cols[3].append(np.add.reduceat(link, first))
-                rare = ~found
-                t, w = text[rare], h[rare]
-                order = np.lexsort((w, t))
-                t, w = t[order], w[order]
-                new = np.flatnonzero((np.diff(t, prepend=-1) != 0) | np.append(True, w[1:] != w[:-1])[: len(w)])
-                tail_words.append(w[new].view(np.int64))
-                tail_counts.append(np.diff(np.append(new, len(w))))
-                tail_n.append(np.bincount(t[new], minlength=len(n)))
-            cat = lambda x, d: np.concatenate(x) if x else np.zeros(0, d)
-            at = pa.array(np.concatenate([[0], np.cumsum(cat(tail_n, np.int64))]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(cat(x, np.int64), pa.int64())) for x in (tail_words, tail_counts)]
+                w = np.flatnonzero(own < 0)  # with what stands before and after them, -1 if that is not of the head either
+                place = np.cumsum(_with_ends(np.ones(len(h), np.int64), n, 0)) - 1
+                rare.append((h[place[w]].view(np.int64), w - np.repeat(first, n + 1)[w], before[w], own[w + 1], np.bincount(text[place[w]], minlength=len(n))))
+            cat = lambda x, d: np.concatenate(x).astype(d) if x else np.zeros(0, d)
+            parts = [cat([r[k] for r in rare], np.int64) for k in range(5)]
+            at = pa.array(np.concatenate([[0], np.cumsum(parts[4])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x, t)) for x, t in zip(parts[:4], (pa.int64(), pa.int32(), pa.int16(), pa.int16()), strict=True)]
             return [pa.array(cat(c, d)) for c, d in zip(cols, (np.int64, np.int64, float, float), strict=True)] + lists
 
         return f
 
-    added = "_tokens long, _known long, _seen double, _links double, _rare array<long>, _times array<long>"
-    part = append(docs.withColumn("_text", F.col(text_col)), make, added, drop=("_text",)).drop(text_col).withColumn("_row", F.monotonically_increasing_id())
-    part = stage.put(part, "parts")
-    rare = part.select("_row", F.inline(F.arrays_zip(F.col("_rare").alias("word"), F.col("_times").alias("times"))))
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.join(counts.select("word", "c"), "word", "left").groupBy("_row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("_more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_also"))
-    words = F.col("_seen") + F.coalesce("_more", F.lit(0.0))
-    base = words - F.col("_tokens") * float(np.log10(m.tokens + 0.5 * (m.distinct + 1)))
-    return part.join(rare, "_row", "left").select(
-        *[x for x in docs.columns if x != text_col],
-        F.col("_tokens").alias("n_tokens"),
-        (F.col("_known") + F.coalesce("_also", F.lit(0))).alias("n_known"),
+    names = "n_tokens n_known train_tokens base_score score".split()
+    kept = docs.select(*map(column, others(docs, [*names, text_col])))
+    row = F.struct(*map(column, kept.columns)) if kept.columns else F.lit(0)
+    source = docs.select(row.alias("row"), column(text_col).alias("text"))  # names of `docs` cannot be mistaken for these
+    added = "tokens long, known long, seen double, links double, word array<long>, place array<int>, before array<short>, after array<short>"
+    part = stage.put(append(source, "text", make, added, drop=("text",)).withColumn("number", F.monotonically_increasing_id()), "parts")
+    rare = part.select("number", F.inline(F.arrays_zip("word", "place", "before", "after"))).join(words.where("not in_head").select("word", "c", "class"), "word", "left")
+    # an unseen word is of class UNSEEN; words beyond the head that follow one another meet in a window over their text
+    own = F.coalesce(F.col("class").cast("int"), F.lit(UNSEEN))
+    last = F.lag("own").over(Window.partitionBy("number").orderBy("place"))
+    rare = rare.withColumn("own", own).withColumn("from", F.when(F.col("before") >= 0, F.col("before").cast("int")).otherwise(last))
+    at = lambda table, i: F.element_at(table, (i + 1).cast("int"))
+    seen = F.col("own") < CLASSES
+    arrival = F.when(seen, at(_table(m.transition), F.col("from") * CLASSES + F.col("own")) + F.log10(F.col("c") + 0.5) - at(_table(m.share), F.col("own"))).otherwise(at(_table(m.unseen), F.col("from")))
+    departure = F.when(F.col("after") >= 0, at(_table(m.transition), F.col("own") * CLASSES + F.col("after"))).otherwise(0.0)
+    rare = rare.select("number", "c", (arrival + departure).alias("links"))
+    rare = rare.groupBy("number").agg(F.sum("links").alias("more_links"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.count("c").alias("also"))
+    rare = rare.withColumnRenamed("number", "_number")
+    words_sum = F.col("seen") + F.coalesce("more", F.lit(0.0))
+    base = words_sum - F.col("tokens") * float(np.log10(m.tokens + 0.5 * (m.distinct + 1)))
+    return part.join(rare, F.col("number") == F.col("_number"), "left").select(
+        *([F.col("row.*")] if kept.columns else []),
+        F.col("tokens").alias("n_tokens"),
+        (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(m.tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (words + F.col("_links")).alias("score"),
+        (F.col("seen") + F.col("links") + F.coalesce("more_links", F.lit(0.0))).alias("score"),
     )
 
 
@@ -237,8 +403,12 @@ def lm_scores(docs: DataFrame, train_if: Column, *, text_col="text") -> DataFram
     """`docs` without its texts, with n_tokens, n_known, train_tokens long and base_score, score double of each text.
 
     The model is of the rows for which `train_if` holds. Tokens are words and an end for each text; null texts are empty,
-    the end alone. Without training rows every token is unknown. Perplexity is 10 ** (-score / n_tokens).
+    the end alone. Rows are scored one by one: repeated ones get equal scores, and an empty table gives an empty one.
+    Without training rows every token is unknown. A computed column replaces one of `docs` with its name; other names do
+    not matter. Long texts are read in parts; a task holds the word hashes of its longest text. Perplexity is
+    10 ** (-score / n_tokens).
     """
     stage = Stage(docs.sparkSession, "lm")
-    model, counts = train(docs.where(train_if).select(F.col(text_col).alias("_text")), stage)
-    return score(docs, model, counts, stage, text_col=text_col)
+    model, words = train(docs.where(train_if).select(column(text_col).alias("_text")), stage)
+    stage.drop("counts", "beyond", *[f"classes{k}" for k in range(ROUNDS - 1)])
+    return score(docs, model, words, stage, text_col=text_col)

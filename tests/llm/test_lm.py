@@ -48,20 +48,93 @@ def test_scores(spark, monkeypatch, head):
     assert all(r.score < 0 for r in got)
 
 
-def test_class_model_is_a_distribution(spark):
-    """Over all words of the training text and one unseen word for each class, probabilities after any class sum to 1."""
+def trained(spark, rows):
     from sonarrow.llm.staging import Stage
 
-    d = spark.createDataFrame(corpus(), "doc_id long, text string").select(F.col("text").alias("_text"))
-    m, counts = lm.train(d, Stage(spark, "t"))
-    assert 10 ** m.transition.sum(axis=1).max() and np.allclose((10**m.transition).sum(axis=1), 1)
-    rows = counts.toPandas()
-    at, found = lm._look(m, rows.word.to_numpy().view(np.uint64))
-    assert found.all()
-    unit = np.where(rows.bundle < 0, 0, lm._units(m, at, found, rows.bundle.to_numpy().astype(int)))
-    own = m.classes[unit]
-    mass = np.bincount(own, (rows.c + 0.5) / 10 ** m.share[own], lm.CLASSES) + 0.5 / 10**m.share
-    assert np.allclose(mass, 1)
+    d = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("text").alias("_text"))
+    m, words = lm.train(d, Stage(spark, "t"))
+    found = {np.uint64(r.word % 2**64): (r.c, r["class"]) for r in words.collect()}
+    found |= {h: (int(c), int(k)) for h, c, k in zip(m.words, m.counts, m.classes, strict=True) if k != lm.REST}
+    return m, found
+
+
+def hashed(text):
+    import pyarrow as pa
+
+    ((h, _),) = lm._tokens(pa.array([text]))
+    return h
+
+
+@pytest.mark.parametrize("head", [None, 12])
+def test_class_scores(spark, monkeypatch, head):
+    """Scores against the model written out word by word; after any class the probabilities of all words and an unseen one sum to 1."""
+    if head:
+        monkeypatch.setattr(lm, "HEAD", head)
+        monkeypatch.setattr(lm, "FREQUENT", 6)
+    m, found = trained(spark, corpus())
+    assert len(found) == m.distinct and {k for _, k in found.values()} <= set(range(lm.CLASSES))
+    size = {k: sum(c for c, x in found.values() if x == k) for k in range(lm.CLASSES)}
+    words = {k: sum(x == k for _, x in found.values()) for k in range(lm.CLASSES)}
+    emit = lambda c, k: (c + 0.5) / (size[k] + 0.5 * (words[k] + 1))
+    after = 10**m.transition
+    unseen = [sum(after[p][k] * emit(0, k) for k in range(lm.CLASSES)) for p in range(lm.CLASSES + 1)]
+    for p in range(lm.CLASSES + 1):
+        assert sum(after[p][k] * emit(c, k) for c, k in found.values()) + unseen[p] == pytest.approx(1)
+    d = spark.createDataFrame(corpus(), "doc_id long, text string")
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.lm_scores(d, F.lit(True)).collect()}
+    extra = spark.createDataFrame([(1, "n1 nothing like it n2")], "doc_id long, text string")
+    from sonarrow.llm.staging import Stage
+
+    stage = Stage(spark, "t")
+    m2, table = lm.train(d.select(F.col("text").alias("_text")), stage)
+    got[1, 6] = lm.score(extra, m2, table, stage).first().score
+    for i, t in [*corpus()[:40], *corpus()[-7:], (1, "n1 nothing like it n2")]:
+        before, want = 0, 0.0
+        for w in [*(hashed(t) if tokens(t)[:-1] else []), np.uint64(lm.END)]:
+            c, k = found.get(w, (0, lm.UNSEEN))
+            want += math.log10(unseen[before] if k == lm.UNSEEN else after[before][k] * emit(c, k))
+            before = k
+        assert got[i, len(tokens(t))] == pytest.approx(want)
+
+
+def test_gains_are_differences_of_likelihood():
+    rng = np.random.default_rng(2)
+    n, k = 14, 4
+    pairs = rng.poisson(2.0, (n, n)).astype(float)
+    classes = rng.integers(0, k, n)
+    grid = np.zeros((k, k))
+    np.add.at(grid, (classes[:, None], classes[None, :]), pairs)
+    side = lambda x: np.stack([x[:, classes == c].sum(1) for c in range(k)], 1)
+    alone = pairs * (1 - np.eye(n))
+    got = brown.gains(grid, side(alone), side(alone.T), np.diag(pairs), classes)
+    for w in range(n):
+        likely = [brown.likelihood(pairs, np.where(np.arange(n) == w, c, classes), k) for c in range(k)]
+        assert np.allclose(got[w] - got[w].max(), np.array(likely) - max(likely), atol=1e-8)
+
+
+@pytest.mark.parametrize("head", [None, 30])
+def test_every_word_has_its_best_class(spark, monkeypatch, head):
+    """The class of each further word against the likelihood of the class bigrams, neighbours counted as the pass counts them."""
+    from sonarrow.llm.staging import Stage
+
+    monkeypatch.setattr(lm, "FREQUENT", 8)
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    if head:
+        monkeypatch.setattr(lm, "HEAD", head)
+    m, found = trained(spark, corpus())
+    text = [w for _, t in corpus() for w in [*(hashed(t) if tokens(t)[:-1] else []), np.uint64(lm.END)]]
+    frequent = {w: int(k) for w, k, f in zip(m.words, m.classes, m.frequent, strict=True) if f}
+    know = lambda w: frequent.get(w, lm.REST)
+    pairs = collections.Counter(zip([np.uint64(lm.END), *text[:-1]], text, strict=True))
+    for w in [w for w in found if w not in frequent][:25]:
+        best, gain = None, []
+        for k in range(1, lm.CLASSES):
+            g = np.zeros((lm.BEFORE, lm.BEFORE))
+            for (a, b), c in pairs.items():
+                g[k if a == w else know(a), k if b == w else know(b)] += c
+            gain.append((brown._f(g).sum() - brown._f(g.sum(0)).sum() - brown._f(g.sum(1)).sum()))
+        best = 1 + int(np.argmax(gain))
+        assert found[w][1] == best or gain[found[w][1] - 1] == pytest.approx(max(gain))
 
 
 def test_exchange():
