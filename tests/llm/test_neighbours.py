@@ -22,7 +22,7 @@ def brute(rows, k):
 
 
 def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SHARD", 300)
+    monkeypatch.setattr(neighbours, "MOST", 100)  # nine shards
     monkeypatch.setattr(neighbours, "QUERIES", 7)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, 12)) * rng.uniform(0.2, 3, (900, 1))
@@ -63,3 +63,18 @@ def test_flat_arrays():
         assert sorted(a.tolist()) == sorted(b.tolist())
     for row, links in g.layers:
         assert links.max() < 500 and ((row >= 0).sum() == len(links))
+
+
+def test_scores_are_of_the_original_vectors(spark):
+    """Doubles are not rounded to single precision, and components out of its range are searched all the same."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6)) * 1e39
+    x[40:] /= 1e39
+    d = spark.createDataFrame([(i, [float(v) for v in r], 7, 7) for i, r in enumerate(x)], "vec_id long, embedding array<double>, Shard int, queries int")
+    got = neighbours.nearest(d, F.col("vec_id") % 20 == 0).collect()
+    for q in (0, 20, 40):
+        s = x @ x[q]
+        want = [j for j in np.lexsort((np.arange(60), -s)) if j != q][:20]
+        own = {r["rank"]: r for r in got if r.query_id == q}
+        assert sorted(own) == list(range(1, 21)) and len({r.vec_id for r in own.values()} & {*map(int, want)}) >= 18
+        assert all(np.isfinite(r.score) and r.score == s[r.vec_id] or abs(r.score - s[r.vec_id]) <= 1e-12 * abs(s[r.vec_id]) for r in own.values())
