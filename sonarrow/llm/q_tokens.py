@@ -9,7 +9,7 @@ from .viterbi import count_tokens
 
 
 def op8_unigram_counts(spark, sf_dir):
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), drop=("text",))
 
 
 def op10_pack_sequences(spark, sf_dir):

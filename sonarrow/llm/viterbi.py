@@ -14,7 +14,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .arrow import append
 from .chunks import Memory
@@ -25,7 +24,7 @@ PENALTY = 10.0
 
 
 class Unigram:
-    """Best segmentation under {piece: score}. Exact while sums of scores are, as with the whole numbers of the file used."""
+    """Best segmentation under {piece: score}, with sums in double precision from the front, as the tokenizer has them."""
 
     def __init__(self, scores: dict[str, float], byte_fallback: bool = True):
         import ahocorasick
@@ -82,11 +81,7 @@ def _memory(path: str) -> tuple[Unigram, Memory]:
     if path not in _LOADED:
         model = load(path)
 
-        def solve(chunks):
-            # scores are whole numbers
-            return [(n, int(s)) for n, s in (model.solve(c.decode("utf-8", "replace").replace(" ", MARK)) for c in chunks)]
-
-        _LOADED[path] = model, Memory(solve)
+        _LOADED[path] = model, Memory(lambda chunks: [model.solve(c.decode("utf-8", "replace").replace(" ", MARK)) for c in chunks], np.float64)
     return _LOADED[path]
 
 
@@ -100,10 +95,12 @@ def _cut(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begins, np.append(begins[1:], len(s.data)), np.diff(np.searchsorted(begins, s.at))
 
 
-def count_tokens(docs: DataFrame, *, vocabulary: str | None = None, text_col="text") -> DataFrame:
-    """`docs` with n_tokens long and best_score long of each whole text; null and empty texts have 0 tokens and score 0.
+def count_tokens(docs: DataFrame, *, vocabulary: str | None = None, text_col="text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` without `drop`, with n_tokens long and best_score double of each whole text; null and empty texts have 0 tokens and score 0.
 
-    `vocabulary` is the path of a sentencepiece file with whole-number scores, on every executor.
+    `vocabulary` is the path of a sentencepiece file on every executor. Ties go as the tokenizer has them. A score is the
+    sum over the text's chunks. Equal texts get equal values, and an empty table gives an empty one. These columns replace
+    those of `docs` with their names; other names do not matter. A task holds some twenty times its longest text.
     """
     if vocabulary is None:
         import public_tokenizers
@@ -113,9 +110,9 @@ def count_tokens(docs: DataFrame, *, vocabulary: str | None = None, text_col="te
     def make():
         model, memory = _memory(vocabulary)
 
-        def f(batch):
-            tokens, best = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s in slices(batch.column("_text")):
+        def f(texts):
+            tokens, best = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for s in slices(texts):
                 n = np.diff(s.at)
                 full = n > 0
                 at = s.at + np.concatenate([[0], np.cumsum(full)])  # a space before each text
@@ -131,12 +128,11 @@ def count_tokens(docs: DataFrame, *, vocabulary: str | None = None, text_col="te
                 else:
                     begins, ends, per = at[:-1][full], at[1:][full], full.astype(np.int64)
                 v, _ = memory.flat(memory.look(data, begins, ends, hashes(data, begins, ends)))
-                to = np.concatenate([[0], np.cumsum(per)])
-                for out, x in ((tokens, v[0::2]), (best, v[1::2])):
-                    total = np.concatenate([[0], np.cumsum(x)])
-                    out.append(total[to[1:]] - total[to[:-1]])
+                text = np.repeat(np.arange(s.n), per)
+                tokens.append(np.bincount(text, v[0::2], s.n).astype(np.int64))
+                best.append(np.bincount(text, v[1::2], s.n))
             return [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(best))]
 
         return f
 
-    return append(docs.withColumn("_text", F.col(text_col)), make, "n_tokens long, best_score long", drop=("_text",))
+    return append(docs, text_col, make, "n_tokens long, best_score double", drop)

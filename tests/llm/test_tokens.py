@@ -96,5 +96,49 @@ def test_count(spark):
     assert len(got) == len(rows)
     for r in got:
         n, s = u.solve("▁" + r.text.replace(" ", "▁")) if r.text else (0, 0)
-        assert (r.n_tokens, r.best_score) == (n, s)
+        assert (r.n_tokens, r.best_score) == (n, s) and isinstance(r.best_score, float)
     assert viterbi.count_tokens(d.where("doc_id = -1")).count() == 0
+    clash = spark.createDataFrame([("ab cd", 7, 7)], "text string, N_TOKENS int, best_score int")
+    assert viterbi.count_tokens(clash).columns == ["text", "n_tokens", "best_score"]
+
+
+def test_fractional_scores(spark, monkeypatch):
+    """Scores that are no whole numbers, against all ways to cut a text into pieces."""
+    scores = {"\u2581a": -1.25, "\u2581": -2.5, "a": -1.75, "b": -2.125, "ab": -3.0625, "\u2581ab": -3.5, "bb": -2.75}
+    u = viterbi.Unigram(scores, byte_fallback=False)
+    monkeypatch.setitem(viterbi._LOADED, "fractions", (u, viterbi.Memory(lambda chunks: [u.solve(c.decode().replace(" ", "\u2581")) for c in chunks], np.float64)))
+
+    def best(s):
+        return max([0.0] if not s else [v + best(s[len(p) :]) for p, v in scores.items() if s.startswith(p)])
+
+    texts = ["ab", "abb ab", "bb aab", "", "a b"]
+    memory = viterbi._LOADED["fractions"][1]
+    for t in texts:
+        assert u.solve(("\u2581" + t.replace(" ", "\u2581")) if t else "")[1] == pytest.approx(best(("\u2581" + t.replace(" ", "\u2581")) if t else ""))
+    chunk = [b" ab", b" abb", b" ab"]
+    data = np.frombuffer(b"".join(chunk), np.uint8)
+    ends = np.cumsum([len(c) for c in chunk])
+    number = memory.look(data, ends - [len(c) for c in chunk], ends, np.array([1, 2, 1], np.uint64))
+    assert memory.flat(number)[0][1::2].tolist() == [best("\u2581ab"), best("\u2581abb"), best("\u2581ab")]
+
+
+def test_memory_is_bounded():
+    """What is dropped when the memory is full is computed again; values never depend on it."""
+    calls = []
+
+    def compute(chunks):
+        calls.append(len(chunks))
+        return [[len(c), *c] for c in chunks]
+
+    from sonarrow.llm.chunks import Memory
+
+    m, rng = Memory(compute, most_bytes=1 << 16), random.Random(5)
+    for _ in range(60):
+        chunks = [bytes(rng.choices(b"abcdefgh", k=rng.randrange(1, 6))) for _ in range(900)]
+        ends = np.cumsum([len(c) for c in chunks])
+        at = ends - [len(c) for c in chunks]
+        h = np.array([zlib.crc32(c) for c in chunks], np.uint64)
+        flat, n = m.flat(m.look(np.frombuffer(b"".join(chunks), np.uint8), at, ends, h))
+        assert flat.tolist() == [x for c in chunks for x in (len(c), *c)] and n.tolist() == [1 + len(c) for c in chunks]
+        assert m.bytes < 1 << 19
+    assert sum(calls) > m.n
