@@ -96,7 +96,8 @@ def _intervals(payload: np.ndarray) -> list[bytes]:
 
 def encode(payload: np.ndarray, lengths: list[int]) -> list[bytes]:
     """One stored form for each of the payloads that lie one after another in `payload`; lengths are multiples of 64."""
-    rows = _intervals(payload)
+    step = (ROWS + 1) * ACROSS  # rows are coded apart, so this bounds what is held beside the result
+    rows = [x for at in range(0, len(payload), step) for x in _intervals(payload[at : at + step])]
     out, k = [], 0
     for n in lengths:
         part = []
@@ -123,9 +124,48 @@ class Image:
         self.huffman: dict[tuple[int, int], tuple[tuple, tuple]] = {}
         self.scan: list[bytes] = []
 
+    @property
+    def bytes(self) -> int:
+        return sum(map(len, self.scan))
+
+    def units(self) -> tuple[int, int, list[int]]:
+        """How many coding units lie across and down, and which component each block of one belongs to."""
+        c = self.components
+        if len(c) == 1:
+            return -(-self.width // 8), -(-self.height // 8), [0]
+        h, v = max(x["h"] for x in c), max(x["v"] for x in c)
+        return -(-self.width // (8 * h)), -(-self.height // (8 * v)), [i for i, x in enumerate(c) for _ in range(x["h"] * x["v"])]
+
+    def check(self) -> None:
+        """Raises ValueError unless the scan can be decoded as far as the markers tell."""
+        if not self.width or not self.height or not self.scan:
+            raise ValueError("an image without frame, size or scan")
+        if not 1 <= len(self.components) <= 4 or any(not 1 <= x <= 4 for c in self.components for x in (c["h"], c["v"])):
+            raise ValueError("bad sampling factors")
+        for c in self.components:
+            if c["q"] not in self.quant or (0, c["dc"]) not in self.huffman or (1, c["ac"]) not in self.huffman:
+                raise ValueError("a table is missing")
+        across, down, order = self.units()
+        if 2 * across * down * len(order) > 8 * self.bytes:  # a block takes two bits at least
+            raise ValueError("the scan is too short for the image")
+        if len(self.scan) != -(-across * down // (self.restart or across * down)):
+            raise ValueError("intervals are missing")
+
 
 def parse(data: bytes) -> list[Image]:
     """The images of `data`, one after another. Raises ValueError for what is not baseline JPEG with one interleaved scan."""
+    try:
+        images = _parsed(data)
+    except IndexError:
+        raise ValueError("a segment is too short") from None
+    if not images:
+        raise ValueError("no image")
+    for im in images:
+        im.check()
+    return images
+
+
+def _parsed(data: bytes) -> list[Image]:
     images, at = [], 0
     while at < len(data):
         if data[at : at + 2] != b"\xff\xd8":
@@ -154,6 +194,8 @@ def parse(data: bytes) -> list[Image]:
                 while body:
                     counts = tuple(body[1:17])
                     k = 17 + sum(counts)
+                    if len(body) < k or sum(n << (16 - i) for i, n in enumerate(counts, 1)) > 1 << 16:
+                        raise ValueError("a Huffman table is too short or has too many codes")
                     im.huffman[body[0] >> 4, body[0] & 15] = counts, tuple(body[17:k])
                     body = body[k:]
             elif m in (0xC0, 0xC1):
@@ -184,14 +226,22 @@ def parse(data: bytes) -> list[Image]:
                     end += 1 + (data[end + 1] != 0xFF)
                 im.scan.append(data[cuts[-1] : end])
                 at = end
-        if not im.width or not im.scan:
-            raise ValueError("an image without frame or scan")
         images.append(im)
     return images
 
 
 def dc_planes(images: list[Image]) -> list[np.ndarray]:
-    """For each image the thumbnail of its first component: one 8-bit sample for each 8x8 block."""
+    """For each image the thumbnail of its first component: one 8-bit sample for each 8x8 block.
+
+    Raises ValueError if a scan is not what its tables and its image's size call for.
+    """
+    try:
+        return _dc_planes(images)
+    except IndexError:
+        raise ValueError("a scan is too short") from None
+
+
+def _dc_planes(images: list[Image]) -> list[np.ndarray]:
     tables: dict = {}
     lookups: list[np.ndarray] = []
 
@@ -206,13 +256,7 @@ def dc_planes(images: list[Image]) -> list[np.ndarray]:
     layouts: dict = {}
     layout_dc, layout_ac, layout_comp = [], [], []
     for im in images:
-        hs, vs = max(c["h"] for c in im.components), max(c["v"] for c in im.components)
-        if len(im.components) == 1:
-            across, down = -(-im.width // 8), -(-im.height // 8)
-            order = [0]
-        else:
-            across, down = -(-im.width // (8 * hs)), -(-im.height // (8 * vs))
-            order = [i for i, c in enumerate(im.components) for _ in range(c["h"] * c["v"])]
+        across, down, order = im.units()
         units = across * down
         each = im.restart or units
         key = tuple((i, table(im, 0, im.components[i]["dc"]), table(im, 1, im.components[i]["ac"])) for i in order)
@@ -221,8 +265,6 @@ def dc_planes(images: list[Image]) -> list[np.ndarray]:
             layout_dc.append([x[1] for x in key])
             layout_ac.append([x[2] for x in key])
             layout_comp.append([x[0] for x in key])
-        if len(im.scan) != -(-units // each):
-            raise ValueError("intervals are missing")
         plan.append((len(parts), across, down, order, each, units))
         for i, x in enumerate(im.scan):
             parts.append(x.replace(b"\xff\x00", b"\xff"))

@@ -8,7 +8,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import jpeg
 from .arrow import append
@@ -19,18 +18,22 @@ BLOCK = 1 << 20
 
 
 def store(docs: DataFrame, *, text_col="text", out="media") -> DataFrame:
-    """`docs` with each whole text (null: empty) as UTF-8, zero-padded to a positive multiple of 64, stored as JPEG."""
+    """`docs` with each whole text (null: empty) as UTF-8, zero-padded to a positive multiple of 64, stored as JPEG.
+
+    Equal texts give equal bytes, and an empty table an empty one. `out` replaces a column of `docs` with its name; other
+    names do not matter. A long text is coded image by image, so that a task holds a few times its bytes.
+    """
 
     def make():
-        def f(batch):
+        def f(texts):
             got = []
-            for s in slices(batch.column("_text"), BLOCK):
+            for s in slices(texts, BLOCK):
                 got += jpeg.encode(*_payload(s))
             return [pa.array(got, pa.binary())]
 
         return f
 
-    return append(docs.withColumn("_text", F.col(text_col)), make, f"{out} binary", drop=("_text",))
+    return append(docs, text_col, make, f"`{out}` binary")
 
 
 def _payload(s) -> tuple[np.ndarray, list[int]]:
@@ -44,49 +47,63 @@ def _payload(s) -> tuple[np.ndarray, list[int]]:
 
 
 def _read(media: list[bytes]) -> list[tuple[list, list]]:
-    """Images and thumbnails of each stored form; all are decoded in one go."""
+    """Images and thumbnails of each stored form; they are decoded some at a time."""
     images = [jpeg.parse(x) for x in media]
-    planes = iter(jpeg.dc_planes([im for own in images for im in own]))
-    return [(own, [next(planes) for _ in own]) for own in images]
+    every = [im for own in images for im in own]
+    planes: list = []
+    i = 0
+    while i < len(every):
+        j, size = i + 1, every[i].bytes
+        while j < len(every) and size + every[j].bytes <= BLOCK:
+            size += every[j].bytes
+            j += 1
+        planes += jpeg.dc_planes(every[i:j])
+        i = j
+    left = iter(planes)
+    return [(own, [next(left) for _ in own]) for own in images]
 
 
 def thumbnails(rows: DataFrame, *, media_col="media") -> DataFrame:
     """`rows` with width, height (of the first image), thumbnail (its DC luminance) and feature of each stored JPEG.
 
-    A null or unreadable value gives nulls, and error says why.
+    A null value gives nulls. One that is not whole baseline JPEG gives nulls too, and error says why; nothing is allocated
+    for images that their bytes cannot hold. Equal values give equal columns, and an empty table an empty one. These
+    columns replace those of `rows` with their names; other names do not matter.
     """
 
     def make():
-        def f(batch):
+        def f(media):
             out = []
-            for x in batch.column("_media").to_pylist():
+            for x in media.to_pylist():
                 if x is None:
                     out.append((None, None, None, None, None))
                     continue
                 try:
                     ((images, planes),) = _read([x])
                     out.append((images[0].width, images[0].height, planes[0].tobytes(), jpeg.feature(images, planes), None))
-                except (ValueError, KeyError, IndexError) as e:
+                except ValueError as e:
                     out.append((None, None, None, None, str(e)))
             cols = list(zip(*out, strict=True)) or [()] * 5
             return [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()), strict=True)]
 
         return f
 
-    return append(rows.withColumn("_media", F.col(media_col)), make, "width int, height int, thumbnail binary, feature string, error string", drop=("_media",))
+    return append(rows, media_col, make, "width int, height int, thumbnail binary, feature string, error string")
 
 
-def digests(docs: DataFrame, *, text_col="text") -> DataFrame:
-    """`docs` with what a stored payload yields when it is read back, without keeping the stored form itself.
+def digests(docs: DataFrame, *, text_col="text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` without `drop`, with what a stored payload yields when it is read back, without keeping the stored form itself.
 
     n_bytes and payload_bytes long, payload_sha256 string and tail_crc32 long of the bytes read back, media_bytes long and
-    media_sha256 string of the stored form, feature string. Equal texts give equal values.
+    media_sha256 string of the stored form, feature string. Null texts are empty. Equal texts give equal values, and an
+    empty table gives an empty one. These columns replace those of `docs` with their names; other names do not matter. A
+    long text is coded and read back image by image.
     """
 
     def make():
-        def f(batch):
+        def f(texts):
             out = []
-            for s in slices(batch.column("_text"), BLOCK):
+            for s in slices(texts, BLOCK):
                 media = jpeg.encode(*_payload(s))
                 for n, m, (images, planes) in zip(np.diff(s.at).tolist(), media, _read(media), strict=True):
                     back = b"".join(p.tobytes() for p in planes)
@@ -97,4 +114,4 @@ def digests(docs: DataFrame, *, text_col="text") -> DataFrame:
         return f
 
     columns = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return append(docs.withColumn("_text", F.col(text_col)), make, columns, drop=("_text",))
+    return append(docs, text_col, make, columns, drop)

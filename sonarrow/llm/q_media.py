@@ -6,7 +6,7 @@ from .media import digests
 
 
 def op3_jpeg_media(spark, sf_dir):
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), drop=("text",))
 
 
 QUERIES = {"op3_jpeg_media": op3_jpeg_media}

@@ -92,3 +92,42 @@ def test_general(comps, restart):
     assert (got == want).all()
     with pytest.raises(ValueError):
         jpeg.parse(data[:-2])
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Computed columns replace those of their names; a long text is stored as many images and read back whole."""
+    text = "".join(random.Random(2).choices("abcdefgh é", k=2_500_000))
+    d = spark.createDataFrame([(1, text, 7, 7), (2, None, 7, 7)], "doc_id long, text string, FEATURE string, _text int")
+    got = media.digests(d)
+    assert got.columns == ["doc_id", "text", "_text", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    r = got.where("doc_id = 1").first()
+    raw = text.encode()
+    assert r.payload_sha256 == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest() and r.n_bytes == len(raw)
+    (stored,) = jpeg.encode(np.frombuffer(raw + bytes(-len(raw) % 64), np.uint8), [len(raw) + (-len(raw) % 64)])
+    assert len(jpeg.parse(stored)) == -(-len(raw) // (64 * jpeg.ROWS)) and hashlib.sha256(stored).hexdigest() == r.media_sha256
+    clash = spark.createDataFrame([(b"none", 1, 1)], "media binary, Error int, width int")
+    assert media.thumbnails(clash).columns == ["media", "width", "height", "thumbnail", "feature", "error"]
+
+
+def test_any_bytes_are_read_or_refused():
+    """Damaged images give samples or a ValueError, never another error, and nothing their bytes cannot hold."""
+    rng = np.random.default_rng(9)
+    (good,) = jpeg.encode(rng.integers(0, 256, 640).astype(np.uint8), [640])
+    frame = good.index(b"\xff\xc0")
+    sizes = {"height": frame + 5, "width": frame + 7, "factors": frame + 11}
+    odd = [b"", b"\xff\xd8", b"\xff\xd8\xff\xd9", good[: frame + 4], good * 2]
+    for place, value in ((sizes["height"], b"\0\0"), (sizes["height"], b"\xff\xff"), (sizes["width"], b"\xff\xff"), (sizes["factors"], b"\0"), (sizes["factors"], b"\xff")):
+        odd.append(good[:place] + value + good[place + len(value) :])
+    for _ in range(400):
+        x = bytearray(good)
+        for _ in range(int(rng.integers(1, 4))):
+            x[int(rng.integers(0, len(x)))] = int(rng.integers(0, 256))
+        odd.append(bytes(x[: int(rng.integers(2, len(x) + 1))] if rng.random() < 0.3 else x))
+    refused = 0
+    for x in odd:
+        try:
+            images = jpeg.parse(x)
+            assert sum(p.size for p in jpeg.dc_planes(images)) <= 4 * len(x)
+        except ValueError:
+            refused += 1
+    assert 50 < refused < len(odd)
