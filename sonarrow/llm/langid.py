@@ -1,25 +1,28 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax, trained by SGD in numpy.
 
 Subwords are the runs of 3 and of 5 bytes of the lower-cased text, hashed into `BUCKETS` buckets. A text's vector is the
-average of its subwords' embeddings. Training sees about `PER_LANGUAGE` documents of each language, drawn by a hash of the
-id; a tenth of them sets the softmax temperature and the confidence under which a prediction is rejected. As average and
-softmax input are linear, scoring adds up rows of the product of embeddings and output weights.
+average of its subwords' embeddings. Training sees a bounded sample of labelled documents, drawn by a hash of the id; a
+third of them sets the softmax temperature and the confidence under which a prediction is rejected. As average and softmax
+input are linear, scoring adds up rows of the product of embeddings and output weights.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import append
-from .words import U64, slices
+from .arrow import append, column
+from .staging import Stage
+from .words import SLICE_BYTES, U64, Slice, slices
 
 BITS = 16
 BUCKETS = 1 << BITS
-#: Training documents of a language, about; the embeddings' width; passes of SGD.
-PER_LANGUAGE, WIDTH, PASSES = 1024, 16, 6
+#: Bounds of the training sample: about so many documents of each language, and bytes of subword counts of all.
+PER_LANGUAGE, SAMPLE_BYTES = 1024, 32 << 20
+#: The embeddings' width; passes of SGD; every how many documents one is set apart.
+WIDTH, PASSES, APART = 16, 6, 3
 #: The share of right predictions, on texts set apart, that calibrated rejection may cost.
 REJECTED = 0.001
 UNKNOWN = "und"
@@ -55,18 +58,32 @@ def _sum_rows(table: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> np.ndarra
     return out
 
 
+def _pieces(s: Slice):
+    """The subwords of a slice; those of a text longer than a slice come range by range, by where they begin."""
+    if s.n > 1 or len(s.data) <= SLICE_BYTES:
+        yield _subwords(s)
+        return
+    for a in range(0, len(s.data), SLICE_BYTES):
+        data = s.data[a : a + SLICE_BYTES + max(_SPAN) - 1]
+        bucket, _ = _subwords(Slice(data, np.array([0, len(data)]), s.first))
+        bucket = [x[:SLICE_BYTES] for x in bucket]
+        yield bucket, [np.array([len(x)]) for x in bucket]
+
+
 class Model:
     """`languages` in order, a row of softmax inputs for each bucket, the temperature and the rejection threshold."""
 
     def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
         self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table, bias, temperature, threshold
 
-    def probabilities(self, column) -> np.ndarray:
+    def probabilities(self, texts) -> np.ndarray:
         out = [np.zeros((0, len(self.languages)))]
-        for s in slices(column):
-            bucket, n = _subwords(s)
-            z = sum(_sum_rows(self.table, b, k) for b, k in zip(bucket, n, strict=True)) / np.maximum(sum(n), 1)[:, None]
-            out.append(_softmax((z + self.bias) / self.temperature))
+        for s in slices(texts):
+            z, n = 0.0, 0
+            for bucket, k in _pieces(s):
+                z = z + sum(_sum_rows(self.table, b, m) for b, m in zip(bucket, k, strict=True))
+                n = n + sum(k)
+            out.append(_softmax((z / np.maximum(n, 1)[:, None] + self.bias) / self.temperature))
         return np.concatenate(out)
 
 
@@ -76,11 +93,16 @@ def _softmax(z):
 
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
-    """SGD over documents given as (distinct buckets, counts); every tenth is set apart for calibration."""
+    """SGD over documents given as (distinct buckets, shares); every third is set apart for calibration.
+
+    The threshold is the least confidence of a right prediction among those set apart once the share REJECTED of them,
+    rounded down, is left out below it; if that leaves out none, nothing says which confidence is too low, and the
+    threshold is that of a guess.
+    """
     rng, n, k = np.random.default_rng(seed), len(docs), len(languages)
     e, w, b = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32), np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
     w[:] = rng.normal(0, 0.1, w.shape)
-    apart = np.arange(n) % 10 == 9 if n >= 50 else np.zeros(n, bool)
+    apart = np.arange(n) % APART == APART - 1
     use = np.flatnonzero(~apart)
     at = 0
     for _ in range(PASSES):
@@ -97,80 +119,108 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
             step = w @ g
             w -= rate * np.outer(x, g)
             b -= rate * 0.1 * g
-            e[idx] -= (rate * 10 * c)[:, None] * step
+            e[idx] -= (rate * min(10, 1 / (c @ c)) * c)[:, None] * step  # a text of few subwords moves them no further than itself
     model = Model(languages, (e @ w).astype(np.float64), b.astype(np.float64))
-    check = [i for i in (np.flatnonzero(apart) if apart.any() else use) if len(docs[i][0])]
+    model.threshold = 1 / k
+    check = [i for i in np.flatnonzero(apart) if len(docs[i][0])]
     if check and k > 1:
         z = np.array([docs[i][1] @ model.table[docs[i][0]] + model.bias for i in check])
         y = labels[check]
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
         p = _softmax(z / model.temperature)
-        right = p.argmax(axis=1) == y
-        if right.any():  # a smaller share than can be counted here costs half of the least confidence seen
-            low = np.quantile(p.max(axis=1)[right], REJECTED)
-            model.threshold = float(max(1 / k, low if right.sum() * REJECTED >= 1 else 0.5 * low))
+        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
+        out = int(len(right) * REJECTED)
+        model.threshold = float(max(1 / k, right[out])) if out else 1 / k
     return model
 
 
-def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", train_if=None) -> Model | None:
-    """Learn from rows for which `train_if` holds and whose text and language are not null; None if there are none."""
+def _counted(texts) -> tuple[list[bytes], list[bytes]]:
+    """The distinct buckets of each text, and the share that each has of its subwords."""
+    idx, share = [], []
+
+    def put(buckets, counts=None):
+        u, inverse = np.unique(buckets, return_inverse=True)
+        c = np.bincount(inverse, counts, len(u))
+        return u, c
+
+    for s in slices(texts):
+        if s.n == 1:
+            u, c = np.zeros(0, np.int64), np.zeros(0)
+            for bucket, _ in _pieces(s):
+                x, k = put(np.concatenate(bucket))
+                u, c = put(np.concatenate([u, x]), np.concatenate([c, k]))
+            found = [(u, c)]
+        else:
+            bucket, n = _subwords(s)
+            cuts = [np.concatenate([[0], np.cumsum(x)]) for x in n]
+            found = [put(np.concatenate([b[q[i] : q[i + 1]] for b, q in zip(bucket, cuts, strict=True)])) for i in range(s.n)]
+        for u, c in found:
+            idx.append(u.astype(np.uint16).tobytes())
+            share.append((c / max(c.sum(), 1)).astype(np.float32).tobytes())
+    return idx, share
+
+
+def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", train_if=None, per_language=PER_LANGUAGE, sample_bytes=SAMPLE_BYTES) -> Model | None:
+    """Learn from rows for which `train_if` holds and whose text and language are not null; None if there are none.
+
+    The sample is about `per_language` documents of each language, drawn by a hash of the id and the text, and of each
+    language no more than have its part of `sample_bytes`, in order of that draw. Repeated rows are drawn together.
+    """
     train_if = F.lit(True) if train_if is None else train_if
-    pool = docs.where(train_if & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in pool.groupBy(lang_col).count().collect()}  # a row for each language
+    pool = docs.where(train_if & column(text_col).isNotNull() & column(lang_col).isNotNull())
+    pool = pool.select(column(lang_col).alias("lang"), column(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(3), column(id_col)), F.lit(1 << 30)).alias("draw"))
+    counts = {r[0]: r[1] for r in pool.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30))
     limit = F.lit(0)
     for lang, n in counts.items():
-        limit = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, PER_LANGUAGE / n) * (1 << 30)))).otherwise(limit)
-    sample = pool.where(draw < limit).select(F.col(lang_col).alias("_lang"), draw.alias("_draw"), F.col(text_col).alias("_text"))
+        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * (1 << 30)))).otherwise(limit)
+    sample = pool.where(F.col("draw") < limit)
 
     def make():
-        def f(batch):
-            idx, cnt = [], []
-            for s in slices(batch.column("_text")):
-                bucket, n = _subwords(s)
-                cuts = [np.concatenate([[0], np.cumsum(x)]) for x in n]
-                for i in range(s.n):
-                    u, c = np.unique(np.concatenate([b[q[i] : q[i + 1]] for b, q in zip(bucket, cuts, strict=True)]), return_counts=True)
-                    idx.append(u.astype(np.uint16).tobytes())
-                    cnt.append((c / max(c.sum(), 1)).astype(np.float32).tobytes())
-            return [pa.array(idx, pa.binary()), pa.array(cnt, pa.binary())]
-
-        return f
-
-    got = append(sample, make, "idx binary, cnt binary", drop=("_text",)).toArrow()
+        return lambda texts: [pa.array(x, pa.binary()) for x in _counted(texts)]
+
+    stage = Stage(docs.sparkSession, "langid")
+    sample = stage.put(append(sample, "text", make, "idx binary, share binary", drop=("text",)), "sample")
+    # where each language's draw is cut off so that its counts fit; rows of equal draw stay or go together
+    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy("draw"))
+    cuts = sample.select("lang", "draw", (F.length("idx") + F.length("share")).alias("size")).withColumn("so_far", so_far)
+    cuts = cuts.where(F.col("so_far") <= sample_bytes // len(counts)).groupBy("lang").agg(F.max("draw").alias("last"))  # a row for each language
+    got = sample.join(F.broadcast(cuts), "lang").where("draw <= last").select("lang", "draw", "idx", "share").toArrow()
+    stage.drop("sample")
     languages = sorted(counts)
     number = {x: i for i, x in enumerate(languages)}
-    rows = [(np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(c.as_buffer(), np.float32)) for a, c in zip(got.column("idx"), got.column("cnt"), strict=True)]
-    labels, drawn = (got.column(c).to_pylist() for c in ("_lang", "_draw"))
-    order = sorted(range(len(rows)), key=lambda i: (drawn[i], rows[i][0].tobytes(), labels[i]))
-    return train([rows[i] for i in order], np.array([number[labels[i]] for i in order], int), languages)
+    rows = [(np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(c.as_buffer(), np.float32)) for a, c in zip(got.column("idx"), got.column("share"), strict=True)]
+    drawn, lang = got.column("draw").to_pylist(), got.column("lang").to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (drawn[i], lang[i], rows[i][0].tobytes()))
+    return train([rows[i] for i in order], np.array([number[lang[i]] for i in order], int), languages)
 
 
-def predict(docs: DataFrame, model: Model | None, *, text_col="text") -> DataFrame:
-    """`docs` with lang_pred, score (its probability) and rejected.
+def predict(docs: DataFrame, model: Model | None, *, text_col="text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` without `drop`, with lang_pred, score (its probability) and rejected.
 
     A null text and one without a letter get `und`, score 0 and are rejected, as does every text if there is no model. A
-    text of under 3 bytes is scored by the bias alone.
+    text of under 3 bytes is scored by the bias alone. Equal texts get equal values, and an empty table gives an empty
+    one. These columns replace those of `docs` with their names; other names do not matter. Subwords of long texts are
+    counted range by range.
     """
+    columns = "lang_pred string, score double, rejected boolean"
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return append(docs, text_col, lambda: lambda t: [pa.array([UNKNOWN] * len(t), pa.string()), pa.array(np.zeros(len(t))), pa.array(np.ones(len(t), bool))], columns, drop)
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.threshold))
 
     def make():
         m = Model(*held.value)
-        names = pa.array(m.languages)
+        names = pa.array([*m.languages, UNKNOWN], pa.string())
 
-        def f(batch):
-            p = m.probabilities(batch.column("_text"))
-            best = p.argmax(axis=1)
-            return [names.take(pa.array(best)), pa.array(p[np.arange(len(best)), best])]
+        def f(texts, letter):
+            p = m.probabilities(texts)
+            blank = ~letter.to_numpy(zero_copy_only=False).astype(bool)
+            best = np.where(blank, len(m.languages), p.argmax(axis=1)) if len(p) else np.zeros(0, np.int64)
+            score = np.where(blank, 0.0, p.max(axis=1)) if len(p) else np.zeros(0)
+            return [names.take(pa.array(best)), pa.array(score), pa.array(blank | (score < m.threshold))]
 
         return f
 
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    out = append(docs.withColumn("_letter", letter).withColumn("_text", F.col(text_col)), make, "_lang string, _score double", drop=("_text",))
-    lang, score = F.when(F.col("_letter"), F.col("_lang")).otherwise(UNKNOWN), F.when(F.col("_letter"), F.col("_score")).otherwise(0.0)
-    return out.select(*docs.columns, lang.alias("lang_pred"), score.alias("score"), (~F.col("_letter") | (score < F.lit(model.threshold))).alias("rejected"))
+    return append(docs, text_col, make, columns, drop, beside=F.coalesce(column(text_col).rlike(r"\p{L}"), F.lit(False)))

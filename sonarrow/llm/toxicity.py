@@ -1,26 +1,27 @@
 """Toxicity from confirmed toxic examples and unlabelled text: non-negative positive-unlabelled learning in numpy.
 
-A document's features are its words and its words' first 4 and 5 bytes, as 64-bit hashes, each counted once. `fit` sees
-a bounded sample (about `MOST_POSITIVE` confirmed and `MOST_UNLABELLED` unlabelled documents, drawn by a hash of the
-id), keeps the features that confirmed documents have significantly more often than text at large, and descends the
-non-negative risk  prior * R+(P) + max(0, R-(U) - prior * R-(P))  of a linear model with logistic loss. The class prior is
-the share of toxic ones among labelled training rows. Scores need the text alone.
+A document's features are its words and its words' first 4 and 5 bytes, as 64-bit hashes, each counted once. `fit` sees a
+bounded sample of confirmed and of unlabelled documents, keeps every feature that confirmed documents have significantly
+more often than text at large, and descends the non-negative risk  prior * R+(P) + max(0, R-(U) - prior * R-(P))  of a
+linear model with logistic loss. The class prior is the share of toxic ones among labelled training rows. Scores need the
+text alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import append
+from .arrow import append, column
+from .staging import Stage
 from .words import U64, hashes, mix64, prefixes, slices, spans
 
-#: Bounds of the training sample, in documents, and of the model, in features.
-MOST_POSITIVE, MOST_UNLABELLED, MOST_FEATURES = 4096, 8192, 4096
-#: Standard errors by which a feature's share among positives must exceed its share in unlabelled text.
-LEAST_LIFT = 5.0
+#: Bounds of the training sample: about so many documents of each kind, and features of each kind in bytes.
+CONFIRMED, UNLABELLED, SAMPLE_BYTES = 2048, 4096, 24 << 20
+#: How significant a feature must be, in nats: the Chernoff bound of seeing it so often among as many documents at large.
+SIGNIFICANT = 5.5
 #: Punctuation and other ASCII that is no part of a word here.
 _APART = np.zeros(256, bool)
 _APART[:128] = [not chr(c).isalnum() for c in range(128)]
@@ -41,40 +42,74 @@ class Model:
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
         self.keys, self.weights, self.bias = keys, weights, float(bias)
 
-    def scores(self, column) -> np.ndarray:
+    def scores(self, texts) -> np.ndarray:
         out = [np.zeros(0)]
         seen = np.zeros(1 << 16, bool)
         seen[self.keys >> U64(48)] = True
-        for s in slices(column):
-            total = np.full(s.n, self.bias)
-            if len(self.keys):
-                h, row = _features(s)
-                ok = seen[h >> U64(48)]
-                h, row = h[ok], row[ok]
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                ok = self.keys[at] == h
-                pair = np.unique(row[ok] * np.int64(len(self.keys)) + at[ok])
-                total += np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], s.n)
+        before: list[np.ndarray] = []  # features of the parts of a long text
+        for s in slices(texts, parts=True):
+            row, at = self._known(s, seen)
+            if s.more or before:
+                before.append(at)
+                if s.more:
+                    continue
+                at, before = np.unique(np.concatenate(before)), []
+                row = np.zeros(len(at), np.int64)
+            total = self.bias + np.bincount(row, self.weights[at], s.n)
             out.append(1 / (1 + np.exp(-np.clip(total, -500, 500))))
         return np.concatenate(out)
 
+    def _known(self, s, seen) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (text, feature of the model) pairs of a slice."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h, row = _features(s)
+        ok = seen[h >> U64(48)]
+        h, row = h[ok], row[ok]
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        ok = self.keys[at] == h
+        pair = np.unique(row[ok] * np.int64(len(self.keys)) + at[ok])
+        return pair // len(self.keys), pair % len(self.keys)
 
-def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Fit on documents' feature hashes; `positive` marks the confirmed ones, the others are unlabelled."""
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float]:
+    """The non-negative risk of the outputs `z`, and its unlabelled part before it is cut off at zero."""
+    soft = lambda x: np.logaddexp(0, x).mean()  # noqa: E731  the logistic loss of outputs of the wrong sign
+    rest = soft(z[~positive]) - prior * soft(z[positive])
+    return prior * soft(-z[positive]) + max(0.0, rest), rest
+
+
+def slope(z: np.ndarray, positive: np.ndarray, prior: float, rest: float) -> np.ndarray:
+    """Which way to descend: the risk's gradient by `z`, or, below zero, that which brings the unlabelled part back up."""
+    up, n_p, n_u = _sigmoid(z), positive.sum(), (~positive).sum()
+    if rest >= 0:
+        return np.where(positive, prior * (up - 1) / n_p - prior * up / n_p, up / n_u)
+    return np.where(positive, prior * up / n_p, -up / n_u)
+
+
+def significant(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
+    """The features that confirmed documents have significantly more often than unlabelled ones, ascending."""
     n_p, n_u = int(positive.sum()), int((~positive).sum())
-    if not n_p or not n_u or not 0 < prior < 1:
-        return Model(np.zeros(0, U64), np.zeros(0), np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)) if 0 < prior < 1 else -30.0 if prior <= 0 else 30.0)
     keys, count = np.unique(np.concatenate([x for x, p in zip(rows, positive, strict=True) if p]), return_counts=True)
-    keep = count >= 3
-    keys, count = keys[keep], count[keep]
     count_u = np.zeros(len(keys), np.int64)
     for x in (x for x, p in zip(rows, positive, strict=True) if not p and len(keys)):  # each feature once a document
         at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
         count_u[at[keys[at] == x]] += 1
-    share_u = (count_u + 1) / (n_u + 2)
-    lift = (count / n_p - share_u) / np.sqrt(share_u * (1 - share_u) * (1 / n_p + 1 / n_u))
-    best = np.argsort(-lift, kind="stable")[:MOST_FEATURES]
-    keys = np.sort(keys[best[lift[best] >= LEAST_LIFT]])
+    expected = n_p * (count_u + 1) / (n_u + 2)
+    nats = np.where(count > expected, expected - count + count * np.log(count / expected), 0.0)
+    return keys[nats >= SIGNIFICANT]
+
+
+def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """Fit on documents' feature hashes; `positive` marks the confirmed ones, the others are unlabelled."""
+    n_p, n_u = int(positive.sum()), int((~positive).sum())
+    if not n_p or not n_u or not 0 < prior < 1:
+        return Model(np.zeros(0, U64), np.zeros(0), np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)) if 0 < prior < 1 else -30.0 if prior <= 0 else 30.0)
+    keys = significant(rows, positive)
     if not len(keys):
         return Model(keys, np.zeros(0), np.log(prior / (1 - prior)))
     table = []
@@ -86,75 +121,85 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
     w, b = np.zeros(len(keys)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     least, best = np.inf, (w, b)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-    soft = lambda z: np.logaddexp(0, z)
     for step in range(1, steps + 1):
         z = b + np.bincount(doc, w[feature], len(rows))
-        up = sigmoid(z)
-        rest = soft(z[~positive]).mean() - prior * soft(z[positive]).mean()
-        risk = prior * soft(-z[positive]).mean() + max(0.0, rest) + decay / 2 * (w @ w)
-        if risk < least:  # steps that climb back may overshoot, so the best point on the way is the result
-            least, best = risk, (w, b)
-        slope = np.zeros(len(rows))
-        if rest >= 0:  # the whole risk
-            slope[positive] = prior * (up[positive] - 1) / n_p - prior * up[positive] / n_p
-            slope[~positive] = up[~positive] / n_u
-        else:  # the unlabelled part has gone below zero: climb it back
-            slope[positive] = prior * up[positive] / n_p
-            slope[~positive] = -up[~positive] / n_u
-        g = np.append(np.bincount(feature, slope[doc], len(keys)) + decay * w, slope.sum())
+        total, rest = risk(z, positive, prior)
+        total += decay / 2 * (w @ w)
+        if total < least:  # steps that climb back may overshoot, so the best point on the way is the result
+            least, best = total, (w, b)
+        by_doc = slope(z, positive, prior, rest)
+        g = np.append(np.bincount(feature, by_doc[doc], len(keys)) + decay * w, by_doc.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         d = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - d[:-1], b - d[-1]
     return Model(keys, *best)
 
 
+def _distinct(texts) -> list[bytes]:
+    """The distinct features of each text, ascending."""
+    out, before = [], []
+    for s in slices(texts, parts=True):
+        h, row = _features(s)
+        if s.more or before:
+            before.append(np.unique(h))
+            if not s.more:
+                out.append(np.unique(np.concatenate(before)).tobytes())
+                before = []
+            continue
+        order = np.argsort(row, kind="stable")
+        h, cut = h[order], np.searchsorted(row[order], np.arange(s.n + 1))
+        out += [np.unique(h[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
 def _drawn(id_col, n: int, most: int, seed: int):
     """A draw of about `most` of `n` rows that depends on the id alone."""
     return F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", train=None) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", train: Column | None = None, confirmed=CONFIRMED, unlabelled=UNLABELLED, sample_bytes=SAMPLE_BYTES
+) -> Model:
     """Learn from rows for which `train` (a condition on the id column) holds; null labels and unmatched ids are ignored.
 
-    An id with several labels counts as toxic if one says so. Without confirmed or without unlabelled training text the
-    model is the prior alone.
+    The sample is about `confirmed` toxic and `unlabelled` other documents, drawn by a hash of the id, and of each kind no
+    more documents than have `sample_bytes` of features, in order of that draw; a document of more features than that is
+    not learned from. An id with several labels counts as toxic if one says so. Rows of equal id are documents of their
+    own. Without confirmed or without unlabelled training text, or with empty tables, the model is the prior alone.
     """
     train = F.lit(True) if train is None else train
-    known = labels.where(train & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
+    known = labels.where(train & column(id_col).isNotNull() & column(label_col).isNotNull()).groupBy(column(id_col).alias("_id")).agg(F.max(column(label_col)).alias("_y"))
     n, n_p = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("_y") == 1, 1)), F.lit(0))).first()
-    pool = docs.where(train).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    chosen = known.where((F.col("_y") == 1) & _drawn(F.col("_id"), n_p, MOST_POSITIVE, 1)).select("_id", F.lit(True).alias("_p"))
-    # about MOST_POSITIVE ids at most
-    pool = pool.join(F.broadcast(chosen), "_id", "left").withColumn("_u", F.coalesce(_drawn(F.col("_id"), pool.count(), MOST_UNLABELLED, 2), F.lit(False)))
-    pool = pool.where(F.col("_p") | F.col("_u")).select("_text", F.coalesce("_p", F.lit(False)).alias("_p"), "_u")
-
-    def make():
-        def f(batch):
-            out = []
-            for s in slices(batch.column("_text")):
-                h, row = _features(s)
-                order = np.argsort(row, kind="stable")
-                h, cut = h[order], np.searchsorted(row[order], np.arange(s.n + 1))
-                out += [np.unique(h[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return [pa.array(out, pa.binary())]
-
-        return f
-
-    got = append(pool, make, "h binary", drop=("_text",)).toArrow()
-    h = [np.frombuffer(x.as_buffer(), U64) for x in got.column("h")]
-    p, u = (np.array(got.column(c).to_pylist(), bool) for c in ("_p", "_u"))
+    pool = docs.where(train).select(column(id_col).alias("_id"), column(text_col).alias("_text"))
+    chosen = known.where((F.col("_y") == 1) & _drawn(F.col("_id"), n_p, confirmed, 1)).select("_id", F.lit(True).alias("_p"))
+    # about `confirmed` ids at most
+    pool = pool.join(F.broadcast(chosen), "_id", "left").withColumn("_u", F.coalesce(_drawn(F.col("_id"), pool.count(), unlabelled, 2), F.lit(False)))
+    pool = pool.where(F.col("_p") | F.col("_u")).select(F.xxhash64(F.lit(4), "_id", "_text").alias("_at"), F.coalesce("_p", F.lit(False)).alias("_p"), "_u", "_text")
+    stage = Stage(docs.sparkSession, "toxicity")
+    sample = stage.put(append(pool, "_text", lambda: lambda texts: [pa.array(_distinct(texts), pa.binary())], "h binary", drop=("_text",)), "sample")
     # the unlabelled draw is of all text, confirmed documents among it included
-    rows = [x for x, y in zip(h, p, strict=True) if y] + [x for x, y in zip(h, u, strict=True) if y]
-    return nnpu(rows, np.arange(len(rows)) < p.sum(), n_p / n if n else 0.0)
-
-
-def score(docs: DataFrame, model: Model, *, text_col="text", out="score") -> DataFrame:
-    """`docs` with a score from 0 to 1 of each whole text; null and empty texts get the model's prior score."""
+    kinds = F.filter(F.array(F.when(F.col("_p"), True), F.when(F.col("_u"), False)), lambda x: x.isNotNull())
+    sample = sample.withColumn("positive", F.explode(kinds))
+    # where the draw is cut off so that the features fit; rows of equal draw stay or go together
+    so_far = F.sum("size").over(Window.partitionBy("positive").orderBy("_at"))
+    cuts = sample.select("positive", "_at", F.length("h").alias("size")).withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).groupBy("positive").agg(F.max("_at").alias("last"))
+    got = sample.join(F.broadcast(cuts), "positive").where("_at <= last").select("positive", "_at", "h").toArrow()  # cuts: two rows
+    stage.drop("sample")
+    order = sorted(range(len(got)), key=list(zip(got.column("positive").to_pylist(), got.column("_at").to_pylist(), strict=True)).__getitem__)
+    rows = [np.frombuffer(got.column("h")[i].as_buffer(), U64) for i in order]
+    return nnpu(rows, np.array(got.column("positive").to_pylist(), bool)[order], n_p / n if n else 0.0)
+
+
+def score(docs: DataFrame, model: Model, *, text_col="text", out="score", drop: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` without `drop`, with a score from 0 to 1 of each whole text; null and empty texts get the model's prior score.
+
+    Equal texts get equal scores, and an empty table gives an empty one. `out` replaces a column of `docs` with its name;
+    other names do not matter. Long texts are read in parts.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
 
     def make():
         m = Model(*held.value)
-        return lambda b: [pa.array(m.scores(b.column("_text")), pa.float64())]
+        return lambda texts: [pa.array(m.scores(texts), pa.float64())]
 
-    return append(docs.withColumn("_text", F.col(text_col)), make, f"{out} double", drop=("_text",))
+    return append(docs, text_col, make, f"`{out}` double", drop)

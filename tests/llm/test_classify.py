@@ -71,7 +71,7 @@ def test_languages(spark, corpus):
     docs, _, _ = corpus
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     model = langid.fit(docs, train_if=~held)
-    got = langid.predict(docs.withColumnRenamed("score", "score_"), model).withColumn("held", F.coalesce(held, F.lit(False))).collect()
+    got = langid.predict(docs, model).withColumn("held", F.coalesce(held, F.lit(False))).collect()
     assert len(got) == docs.count()
     real = [r for r in got if r.doc_id is not None and r.doc_id < 900 and r.text != "twin"]
     assert np.mean([r.lang_pred == r.lang for r in real if r.held]) > 0.98
@@ -92,6 +92,79 @@ def test_no_languages(spark, corpus):
     assert langid.predict(docs.where("doc_id = -1"), one).count() == 0
 
 
+def test_risk_and_gradient():
+    """The risk against its definition, and the gradient against differences of it."""
+    rng = np.random.default_rng(3)
+    for prior, shift in ((0.3, 0.0), (0.7, -4.0)):
+        z, positive = rng.normal(shift, 2, 40), np.arange(40) < 15
+        loss = lambda x: np.log(1 + np.exp(-x))
+        plus = sum(loss(x) for x in z[positive]) / 15
+        minus_u, minus_p = sum(loss(-x) for x in z[~positive]) / 25, sum(loss(-x) for x in z[positive]) / 15
+        rest = minus_u - prior * minus_p
+        got = toxicity.risk(z, positive, prior)
+        assert got == pytest.approx((prior * plus + max(0, rest), rest))
+        assert (rest < 0) == (prior == 0.7) or rest >= 0
+        slope = toxicity.slope(z, positive, prior, rest)
+        part = (lambda v: toxicity.risk(v, positive, prior)[0]) if rest >= 0 else (lambda v: -toxicity.risk(v, positive, prior)[1])
+        for i in range(40):
+            d = np.zeros(40)
+            d[i] = 1e-5
+            assert slope[i] == pytest.approx((part(z + d) - part(z - d)) / 2e-5, abs=1e-8)
+
+
+def test_calibration():
+    """The threshold against its definition, on documents that are one bucket each."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 9000)
+    bucket = np.where(rng.random(9000) < 0.1, 2, y)  # a tenth says nothing
+    docs = [(np.array([b], np.uint16), np.ones(1, np.float32)) for b in bucket]
+    m = langid.train(docs, y, ["a", "b"])
+    z = (m.table[bucket[2::3]] + m.bias) / m.temperature
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    right = np.sort(p.max(1)[p.argmax(1) == y[2::3]])
+    assert m.threshold == pytest.approx(max(0.5, right[int(len(right) * 0.001)]))
+    assert langid.train(docs[:30], y[:30], ["a", "b"]).threshold == 0.5
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Computed columns take the place of those of the same name, whatever the others are called; long texts come in parts."""
+    long = "sch ung " * 300_000
+    rows = [(1, "th er ing", "en", 7, 7, 7, 7, 7, 7), (2, long + "moron", "de", 7, 7, 7, 7, 7, 7), (3, None, "de", 7, 7, 7, 7, 7, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score int, rejected int, lang_pred int, _source int, _text int, `a.b` int")
+    few = [(10 + i, " ".join(random.Random(i).choices(SYLLABLES["de"].split(), k=60)) + (" moron" if i % 6 == 0 else ""), "en" if i % 2 else "de") for i in range(120)]
+    docs = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    tox = toxicity.fit(docs, spark.createDataFrame([(10 + i, int(i % 6 == 0)) for i in range(120)], "doc_id long, toxic int"))
+    got = toxicity.score(d, tox, out="_text")
+    assert got.columns == ["doc_id", "text", "lang", "Score", "rejected", "lang_pred", "_source", "a.b", "_text"]
+    s = {r.doc_id: r["_text"] for r in got.collect()}
+    assert s[2] > 0.5 > s[1] and s[3] == pytest.approx(1 / (1 + np.exp(-tox.bias)))
+    model = langid.fit(docs)
+    found = langid.predict(d, model)
+    assert found.columns == ["doc_id", "text", "lang", "_source", "_text", "a.b", "lang_pred", "score", "rejected"]
+    whole = {r.doc_id: r for r in found.collect()}
+    short = langid.predict(spark.createDataFrame([(1, "sch ung " * 3000)], "i int, text string"), model).first()
+    assert whole[2].lang_pred == short.lang_pred and whole[2].score == pytest.approx(short.score, abs=1e-3)
+    assert whole[3].rejected and langid.predict(d, None).where("rejected").count() == 3
+
+
+def test_parts_of_long_texts_make_the_whole():
+    import pyarrow as pa
+
+    from sonarrow.llm.words import Slice, slices
+
+    text = "".join(random.Random(1).choices("abc de\u00e9\n", k=1_500_000))
+    texts = pa.array(["x", text, None, "y" * 1_200_000, "z"])
+    parts = [(s.first, s.more, s.data.tobytes()) for s in slices(texts, parts=True)]
+    assert len(parts) > 5 and all(p.endswith((b" ", b"\n")) for _, more, p in parts if more)
+    assert b"".join(p for _, _, p in parts) == "".join(t or "" for t in texts.to_pylist()).encode()
+    data = np.frombuffer(text.encode(), np.uint8)
+    bucket, n = langid._subwords(Slice(data, np.array([0, len(data)]), 0))
+    pieces = list(langid._pieces(Slice(data, np.array([0, len(data)]), 0)))
+    assert len(pieces) > 1
+    for k in range(2):
+        assert (np.concatenate([b[k] for b, _ in pieces]) == bucket[k]).all() and sum(m[k].sum() for _, m in pieces) == n[k].sum()
+
+
 def test_subwords_stay_in_texts():
     import pyarrow as pa
 
