@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import column
 from .staging import Stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,10 +59,10 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     """Rows of `docs` with how often the mix takes each: (id, text_hash, source, size, source_size, target, copies).
 
     Null texts have size 0, the null source is a source, rows of equal id are separate documents, an empty table gives an
-    empty result. A source without words has target 0 and is not taken. Copies are at most ceil(most) for any document.
+    empty result. Other columns of `docs`, whatever their names, are not read. Long texts are counted whole. A source without words has target 0 and is not taken. Copies are at most ceil(most) for any document.
     """
     stage = Stage(docs.sparkSession, "mix")
-    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
+    d = docs.select(column(id_col).alias("_id"), column(source_col).alias("source"), word_count(column(text_col)).alias("size"), F.xxhash64(column(text_col)).alias("text_hash"))
     d = d.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     digest = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
     d = d.withColumn("digest", digest).withColumn("class", _size_class(F.col("size"))).withColumn("bucket", F.substring("digest", 1, 2))
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
         .join(targets, "key")
         .select(*cell, "source_size", "target", "offset", (F.col("before_class") + F.col("before_cell")).alias("before"))
     )
-    rank = F.col("before") + F.row_number().over(Window.partitionBy(*cell).orderBy("size", "digest")) - 1
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(*cell).orderBy("size", "digest", "text_hash")) - 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor((F.col("rank") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("rank") * F.col("rate") + F.col("offset"))
     return (
@@ -95,11 +96,14 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
 def emit(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", **how) -> DataFrame:
     """The mix itself: the rows of `docs`, each as often as it is taken, with the columns of `docs`.
 
-    Rows that agree in id, text and source are one document here, with the copies of all of them.
+    Rows that agree in id, text and source are one document here, with the copies of all of them; which one's other columns
+    are kept is not defined. Null ids, texts and sources are values like others, and an empty table gives an empty one. The
+    columns of `docs` may have any names.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = taken.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col(source_col).alias("_source")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
-    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    joined = own.join(taken.where("_copies > 0"), own[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")) & own[source_col].eqNullSafe(F.col("_source")))
-    repeated = joined.where("_rows > 1").dropDuplicates(["_id", "_hash", "_source"])
-    return joined.where("_rows = 1").unionByName(repeated).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = taken.toDF("id", "hash", "source", "size", "source_size", "target", "copies").groupBy("id", "hash", "source").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    # the rows themselves are one column, so that no name of theirs can be mistaken for one of these
+    own = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(id_col).alias("own_id"), F.xxhash64(column(text_col)).alias("own_hash"), column(source_col).alias("own_source"))
+    joined = own.join(taken, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")) & F.col("own_source").eqNullSafe(F.col("source")))
+    repeated = joined.where("rows > 1").dropDuplicates(["id", "hash", "source"])
+    return joined.where("rows = 1").unionByName(repeated).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

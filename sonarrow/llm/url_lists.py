@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import column, others
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^/?#]+)"
 
 
@@ -29,10 +32,13 @@ def path_of(url: Column) -> Column:
 
 
 def keys_of(host: Column, path: Column) -> Column:
-    """What an entry may name for a capture: its host, the parents of at least two labels, and host with path."""
+    """What an entry may name for a capture: its host, the parents of at least two labels, and host with path.
+
+    A numeric address has no parents.
+    """
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    parents = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))).otherwise(F.array(host))
+    parents = F.when((n >= 2) & ~host.rlike(ADDRESS), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))).otherwise(F.array(host))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.when(path == "", parents).otherwise(F.array_append(parents, F.concat(host, path))))
 
 
@@ -50,23 +56,26 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, url_col="url", time_col
     """`captures` with host, n_active, entry_key and entry_from: the longest key listed on the day of the fetch.
 
     All captures are kept: a null or unreadable URL has host '' and no entry, a capture without fetch time has none
-    either. Repeated captures stay apart. An empty table of either kind gives an empty or entirely unlisted result.
+    either. Repeated captures stay apart. Long URLs are read whole. An empty table of either kind gives an empty or
+    entirely unlisted result. These four columns replace those of `captures` with their names; other names do not matter.
     """
-    c = captures.withColumns({"host": host_of(F.col(url_col)), "_path": path_of(F.col(url_col)), "_day": F.coalesce(F.to_date(time_col), F.lit("0001-01-01").cast("date"))})
-    asked = c.where((F.col("host") != "") & F.col(time_col).isNotNull()).groupBy("host", "_path", "_day").agg(F.lit(1).alias("_one")).drop("_one")
-    span = asked.agg(F.min("_day").alias("a"), F.max("_day").alias("b")).first()
+    kept = others(captures, ["host", "n_active", "entry_key", "entry_from"])
+    day = F.coalesce(F.to_date(column(time_col)), F.lit("0001-01-01").cast("date"))
+    c = captures.select(F.struct(*map(column, kept)).alias("row"), host_of(column(url_col)).alias("host"), path_of(column(url_col)).alias("path"), day.alias("day"), column(time_col).isNotNull().alias("dated"))
+    asked = c.where("host <> '' and dated").groupBy("host", "path", "day").agg(F.lit(1).alias("one")).drop("one")
+    span = asked.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
     first, last = F.lit(span.a), F.lit(span.b)
     # months before the first and after the last fetch are asked by no capture
     covered = validity(entries).where((F.col("valid_from") <= last) & (F.coalesce("valid_to", last) >= first))
     months = F.sequence(F.trunc(F.greatest("valid_from", first), "month"), F.trunc(F.least(F.coalesce("valid_to", last), last), "month"), F.expr("interval 1 month"))
-    covered = covered.withColumn("_month", F.explode(months))
-    probes = asked.select("host", "_path", "_day", F.trunc("_day", "month").alias("_month"), F.explode(keys_of(F.col("host"), F.col("_path"))).alias("key"))
-    valid = (F.col("_day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_day") < F.col("valid_to")))
+    covered = covered.withColumn("month", F.explode(months))
+    probes = asked.select("host", "path", "day", F.trunc("day", "month").alias("month"), F.explode(keys_of(F.col("host"), F.col("path"))).alias("key"))
+    valid = (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     found = (
-        probes.join(covered, ["key", "_month"])
+        probes.join(covered, ["key", "month"])
         .where(valid)
-        .groupBy("host", "_path", "_day")
-        .agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("key"), "key", "valid_from")).alias("_top"))
-        .select("host", "_path", "_day", "n_active", F.col("_top.key").alias("entry_key"), F.col("_top.valid_from").alias("entry_from"))
+        .groupBy("host", "path", "day")
+        .agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("key"), "key", "valid_from")).alias("top"))
+        .select("host", "path", "day", "n_active", F.col("top.key").alias("entry_key"), F.col("top.valid_from").alias("entry_from"))
     )
-    return c.join(found, ["host", "_path", "_day"], "left").select(*captures.columns, "host", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "entry_key", "entry_from")
+    return c.join(found, ["host", "path", "day"], "left").select("row.*", "host", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "entry_key", "entry_from")

@@ -71,3 +71,21 @@ def test_emit_and_empty(spark):
     assert out.count() == sum(copies.values())
     none = rows(spark, [])
     assert mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"w{i} " * (i % 5 + 1), "ab"[i % 2], 7, 7, 7, 7) for i in range(30)] + [(3, None, None, 7, 7, 7, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, Row int, hash int, size int")
+    got = mixing.emit(d)
+    assert got.columns == d.columns and {r.size for r in got.collect()} == {7}
+    assert mixing.emit(d.where("doc_id < 0")).count() == 0
+    taken = {r.doc_id: r.copies for r in mixing.mix(d).where("source is not null").collect()}
+    assert {k: n for k, n in taken.items() if n} == {r.doc_id: r["count"] for r in got.where("source is not null").groupBy("doc_id").count().collect()}
+
+
+def test_twins_are_told_apart_by_their_texts(spark):
+    """Rows of equal id and size keep their copies in every rerun, however the table is dealt."""
+    rows = [(i % 3, f"word{i}", "s") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r.doc_id, r.text) for r in mixing.emit(d.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2]

@@ -51,3 +51,12 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "http://a.com/", DAY)], "page_id long, url string, fetched date")
     assert [r.n_active for r in url_lists.evaluate(one, e).collect()] == [0]
     assert url_lists.evaluate(c, spark.createDataFrame([("a.com", DAY, True)], e.schema)).count() == 0
+
+
+def test_clashing_columns_and_addresses(spark):
+    c = spark.createDataFrame([(1, "http://10.1.2.3/p", DAY, 7, 7, 7), (2, "http://a.b.com/", DAY, 7, 7, 7)], "page_id long, url string, fetched date, HOST int, entry_key int, _day int")
+    e = spark.createDataFrame([("2.3", DAY, True), ("10.1.2.3/p", DAY, True), ("b.com", DAY, True)], "key string, day date, listed boolean")
+    got = url_lists.evaluate(c, e)
+    assert got.columns == ["page_id", "url", "fetched", "_day", "host", "n_active", "entry_key", "entry_from"]
+    assert {r.page_id: (r.host, r.n_active, r.entry_key) for r in got.collect()} == {1: ("10.1.2.3", 1, "10.1.2.3/p"), 2: ("a.b.com", 1, "b.com")}
+    assert url_lists.evaluate(c.where("page_id < 0"), e).count() == 0 and url_lists.evaluate(c, e.where("key = ''")).where("n_active > 0").count() == 0
