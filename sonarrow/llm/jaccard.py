@@ -316,32 +316,37 @@ def _connected(docs: DataFrame, id_col, text_col, shingle, similarity, stats) ->
         stage.drop(f"{name}-maybe", f"{name}-wanted", f"{name}-shingles")
         return links
 
-    def labels(links: DataFrame, name: str) -> DataFrame:
+    def labelled_by(label: DataFrame, name: str) -> DataFrame:
         """`members` with the component of each set."""
-        label = components(links, stage, name).select(F.col("vertex").alias("set_id"), "root")
-        return stage.put(members.join(label, "set_id", "left").select("signature", "set_id", "degree", F.coalesce("root", "set_id").alias("label")), f"{name}-labels")
+        label = label.select(F.col("vertex").alias("set_id"), "root")
+        return stage.put(members.join(label, "set_id", "left").select("signature", "set_id", "degree", F.coalesce("root", "set_id").alias("label")), name)
 
     first = stage.put(_stars(members), "first-pairs")
     links = linked(first, "first")
-    labelled = labels(links, "one")
+    label = components(links, stage, "one")
+    labelled = labelled_by(label, "one-labels")
     # groups of several components: their next centre lies outside the component of the first
     tops = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("degree", "set_id", "label")).getField("label").alias("top")).where("x < y")
-    again = labelled.join(tops.select("signature", "top"), "signature").withColumn("may_be_centre", F.col("label") != F.col("top"))
-    second = stage.put(_stars(again).join(first, ["a", "b"], "left_anti"), "second-pairs")
-    links = links.unionByName(linked(second, "second"))
-    tested = first.unionByName(second)
-    labelled = labels(links, "two")
-    counted = stage.put(_open(labelled.drop("degree")), "open")
-    crossing = stage.put(_crossing(counted, sketches, num, den), "crossing")
-    untested = crossing.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    crowds = stage.put(counted.join(crossing.where("a is null").select("signature").distinct(), "signature", "left_semi"), "crowds")
-    shingles = shingles_of(ends(untested).unionByName(crowds.select("set_id")).distinct(), "last-shingles")
-    more = stage.put(_similar(untested, shingles, num, den).unionByName(_crossing_large(crowds, shingles, num, den)), "more")
+    tops = stage.put(tops.select("signature", "top"), "tops")
+    done = tops.isEmpty()  # then all pairs that are left lie within components
+    if not done:
+        again = labelled.join(tops, "signature").withColumn("may_be_centre", F.col("label") != F.col("top"))
+        second = stage.put(_stars(again).join(first, ["a", "b"], "left_anti"), "second-pairs")
+        links = links.unionByName(linked(second, "second"))
+        tested = first.unionByName(second)
+        labelled = labelled_by(components(links, stage, "two"), "two-labels")
+        counted = stage.put(_open(labelled.drop("degree")), "open")
+        crossing = stage.put(_crossing(counted, sketches, num, den), "crossing")
+        untested = crossing.where("a is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        crowds = stage.put(counted.join(crossing.where("a is null").select("signature").distinct(), "signature", "left_semi"), "crowds")
+        shingles = shingles_of(ends(untested).unionByName(crowds.select("set_id")).distinct(), "last-shingles")
+        more = stage.put(_similar(untested, shingles, num, den).unionByName(_crossing_large(crowds, shingles, num, den)), "more")
+        label = components(links.unionByName(more), stage, "all")
     if stats is not None:
-        stats |= {"rows": rows.count(), "members": members.count(), "sets": sketches.count(), "pairs": first.count(), "second": second.count(), "links": links.count(), "open": counted.count(), "open_groups": counted.select("signature").distinct().count(), "untested": untested.count(), "crowds": crowds.count(), "more": more.count(), "largest": counted.agg(F.max("k")).first()[0]}
-    label = components(links.unionByName(more), stage, "all")
+        stats |= {"rows": rows.count(), "members": members.count(), "sets": sketches.count(), "pairs": first.count(), "links": links.count()}
+        stats |= {"second": 0, "open": 0, "untested": 0, "crowds": 0, "more": 0} if done else {"second": second.count(), "open": counted.count(), "untested": untested.count(), "crowds": crowds.count(), "more": more.count()}
 
-    stage.drop("members", "sketches", "first-pairs", "first", "one-labels", "second-pairs", "second", "two-labels", "open", "crossing", "crowds", "last-shingles-wanted", "last-shingles", "more")
+    stage.drop("members", "sketches", "first-pairs", "first", "one-labels", "tops", "second-pairs", "second", "two-labels", "open", "crossing", "crowds", "last-shingles-wanted", "last-shingles", "more")
     root = rows.join(label, F.col("set_id") == F.col("vertex"), "left").withColumn("root", F.coalesce("root", "set_id"))
     return root.select("_id", "text_hash", "n_shingles", "set_id", "root")
 
