@@ -102,6 +102,15 @@ def q8_dot(a: DataFrame, b: DataFrame) -> DataFrame:
     return s.groupBy("a", "b").agg(F.sum(F.col("s") * F.col("da") * F.col("db")).alias("dot"))
 
 
+def q8_dot_with_minimum(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, dot) of quantized rows `a` (id, blk, pos, d, q) with rows `b` (id, blk, pos, m, d, q), whose values are m + d * q."""
+    x = a.select(F.col("id").alias("a"), "blk", "pos", F.col("d").alias("da"), F.col("q").alias("qa"))
+    y = b.select(F.col("id").alias("b"), "blk", "pos", F.col("m").alias("mb"), F.col("d").alias("db"), F.col("q").alias("qb"))
+    sums = [F.sum(F.col("qa").cast("long") * F.col("qb")).alias("s"), F.sum(F.col("qa").cast("long")).alias("t"), *[F.max(c).alias(c) for c in ("da", "db", "mb")]]
+    s = x.join(y, ["blk", "pos"]).groupBy("a", "b", "blk").agg(*sums)
+    return s.groupBy("a", "b").agg(F.sum(F.col("da") * (F.col("db") * F.col("s") + F.col("mb") * F.col("t"))).alias("dot"))
+
+
 def block_bytes(dtype: Column) -> Column:
     """Bytes of a block of 32 values by stored type."""
     return F.when(dtype == 2, 18).when(dtype == 3, 20).when(dtype == 6, 22).when(dtype == 7, 24).when(dtype == 8, 34)

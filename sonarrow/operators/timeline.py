@@ -165,3 +165,13 @@ def assign_parts(tokens: DataFrame, parts: DataFrame, keys: list[str]) -> DataFr
     j = tokens.join(parts.select(*keys, "part", "p1"), keys)
     fits = F.min(F.when(F.col("w0") < F.col("p1"), F.col("part")))
     return j.groupBy(*tokens.columns).agg(F.coalesce(fits, F.max("part")).alias("part"))
+
+
+def onset_times(tokens: DataFrame, onsets: DataFrame, keys: list[str], order: list[str], offset: Column, step: float = 0.02) -> DataFrame:
+    """`tokens` with t_dtw: the onset (keys, token, onset) of each token of a window, counted over its segments, in seconds.
+
+    Tokens beyond those that were aligned have none.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = tokens.withColumn("token", (F.row_number().over(w) - 1).cast("long")).join(onsets.select(*keys, "token", "onset"), [*keys, "token"], "left")
+    return d.withColumn("t_dtw", F.col("onset") * step + offset).drop("token", "onset")

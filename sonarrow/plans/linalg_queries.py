@@ -161,3 +161,12 @@ def nibble_unpack(spark, d):
 def block_sizes(spark, d):
     t = spark.range(10).select(F.col("id").cast("int").alias("dtype"))
     return t.select("dtype", F.coalesce(M.block_bytes(F.col("dtype")), F.lit(-1)).alias("bytes"))
+
+
+@query("q8_dot_with_minimum", f"WITH {Q8}, {Q5[len(TENSOR) + 2:]}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.blk, sum(CAST(a.q AS BIGINT) * b.q) AS s, sum(CAST(a.q AS BIGINT)) AS t, max(a.d) AS da, max(b.d) AS db, max(b.m) AS mb FROM qq a JOIN q5 b USING (blk, pos) WHERE b.vec_id < 64 GROUP BY a.vec_id, b.vec_id, a.blk) SELECT a, b, round(sum(da * (db * CAST(s AS DOUBLE) + mb * CAST(t AS DOUBLE))), 6) AS dot FROM s GROUP BY a, b")
+def q8_dot_with_minimum(spark, d):
+    """All embeddings in eight bits times the rows of a matrix in five bits with a minimum, the embeddings of the first 64 ids."""
+    t = tensor(spark, d)
+    a = M.quantize_q8(t, ["vec_id"]).withColumnRenamed("vec_id", "id")
+    b = M.quantize_5bit(t.where("vec_id < 64"), ["vec_id"]).withColumnRenamed("vec_id", "id")
+    return M.q8_dot_with_minimum(a, b).select("a", "b", R("dot").alias("dot"))

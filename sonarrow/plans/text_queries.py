@@ -197,3 +197,11 @@ def model_types(spark, d):
     """What quantities would say as a model's layers, and, from 51840 on, as the size of its vocabulary."""
     q = table(spark, d, "lineitem").select("l_quantity", X.model_type(F.col("l_quantity").cast("int")).alias("kind"), X.is_multilingual(F.col("l_quantity") + 51840).alias("m"))
     return q.groupBy("l_quantity", "kind").agg(F.count("*").alias("n"), F.sum(F.col("m").cast("long")).alias("multilingual"))
+
+
+@query("load_path", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '.bin' WHEN 1 THEN event_type ELSE '{\"other\":1}' END AS path FROM events")
+def load_path(spark, d):
+    """Load requests that name a model in JSON, as plain text, or not at all."""
+    n = F.col("event_id") % 3
+    body = F.when(n == 0, F.concat(F.lit('{"x":1,"model" : "'), "event_type", F.lit('.bin"}'))).when(n == 1, F.concat(F.lit("  "), "event_type", F.lit(" "))).otherwise('{"other":1}')
+    return table(spark, d, "events").select("event_id", X.load_path(body).alias("path"))

@@ -11,6 +11,8 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "path string, kind string, name string, dtype int, shape array<long>, value binary, error string"
 
@@ -174,6 +176,16 @@ def dequantized(dtype: int, value: bytes) -> np.ndarray:
     return ((q - (8 if dtype == 2 else 16)) * d).astype(np.float32).ravel()
 
 
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def numbers(dtype: pa.Array, value: pa.Array) -> pa.Array:
+    """The numbers of stored tensors, block by block; null for a null, an unknown type and a value that is not whole blocks."""
+    out = []
+    for t, v in zip(dtype.to_pylist(), value.to_pylist(), strict=True):
+        size = {0: 4, 1: 2, **BLOCK_BYTES}.get(t)
+        out.append(None if v is None or not size or len(v) % size else dequantized(t, v))
+    return pa.array(out, pa.list_(pa.float32()))
+
+
 def read(spark: SparkSession, path: str, vad: bool = False, architecture: str | None = None) -> DataFrame:
     """Rows of SCHEMA for all files under `path`; a file that cannot be read is one row with its error."""
 

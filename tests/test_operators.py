@@ -214,6 +214,12 @@ def test_blocks():
     assert models.dequantized(8, f(0.5) + np.arange(-2, 30, dtype="i1").tobytes())[:3].tolist() == [-1.0, -0.5, 0.0]
 
 
+def test_blocks_as_columns(spark):
+    d = spark.createDataFrame([(8, bytearray(np.array([0.5], "<f2").tobytes() + np.arange(-2, 30, dtype="i1").tobytes())), (0, bytearray(np.array([1.5, 2], "<f4").tobytes())), (8, bytearray(3)), (99, bytearray(4)), (0, None)], "t int, v binary")
+    got = [r.x for r in d.select(models.numbers("t", "v").alias("x")).collect()]
+    assert got[0][:3] == [-1.0, -0.5, 0.0] and len(got[0]) == 32 and got[1:] == [[1.5, 2.0], None, None, None]
+
+
 def test_model_files(spark, tmp_path):
     f = lambda *x: struct.pack(f"<{len(x)}i", *x)
     data = struct.pack("<I", models.GGML) + f(5, 3, 4, 2, 1, 4, 4, 2, 1, 2, 1) + f(2, 3) + np.arange(6, dtype="<f4").tobytes()
