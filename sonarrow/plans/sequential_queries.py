@@ -21,7 +21,7 @@ z AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS i, NULL::BIGINT AS s, NULL:
 UNION ALL SELECT user_id, i, CASE WHEN ends THEN NULL ELSE s END, CASE WHEN ends THEN NULL ELSE h END, CASE WHEN ends THEN NULL ELSE c END, CASE WHEN ends THEN NULL ELSE b END,
   CASE WHEN ends AND h - s > {least} THEN s ELSE es END, CASE WHEN ends AND h - s > {least} THEN h ELSE ee END
  FROM (SELECT *, down AND s IS NOT NULL AND i - h >= {quiet} AS ends FROM (SELECT user_id, i, down, s, h, CASE WHEN longer THEN h ELSE c END AS c, CASE WHEN longer THEN NULL ELSE b END AS b, es, ee
-  FROM (SELECT *, coalesce(i - h > {brief} AND (c IS NULL OR c <> h), false) AS longer FROM (SELECT user_id, i, down, s, CASE WHEN down AND s IS NOT NULL THEN coalesce(h, i) ELSE h END AS h, c, b, es, ee
+  FROM (SELECT *, coalesce(down AND s IS NOT NULL AND i - h > {brief} AND (c IS NULL OR c <> h), false) AS longer FROM (SELECT user_id, i, down, s, CASE WHEN down AND s IS NOT NULL THEN coalesce(h, i) ELSE h END AS h, c, b, es, ee
    FROM (SELECT user_id, i, down, CASE WHEN opens THEN i WHEN over THEN CASE WHEN c IS NULL THEN NULL ELSE b END ELSE s END AS s, CASE WHEN over THEN NULL ELSE h END AS h, CASE WHEN over THEN NULL ELSE c END AS c,
      CASE WHEN over THEN NULL ELSE b END AS b, CASE WHEN over THEN s END AS es, CASE WHEN over THEN coalesce(c, i) END AS ee
     FROM (SELECT *, up AND s IS NULL AS opens, s IS NOT NULL AND i - s > {most} AS over FROM (SELECT p.user_id, p.i, p.up, p.down, z.s, CASE WHEN p.up THEN NULL ELSE z.h END AS h, z.c,
