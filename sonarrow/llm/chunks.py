@@ -13,7 +13,7 @@ import numpy as np
 from .words import U64
 
 #: Bytes of hashes, places and values that a worker remembers at most.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 32 << 20
 
 
 def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ task holds one group of items at a time; windows of two tasks never mix, which c
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .chunks import Memory
 from .words import hashes, slices, spans
 
 CAPACITY, WINDOWS, END = 2048, 128, 1
+#: Words that are encoded at once.
+BATCH = 2048
 #: Items of a window that an item's size allows for.
 PARTS = 8
 
@@ -79,10 +82,18 @@ _MEMORY: dict = {}
 def _memory(path: str) -> Memory:
     """The worker's memory of what this tokenizer makes of words: its pre-tokens never go over ASCII white space."""
     if path not in _MEMORY:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks share out the cores
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _MEMORY[path] = Memory(lambda words: [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)])
+
+        def ids(words: list[bytes]) -> list[list[int]]:
+            out = []
+            for i in range(0, len(words), BATCH):  # what the tokenizer returns is large beside its ids
+                out += [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[i : i + BATCH]], add_special_tokens=False)]
+            return out
+
+        _MEMORY[path] = Memory(ids)
     return _MEMORY[path]
 
 

@@ -1,6 +1,6 @@
 """Words and hashes of whole text columns, for the Arrow tasks of several operators.
 
-A column of texts is cut into slices of a few MB; the words of a slice are found and hashed together in numpy. Words are
+A column of texts is cut into slices of half a MB; the words of a slice are found and hashed together in numpy. Words are
 `[^\\x20\\x09-\\x0D]+` over UTF-8 bytes with A-Z in lower case. A word's hash is 64 bits, the sum over its bytes of a
 random number per byte value times a power per place, mixed; two words share one with probability about 2**-64.
 """
@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are worked on at once, and that are hashed at once.
+SLICE_BYTES, HASHED_BYTES = 1 << 19, 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -118,7 +119,7 @@ def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray
     after = np.cumsum(ends - begins)
     i = 0
     while i < len(begins):
-        j = max(i + 1, int(np.searchsorted(after, (after[i - 1] if i else 0) + SLICE_BYTES, "right")))
+        j = max(i + 1, int(np.searchsorted(after, (after[i - 1] if i else 0) + HASHED_BYTES, "right")))
         out[i:j] = _hashed(data, begins[i:j], ends[i:j])
         i = j
     return out
