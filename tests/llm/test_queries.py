@@ -1,4 +1,4 @@
-"""The ten registered queries and the pipeline through the entry module, against plain Python and DuckDB."""
+"""The numbered queries and the pipeline through the entry module, against plain Python and DuckDB."""
 
 import collections
 import hashlib
@@ -45,7 +45,7 @@ def crc(i):
     return zlib.crc32(str(i).encode())
 
 
-@pytest.mark.parametrize("start", ["op1_", "op4_"])
+@pytest.mark.parametrize("start", ["op1_", "op4_", "op13_"])
 def test_sql(spark, duck, start):
     dtypes, rows = run(spark, start)
     (sql,) = [s for n, s in entry.oracle_sql().items() if n.startswith(start)]
@@ -187,3 +187,33 @@ def test_op10(spark, docs):
 def test_pipeline(spark):
     dtypes, rows = run(spark, "pipeline")
     assert [n for n, _ in dtypes] == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"] and rows
+
+
+def test_op11(spark, duck):
+    _, rows = run(spark, "op11_")
+    vectors = dict(duck.execute("select vec_id, embedding from embeddings").fetchall())
+    x = {i: [math.floor(1024 * float(np.float32(c))) + 100000 for c in v] for i, v in vectors.items()}
+    n, s = len(x), [sum(c) for c in zip(*x.values(), strict=True)]
+    assert len(rows) == 8 * n and {r.n for r in rows} == {n}
+    y = np.array([[(n * a - b) / n for a, b in zip(x[i], s, strict=True)] for i in sorted(x)])
+    e, u = np.linalg.eigh(y.T @ y / n)
+    white = []
+    for k in range(8):
+        own = sorted((r for r in rows if r.component == k + 1), key=lambda r: r.vec_id)
+        assert [r.deviation for r in own] == [sum((n * a - b) ** 2 for a, b in zip(x[r.vec_id], s, strict=True)) for r in own]
+        white.append([r.whitened for r in own])
+        np.testing.assert_allclose(np.abs(white[-1]), np.abs(y @ u[:, -1 - k] / np.sqrt(e[-1 - k])), atol=1e-7)
+        assert {round(r.explained / (e[-1 - k] / e.sum()), 9) for r in own} == {1.0}
+    assert np.abs(np.cov(white, bias=True) - np.eye(8)).max() < 1e-9 and rows[0].identity_error < 1e-9
+
+
+def test_op12(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    _, rows = run(spark, "op12_")
+    ids = {i: tok.encode(t or "", add_special_tokens=False).ids for i, t, *_ in docs}
+    want = {i: (len(x), sha(" ".join(map(str, x))), sha(tok.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == want and len(rows) == len(docs)
