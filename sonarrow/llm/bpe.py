@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,14 @@ from pyspark.sql import DataFrame
 
 from .arrow import append
 from .chunks import Memory
-from .words import Slice, hashes, slices, spans
-
-#: Answers of the pair table that are kept at most.
-PAIRS = 1 << 17
+from .words import U64, Slice, hashes, mix64, slices, spans
+
+#: Bits of the number of answers that the pair table keeps; a newer one takes an older one's place.
+PAIRS = 18
+#: Answers that are kept besides for words encoded one by one.
+KNOWN = 1 << 14
+#: Chunks that are cut into words at once; words that are encoded one by one when so few go on; ids decoded at once.
+BATCH, FEW, IDS = 4096, 32, 1 << 16
 NEVER = 1 << 62
 
 
@@ -41,32 +45,42 @@ class Merges:
     """Encodes words under {token: id}, merges in order of rank, and an end-of-word suffix.
 
     A word is a sequence of symbols, its last one with the suffix; a symbol is a code point here, the suffixed ones in a
-    plane of their own, so that a token is a string of as many characters as it has symbols.
+    plane of their own, so that a token is a string of as many characters as it has symbols. Many words are encoded at once.
     """
 
-    APART = 1 << 16
+    APART, GAP = 1 << 16, "\U0010ffff"
 
     def __init__(self, ids: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         import ahocorasick
 
-        self.suffix, self.ids = suffix, ids
-        self.left, self.right, self.rank, self.joined = {}, {}, {}, {}
+        self.suffix, self.n = suffix, max(ids.values(), default=-1) + 1
+        self.rank = np.full(self.n, -1, np.int64)
+        self.left, self.right = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        self.size, self.shorter = np.zeros(self.n, np.int64), np.full(self.n, -1, np.int64)
         for rank, (a, b) in enumerate(merges):
-            a, b, whole = ids[a], ids[b], ids[a + b]
-            if whole in self.rank:
+            whole = ids[a + b]
+            if self.rank[whole] >= 0:
                 raise ValueError("a token has more than one merge")
-            self.left[whole], self.right[whole], self.rank[whole] = a, b, rank
-            self.joined[a, b] = rank
-        self.table: dict[tuple[int, int], bool] = {}
-        name = {self.symbols(t): i for t, i in ids.items() if i in self.rank or len(self.symbols(t)) == 1}
-        # a token that its own merges do not lead to is never the result
-        self.size = {i: len(s) for s, i in name.items()}
-        name = {s: i for s, i in name.items() if self._whole(i)}
-        self.shorter = {i: next((name[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in name), -1) for s, i in name.items()}
+            self.left[whole], self.right[whole], self.rank[whole] = ids[a], ids[b], rank
+        made = np.flatnonzero(self.rank >= 0)
+        pairs = self.left[made] * self.n + self.right[made]
+        order = np.argsort(pairs)
+        self.pairs, self.joined = pairs[order], self.rank[made][order]
+        self.known: dict[tuple[int, int], bool] = {}
+        self.answers = np.full(1 << PAIRS, -1, np.int64)  # of pairs: twice the pair's number, and one more if it fits
+        # a token that its own merges do not lead to is never the result, nor part of one
+        whole = np.ones(self.n, bool)
+        whole[made] = self._free(self.left[made], self.right[made], self.rank[made])
+        for t in made[np.argsort(self.rank[made])].tolist():
+            whole[t] &= whole[self.left[t]] & whole[self.right[t]]
+        name = {s: i for t, i in ids.items() if whole[i] and (s := self.symbols(t)) and (self.rank[i] >= 0 or len(s) == 1)}
         self.automaton = ahocorasick.Automaton()
         for s, i in name.items():
-            self.automaton.add_word(s, (i, len(s)))
-        self.automaton.make_automaton()
+            self.size[i] = len(s)
+            self.shorter[i] = next((name[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in name), -1)
+            self.automaton.add_word(s, i)
+        if name:
+            self.automaton.make_automaton()
 
     def symbols(self, token: str) -> str:
         """A token's symbols; with a suffix the last one is moved to the plane of suffixed ones."""
@@ -75,99 +89,141 @@ class Merges:
             return token[:-1] + chr(ord(token[-1]) + self.APART) if token else ""
         return token
 
-    def _whole(self, token: int) -> bool:
-        """Whether the two parts of a token, and theirs, may not stand side by side but for the merge that joins them."""
-        return token not in self.rank or self._free(self.left[token], self.right[token], self.rank[token])
-
-    def _free(self, a: int, b: int, limit: int) -> bool:
-        """Whether no pair at the border of a and b is joined before `limit`, and then before their own merges."""
-        rank, joined = self.rank, self.joined
-        while True:
-            if joined.get((a, b), NEVER) < limit:
-                return False
-            if rank.get(a, -1) > rank.get(b, -1):  # taken back: the later merge
-                limit, a = rank[a], self.right[a]
-            elif b in rank:  # of equal pairs the first is joined first
-                limit, b = rank[b] + 1, self.left[b]
-            else:
-                return True
-
-    def fits(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a."""
-        known = self.table.get((a, b))
-        if known is None:
-            if len(self.table) >= PAIRS:
-                self.table.clear()
-            known = self.table[a, b] = self._free(a, b, NEVER)
-        return known
-
-    def encode(self, word: str) -> list[int]:
-        """The ids of a word; characters without a token are left out, and what is beside them is merged apart."""
-        if not word:
-            return []
-        s = word[:-1] + chr(ord(word[-1]) + self.APART) if self.suffix else word
-        n = len(s)
-        longest = [-1] * n
-        for end, (token, size) in self.automaton.iter(s):
-            longest[end + 1 - size] = token  # later ends are longer
-        if -1 in longest:
-            gaps = [-1, *(i for i, t in enumerate(longest) if t < 0), n]
-            return [t for a, b in pairwise(gaps) for t in self._path(longest[a + 1 : b], b - a - 1)]
-        return self._path(longest, n)
-
-    def _path(self, longest: list[int], n: int) -> list[int]:
-        size, shorter, fits = self.size, self.shorter, self.fits
-        out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0] if n else -1
-        while at < n:
-            end = at + size[token]
-            if end <= n and not dead[end] and (not out or fits(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-                continue
-            token = shorter[token]
-            while token < 0:  # nothing fits here
-                dead[at] = 1
-                token = out.pop()
-                at -= size[token]
-                token = shorter[token]
+    def _free(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether no pair at the border of a and b is joined before `limit`, and then before the merge last taken back."""
+        out, live = np.ones(len(a), bool), np.arange(len(a))
+        while len(live):
+            pair = a * self.n + b
+            at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+            hit = (self.pairs[at] == pair) & (self.joined[at] < limit) if len(self.pairs) else np.zeros(len(a), bool)
+            out[live[hit]] = False
+            ra, rb = self.rank[a], self.rank[b]
+            first = ra > rb  # the later merge is taken back; of equal pairs the first is joined first
+            go = ~hit & (first | (rb >= 0))
+            first, a, b = first[go], a[go], b[go]
+            limit = np.where(first, ra[go], rb[go] + 1)
+            a, b, live = np.where(first, self.right[a], a), np.where(first, b, self.left[b]), live[go]
         return out
 
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether token b may follow token a, from the pair table where it has the answer."""
+        pair = a * self.n + b
+        slot = (mix64(pair.view(U64)) >> U64(64 - PAIRS)).astype(np.int64)
+        found = self.answers[slot]
+        new = np.flatnonzero(found >> 1 != pair)
+        if len(new):
+            ask, back = np.unique(pair[new], return_inverse=True)
+            found[new] = (2 * ask + self._free(ask // self.n, ask % self.n, np.full(len(ask), NEVER)))[back]
+            self.answers[slot[new]] = found[new]
+        return (found & 1).astype(bool)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and how many each has; characters without a token are an error."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.suffix:
+            words = [w[:-1] + chr(ord(w[-1]) + self.APART) if w else w for w in words]
+        text = self.GAP.join(words)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(lens + 1) - lens - 1
+        longest = np.full(len(text) + 1, -1, np.int64)
+        if text:
+            match = np.fromiter(chain.from_iterable(self.automaton.iter(text)), np.int64).reshape(-1, 2)
+            longest[match[:, 0] + 1 - self.size[match[:, 1]]] = match[:, 1]  # the last of each place is the longest
+        here = np.ones(len(text) + 1, bool)
+        here[first + lens] = False
+        if (longest[here] < 0).any():
+            raise ValueError("a character has no token")
+        return self._cut(longest, first, first + lens)
+
+    def _cut(self, longest: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, shorter = self.size, self.shorter
+        last = np.full(len(longest), -1, np.int64)  # the token that ends at a place
+        dead = np.zeros(len(longest), bool)
+        live = np.flatnonzero(first < stop)
+        at, begin, end = first[live], first[live], stop[live]
+        token = longest[at]
+        while len(at):
+            if len(at) < FEW:
+                for i in range(len(at)):
+                    self._one(longest, last, dead, int(begin[i]), int(end[i]), int(at[i]), int(token[i]))
+                break
+            to = at + size[token]
+            ok = (token >= 0) & ~dead[np.minimum(to, end)]
+            after = np.flatnonzero(ok & (at > begin))
+            ok[after] = self.fits(last[at[after]], token[after])
+            back = token < 0  # nothing fits here
+            dead[at[back]] = True
+            last[to[ok]] = token[ok]
+            top = last[at]
+            token = np.where(ok, longest[np.where(ok, to, at)], shorter[np.where(back, top, token)])
+            at = np.where(ok, to, np.where(back, at - size[top], at))
+            if (done := at == end).any():
+                at, begin, end, token = at[~done], begin[~done], end[~done], token[~done]
+        ends = np.zeros(len(longest), bool)
+        place, begin = stop, first
+        while len(place := place[go := place > begin]):
+            begin = begin[go]
+            ends[place] = True
+            place = place - size[last[place]]
+        ends = np.flatnonzero(ends)
+        return last[ends], np.diff(np.searchsorted(ends, np.append(first, len(longest)), "right"))
+
+    def _one(self, longest, last, dead, begin: int, end: int, at: int, token: int) -> None:
+        """The rest of one word, for the few that are longer than all others."""
+        longest, size, shorter, known = longest[begin : end + 1].tolist(), self.size, self.shorter, self.known
+        out, at, end = last[begin : end + 1].tolist(), at - begin, end - begin
+        gone = bytearray(dead[begin : begin + end + 1].tobytes())
+        while at < end:
+            if token < 0:
+                gone[at] = 1
+                token = out[at]
+                at -= int(size[token])
+                token = int(shorter[token])
+                continue
+            to = at + int(size[token])
+            ok = not gone[to]
+            if ok and at:
+                pair = out[at], token
+                ok = known.get(pair)
+                if ok is None:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    ok = known[pair] = bool(self.fits(np.array([pair[0]]), np.array([token]))[0])
+            if ok:
+                out[to], at, token = token, to, longest[to]
+            else:
+                token = int(shorter[token])
+        last[begin : begin + end + 1] = out
+
+
+def _file(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
 
 class Codec:
-    """A tokenizers file of kind BPE over bytes: whole chunks to ids, ids to text."""
+    """A tokenizers file of kind BPE over bytes: chunks of text to ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        model, decoder = file["model"], file.get("decoder")
+        file = _file(path)
+        model, added = file["model"], file.get("added_tokens", [])
         if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
             raise ValueError("only plain byte-pair models are encoded")
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = Merges(model["vocab"], merges, model.get("end_of_word_suffix") or "")
-        tokenizer = Tokenizer.from_file(path)
-        self.normalizer, self.words = tokenizer.normalizer, tokenizer.pre_tokenizer
-        added = file.get("added_tokens", [])
         if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added):
             raise ValueError("added tokens must stand for themselves, in the text as it is")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.merges = Merges(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.added = {a["content"]: a["id"] for a in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
-        self._offsets(model["vocab"], decoder)
+        # the library's normalizer and pre-tokenizer, without its model
+        tokenizer = Tokenizer.from_str(json.dumps({**file, "added_tokens": [], "post_processor": None, "model": {**model, "vocab": {}, "merges": []}}))
+        self.normalizer, self.words = tokenizer.normalizer, tokenizer.pre_tokenizer
 
-    def _offsets(self, vocab: dict[str, int], decoder) -> None:
-        """The bytes of all tokens one after another, and where each id's begin."""
-        self.blank, byte = decoder is None, {c: bytes([b]) for b, c in _letters().items()}
-        if decoder is not None and decoder["type"] != "ByteLevel":
-            raise ValueError("only files with no decoder or one of bytes are decoded")
-        text = {i: t.encode() if self.blank else b"".join(byte.get(c) or c.encode() for c in t) for t, i in {**vocab, **self.added}.items()}
-        known = [text.get(i) for i in range(max(text) + 1)]
-        self.known = np.array([x is not None for x in known])
-        self.data = np.frombuffer(b"".join((x or b"") + (b" " if self.blank else b"") for x in known), np.uint8)
-        self.at = np.concatenate([[0], np.cumsum([len(x or b"") + self.blank for x in known])]).astype(np.int64)
+    def _normal(self, text: str) -> str:
+        return self.normalizer.normalize_str(text) if self.normalizer else text
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -175,11 +231,53 @@ class Codec:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                part = self.normalizer.normalize_str(part) if self.normalizer else part
-                for word, _ in self.words.pre_tokenize_str(part):
-                    out += self.merges.encode(word)
+                words = [w for w, _ in self.words.pre_tokenize_str(self._normal(part))]
+                out += self.merges.encode(words)[0].tolist()
         return out
 
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of chunks without white space, for pre-tokens that never go over it: they are cut into words together."""
+        out: list = [None] * len(chunks)
+        plain = []
+        for i, c in enumerate(chunks):
+            if (self.cut and self.cut.search(c)) or len(c.split()) != 1:
+                out[i] = self.encode(c)
+            else:
+                plain.append(i)
+        for i in range(0, len(plain), BATCH):
+            some = plain[i : i + BATCH]
+            text = self._normal(" ".join([chunks[k] for k in some]))
+            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+            if len(blanks) != len(some) - 1:  # the normalizer makes or takes away blanks
+                for k in some:
+                    out[k] = self.encode(chunks[k])
+                continue
+            words = self.words.pre_tokenize_str(text)
+            ids, n = self.merges.encode([w for w, _ in words])
+            of = np.searchsorted(blanks, np.fromiter((o[0] for _, o in words), np.int64, len(words)))
+            ends = np.cumsum(np.bincount(of, n, len(some)).astype(np.int64)).tolist()
+            ids = ids.tolist()
+            for k, a, b in zip(some, [0, *ends], ends, strict=False):
+                out[k] = ids[a:b]
+        return out
+
+
+class Offsets:
+    """The bytes of all tokens of a file one after another, and where each id's begin."""
+
+    def __init__(self, path: str):
+        file = _file(path)
+        decoder = file.get("decoder")
+        if decoder is not None and decoder["type"] != "ByteLevel":
+            raise ValueError("only files with no decoder or one of bytes are decoded")
+        self.blank, byte = decoder is None, {c: bytes([b]) for b, c in _letters().items()}
+        ids = file["model"]["vocab"] | {a["content"]: a["id"] for a in file.get("added_tokens", [])}
+        text = {i: t.encode() if self.blank else b"".join(byte.get(c) or c.encode() for c in t) for t, i in ids.items()}
+        known = [text.get(i) for i in range(max(text, default=-1) + 1)]
+        self.known = np.array([x is not None for x in known], bool)
+        self.data = np.frombuffer(b"".join((x or b"") + (b" " if self.blank else b"") for x in known), np.uint8)
+        self.at = np.concatenate([[0], np.cumsum([len(x or b"") + self.blank for x in known])]).astype(np.int64)
+
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The texts of lists of ids, list k between at[k] and at[k + 1]; unknown ids are left out."""
         ok = (ids >= 0) & (ids < len(self.known))
@@ -197,22 +295,16 @@ class Codec:
         return [raw[a:b].decode("utf-8", "replace").encode() for a, b in pairwise(ends)]
 
 
-_LOADED: dict[str, Codec] = {}
 _MEMORY: dict[str, Memory] = {}
 
 
-def load(path: str) -> Codec:
-    """The codec of a tokenizers file, once for each worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Codec(path)
-    return _LOADED[path]
-
-
-def _memory(path: str) -> Memory:
-    if path not in _MEMORY:
-        codec = load(path)
-        _MEMORY[path] = Memory(lambda chunks: [codec.encode(c.decode("utf-8", "replace")) for c in chunks])
-    return _MEMORY[path]
+def _memory(path: str, chunks_apart: bool) -> Memory:
+    key = f"{path} {chunks_apart}"
+    if key not in _MEMORY:
+        codec = Codec(path)
+        text = lambda chunks: [c.decode("utf-8", "replace") for c in chunks]
+        _MEMORY[key] = Memory((lambda chunks: codec.encode_chunks(text(chunks))) if chunks_apart else (lambda chunks: [codec.encode(t) for t in text(chunks)]))
+    return _MEMORY[key]
 
 
 def _path(tokenizer: str | None) -> str:
@@ -240,7 +332,7 @@ def encode(docs: DataFrame, *, tokenizer: str | None = None, white_space_apart:
     path = _path(tokenizer)
 
     def make():
-        memory = _memory(path)
+        memory = _memory(path, white_space_apart)
 
         def f(texts):
             values, lens, open_ = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
@@ -273,13 +365,19 @@ def decode(df: DataFrame, *, tokenizer: str | None = None, ids_col="ids", out="d
     path = _path(tokenizer)
 
     def make():
-        codec = load(path)
+        table = Offsets(path)
 
         def f(lists):
             lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            got = codec.decode(ids, np.concatenate([[0], np.cumsum(lens)]))
-            return [pa.array(got, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False)).view(pa.string())]
+            at = np.concatenate([[0], np.cumsum(lens)])
+            flat, null, out = lists.flatten(), lists.is_null().to_numpy(zero_copy_only=False), [pa.array([], pa.binary())]
+            i = 0
+            while i < len(lists):  # about IDS ids at a time; a longer list is alone
+                j = max(i + 1, int(np.searchsorted(at, at[i] + IDS, "right")) - 1)
+                ids = flat.slice(at[i], at[j] - at[i]).fill_null(-1).to_numpy(zero_copy_only=False)
+                out.append(pa.array(table.decode(ids, at[i : j + 1] - at[i]), pa.binary(), mask=null[i:j]))
+                i = j
+            return [pa.concat_arrays(out).view(pa.string())]
 
         return f
 

@@ -37,16 +37,22 @@ def test_encoder_is_merging_by_rank(rng, word, n):
             tokens.append("".join(pair))
     m = bpe.Merges({t: i for i, t in enumerate(tokens)}, merges)
     want = by_rank(list(word), {p: i for i, p in enumerate(merges)})
-    assert [tokens[i] for i in m.encode(word)] == want
+    for copies in (1, 2 * bpe.FEW):  # one by one, and together
+        ids, lens = m.encode([word, "", "ab"] * copies)
+        at = np.cumsum([0, *lens])
+        cut = [[tokens[i] for i in ids[a:b]] for a, b in zip(at, at[1:], strict=False)]
+        assert cut[0::3] == [want] * copies and cut[1::3] == [[]] * copies and {len(c) for c in cut[2::3]} <= {1, 2}
 
 
 def test_repeated_merges_and_odd_files():
     with pytest.raises(ValueError):
         bpe.Merges({t: i for i, t in enumerate(["a", "aa", "aaa"])}, [("a", "a"), ("aa", "a"), ("a", "aa")])
     m = bpe.Merges({"a": 0, "b": 1, "ab": 2}, [("a", "b")])
-    assert m.encode("ab?ab") == [2, 2] and m.encode("") == []
-    m.table = dict.fromkeys(range(bpe.PAIRS), True)
-    assert m.encode("aab") == [0, 2] and len(m.table) < 9
+    assert m.encode(["abab", ""])[0].tolist() == [2, 2] and m.encode([])[0].tolist() == []
+    with pytest.raises(ValueError):
+        m.encode(["a?"])
+    m.known = dict.fromkeys(range(bpe.KNOWN), True)
+    assert m.encode(["aab"])[0].tolist() == [0, 2] and len(m.known) < 9
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -82,6 +88,6 @@ def test_odd_ids(spark):
 
 
 def test_offsets():
-    c = bpe.load(BYTE)
+    c = bpe.Offsets(BYTE)
     ids = np.array(Tokenizer.from_file(BYTE).encode("été and so on").ids)
     assert c.decode(ids, np.array([0, 2, 2, len(ids)]))[1] == b"" and b"".join(c.decode(ids, np.array([0, len(ids)]))).decode() == "été and so on"
