@@ -1,25 +1,28 @@
 """Toxicity from confirmed toxic examples and unlabelled text: non-negative positive-unlabelled learning in numpy.
 
-A document's features are its words and its words' first 4 and 5 bytes, as 64-bit hashes, each counted once. `fit` sees a
-bounded sample of confirmed and of unlabelled documents, keeps every feature that confirmed documents have significantly
-more often than text at large, and descends the non-negative risk  prior * R+(P) + max(0, R-(U) - prior * R-(P))  of a
+A document's features are its words and its words' first 4 and 5 bytes, as 64-bit hashes, each counted once. `fit` draws a
+bounded sample of confirmed and of unlabelled documents. Features are counted over the confirmed ones as a Spark job; those
+that could be significant are all that the driver sees of the sample. It keeps every feature that confirmed documents have
+significantly more often than text at large, and descends the non-negative risk  prior * R+(P) + max(0, R-(U) - prior * R-(P))  of a
 linear model with logistic loss. The class prior is the share of toxic ones among labelled training rows. Scores need the
 text alone.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import append, column
 from .staging import Stage
 from .words import U64, hashes, mix64, prefixes, slices, spans
 
-#: Bounds of the training sample: about so many documents of each kind, and features of each kind in bytes.
-CONFIRMED, UNLABELLED, SAMPLE_BYTES = 2048, 4096, 24 << 20
+#: Bounds of the training sample: about so many documents of each kind, and features of each that weights are fitted to.
+CONFIRMED, UNLABELLED, DOCUMENT_FEATURES = 4096, 8192, 2048
 #: How significant a feature must be, in nats: the Chernoff bound of seeing it so often among as many documents at large.
 SIGNIFICANT = 5.5
 #: Punctuation and other ASCII that is no part of a word here.
@@ -91,6 +94,14 @@ def slope(z: np.ndarray, positive: np.ndarray, prior: float, rest: float) -> np.
     return np.where(positive, prior * up / n_p, -up / n_u)
 
 
+def least_count(n_p: int, n_u: int) -> int:
+    """How often, of n_p confirmed documents, a feature must be seen that no unlabelled document has, to be significant."""
+    expected, count = n_p / (n_u + 2), 1
+    while count <= n_p and (count <= expected or expected - count + count * math.log(count / expected) < SIGNIFICANT):
+        count += 1
+    return count
+
+
 def significant(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     """The features that confirmed documents have significantly more often than unlabelled ones, ascending."""
     n_p, n_u = int(positive.sum()), int((~positive).sum())
@@ -135,21 +146,32 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, steps: int
     return Model(keys, *best)
 
 
-def _distinct(texts) -> list[bytes]:
-    """The distinct features of each text, ascending."""
+def _distinct(texts) -> pa.Array:
+    """The distinct features of each text, ascending as signed numbers."""
     out, before = [], []
     for s in slices(texts, parts=True):
         h, row = _features(s)
+        h = h.view(np.int64)
         if s.more or before:
             before.append(np.unique(h))
             if not s.more:
-                out.append(np.unique(np.concatenate(before)).tobytes())
+                out.append(np.unique(np.concatenate(before)))
                 before = []
             continue
         order = np.argsort(row, kind="stable")
         h, cut = h[order], np.searchsorted(row[order], np.arange(s.n + 1))
-        out += [np.unique(h[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return out
+        out += [np.unique(h[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    at = np.cumsum([0, *map(len, out)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
+
+
+def _kept(lists: pa.Array, keys: np.ndarray, most: int) -> list[bytes]:
+    """Of each list those that are among the ascending `keys`, at most the `most` least."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    found = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+    ok = keys[found] == flat if len(keys) else np.zeros(len(flat), bool)
+    return [flat[a:b][ok[a:b]][:most].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _drawn(id_col, n: int, most: int, seed: int):
@@ -158,14 +180,23 @@ def _drawn(id_col, n: int, most: int, seed: int):
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", train: Column | None = None, confirmed=CONFIRMED, unlabelled=UNLABELLED, sample_bytes=SAMPLE_BYTES
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col="doc_id",
+    text_col="text",
+    label_col="toxic",
+    train: Column | None = None,
+    confirmed=CONFIRMED,
+    unlabelled=UNLABELLED,
+    document_features=DOCUMENT_FEATURES,
 ) -> Model:
     """Learn from rows for which `train` (a condition on the id column) holds; null labels and unmatched ids are ignored.
 
-    The sample is about `confirmed` toxic and `unlabelled` other documents, drawn by a hash of the id, and of each kind no
-    more documents than have `sample_bytes` of features, in order of that draw; a document of more features than that is
-    not learned from. An id with several labels counts as toxic if one says so. Rows of equal id are documents of their
-    own. Without confirmed or without unlabelled training text, or with empty tables, the model is the prior alone.
+    The sample is about `confirmed` toxic and `unlabelled` other documents, drawn by a hash of the id. Of a document with
+    more than `document_features` features that could be significant, those of least hash are learned from; no document
+    keeps another one out. An id with several labels counts as toxic if one says so. Rows of equal id are documents of
+    their own. Without confirmed or without unlabelled training text, or with empty tables, the model is the prior alone.
     """
     train = F.lit(True) if train is None else train
     known = labels.where(train & column(id_col).isNotNull() & column(label_col).isNotNull()).groupBy(column(id_col).alias("_id")).agg(F.max(column(label_col)).alias("_y"))
@@ -176,17 +207,19 @@ def fit(
     pool = pool.join(F.broadcast(chosen), "_id", "left").withColumn("_u", F.coalesce(_drawn(F.col("_id"), pool.count(), unlabelled, 2), F.lit(False)))
     pool = pool.where(F.col("_p") | F.col("_u")).select(F.xxhash64(F.lit(4), "_id", "_text").alias("_at"), F.coalesce("_p", F.lit(False)).alias("_p"), "_u", "_text")
     stage = Stage(docs.sparkSession, "toxicity")
-    sample = stage.put(append(pool, "_text", lambda: lambda texts: [pa.array(_distinct(texts), pa.binary())], "h binary", drop=("_text",)), "sample")
+    sample = stage.put(append(pool, "_text", lambda: lambda texts: [_distinct(texts)], "h array<long>", drop=("_text",)), "sample")
+    sizes = sample.agg(F.coalesce(F.sum(F.col("_p").cast("int")), F.lit(0)), F.coalesce(F.sum(F.col("_u").cast("int")), F.lit(0))).first()
+    often = sample.where("_p").select(F.explode("h").alias("h")).groupBy("h").count().where(F.col("count") >= least_count(*sizes))
+    keys = np.sort(np.array(stage.put(often.select("h"), "often").toArrow().column("h"), np.int64))  # a share of the features of `confirmed` documents
+    held = docs.sparkSession.sparkContext.broadcast(keys)
+    most = document_features
     # the unlabelled draw is of all text, confirmed documents among it included
     kinds = F.filter(F.array(F.when(F.col("_p"), True), F.when(F.col("_u"), False)), lambda x: x.isNotNull())
-    sample = sample.withColumn("positive", F.explode(kinds))
-    # where the draw is cut off so that the features fit; rows of equal draw stay or go together
-    so_far = F.sum("size").over(Window.partitionBy("positive").orderBy("_at"))
-    cuts = sample.select("positive", "_at", F.length("h").alias("size")).withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).groupBy("positive").agg(F.max("_at").alias("last"))
-    got = sample.join(F.broadcast(cuts), "positive").where("_at <= last").select("positive", "_at", "h").toArrow()  # cuts: two rows
-    stage.drop("sample")
+    got = append(sample, "h", lambda: lambda lists: [pa.array(_kept(lists, held.value, most), pa.binary())], "kept binary", drop=("h",))
+    got = got.select(F.explode(kinds).alias("positive"), "_at", "kept").toArrow()
+    stage.drop("sample", "often")
     order = sorted(range(len(got)), key=list(zip(got.column("positive").to_pylist(), got.column("_at").to_pylist(), strict=True)).__getitem__)
-    rows = [np.frombuffer(got.column("h")[i].as_buffer(), U64) for i in order]
+    rows = [np.sort(np.frombuffer(got.column("kept")[i].as_buffer(), U64)) for i in order]
     return nnpu(rows, np.array(got.column("positive").to_pylist(), bool)[order], n_p / n if n else 0.0)
 
 
