@@ -19,8 +19,9 @@ from .words import SLICE_BYTES, U64, Slice, slices
 
 BITS = 16
 BUCKETS = 1 << BITS
-#: Bounds of the training sample: about so many documents of each language, and bytes of subword counts of all.
-PER_LANGUAGE, SAMPLE_BYTES = 1024, 32 << 20
+#: Bounds of the training sample: about so many documents of each language, bytes of subword counts of all (and at least
+#: one document of each), and distinct subwords of a document, the most frequent ones.
+PER_LANGUAGE, SAMPLE_BYTES, DOCUMENT_SUBWORDS = 1024, 32 << 20, 4096
 #: The embeddings' width; passes of SGD; every how many documents one is set apart.
 WIDTH, PASSES, APART = 16, 6, 3
 #: The share of right predictions, on texts set apart, that calibrated rejection may cost.
@@ -71,10 +72,17 @@ def _pieces(s: Slice):
 
 
 class Model:
-    """`languages` in order, a row of softmax inputs for each bucket, the temperature and the rejection threshold."""
+    """`languages` in order, the softmax, and the rejection threshold.
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
-        self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table, bias, temperature, threshold
+    `table` has a row for each bucket: of softmax inputs, or, where languages are more than embeddings are wide, of
+    embeddings, which `weights` then takes to the inputs.
+    """
+
+    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0, weights: np.ndarray | None = None):
+        self.languages, self.table, self.bias, self.temperature, self.threshold, self.weights = languages, table, bias, temperature, threshold, weights
+
+    def inputs(self, average: np.ndarray) -> np.ndarray:
+        return (average if self.weights is None else average @ self.weights) + self.bias
 
     def probabilities(self, texts) -> np.ndarray:
         out = [np.zeros((0, len(self.languages)))]
@@ -83,7 +91,7 @@ class Model:
             for bucket, k in _pieces(s):
                 z = z + sum(_sum_rows(self.table, b, m) for b, m in zip(bucket, k, strict=True))
                 n = n + sum(k)
-            out.append(_softmax((z / np.maximum(n, 1)[:, None] + self.bias) / self.temperature))
+            out.append(_softmax(self.inputs(z / np.maximum(n, 1)[:, None]) / self.temperature))
         return np.concatenate(out)
 
 
@@ -93,16 +101,19 @@ def _softmax(z):
 
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
-    """SGD over documents given as (distinct buckets, shares); every third is set apart for calibration.
+    """SGD over documents given as (distinct buckets, shares); every third of each language is set apart for calibration.
 
-    The threshold is the least confidence of a right prediction among those set apart once the share REJECTED of them,
-    rounded down, is left out below it; if that leaves out none, nothing says which confidence is too low, and the
-    threshold is that of a guess.
+    The threshold is the quantile REJECTED of the confidence of right predictions among those set apart, on the line
+    through their ordered values, which begins at a guess's confidence.
     """
     rng, n, k = np.random.default_rng(seed), len(docs), len(languages)
     e, w, b = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32), np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
     w[:] = rng.normal(0, 0.1, w.shape)
-    apart = np.arange(n) % APART == APART - 1
+    nth, seen = np.zeros(n, np.int64), np.zeros(k, np.int64)
+    for i, y in enumerate(labels):
+        nth[i] = seen[y]
+        seen[y] += 1
+    apart = nth % APART == APART - 1
     use = np.flatnonzero(~apart)
     at = 0
     for _ in range(PASSES):
@@ -120,23 +131,23 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
             w -= rate * np.outer(x, g)
             b -= rate * 0.1 * g
             e[idx] -= (rate * min(10, 1 / (c @ c)) * c)[:, None] * step  # a text of few subwords moves them no further than itself
-    model = Model(languages, (e @ w).astype(np.float64), b.astype(np.float64))
+    e, w = e.astype(np.float64), w.astype(np.float64)
+    model = Model(languages, e @ w if k <= WIDTH else e, b.astype(np.float64), weights=None if k <= WIDTH else w)
     model.threshold = 1 / k
     check = [i for i in np.flatnonzero(apart) if len(docs[i][0])]
     if check and k > 1:
-        z = np.array([docs[i][1] @ model.table[docs[i][0]] + model.bias for i in check])
+        z = model.inputs(np.array([docs[i][1] @ model.table[docs[i][0]] for i in check]))
         y = labels[check]
         loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
         p = _softmax(z / model.temperature)
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-        out = int(len(right) * REJECTED)
-        model.threshold = float(max(1 / k, right[out])) if out else 1 / k
+        model.threshold = float(np.interp(REJECTED * (len(right) + 1), np.arange(len(right) + 1), [1 / k, *right]))
     return model
 
 
-def _counted(texts) -> tuple[list[bytes], list[bytes]]:
-    """The distinct buckets of each text, and the share that each has of its subwords."""
+def _counted(texts, most: int) -> tuple[list[bytes], list[bytes]]:
+    """The `most` most frequent distinct buckets of each text, ascending, and the share that each has of their subwords."""
     idx, share = [], []
 
     def put(buckets, counts=None):
@@ -156,40 +167,46 @@ def _counted(texts) -> tuple[list[bytes], list[bytes]]:
             cuts = [np.concatenate([[0], np.cumsum(x)]) for x in n]
             found = [put(np.concatenate([b[q[i] : q[i + 1]] for b, q in zip(bucket, cuts, strict=True)])) for i in range(s.n)]
         for u, c in found:
+            if len(u) > most:
+                top = np.sort(np.lexsort((u, -c))[:most])
+                u, c = u[top], c[top]
             idx.append(u.astype(np.uint16).tobytes())
             share.append((c / max(c.sum(), 1)).astype(np.float32).tobytes())
     return idx, share
 
 
-def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", train_if=None, per_language=PER_LANGUAGE, sample_bytes=SAMPLE_BYTES) -> Model | None:
+def fit(
+    docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", train_if=None, per_language=PER_LANGUAGE, sample_bytes=SAMPLE_BYTES, document_subwords=DOCUMENT_SUBWORDS
+) -> Model | None:
     """Learn from rows for which `train_if` holds and whose text and language are not null; None if there are none.
 
-    The sample is about `per_language` documents of each language, drawn by a hash of the id and the text, and of each
-    language no more than have its part of `sample_bytes`, in order of that draw. Repeated rows are drawn together.
+    The sample is about `per_language` documents of each language, drawn by a hash of the id; of each language it goes on
+    in order of that draw until its part of `sample_bytes` is full, so that each has a document at least. A document
+    counts by its `document_subwords` most frequent subwords. Repeated rows are drawn together. The driver holds a row for
+    each language besides the sample.
     """
     train_if = F.lit(True) if train_if is None else train_if
     pool = docs.where(train_if & column(text_col).isNotNull() & column(lang_col).isNotNull())
-    pool = pool.select(column(lang_col).alias("lang"), column(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(3), column(id_col)), F.lit(1 << 30)).alias("draw"))
-    counts = {r[0]: r[1] for r in pool.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
+    pool = pool.select(column(lang_col).alias("lang"), column(text_col).alias("text"), F.coalesce(F.pmod(F.xxhash64(F.lit(3), column(id_col)), F.lit(1 << 30)), F.lit(0)).alias("draw"))
+    stage = Stage(docs.sparkSession, "langid")
+    # the least draw of a language is in the sample, whatever its share
+    counts = stage.put(pool.groupBy("lang").agg(F.count("*").alias("rows"), F.min("draw").alias("least")), "counts")
+    n = counts.count()
+    if not n:
         return None
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * (1 << 30)))).otherwise(limit)
-    sample = pool.where(F.col("draw") < limit)
+    limits = counts.select("lang", F.greatest(F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("rows")) * (1 << 30), F.col("least") + 1).alias("limit"))
+    sample = pool.join(limits, "lang").where(F.col("draw") < F.col("limit")).drop("limit")
 
     def make():
-        return lambda texts: [pa.array(x, pa.binary()) for x in _counted(texts)]
+        return lambda texts: [pa.array(x, pa.binary()) for x in _counted(texts, document_subwords)]
 
-    stage = Stage(docs.sparkSession, "langid")
     sample = stage.put(append(sample, "text", make, "idx binary, share binary", drop=("text",)), "sample")
-    # where each language's draw is cut off so that its counts fit; rows of equal draw stay or go together
-    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy("draw"))
-    cuts = sample.select("lang", "draw", (F.length("idx") + F.length("share")).alias("size")).withColumn("so_far", so_far)
-    cuts = cuts.where(F.col("so_far") <= sample_bytes // len(counts)).groupBy("lang").agg(F.max("draw").alias("last"))  # a row for each language
-    got = sample.join(F.broadcast(cuts), "lang").where("draw <= last").select("lang", "draw", "idx", "share").toArrow()
-    stage.drop("sample")
-    languages = sorted(counts)
+    # rows of equal draw stay or go together
+    size = F.length("idx") + F.length("share")
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("lang").orderBy("draw").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = sample.withColumn("before", before).where(F.col("before") < max(1, sample_bytes // n)).select("lang", "draw", "idx", "share").toArrow()
+    stage.drop("sample", "counts")
+    languages = sorted(set(got.column("lang").to_pylist()))
     number = {x: i for i, x in enumerate(languages)}
     rows = [(np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(c.as_buffer(), np.float32)) for a, c in zip(got.column("idx"), got.column("share"), strict=True)]
     drawn, lang = got.column("draw").to_pylist(), got.column("lang").to_pylist()
@@ -208,7 +225,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col="text", drop: tupl
     columns = "lang_pred string, score double, rejected boolean"
     if model is None:
         return append(docs, text_col, lambda: lambda t: [pa.array([UNKNOWN] * len(t), pa.string()), pa.array(np.zeros(len(t))), pa.array(np.ones(len(t), bool))], columns, drop)
-    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.threshold))
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.threshold, model.weights))
 
     def make():
         m = Model(*held.value)
