@@ -122,8 +122,11 @@ def test_calibration():
     z = (m.table[bucket[2::3]] + m.bias) / m.temperature
     p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
     right = np.sort(p.max(1)[p.argmax(1) == y[2::3]])
-    assert m.threshold == pytest.approx(max(0.5, right[int(len(right) * 0.001)]))
-    assert langid.train(docs[:30], y[:30], ["a", "b"]).threshold == 0.5
+    at = 0.001 * (len(right) + 1)  # between the guess and the ordered values, by the same line at every size
+    line = [0.5, *right]
+    assert m.threshold == pytest.approx(line[int(at)] + (at % 1) * (line[int(at) + 1] - line[int(at)]))
+    few = langid.train(docs[:30], y[:30], ["a", "b"])
+    assert 0.5 < few.threshold < 0.51
 
 
 def test_clashing_columns_and_long_texts(spark):
@@ -176,3 +179,50 @@ def test_subwords_stay_in_texts():
     assert [x.tolist() for x in n] == [[5, 0, 0, 5, 0, 1], [3, 0, 0, 3, 0, 0]]
     assert all(len(b) == k.sum() for b, k in zip(bucket, n, strict=True))
     assert bucket[0][:5].tolist() == bucket[0][5:10].tolist() and bucket[0][10] == bucket[0][0]
+
+
+def test_a_long_text_keeps_no_other_out(spark):
+    """A text of very many features, first in both draws, leaves sample and result as they are without it."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(word(rng, "en") for _ in range(60)) + (" moron scum" if i % 5 == 0 else ""), "en" if i % 2 else "de") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(-1, 1)], "doc_id long, toxic int")
+    long = (-1, " ".join(f"w{k}x" for k in range(90_000)), "de")
+    docs = spark.createDataFrame([*rows, long], "doc_id long, text string, lang string").repartition(3)
+    model = toxicity.fit(docs, labels, confirmed=500, unlabelled=500, document_features=64)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, model).collect() if r.doc_id >= 0}
+    assert len(model.keys) > 2 and got == {i: i % 5 == 0 for i in range(400)}
+    m = langid.fit(docs, sample_bytes=400_000, document_subwords=256)
+    assert m.languages == ["de", "en"]
+    assert langid.fit(docs, sample_bytes=1).languages == ["de", "en"]  # one document of each at least
+
+
+def test_a_thousand_languages(spark):
+    rows = [(3 * k + i, f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} " * 30 + str(i), f"l{k:04}") for k in range(1000) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 1000 and model.weights.shape == (langid.WIDTH, 1000)
+    got = langid.predict(docs.where("doc_id < 30"), model)
+    assert got.count() == 30 and {r.lang_pred for r in got.collect()} <= set(model.languages)
+
+
+def test_two_languages_are_calibrated(spark, corpus):
+    model = langid.fit(corpus[0].where("lang in ('en', 'de')"))
+    assert model.threshold > 0.5 and model.languages == ["de", "en"]
+
+
+def test_features_that_could_be_significant():
+    for n_p, n_u in ((5, 9), (300, 40), (4096, 8192), (1, 0), (0, 0)):
+        k = toxicity.least_count(n_p, n_u)
+        rows = [np.array([7], np.uint64)] * k + [np.zeros(0, np.uint64)] * (n_p - k + n_u)
+        if k <= n_p:
+            positive = np.arange(n_p + n_u) < n_p
+            assert toxicity.significant(rows, positive).tolist() == [7]
+            assert k == 1 or toxicity.significant(rows[1:k] + rows[k:] + [np.zeros(0, np.uint64)], np.arange(n_p + n_u) < n_p).tolist() == []
+
+
+def test_kept_features():
+    import pyarrow as pa
+
+    lists = pa.array([[-5, 1, 3, 9], [], [3]], pa.list_(pa.int64()))
+    kept = lambda keys, most: [np.frombuffer(b, np.int64).tolist() for b in toxicity._kept(lists, np.array(keys, np.int64), most)]
+    assert kept([-5, 3, 9], 2) == [[-5, 3], [], [3]] and kept([], 5) == [[], [], []] and kept([100], 5) == [[], [], []]
