@@ -241,10 +241,14 @@ def ladder(start: Column, step: Column) -> Column:
     return F.when(step > 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.least(F.lit(1.0), start + i * step))).otherwise(F.array(start))
 
 
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r\v\f"))
+
+
 def joined_text(segments: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """(keys, text, n): the texts of a transcript's segments in order, put together as they are."""
-    g = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("s"), F.count("*").alias("n"))
-    return g.select(*keys, F.array_join(F.col("s.t"), "").alias("text"), "n")
+    """(keys, text, n): the trimmed texts of a transcript's segments in order, with a blank between them."""
+    g = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), trimmed(F.col(text)).alias("t")))).alias("s"), F.count("*").alias("n"))
+    return g.select(*keys, F.array_join(F.col("s.t"), " ").alias("text"), "n")
 
 
 def model_type(layers: Column) -> Column:
@@ -261,9 +265,14 @@ def is_multilingual(vocabulary: Column) -> Column:
     return vocabulary >= 51865
 
 
-def load_path(body: Column) -> Column:
-    """The model named by a load request: the JSON field, or the trimmed body."""
-    return F.coalesce(F.nullif(F.regexp_extract(body, r'"model"\s*:\s*"([^"]*)"', 1), F.lit("")), F.trim(body))
+def load_path(content_type: Column, body: Column) -> Column:
+    """The model named by a load request: a JSON body's string field, else the trimmed body; null if there is none.
+
+    The content type says which it is; of several fields of the name the first counts, and one that is no string is none.
+    """
+    is_json = F.lower(trimmed(F.split(content_type, ";")[0])) == "application/json"
+    field = F.regexp_extract(body, r'(?s)^.*?"model"[^:]*:\s*+(?:"([^"]*)")?', 1)
+    return F.nullif(F.when(F.coalesce(is_json, F.lit(False)), field).otherwise(trimmed(body)), F.lit(""))
 
 
 def multipart(body: Column, boundary: Column) -> Column:

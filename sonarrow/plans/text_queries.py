@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import text as X
+from ..scratch import scratch
+from ..streaming import chat, sinks
+from ..streaming.stateful import state_store
 from ..tables import table
 from .catalog import query
 
@@ -186,7 +190,7 @@ def command_list(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.lower(F.trim("text")).alias("command")).where("command <> ''")
 
 
-@query("joined_text", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
+@query("joined_text", r"SELECT conv_id, string_agg(trim(text, E' \t\n\r\v\f'), ' ' ORDER BY turn) AS text, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
 def joined_text(spark, d):
     """Each conversation's segments as one text."""
     return X.joined_text(table(spark, d, "conversations"), ["conv_id"], "turn", "text")
@@ -199,9 +203,61 @@ def model_types(spark, d):
     return q.groupBy("l_quantity", "kind").agg(F.count("*").alias("n"), F.sum(F.col("m").cast("long")).alias("multilingual"))
 
 
-@query("load_path", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '.bin' WHEN 1 THEN event_type ELSE '{\"other\":1}' END AS path FROM events")
+@query(
+    "load_path",
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_type || '.bin' WHEN 1 THEN event_type WHEN 2 THEN NULL WHEN 3 THEN '{"model":"' || event_type || '"}' WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN event_type || '/m' ELSE NULL END AS path FROM events""",
+)
 def load_path(spark, d):
-    """Load requests that name a model in JSON, as plain text, or not at all."""
-    n = F.col("event_id") % 3
-    body = F.when(n == 0, F.concat(F.lit('{"x":1,"model" : "'), "event_type", F.lit('.bin"}'))).when(n == 1, F.concat(F.lit("  "), "event_type", F.lit(" "))).otherwise('{"other":1}')
-    return table(spark, d, "events").select("event_id", X.load_path(body).alias("path"))
+    """Load requests: JSON with the model, plain text, JSON without it, JSON that is sent as text, nothing, an empty or a broken name."""
+    kinds = [
+        ("application/json", F.concat(F.lit('{"x":1,"model" : "'), "event_type", F.lit('.bin"}'))),
+        (None, F.concat(F.lit("  "), "event_type", F.lit(" \n"))),
+        ("application/json", F.lit('{"other":1}')),
+        ("text/plain", F.concat(F.lit(' {"model":"'), "event_type", F.lit('"}'))),
+        ("text/plain", F.lit(" \t\n")),
+        ("application/json", F.lit('{"model":""}')),
+        (" Application/JSON ; charset=utf-8", F.concat(F.lit('{"model":\n "'), "event_type", F.lit('/m","model":"second"}'))),
+        ("application/json", F.lit('{"model": 7, "name":"x"}')),
+    ]
+    n = F.col("event_id") % len(kinds)
+    kind = F.element_at(F.array(*[F.lit(k) for k, _ in kinds]), (n + 1).cast("int"))
+    body = F.element_at(F.array(*[b for _, b in kinds]), (n + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", X.load_path(kind, body).alias("path"))
+
+
+def _heard(spark, d):
+    """What users said, with the assistant's text if that comes next: (conv_id, turn, text, reply)."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumns({"_role": F.lead("role").over(w), "_text": F.lead("text").over(w)})
+    return c.where("role = 'user'").select("conv_id", "turn", "text", F.when(F.col("_role") == "assistant", F.col("_text")).alias("reply"))
+
+
+TURNS = r"""WITH c AS (SELECT conv_id, turn, role, trim(text, E' \t\n\r\v\f') AS heard, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, turn, heard, CASE WHEN r2 = 'assistant' THEN trim(t2, E' \t\n\r\v\f') END AS reply FROM c WHERE role = 'user' AND heard <> ''),
+m AS (SELECT *, '{"role":"user","content":' || to_json(heard) || '}' AS u, CASE WHEN reply IS NOT NULL THEN ',{"role":"user","content":' || to_json(heard) || '},{"role":"assistant","content":' || to_json(reply) || '}' END AS pair FROM t)
+SELECT conv_id, turn, '{"model":"m","messages":[{"role":"system","content":"Be brief."}' || coalesce(string_agg(pair, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || ',' || u || ']}' AS request, reply FROM m"""
+
+
+@query("chat_turns", TURNS)
+def chat_turns(spark, d):
+    """Each user turn's request, with all answered turns before it; a turn without a reply failed and is in no later request."""
+    t = chat.chat_turns(_heard(spark, d), F.col("reply"), system="Be brief.")
+    return t.select("conv_id", "turn", X.chat_body(F.lit("m"), F.col("messages")).alias("request"), "reply")
+
+
+def _known_reply(messages, row):
+    if row["reply"] is None:
+        raise ValueError("no reply")
+    return row["reply"]
+
+
+@query("chat_turns_stream", TURNS)
+def chat_turns_stream(spark, d):
+    """The same as a stream of turns, with the history kept as state and the replies from a function that may fail."""
+    turns = _heard(spark, d)
+    path = f"{scratch(spark, 'turns')}/table"
+    turns.write.parquet(path)
+    replies = chat.chat_stream(spark.readStream.schema(turns.schema).parquet(path), _known_reply, system="Be brief.")
+    with state_store(spark):
+        out = sinks.drained(replies, "chat")
+    return out.select("conv_id", "turn", X.chat_body(F.lit("m"), F.col("messages")).alias("request"), "reply")
