@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups
 from ..operators import decoding as D
+from ..operators import search
+from ..scratch import scratch
 from ..tables import table
 from .catalog import query
 from .views import TENSOR, TOKENS, tensor, tokens
@@ -267,3 +269,69 @@ _HEADS = ", ".join(f"('{p}', {x.replace(':', ', ')})" for p, h in lookups.ALIGNM
 def alignment_heads(spark, d):
     h = lookups.alignment_heads(spark)
     return h.groupBy("preset").agg(F.count("*").alias("n"), F.countDistinct("layer").alias("layers"), F.sum(F.col("layer") * 100 + F.col("head")).alias("checksum"))
+
+
+#: Beam search: beams, ids a hypothesis can hold, steps at most; score rows that each window of a label's rows has.
+WIDTH, CONTEXT, MOST, TILE = 4, 6, 9, 15
+_SEARCHED = """w AS (SELECT label, vec_id, n // 15 AS tile, n % 15 AS place, count(*) OVER (PARTITION BY label, n // 15) AS size FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings)),
+likely AS (SELECT label, tile, place, id, v, r FROM (SELECT w.label, tile, place, id, round(v + CASE WHEN id = 40 THEN 2 ELSE 0 END, 2) AS v, row_number() OVER (PARTITION BY vec_id ORDER BY round(v + CASE WHEN id = 40 THEN 2 ELSE 0 END, 2) DESC, id) AS r FROM lp JOIN w USING (vec_id)) WHERE r <= 4),
+z AS (SELECT DISTINCT label, tile, size, 0 AS step, CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS beam, CAST([] AS BIGINT[]) AS ids, CAST(0 AS BIGINT) AS last, 0.0::DOUBLE AS total, CAST(0 AS BIGINT) AS done, false AS ends FROM w
+UNION ALL SELECT label, tile, size, step, slot, row_number() OVER (PARTITION BY label, tile, ends ORDER BY slot) - 1, CASE WHEN ends THEN ids ELSE list_append(ids, id) END, id, CASE WHEN id <> 40 AND ends THEN before ELSE total END, CAST(done + sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY label, tile) AS BIGINT), ends
+FROM (SELECT *, id = 40 OR len(ids) >= 6 AS ends FROM (SELECT z.label, z.tile, size, step + 1 AS step, ids, id, z.total AS before, z.total + greatest(v, -30) AS total, done, row_number() OVER (PARTITION BY z.label, z.tile ORDER BY z.total + greatest(v, -30) DESC, beam, r) AS slot
+FROM z JOIN likely l ON z.label = l.label AND z.tile = l.tile AND l.place = (z.step * 4 + z.beam + z.last) % size WHERE NOT ends AND done < 4 AND step < 9) WHERE slot <= 4)),
+f AS (SELECT *, total / (len(ids) + 1) AS mean FROM z WHERE step > 0 AND (ends OR (step = 9 AND done < 4))),
+g AS (SELECT *, row_number() OVER (PARTITION BY label, tile ORDER BY mean DESC, step DESC, ends, slot DESC) AS k, sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY label, tile) AS ended, max(step) OVER (PARTITION BY label, tile) AS steps FROM f)"""
+
+
+@query(
+    "beam_search",
+    f"WITH RECURSIVE {LOGP}, {_SEARCHED} SELECT label, CAST(tile AS BIGINT) AS tile, array_to_string(ids, ' ') AS ids, round(total, 6) AS total, round(mean, 6) AS mean, CAST(ended AS BIGINT) AS ended, CAST(steps AS INT) AS steps FROM g WHERE k = 1",
+)
+def beam_search(spark, d):
+    """A search for each fifteen embeddings of a label: step, beam and last id say whose scores come next. Rounded scores make ties."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    w = table(spark, d, "embeddings").select("label", "vec_id", n.alias("n")).select("label", "vec_id", F.expr(f"n div {TILE}").cast("long").alias("tile"), (F.col("n") % TILE).cast("long").alias("place"))
+    w = w.withColumn("size", F.count("*").over(Window.partitionBy("label", "tile")))
+    v = F.round(F.col("v") + F.when(F.col("id") == END, 2).otherwise(0), 2)
+    rows = logp(spark, d).drop("label").join(w, "vec_id").select("label", "tile", "place", "size", "id", v.alias("v"))
+    path = f"{scratch(spark, 'scores')}/rows"
+    rows.write.parquet(path)  # read at each step
+    rows = spark.read.schema(rows.schema).parquet(path)
+    sizes = w.select("label", "tile", "size").distinct()
+
+    def scores_of(live):
+        place = (F.col("step") * 4 + F.col("beam") + F.coalesce(F.col("last"), F.lit(0))) % F.col("size")
+        return live.join(sizes, ["label", "tile"]).select("label", "tile", "beam", place.cast("long").alias("place")).join(rows.drop("size"), ["label", "tile", "place"]).select("label", "tile", "beam", "id", "v")
+
+    out = search.beam_search(w, scores_of, ["label", "tile"], width=WIDTH, end=END, context=CONTEXT, most=MOST)
+    return out.select("label", "tile", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), R("total").alias("total"), R("mean").alias("mean"), "ended", "steps")
+
+
+def _repeated_less(past, matrix):
+    """A hook: what was said already scores less, positive scores by a division and negative ones by a product."""
+    import numpy as np
+
+    row = np.repeat(np.arange(len(past)), [len(p) for p in past])
+    column = np.concatenate([np.zeros(0, int), *past]).astype(int)
+    seen = np.zeros(matrix.shape, bool)
+    seen[row, column] = True
+    return np.where(seen, np.where(matrix > 0, matrix / 1.5, matrix * 1.5), matrix)
+
+
+@query(
+    "hooked_step",
+    f"""WITH {SCORES}, p AS (SELECT vec_id, [vec_id % 48, (vec_id * 7) % 48, vec_id % 5] AS past FROM embeddings),
+h AS (SELECT vec_id, id, CASE WHEN list_contains(past, id) THEN CASE WHEN v > 0 THEN v / 1.5 ELSE v * 1.5 END ELSE v END AS v FROM scores JOIN p USING (vec_id) WHERE id < 48 AND id <> 40),
+b AS (SELECT vec_id, max(v) AS m FROM h GROUP BY vec_id) SELECT vec_id, max(CASE WHEN v = m THEN id END) AS id, round(max(m) - max(m) - ln(sum(exp(v - m))), 6) AS logprob FROM h JOIN b USING (vec_id) GROUP BY vec_id""",
+)
+def hooked_step(spark, d):
+    """A greedy step: times and the end token masked, a user's function over (ids so far, scores), then the last best and its log-probability."""
+    n = F.col("vec_id")
+    past = F.array((n % 48).cast("long"), (n * 7 % 48).cast("long"), (n % 5).cast("long"))
+    v = table(spark, d, "embeddings").select("vec_id", past.alias("past"), F.transform("embedding", lambda x, i: F.when((i < TIMES) & (i != END), x.cast("double") * 10)).alias("v"))
+    h = search.filter_scores(v, "past", "v", _repeated_less)
+    top = F.array_max("v")
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.coalesce(F.exp(x - top), F.lit(0.0)))
+    return h.select("vec_id", search.argmax_last(F.col("v")).alias("id"), R(-F.ln(total)).alias("logprob"))
