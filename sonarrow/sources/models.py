@@ -36,6 +36,10 @@ class _Reader:
         self.at += n
         return b
 
+    def span(self, n: int):
+        """The next n bytes, as a reader gives large values."""
+        return self.take(n)
+
     def number(self, form: str = "i"):
         return struct.unpack("<" + form, self.take(struct.calcsize("<" + form)))[0]
 
@@ -71,7 +75,7 @@ def _tensors(r: _Reader):
         n_dims, n_name, dtype = r.number(), r.number(), r.number()
         dims = [r.number() for _ in range(n_dims)]
         name = r.take(n_name).decode("utf-8", "replace")
-        yield "tensor", name, dtype, dims[::-1], r.take(size_of(dtype, int(np.prod(dims)), name))
+        yield "tensor", name, dtype, dims[::-1], r.span(size_of(dtype, int(np.prod(dims)), name))
 
 
 def parse(data: bytes, vad: bool = False, architecture: str | None = None) -> list[tuple]:
@@ -79,12 +83,15 @@ def parse(data: bytes, vad: bool = False, architecture: str | None = None) -> li
 
     A GGUF file of another architecture than the one asked for is refused.
     """
-    magic = struct.unpack_from("<I", data)[0] if len(data) >= 4 else None
+    return parsed(_Reader(data), vad, architecture)
+
+
+def parsed(r: _Reader, vad: bool = False, architecture: str | None = None) -> list[tuple]:
+    magic = r.number("I") if not r.end() else None
     if magic == GGUF:
-        return list(_gguf(data, architecture))
+        return list(_gguf(r, architecture))
     if magic != GGML:
         raise ValueError("neither ggml nor GGUF")
-    r = _Reader(data, 4)
     whole = lambda k, v: ("hparam", k, 0, [], struct.pack("<i", v))
     if vad:
         out = [("hparam", "model_type", 0, [], r.take(r.number()))]
@@ -99,15 +106,14 @@ def parse(data: bytes, vad: bool = False, architecture: str | None = None) -> li
     hp = {k: r.number() for k in HPARAMS}
     out = [whole(k, v) for k, v in hp.items()]
     n_mel, n_bins = r.number(), r.number()
-    out.append(("filters", "mel", 0, [n_mel, n_bins], r.take(4 * n_mel * n_bins)))
+    out.append(("filters", "mel", 0, [n_mel, n_bins], r.span(4 * n_mel * n_bins)))
     n = r.number()
     words = [r.take(r.number()) for _ in range(n)] + [f"[_extra_token_{i}]".encode() for i in range(n, hp["n_vocab"])]
     out += [("token", str(i), 0, [i], w) for i, w in enumerate(words)]
     return out + list(_tensors(r))
 
 
-def _gguf(data: bytes, architecture: str | None):
-    r = _Reader(data, 4)
+def _gguf(r: _Reader, architecture: str | None):
     version, n_tensors, n_keys = r.number("I"), r.number("Q"), r.number("Q")
     if version not in (2, 3):
         raise ValueError(f"GGUF version {version}")
@@ -133,26 +139,47 @@ def _gguf(data: bytes, architecture: str | None):
     start = -(-r.at // align) * align
     for name, shape, dtype, offset in infos:
         r.at = start + offset
-        value = r.take(size_of(dtype, int(np.prod(shape)), name))
+        value = r.span(size_of(dtype, int(np.prod(shape)), name))
         yield ("filters", "mel", 0, shape, value) if name == "mel_filters" else ("tensor", name, dtype, shape, value)
 
 
-def to_gguf(rows: list[tuple], architecture: str = "speech") -> bytes:
-    """A GGUF file of parsed rows: tensors by name, 32-byte alignment, half precision widened, quantized blocks as they are."""
+def stored(dtype: int, length: int) -> tuple[int, int]:
+    """Type and bytes of a tensor in a GGUF file: half precision is widened."""
+    return (0, 2 * length) if dtype == 1 else (dtype, length)
+
+
+def gguf_head(hparams: dict[str, bytes], tokens: list[bytes], tensors: list[tuple[str, int, list[int], int]], architecture: str = "speech") -> tuple[bytes, dict[str, int]]:
+    """Everything before the tensors' bytes, and the place of each in the file; `tensors` are (name, dtype, shape, bytes)."""
     text = lambda s: struct.pack("<Q", len(s)) + s
     keys = [(b"general.architecture", STRING, text(architecture.encode())), (b"general.alignment", 4, struct.pack("<I", ALIGN))]
-    keys += [(f"{architecture}.{n}".encode(), 5, v) for kind, n, _, _, v in rows if kind == "hparam"]
-    tokens = [v for kind, n, _, _, v in sorted((x for x in rows if x[0] == "token"), key=lambda x: int(x[1]))]
+    keys += [(f"{architecture}.{n}".encode(), 5, v) for n, v in hparams.items()]
     keys.append((b"tokenizer.ggml.tokens", ARRAY, struct.pack("<IQ", STRING, len(tokens)) + b"".join(map(text, tokens))))
-    tensors = sorted(("mel_filters" if kind == "filters" else n, t, s, v) for kind, n, t, s, v in rows if kind in ("tensor", "filters"))
     head = struct.pack("<IIQQ", GGUF, 3, len(tensors), len(keys)) + b"".join(text(k) + struct.pack("<I", t) + v for k, t, v in keys)
-    body = b""
-    for name, dtype, shape, value in tensors:
-        if dtype == 1:
-            dtype, value = 0, np.frombuffer(value, "<f2").astype("<f4").tobytes()
-        head += text(name.encode()) + struct.pack(f"<I{len(shape)}QIQ", len(shape), *shape[::-1], dtype, len(body))
-        body += value + bytes(-len(value) % ALIGN)
-    return head + bytes(-len(head) % ALIGN) + body
+    places, at = {}, 0
+    for name, dtype, shape, length in sorted(tensors):
+        dtype, length = stored(dtype, length)
+        head += text(name.encode()) + struct.pack(f"<I{len(shape)}QIQ", len(shape), *shape[::-1], dtype, at)
+        places[name] = at
+        at += length + -length % ALIGN
+    head += bytes(-len(head) % ALIGN)
+    return head, {k: len(head) + v for k, v in places.items()} | {"": len(head) + at}
+
+
+def gguf_bytes(dtype: int, value: bytes) -> bytes:
+    return np.frombuffer(value, "<f2").astype("<f4").tobytes() if dtype == 1 else value
+
+
+def to_gguf(rows: list[tuple], architecture: str = "speech") -> bytes:
+    """A GGUF file of parsed rows: tensors by name, 32-byte alignment, half precision widened, quantized blocks as they are."""
+    tensors = {("mel_filters" if kind == "filters" else n): (t, s, v) for kind, n, t, s, v in rows if kind in ("tensor", "filters")}
+    tokens = [v for kind, n, _, _, v in sorted((x for x in rows if x[0] == "token"), key=lambda x: int(x[1]))]
+    head, places = gguf_head({n: v for kind, n, _, _, v in rows if kind == "hparam"}, tokens, [(n, t, s, len(v)) for n, (t, s, v) in tensors.items()], architecture)
+    out = bytearray(places[""])
+    out[: len(head)] = head
+    for n, (t, _, v) in tensors.items():
+        v = gguf_bytes(t, v)
+        out[places[n] : places[n] + len(v)] = v
+    return bytes(out)
 
 
 def dequantized(dtype: int, value: bytes) -> np.ndarray:
