@@ -29,7 +29,7 @@ FAILURES = (OSError, ValueError)
 def is_awake(heard: str, wake: str) -> bool:
     """Whether the first words of what was heard, as many as the wake phrase has, are near it."""
     first = heard.split()[: len(wake.split())]
-    return likeness(" ".join(first).lower(), wake.lower()) >= AWAKE
+    return bool(likeness(" ".join(first).lower(), wake.lower()) >= AWAKE)
 
 
 class Chat(StatefulProcessor):
