@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 32
+#: Entries of a weight matrix that each executor may hold whole.
+HELD = 1 << 24
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,10 +28,62 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     return p.groupBy("r", "c").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
 
 
-def linear(rows: DataFrame, x: str, weight: list[list[float]], bias: list[float] | None = None) -> DataFrame:
-    """x times the transpose of a small weight matrix, given as literals, plus bias; no shuffle."""
-    out = [dot(F.col(x), F.array(*[F.lit(float(w)) for w in row])) + F.lit(float(bias[j]) if bias else 0.0) for j, row in enumerate(weight)]
-    return rows.withColumn("y", F.array(*out))
+#: Entries of a weight matrix that each executor may hold whole.
+HELD = 1 << 24
+
+
+def linear(rows: DataFrame, keys: list[str], x: str, weights: DataFrame, bias: DataFrame | None = None, held: int = HELD) -> DataFrame:
+    """(keys, y): each row's array x times the transpose of a weight table (out, pos, w), plus a bias table (out, b).
+
+    Up to `held` entries each executor gets the matrix once, and batches of rows are multiplied by it; a larger one is
+    joined by place, and the products are added up by key and output. Places of the matrix without an entry, outputs
+    without a bias and places beyond an array's end count as 0. `keys` tell rows apart; a null array gives null.
+    """
+    n_out, width = weights.agg(F.coalesce(F.max("out") + 1, F.lit(0)), F.coalesce(F.max("pos") + 1, F.lit(0))).first()
+    if n_out * width > held:
+        return _linear_joined(rows, keys, x, weights, bias)
+    m, b = np.zeros((width, n_out)), np.zeros(n_out)
+    t = weights.select("out", "pos", "w").toArrow()  # `held` entries at most
+    np.add.at(m, (np.array(t.column("pos")), np.array(t.column("out"))), np.array(t.column("w"), float))
+    if bias is not None:
+        t = bias.where(F.col("out") < n_out).select("out", "b").toArrow()
+        np.add.at(b, np.array(t.column("out")), np.array(t.column("b"), float))
+    matrix = rows.sparkSession.sparkContext.broadcast((m, b))
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("y", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        m, b = matrix.value
+        for batch in batches:
+            v = batch.column(len(keys))
+            lens = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = np.nan_to_num(v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
+            begin = np.concatenate([[0], np.cumsum(lens)])
+            y = np.zeros((len(v), m.shape[1]))
+            for n in np.unique(lens).tolist():
+                own = np.flatnonzero(lens == n)
+                use = min(n, len(m))
+                y[own] = flat[begin[own][:, None] + np.arange(use)] @ m[:use] + b
+            null = v.is_null().to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(np.where(null, 0, y.shape[1]))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at, mask=np.append(null, False)), pa.array(y[~null].ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), lists], names=schema.names)
+
+    return rows.select(*keys, x).mapInArrow(run, schema)
+
+
+def _linear_joined(rows: DataFrame, keys: list[str], x: str, weights: DataFrame, bias: DataFrame | None) -> DataFrame:
+    """Row by row and output by output; the bias is one more place, at which every array has a 1."""
+    n_out, width = weights.agg(F.max("out") + 1, F.max("pos") + 1).first()
+    long = lambda c: F.col(c).cast("long").alias(c)
+    w = weights.select(long("out"), long("pos"), "w").unionByName(weights.sparkSession.range(1).select(F.lit(n_out - 1).cast("long").alias("out"), F.lit(width).cast("long").alias("pos"), F.lit(0.0).alias("w")))
+    if bias is not None:
+        w = w.unionByName(bias.where(F.col("out") < n_out).select(long("out"), F.lit(width).cast("long").alias("pos"), F.col("b").alias("w")))
+    known = rows.where(F.col(x).isNotNull()).select(*keys, F.slice(x, 1, width).alias("_x"))
+    ones = F.concat("_x", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("_x")), F.array(F.lit(1.0)))
+    y = known.select(*keys, F.posexplode(ones).alias("pos", "_v")).join(w, "pos").groupBy(*keys, "out").agg(F.sum(F.col("_v") * F.col("w")).alias("v"))
+    y = y.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("out").cast("long"), "v"))).alias("_y"))
+    value = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n_out - 1).cast("long")), lambda j: F.coalesce(F.try_element_at("_y", j), F.lit(0.0)))
+    return y.select(*keys, value.alias("y")).unionByName(rows.where(F.col(x).isNull()).select(*keys, F.lit(None).cast("array<double>").alias("y")))
 
 
 def transpose(df: DataFrame) -> DataFrame:

@@ -137,9 +137,17 @@ def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFram
 
 
 def carried(df: DataFrame, keys: list[str], order: str, words: Column, most: int) -> DataFrame:
-    """The last `most` words of what came before each row of a key."""
-    past = F.flatten(F.collect_list(words).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(*BEFORE)))
-    return df.withColumn("context", F.slice(past, F.greatest(F.size(past) - most + 1, F.lit(1)), F.lit(most)))
+    """The last `most` words of what came before each row of a key.
+
+    A frame goes back over rows only until it has so many words: it is a range of the number of words before each row, over
+    the words of the row before it. Rows of a key differ in `order`. A null list has no words.
+    """
+    by = Window.partitionBy(*keys)
+    d = df.withColumn("_w", F.coalesce(words, F.array().cast("array<string>")))
+    d = d.withColumns({"_last": F.lag("_w").over(by.orderBy(order)), "_before": F.coalesce(F.sum(F.size("_w")).over(by.orderBy(order).rowsBetween(*BEFORE)), F.lit(0)).cast("long")})
+    # rows with as many words before them as this one come later and add none, as all between are empty
+    past = F.flatten(F.collect_list("_last").over(by.orderBy("_before").rangeBetween(-(most - 1), 0)))
+    return d.withColumn("context", F.slice(past, F.greatest(F.size(past) - most + 1, F.lit(1)), F.lit(most))).drop("_w", "_last", "_before")
 
 
 def reflect_median(df: DataFrame, keys: list[str], value: str, n: int, width: int = 7) -> DataFrame:
@@ -167,11 +175,13 @@ def assign_parts(tokens: DataFrame, parts: DataFrame, keys: list[str]) -> DataFr
     return j.groupBy(*tokens.columns).agg(F.coalesce(fits, F.max("part")).alias("part"))
 
 
-def onset_times(tokens: DataFrame, onsets: DataFrame, keys: list[str], order: list[str], offset: Column, step: float = 0.02) -> DataFrame:
+def onset_times(tokens: DataFrame, onsets: DataFrame, keys: list[str], order: list[str], offset: Column, *, context: int, before: int, step: float = 0.02) -> DataFrame:
     """`tokens` with t_dtw: the onset (keys, token, onset) of each token of a window, counted over its segments, in seconds.
 
-    Tokens beyond those that were aligned have none.
+    A window is skipped as a whole, so that none of its tokens has a time, if its tokens with the `before` ones ahead of
+    them and the end token are more than `context`, or if it has no onsets (no alignment head matches).
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = tokens.withColumn("token", (F.row_number().over(w) - 1).cast("long")).join(onsets.select(*keys, "token", "onset"), [*keys, "token"], "left")
-    return d.withColumn("t_dtw", F.col("onset") * step + offset).drop("token", "onset")
+    w = Window.partitionBy(*keys)
+    d = tokens.withColumns({"token": (F.row_number().over(w.orderBy(*order)) - 1).cast("long"), "_n": F.count("*").over(w)})
+    d = d.join(onsets.select(*keys, "token", "onset"), [*keys, "token"], "left")
+    return d.withColumn("t_dtw", F.when(F.col("_n") + before + 1 <= context, F.col("onset") * step + offset)).drop("token", "onset", "_n")

@@ -35,13 +35,12 @@ def matmul_t(spark, d):
     return M.matmul(a, b).select("r", "c", R("v").alias("v"))
 
 
-WEIGHT = [[((i * 7 + j * 3) % 11 - 5) / 10.0 for j in range(64)] for i in range(4)]
-BIAS = [0.5, -0.25, 0.0, 1.0]
-
-
 @query("linear_bias", f"WITH {TENSOR}, w AS (SELECT i, j, ((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE AS w FROM (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 64)) AS j)) SELECT vec_id, CAST(i AS BIGINT) AS pos, round(sum(v * w) + [0.5, -0.25, 0.0, 1.0][i + 1], 6) AS v FROM tensor JOIN w ON pos = j GROUP BY vec_id, i")
 def linear_bias(spark, d):
-    return _rows(M.linear(vectors(spark, d), "x", WEIGHT, BIAS), "y")
+    """A weight matrix of 4 outputs from a table, here one that a rule fills."""
+    w = spark.range(4).select(F.col("id").alias("out"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos")).withColumn("w", ((F.col("out") * 7 + F.col("pos") * 3) % 11 - 5) / 10)
+    bias = spark.createDataFrame([(0, 0.5), (1, -0.25), (3, 1.0)], "out long, b double")
+    return _rows(M.linear(vectors(spark, d), ["vec_id"], "x", w, bias), "y")
 
 
 @query("layernorm", f"WITH {TENSOR} SELECT vec_id, CAST(pos AS BIGINT) AS pos, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5), 6) AS v FROM tensor WINDOW w AS (PARTITION BY vec_id)")

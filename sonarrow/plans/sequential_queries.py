@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequential as Q
+from ..operators import spectra
 from ..operators import timeline as L
 from ..streaming import windows
 from ..tables import table
 from .catalog import query
-from .views import SIGNAL, TOKENS, signal, tensor, tokens
+from .views import SIGNAL, TENSOR, TOKENS, signal, tensor, tokens
 
 R = lambda c: F.round(c, 6)
 
@@ -82,3 +83,27 @@ def stream_windows(spark, d):
     h = windows.hops(windows.file_stream(spark, f"{d}/events.parquet"), "4 hours", "1 hour")
     out = windows.drain(h.select(F.unix_timestamp("window.start").alias("start_s"), "n", "total"), ["start_s"])
     return out.select("start_s", "n", F.round("total", 4).alias("total"))
+
+
+HEADS = f"""{TENSOR}, h AS (SELECT vec_id, vec_id // 3 AS win, vec_id % 3 AS head FROM embeddings), w AS (SELECT win, head, pos // 16 AS token, pos % 16 AS time, v FROM tensor JOIN h USING (vec_id)),
+z AS (SELECT win, head, token, time, (v - avg(v) OVER c) / sqrt(var_pop(v) OVER c + 1e-9) AS v FROM w WINDOW c AS (PARTITION BY win, head, time)),
+o AS (SELECT win, head, token, time, CASE WHEN time + o < 0 THEN -(time + o) WHEN time + o > 15 THEN 30 - time - o ELSE time + o END AS at FROM z, (SELECT unnest(range(-3, 4)) AS o)),
+m AS (SELECT o.win, o.head, o.token, o.time, median(z.v) AS v FROM o JOIN z ON z.win = o.win AND z.head = o.head AND z.token = o.token AND z.time = o.at GROUP BY ALL)"""
+
+
+def _heads(spark, d):
+    """Three embeddings after one another as a window's heads, each of 4 tokens by 16 times."""
+    t = tensor(spark, d)
+    return t.select(F.expr("vec_id div 3").alias("win"), (F.col("vec_id") % 3).alias("head"), F.floor(F.col("pos") / 16).alias("token"), (F.col("pos") % 16).cast("long").alias("time"), F.col("v").alias("w"))
+
+
+@query("heads_cost", f"WITH {HEADS} SELECT win, CAST(token AS BIGINT) AS token, CAST(time AS BIGINT) AS time, round(-avg(v), 6) AS cost FROM m GROUP BY win, token, time")
+def heads_cost(spark, d):
+    """Attention of several heads as the cost of an alignment."""
+    return spectra.heads_cost(_heads(spark, d), ["win"], 16).select("win", "token", "time", F.round("cost", 6).alias("cost"))
+
+
+@query("token_onsets")
+def token_onsets(spark, d):
+    """When each token begins, by aligning the heads' cost; too far from SQL, so tests hold it against brute force."""
+    return spectra.token_onsets(_heads(spark, d), ["win"], 16)

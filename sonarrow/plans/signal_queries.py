@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import signal as G
+from ..operators import spectra
 from ..tables import table
 from .catalog import query
 from .views import SIGNAL, TENSOR, signal, tensor, vectors
@@ -67,7 +68,7 @@ DFT = f"{TENSOR}, ks AS (SELECT unnest(range(0, 33)) AS k), dft AS (SELECT vec_i
 
 
 def _power(spark, d):
-    return vectors(spark, d).select("vec_id", "label", F.posexplode(G.dft_power(F.col("x"), 64)).alias("k", "p")).withColumn("k", F.col("k").cast("long"))
+    return vectors(spark, d).select("vec_id", "label", F.posexplode(spectra.fft_power("x")).alias("k", "p")).withColumn("k", F.col("k").cast("long"))
 
 
 @query("dft_power", f"WITH {DFT} SELECT vec_id, CAST(k AS BIGINT) AS k, round(p, 6) AS p FROM dft")
@@ -147,3 +148,19 @@ def f16_codec(spark, d):
     h = spark.range(0, 65536).select(F.col("id").cast("int").alias("h")).where("(shiftright(h, 10) & 31) < 31 and h <> 32768")
     x = h.withColumn("x", S.half_to_float(F.col("h")))
     return x.select("h", F.round(F.col("x") * 1048576, 3).alias("scaled"), S.float_to_half(F.col("x")).alias("again"))
+
+
+@query(
+    "log_mel_signal",
+    f"""WITH {SIGNAL}, n AS (SELECT user_id, count(*) AS n FROM signal GROUP BY user_id), {_bank(6, 20, 16000)},
+t AS (SELECT user_id, n, unnest(range(0, n // 8)) AS t FROM n), j AS (SELECT user_id, n, t, k AS o, t * 8 + k - 10 AS j FROM t, (SELECT unnest(range(0, 20)) AS k)),
+g AS (SELECT user_id, t, o, CASE WHEN j < 0 THEN -j WHEN j >= n THEN 2 * (n - 1) - j ELSE j END AS i, n FROM j), h AS (SELECT user_id, t, o, CASE WHEN i < 0 OR i > n - 1 THEN n - 1 ELSE i END AS i FROM g),
+f AS (SELECT h.user_id, t, o, x * (0.5 - 0.5 * cos(2 * pi() * o / 20)) AS x FROM h JOIN signal s ON s.user_id = h.user_id AND s.i = h.i),
+p AS (SELECT user_id, t, k, pow(sum(x * cos(2 * pi() * k * o / 20)), 2) + pow(sum(x * sin(2 * pi() * k * o / 20)), 2) AS p FROM f, (SELECT unnest(range(0, 11)) AS k) GROUP BY user_id, t, k),
+e AS (SELECT user_id, t, m, log10(greatest(sum(w * p), 1e-10)) AS l FROM p JOIN bank USING (k) GROUP BY user_id, t, m)
+SELECT user_id, CAST(t AS BIGINT) AS t, CAST(m AS BIGINT) AS m, round((greatest(l, max(l) OVER (PARTITION BY user_id) - 8) + 4) / 4, 6) AS v FROM e""",
+)
+def log_mel_signal(spark, d):
+    """The whole chain over each user's values as a signal: mirrored ends, frames, window, power, mel bands, logarithm, clamp."""
+    mel = spectra.log_mel(signal(spark, d), ["user_id"], n_fft=20, hop=8, n_mels=6, rate=16000, block=3)
+    return mel.select("user_id", "t", F.posexplode("mel").alias("m", "v")).select("user_id", "t", F.col("m").cast("long").alias("m"), R("v").alias("v"))

@@ -193,13 +193,18 @@ def split_tokens(spark, d):
 
 @query(
     "dtw_times",
-    "WITH w AS (SELECT conv_id, turn, k, word, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS token FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS k FROM conversations)), o AS (SELECT *, sum(length(word)) OVER (PARTITION BY conv_id ORDER BY token) AS onset FROM w) SELECT conv_id, turn, CAST(k AS BIGINT) AS k, CASE WHEN token < 200 THEN round(CAST(onset AS DOUBLE) * 0.02::DOUBLE + conv_id, 6) END AS t_dtw FROM o",
+    """WITH w AS (SELECT conv_id, turn, k, word, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS token, count(*) OVER (PARTITION BY conv_id) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS k FROM conversations)),
+o AS (SELECT *, sum(length(word)) OVER (PARTITION BY conv_id ORDER BY token) AS onset FROM w) SELECT conv_id, turn, CAST(k AS BIGINT) AS k, CASE WHEN n + 5 <= 448 AND conv_id % 7 <> 3 THEN round(CAST(onset AS DOUBLE) * 0.02::DOUBLE + conv_id, 6) END AS t_dtw FROM o""",
 )
 def dtw_times(spark, d):
-    """Words as tokens whose onsets are the characters so far, over the segments of a conversation, of which the first 200 were aligned."""
+    """Words as tokens whose onsets are the characters so far, over the segments of a conversation.
+
+    Every seventh conversation has no matching head; those whose words, with four tokens before and one after them, are
+    over 448 are skipped too.
+    """
     from pyspark.sql import Window
 
     t = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("k", "word"))
     w = Window.partitionBy("conv_id").orderBy("turn", "k")
-    onsets = t.select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("token"), F.sum(F.length("word")).over(w.rowsBetween(*L.UP_TO)).alias("onset")).where("token < 200")
-    return L.onset_times(t, onsets, ["conv_id"], ["turn", "k"], F.col("conv_id")).select("conv_id", "turn", F.col("k").cast("long").alias("k"), F.round("t_dtw", 6).alias("t_dtw"))
+    onsets = t.select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("token"), F.sum(F.length("word")).over(w.rowsBetween(*L.UP_TO)).alias("onset")).where("conv_id % 7 <> 3")
+    return L.onset_times(t, onsets, ["conv_id"], ["turn", "k"], F.col("conv_id"), context=448, before=4).select("conv_id", "turn", F.col("k").cast("long").alias("k"), F.round("t_dtw", 6).alias("t_dtw"))
