@@ -80,13 +80,18 @@ def csv_quote(text: Column) -> Column:
 
 
 def json_escape(text: Column) -> Column:
-    """Quotes, backslashes and control characters as JSON writes them, without surrounding quotes."""
+    """Quotes, backslashes and control characters as JSON writes them, without surrounding quotes.
+
+    Most texts have none of these and are only searched for them.
+    """
     s = text
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         s = F.replace(s, F.lit(a), F.lit(b))
+    rare = s
     for c in (*range(9), 11, 12, *range(14, 32)):
-        s = F.replace(s, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
-    return s
+        rare = F.replace(rare, F.lit(chr(c)), F.lit(f"\\u{c:04x}"))
+    s = F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).otherwise(s)
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), s).otherwise(text)
 
 
 def shell_quote(text: Column) -> Column:

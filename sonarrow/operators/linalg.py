@@ -151,20 +151,31 @@ def quantize_q8(df: DataFrame, keys: list[str]) -> DataFrame:
     return d.select(*keys, "blk", "pos", "d", q.cast("int").alias("q"))
 
 
+def _blocks(df: DataFrame, id_: str, **more: str) -> DataFrame:
+    """Quantized rows (id, blk, pos, q, ...) as a row for each block: its 32 whole numbers as an array, and its scale columns."""
+    q = F.map_from_entries(F.collect_list(F.struct((F.col("pos") % BLOCK).cast("int").alias("p"), F.col("q").cast("long").alias("q"))))
+    g = df.groupBy(F.col("id").alias(id_), "blk").agg(q.alias("_m"), *[F.max(c).alias(n) for n, c in more.items()])
+    places = F.sequence(F.lit(0), F.lit(BLOCK - 1))
+    return g.select(id_, "blk", F.transform(places, lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0).cast("long"))).alias(f"q{id_}"), *more)
+
+
+def _meet(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of blocks of the same number, with the exact sum of their products. A matrix `y` of up to HELD values goes to all executors."""
+    y = F.broadcast(y) if y.count() * BLOCK <= HELD else y
+    product = F.aggregate(F.zip_with("qa", "qb", lambda u, v: u * v), F.lit(0).cast("long"), lambda s, v: s + v)
+    return x.join(y, "blk").withColumn("s", product)
+
+
 def q8_dot(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, dot) of quantized rows (id, blk, pos, d, q): exact integer sums of each block, then scaled."""
-    x = a.select(F.col("id").alias("a"), "blk", "pos", F.col("d").alias("da"), F.col("q").alias("qa"))
-    y = b.select(F.col("id").alias("b"), "blk", "pos", F.col("d").alias("db"), F.col("q").alias("qb"))
-    s = x.join(y, ["blk", "pos"]).groupBy("a", "b", "blk").agg(F.sum(F.col("qa").cast("long") * F.col("qb")).alias("s"), F.max("da").alias("da"), F.max("db").alias("db"))
+    s = _meet(_blocks(a, "a", da="d"), _blocks(b, "b", db="d"))
     return s.groupBy("a", "b").agg(F.sum(F.col("s") * F.col("da") * F.col("db")).alias("dot"))
 
 
 def q8_dot_with_minimum(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, dot) of quantized rows `a` (id, blk, pos, d, q) with rows `b` (id, blk, pos, m, d, q), whose values are m + d * q."""
-    x = a.select(F.col("id").alias("a"), "blk", "pos", F.col("d").alias("da"), F.col("q").alias("qa"))
-    y = b.select(F.col("id").alias("b"), "blk", "pos", F.col("m").alias("mb"), F.col("d").alias("db"), F.col("q").alias("qb"))
-    sums = [F.sum(F.col("qa").cast("long") * F.col("qb")).alias("s"), F.sum(F.col("qa").cast("long")).alias("t"), *[F.max(c).alias(c) for c in ("da", "db", "mb")]]
-    s = x.join(y, ["blk", "pos"]).groupBy("a", "b", "blk").agg(*sums)
+    x = _blocks(a, "a", da="d").withColumn("t", F.aggregate("qa", F.lit(0).cast("long"), lambda s, v: s + v))
+    s = _meet(x, _blocks(b, "b", db="d", mb="m"))
     return s.groupBy("a", "b").agg(F.sum(F.col("da") * (F.col("db") * F.col("s") + F.col("mb") * F.col("t"))).alias("dot"))
 
 

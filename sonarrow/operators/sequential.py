@@ -226,6 +226,34 @@ def onsets(df: DataFrame, keys: list[str], token: str, time: str, cost: str) ->
     return d.mapInArrow(run, schema).select(*keys, F.posexplode("_onsets").alias(token, "onset")).withColumn(token, F.col(token).cast("long"))
 
 
+def warped(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, token, onset): each value of the array `a` warped onto the array `b` by the least absolute difference.
+
+    A row is (keys, a, b); its matrix is only made where it is solved. Null and empty arrays have no onsets.
+    """
+    d = df.select(*keys, F.col(a).cast("array<double>").alias("_a"), F.col(b).cast("array<double>").alias("_b")).where((F.size("_a") > 0) & (F.size("_b") > 0))
+    schema = _schema(df, keys, "_onsets array<long>")
+
+    def run(batches):
+        for batch in batches:
+            x, y = batch.column("_a"), batch.column("_b")
+            n, m = (c.value_lengths().to_numpy() for c in (x, y))
+            u, v = (c.flatten().to_numpy(zero_copy_only=False) for c in (x, y))
+            before_u, before_v = np.cumsum(n) - n, np.cumsum(m) - m
+            found: list = [None] * len(n)
+            for rows, columns in {*zip(n.tolist(), m.tolist(), strict=True)}:
+                own = np.flatnonzero((n == rows) & (m == columns))
+                step = max(1, CELLS // (rows * columns))
+                for k in range(0, len(own), step):
+                    some = own[k : k + step]
+                    left, right = u[before_u[some][:, None] + np.arange(rows)], v[before_v[some][:, None] + np.arange(columns)]
+                    for r, onset in zip(some.tolist(), first_times(np.abs(left[:, :, None] - right[:, None])), strict=True):
+                        found[r] = onset
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+
+    return d.mapInArrow(run, schema).select(*keys, F.posexplode("_onsets").alias("token", "onset")).withColumn("token", F.col("token").cast("long"))
+
+
 def last_advance(last: Column, least, window) -> Column:
     """How far a decoded window moves on: to its last time token if that lies at `least` or later, else by the whole window."""
     return F.when(last >= least, last).otherwise(window)

@@ -184,6 +184,19 @@ def grammar(rules: str, root: str = "root") -> list[str]:
     return expand(root, ())
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def grammar_strings(rules: pd.Series) -> pd.Series:
+    """All strings of each row's grammar, sorted; null for a null and for what is no finite grammar of at most 4096 strings."""
+
+    def one(r):
+        try:
+            return None if r is None else grammar(r)
+        except ValueError:
+            return None
+
+    return rules.map(one)
+
+
 def chat_body(model: Column, messages: Column, **options: Column) -> Column:
     """The JSON of a chat request; options that are null are left out."""
     return F.to_json(F.struct(model.alias("model"), messages.alias("messages"), *[v.alias(k) for k, v in options.items()]))

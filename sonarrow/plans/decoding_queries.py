@@ -240,17 +240,27 @@ def progress(spark, d):
 
 @query(
     "vocab_specials",
-    "WITH v AS (SELECT unnest(range(50200, 51864)) AS id) SELECT id, id > 50257 AND id < 50364 AS special, id >= 50364 AS is_time, CASE WHEN id >= 50364 THEN round((id - 50364) * 0.02::DOUBLE, 2) ELSE -1 END AS seconds FROM v",
+    "SELECT event_id, id, id > 50257 AND id < 50364 AS special, id >= 50364 AS is_time, CASE WHEN id >= 50364 THEN round((id - 50364) * 0.02::DOUBLE, 2) ELSE -1 END AS seconds FROM (SELECT event_id, 50200 + event_id * 37 % 1664 AS id FROM events)",
 )
 def vocab_specials(spark, d):
+    """Events as tokens from the end of a multilingual vocabulary: control tokens, times, and the seconds these stand for."""
     i = F.col("id")
-    return spark.range(50200, 51864).select("id", ((i > 50257) & (i < 50364)).alias("special"), (i >= 50364).alias("is_time"), F.when(i >= 50364, F.round((i - 50364) * 0.02, 2)).otherwise(-1.0).alias("seconds"))
+    t = table(spark, d, "events").select("event_id", (50200 + F.col("event_id") * 37 % 1664).alias("id"))
+    return t.select("event_id", "id", ((i > 50257) & (i < 50364)).alias("special"), (i >= 50364).alias("is_time"), F.when(i >= 50364, F.round((i - 50364) * 0.02, 2)).otherwise(-1.0).alias("seconds"))
 
 
-@query("temperature_ladder", "SELECT 0.2 AS step, CAST(i AS INT) AS rung, round(i * 0.2, 6) AS t FROM (SELECT unnest(range(0, 6)) AS i) UNION ALL SELECT 0.3, CAST(i AS INT), round(i * 0.3, 6) FROM (SELECT unnest(range(0, 4)) AS i) UNION ALL SELECT 0.0, 0, 0.5")
+@query(
+    "temperature_ladder",
+    """WITH p AS (SELECT l_discount AS start, l_tax * 4 AS step, count(*) AS lines FROM lineitem GROUP BY ALL),
+n AS (SELECT *, CASE WHEN step > 0 THEN greatest(floor((1.000001::DOUBLE - start) / step + 1e-9::DOUBLE), 0) ELSE 0 END AS n FROM p), r AS (SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1)) AS i FROM n)
+SELECT round(start, 6) AS start, round(step, 6) AS step, lines, CAST(i AS INT) AS rung, round(CASE WHEN step > 0 THEN least(1.0::DOUBLE, start + i * step) ELSE start END, 6) AS t FROM r""",
+)
 def temperature_ladder(spark, d):
-    rows = [(step, i, round(t, 6)) for start, step in ((0.0, 0.2), (0.0, 0.3), (0.5, 0.0)) for i, t in enumerate(D.temperatures(start, step))]
-    return spark.createDataFrame(rows, "step double, rung int, t double")
+    """The ladders that lines' discounts as first temperatures and taxes as steps would give; no tax gives one rung."""
+    from ..operators.text import ladder
+
+    p = table(spark, d, "lineitem").groupBy(F.col("l_discount").alias("start"), (F.col("l_tax") * 4).alias("step")).agg(F.count("*").alias("lines"))
+    return p.select("start", "step", "lines", F.posexplode(ladder(F.col("start"), F.col("step"))).alias("rung", "t")).select(R("start").alias("start"), R("step").alias("step"), "lines", "rung", R("t").alias("t"))
 
 
 _LANGS = ", ".join(f"({i}, '{c}', '{n}')" for i, (c, n) in enumerate(zip(lookups.LANGUAGE_CODES, lookups.LANGUAGE_NAMES, strict=True)))
@@ -265,10 +275,19 @@ def language_lookup(spark, d):
 _HEADS = ", ".join(f"('{p}', {x.replace(':', ', ')})" for p, h in lookups.ALIGNMENT_HEADS.items() for x in h.split())
 
 
-@query("alignment_heads", f"WITH h(preset, layer, head) AS (VALUES {_HEADS}) SELECT preset, count(*) AS n, CAST(count(DISTINCT layer) AS BIGINT) AS layers, CAST(sum(layer * 100 + head) AS BIGINT) AS checksum FROM h GROUP BY preset")
+_PRESETS = ", ".join(f"'{p}'" for p in lookups.ALIGNMENT_HEADS)
+
+
+@query(
+    "alignment_heads",
+    f"WITH h(preset, layer, head) AS (VALUES {_HEADS}), p AS (SELECT p_partkey, [{_PRESETS}][p_partkey % 12 + 1] AS preset FROM part) SELECT p_partkey, preset, count(*) AS n, CAST(count(DISTINCT layer) AS BIGINT) AS layers, CAST(sum(layer * 100 + head) AS BIGINT) AS checksum FROM p JOIN h USING (preset) GROUP BY p_partkey, preset",
+)
 def alignment_heads(spark, d):
-    h = lookups.alignment_heads(spark)
-    return h.groupBy("preset").agg(F.count("*").alias("n"), F.countDistinct("layer").alias("layers"), F.sum(F.col("layer") * 100 + F.col("head")).alias("checksum"))
+    """Parts as models of twelve presets, and the heads that each model aligns by."""
+    presets = F.array(*map(F.lit, lookups.ALIGNMENT_HEADS))
+    p = table(spark, d, "part").select("p_partkey", F.element_at(presets, (F.col("p_partkey") % 12 + 1).cast("int")).alias("preset"))
+    h = p.join(F.broadcast(lookups.alignment_heads(spark)), "preset")  # a fixed list of some hundred heads
+    return h.groupBy("p_partkey", "preset").agg(F.count("*").alias("n"), F.countDistinct("layer").alias("layers"), F.sum(F.col("layer") * 100 + F.col("head")).alias("checksum"))
 
 
 #: Beam search: beams, ids a hypothesis can hold, steps at most; score rows that each window of a label's rows has.

@@ -10,7 +10,7 @@ from ..operators import timeline as L
 from ..streaming import windows
 from ..tables import table
 from .catalog import query
-from .views import SIGNAL, TENSOR, TOKENS, signal, tensor, tokens
+from .views import SIGNAL, TENSOR, TOKENS, signal, tensor, tokens, vectors
 
 R = lambda c: F.round(c, 6)
 
@@ -54,11 +54,9 @@ def vad_segments_split(spark, d):
 @query("dtw_align")
 def dtw_align(spark, d):
     """Each embedding's 64 values as tokens warped onto the next one's 64 values, by the least absolute difference."""
-    t = tensor(spark, d)
-    a = t.select("vec_id", F.col("pos").cast("long").alias("token"), F.col("v").alias("a"))
-    b = t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pos").cast("long").alias("time"), F.col("v").alias("b"))
-    cost = a.join(b, "vec_id").withColumn("cost", F.abs(F.col("a") - F.col("b")))
-    return Q.onsets(cost, ["vec_id"], "token", "time", "cost")
+    v = vectors(spark, d).select("vec_id", "x")
+    both = v.withColumnRenamed("x", "a").join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("b")), "vec_id")
+    return Q.warped(both, ["vec_id"], "a", "b")
 
 
 @query(

@@ -87,9 +87,12 @@ def _bank(n_mels, n_fft, rate):
 bank AS (SELECT m, k, greatest(0.0, least((k * {rate / n_fft}::DOUBLE - lo) / (mid - lo), (hi - k * {rate / n_fft}::DOUBLE) / (hi - mid))) * 2 / (hi - lo) AS w FROM edges, (SELECT unnest(range(0, {n_fft // 2 + 1})) AS k))"""
 
 
-@query("mel_filterbank", f"WITH {_bank(80, 400, 16000)} SELECT CAST(m AS BIGINT) AS m, CAST(k AS BIGINT) AS k, round(w, 9) AS w FROM bank WHERE w > 0")
+@query("mel_filterbank", f"WITH {DFT}, {_bank(8, 64, 16000)} SELECT vec_id, CAST(m AS BIGINT) AS m, round(sum(w * p), 6) AS e, round(sum(w) * 1000, 6) AS area FROM dft JOIN bank USING (k) WHERE w > 0 GROUP BY vec_id, m")
 def mel_filterbank(spark, d):
-    return G.mel_filterbank(spark, 80, 400, 16000).where("w > 0").select("m", F.col("k").cast("long").alias("k"), F.round("w", 9).alias("w"))
+    """The energies of eight mel bands of each embedding as a frame, and the weight that each band has."""
+    bank = G.mel_filterbank(spark, 8, 64, 16000).where("w > 0").withColumn("k", F.col("k").cast("long"))
+    p = _power(spark, d).join(F.broadcast(bank), "k")  # 8 by 33 weights
+    return p.groupBy("vec_id", "m").agg(R(F.sum(F.col("w") * F.col("p"))).alias("e"), R(F.sum("w") * 1000).alias("area"))
 
 
 @query(
@@ -141,13 +144,18 @@ def crop_window(spark, d):
 
 @query(
     "f16_codec",
-    """WITH b AS (SELECT h, (h >> 10) & 31 AS e, h & 1023 AS f FROM (SELECT unnest(range(0, 65536)) AS h)) SELECT CAST(h AS INT) AS h,
-round((CASE WHEN h & 32768 <> 0 THEN -1.0 ELSE 1.0 END) * (CASE WHEN e = 0 THEN f / 1024.0 * pow(2, -14) ELSE (1 + f / 1024.0) * pow(2, e - 15) END) * 1048576, 3) AS scaled, CAST(h AS INT) AS again FROM b WHERE e < 31 AND h <> 32768""",
+    f"""WITH {TENSOR}, x AS (SELECT vec_id, pos, v * CASE pos % 4 WHEN 0 THEN 1 WHEN 1 THEN 1e6 WHEN 2 THEN 1e-5 ELSE 300 END::DOUBLE AS x FROM tensor), e AS (SELECT *, greatest(-14, CAST(floor(log2(greatest(abs(x), pow(2::DOUBLE, -30)))) AS INT)) AS e FROM x),
+f AS (SELECT *, CAST(round_even(abs(x) / pow(2::DOUBLE, e - 10), 0) AS BIGINT) AS f FROM e), b AS (SELECT *, CASE WHEN x < 0 THEN 32768 ELSE 0 END + CASE WHEN abs(x) >= 65520 THEN 31744 WHEN f >= 1024 THEN (e + 15) * 1024 + f - 1024 ELSE f END AS bits FROM f),
+c AS (SELECT *, (bits >> 10) & 31 AS ex, bits & 1023 AS fr FROM b)
+SELECT vec_id, CAST(pos AS BIGINT) AS pos, CAST(bits AS INT) AS bits, CASE WHEN ex < 31 THEN round(CASE WHEN x < 0 THEN -1.0::DOUBLE ELSE 1.0 END * CASE WHEN ex = 0 THEN fr / 1024.0::DOUBLE * pow(2::DOUBLE, -14) ELSE (1 + fr / 1024.0::DOUBLE) * pow(2::DOUBLE, ex - 15) END * 1048576, 3) + 0.0 END AS scaled FROM c""",
 )
 def f16_codec(spark, d):
-    h = spark.range(0, 65536).select(F.col("id").cast("int").alias("h")).where("(shiftright(h, 10) & 31) < 31 and h <> 32768")
-    x = h.withColumn("x", S.half_to_float(F.col("h")))
-    return x.select("h", F.round(F.col("x") * 1048576, 3).alias("scaled"), S.float_to_half(F.col("x")).alias("again"))
+    """Values of four sizes, from far below the normal ones to beyond the largest, as half-precision bits and back."""
+    k = F.col("pos") % 4
+    x = F.col("v") * F.when(k == 0, 1.0).when(k == 1, 1e6).when(k == 2, 1e-5).otherwise(300.0)
+    h = tensor(spark, d).select("vec_id", F.col("pos").cast("long").alias("pos"), S.float_to_half(x).alias("bits"))
+    back = S.half_to_float(F.col("bits"))
+    return h.select("vec_id", "pos", "bits", F.when(F.abs(back) != float("inf"), F.round(back * 1048576, 3) + 0.0).alias("scaled"))
 
 
 @query(

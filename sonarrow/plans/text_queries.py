@@ -95,12 +95,20 @@ def compression_ratio(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", R(X.compressibility("text")).alias("ratio"))
 
 
-RULES = 'root ::= greeting " " name | "bye"\ngreeting ::= "hello" | "hi"\nname ::= "ann" | "bob" # two\n'
-
-
-@query("grammar_expand", "SELECT g || ' ' || n AS text FROM (VALUES ('hello'), ('hi')) a(g), (VALUES ('ann'), ('bob')) b(n) UNION ALL SELECT 'bye'")
+@query(
+    "grammar_expand",
+    """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark), x AS (SELECT item_id, [coalesce(w[1], 'hello'), coalesce(w[2], 'hi')] AS g, [coalesce(w[3], 'ann'), coalesce(w[4], 'bob'), coalesce(w[5], 'cy')] AS n FROM w),
+g AS (SELECT item_id, unnest(g) AS g, n FROM x), gn AS (SELECT item_id, g, unnest(n) AS n FROM g) SELECT item_id, text FROM (SELECT DISTINCT item_id, 'say: ' || g || ' "' || n || '"' AS text FROM gn UNION ALL SELECT item_id, 'bye' FROM x)""",
+)
 def grammar_expand(spark, d):
-    return spark.createDataFrame([(x,) for x in X.grammar(RULES)], "text string")
+    """Each item's first words as the terminals of a grammar of its own, and all strings that it has."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)
+    word = lambda k, other: F.concat(F.lit('"'), F.coalesce(F.get(w, F.lit(k)), F.lit(other)), F.lit('"'))
+    rules = F.concat(
+        F.lit('root ::= "say: " (greeting) " " "\\"" name "\\"" | "bye" # the end\ngreeting ::= '), word(0, "hello"), F.lit(" | "), word(1, "hi"),
+        F.lit("\n\nname ::= "), word(2, "ann"), F.lit(" | "), word(3, "bob"), F.lit("\nname ::= "), word(4, "cy"),
+    )
+    return table(spark, d, "benchmark").select("item_id", F.explode(X.grammar_strings(rules)).alias("text"))
 
 
 @query("json_path", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type || ':' || json_extract_string(props, '$.k') AS tag FROM events")
