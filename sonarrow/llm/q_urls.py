@@ -40,12 +40,12 @@ QUERIES = {"op4_temporal_url_list": op4_temporal_url_list}
 
 ORACLE_SQL = {
     "op4_temporal_url_list": r"""
-WITH p AS (SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '')) AS host,
+WITH p AS (SELECT page_id, lower(coalesce(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)', 1), '\.$', ''), '')) AS host,
                   coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^/?#]+)', 1), '') AS path,
                   DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 4) AS INT) % 730 AS INT) AS day FROM pages),
 c AS (SELECT DISTINCT host, path, day FROM p WHERE host <> ''),
 hp AS (SELECT DISTINCT host, path FROM c),
-pk AS (SELECT host, path, array_to_string(l[i:], '.') AS key FROM (SELECT host, path, string_split(host, '.') AS l, unnest(range(1, CASE WHEN regexp_full_match(host, '[0-9]{1,3}(\.[0-9]{1,3}){3}') THEN 2 ELSE greatest(len(string_split(host, '.')), 2) END)) AS i FROM hp)
+pk AS (SELECT host, path, array_to_string(l[i:], '.') AS key FROM (SELECT host, path, string_split(host, '.') AS l, unnest(range(1, CASE WHEN regexp_full_match(host, '\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3}') THEN 2 ELSE greatest(len(string_split(host, '.')), 2) END)) AS i FROM hp)
        UNION ALL SELECT host, path, host || path FROM hp WHERE path <> ''),
 m AS (SELECT key, md5(key) AS h FROM (SELECT DISTINCT key FROM pk)),
 x AS (SELECT key, CAST('0x' || h[1:1] AS INT) < 8 AS a, CAST('0x' || h[9:9] AS INT) < 8 AS b, CAST('0x' || h[10:10] AS INT) < 8 AS e,

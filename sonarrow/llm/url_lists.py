@@ -16,14 +16,17 @@ from pyspark.sql import functions as F
 
 from .arrow import column, others
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
-ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)"
+ADDRESS = r"^(\[.*\]|[0-9]{1,3}(\.[0-9]{1,3}){3})$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^/?#]+)"
 
 
 def host_of(url: Column) -> Column:
-    """The host in lower case; empty for a null or unreadable URL."""
-    return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+    """The host in lower case, without the dot that may end a full name; empty for a null or unreadable URL.
+
+    An address in brackets keeps them.
+    """
+    return F.lower(F.coalesce(F.regexp_replace(F.regexp_extract(url, HOST, 1), r"\.$", ""), F.lit("")))
 
 
 def path_of(url: Column) -> Column:
@@ -34,7 +37,7 @@ def path_of(url: Column) -> Column:
 def keys_of(host: Column, path: Column) -> Column:
     """What an entry may name for a capture: its host, the parents of at least two labels, and host with path.
 
-    A numeric address has no parents.
+    An address, in numbers or brackets, has no parents.
     """
     labels = F.split(host, r"\.")
     n = F.size(labels)

@@ -60,3 +60,23 @@ def test_clashing_columns_and_addresses(spark):
     assert got.columns == ["page_id", "url", "fetched", "_day", "host", "n_active", "entry_key", "entry_from"]
     assert {r.page_id: (r.host, r.n_active, r.entry_key) for r in got.collect()} == {1: ("10.1.2.3", 1, "10.1.2.3/p"), 2: ("a.b.com", 1, "b.com")}
     assert url_lists.evaluate(c.where("page_id < 0"), e).count() == 0 and url_lists.evaluate(c, e.where("key = ''")).where("n_active > 0").count() == 0
+
+
+def test_hosts(spark):
+    """Addresses in brackets are hosts of their own, and the dot that ends a full name is no part of it."""
+    from pyspark.sql import functions as F
+
+    rows = [
+        ("http://[::1]/x", "[::1]", ["[::1]", "[::1]/x"]),
+        ("http://u@[FE80::1.2.3.4]:80/", "[fe80::1.2.3.4]", ["[fe80::1.2.3.4]"]),
+        ("https://a.b.Example.com./p/q", "a.b.example.com", ["a.b.example.com", "a.b.example.com/p", "b.example.com", "example.com"]),
+        ("http://10.0.0.1/", "10.0.0.1", ["10.0.0.1"]),
+        ("http://[broken/x", "[broken", ["[broken", "[broken/x"]),
+        ("http://./x", "", []),
+    ]
+    d = spark.createDataFrame([r[:2] for r in rows], "url string, want string")
+    got = d.select(url_lists.host_of(F.col("url")).alias("h"), url_lists.path_of(F.col("url")).alias("p")).select("h", url_lists.keys_of(F.col("h"), F.col("p")).alias("k")).collect()
+    assert [(r.h, sorted(r.k)) for r in got] == [(h, sorted(k)) for _, h, k in rows]
+    c = spark.createDataFrame([("http://[::1]/x", DAY), ("http://[::2]/x", DAY), ("http://a.b.example.com.", DAY)], "url string, fetched date")
+    e = spark.createDataFrame([("[::1]", DAY, True), ("example.com", DAY, True)], "key string, day date, listed boolean")
+    assert [(r.url, r.n_active) for r in url_lists.evaluate(c, e).orderBy("url").collect()] == [("http://[::1]/x", 1), ("http://[::2]/x", 0), ("http://a.b.example.com.", 1)]
