@@ -12,7 +12,7 @@ import heapq
 import numpy as np
 
 #: Links of a vector and layer (twice as many on layer 0), and candidates kept while building and while searching.
-M, BUILD, SEARCH = 16, 80, 96
+M, BUILD, SEARCH = 16, 80, 192
 
 
 class Graph:

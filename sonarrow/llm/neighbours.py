@@ -18,8 +18,10 @@ from .arrow import column, tidy
 from .hnsw import SEARCH, Graph
 from .staging import Stage
 
-#: Shards; distinct vectors of a shard at most, about; queries of a block, about.
-SHARDS, MOST, QUERIES = 8, 1 << 16, 4096
+#: Shards; distinct vectors of a shard at most, about; queries of a block, about: a block is some half a minute of search.
+SHARDS, MOST, QUERIES = 8, 1 << 14, 1 << 15
+#: Rows of (shard, block, place) that every executor gets.
+SMALL = 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -28,14 +30,16 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _apart(spark: SparkSession, n: int) -> Column:
-    """For numbers below n, integers that hash partitioning by n sends to a partition each."""
-    if n == 1:
-        return F.array(F.lit(0))
+def _apart(spark: SparkSession, n: int) -> DataFrame:
+    """(number, place) for numbers below n: integers that hash partitioning by n sends to a partition each, but for a few."""
     i = F.col("id").cast("int")
-    rows = spark.range(64 * n).groupBy(F.pmod(F.hash(i), F.lit(n)).alias("at")).agg(F.min(i).alias("i")).collect()  # n rows
-    found = {r["at"]: r["i"] for r in rows}
-    return F.array(*[F.lit(found.get(k, k)) for k in range(n)])
+    found = spark.range(64 * n).groupBy(F.pmod(F.hash(i), F.lit(n)).cast("long").alias("number")).agg(F.min(i).alias("place"))
+    return spark.range(n).withColumnRenamed("id", "number").join(found, "number", "left").select("number", F.coalesce("place", F.col("number").cast("int")).alias("place"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """To all executors if it has at most SMALL rows of a few numbers; else Spark may choose."""
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def _kind(vector: Column, df: DataFrame) -> tuple[str, str]:
@@ -59,8 +63,8 @@ def build(vectors: DataFrame, stage: Stage, *, id_col="vec_id", vector_col="embe
     distinct = stage.put(first.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
     n = distinct.count()
     shards = max(SHARDS, -(-n // MOST))
-    number = F.pmod(F.xxhash64("h"), F.lit(shards)) + 1
-    distinct = distinct.withColumn("shard", F.element_at(_apart(vectors.sparkSession, shards), number.cast("int")))
+    places = _apart(vectors.sparkSession, shards).withColumnRenamed("place", "shard")
+    distinct = distinct.withColumn("number", F.pmod(F.xxhash64("h"), F.lit(shards))).join(_small(places, shards), "number").drop("number")
 
     def make(t):
         t = t.sort_by("h")
@@ -87,13 +91,12 @@ def search(queries: DataFrame, index: DataFrame, *, id_col="vec_id", vector_col=
     blocks = max(1, -(-q.count() // QUERIES))
     shards = max(1, index.count())  # an empty index has no pairs, and no tasks
     # a place for each pair of shard and block; both sides are dealt by it, so that a shard is not one task's alone
-    places = _apart(spark, shards * blocks)
     numbered = index.select("shard").withColumn("number", F.row_number().over(Window.orderBy("shard")) - 1)  # a number for each shard
-    pairs = numbered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("place", F.element_at(places, (F.col("number") * blocks + F.col("block") + 1).cast("int")))
-    pairs = F.broadcast(pairs.select("shard", "block", "place"))
+    pairs = numbered.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("number", F.col("number").cast("long") * blocks + F.col("block"))
+    pairs = pairs.join(_apart(spark, shards * blocks), "number").select("shard", "block", "place")
     blocked = q.withColumn("block", F.pmod(F.xxhash64("q", "v"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("q", "v")).alias("queries"))
-    blocked = blocked.join(pairs.drop("shard"), "block").select("place", "queries").repartition(shards * blocks, "place")
-    spread = index.join(pairs.drop("block"), "shard").drop("shard").repartition(shards * blocks, "place")
+    blocked = blocked.join(_small(pairs.drop("shard"), shards * blocks), "block").select("place", "queries").repartition(shards * blocks, "place")
+    spread = index.join(_small(pairs.drop("block"), shards * blocks), "shard").drop("shard").repartition(shards * blocks, "place")
     tasks = blocked.join(spread, "place")
     wide = width
 

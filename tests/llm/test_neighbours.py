@@ -78,3 +78,27 @@ def test_scores_are_of_the_original_vectors(spark):
         own = {r["rank"]: r for r in got if r.query_id == q}
         assert sorted(own) == list(range(1, 21)) and len({r.vec_id for r in own.values()} & {*map(int, want)}) >= 18
         assert all(np.isfinite(r.score) and r.score == s[r.vec_id] or abs(r.score - s[r.vec_id]) <= 1e-12 * abs(s[r.vec_id]) for r in own.values())
+
+
+def test_recall_of_large_shards(spark, monkeypatch):
+    """Four shards of 5000 random unit vectors of 64 dimensions, which have no structure that a graph could lean on."""
+    monkeypatch.setattr(neighbours, "SHARDS", 4)
+    x = np.random.default_rng(7).normal(size=(20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got: dict = {}
+    for r in neighbours.nearest(d, F.col("vec_id") % 200 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 200):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 100 and hits / 2000 >= 0.95
+
+
+def test_places(spark):
+    """Nearly every pair of shard and block has a partition of its own, and every one has a place."""
+    for n in (1, 8, 1000):
+        rows = neighbours._apart(spark, n).selectExpr("number", "place", f"pmod(hash(place), {n}) at").collect()
+        assert sorted(r.number for r in rows) == list(range(n)) and len({r["at"] for r in rows}) > 0.99 * n
