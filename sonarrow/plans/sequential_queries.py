@@ -16,20 +16,25 @@ R = lambda c: F.round(c, 6)
 
 
 def _spans_sql(least: int, quiet: int, brief: int, most: int) -> str:
-    """Padded spans by one recursive step for each window of each user: s the open span, h silence, c where to split, b where to go on."""
-    return f"""WITH RECURSIVE {SIGNAL}, pr AS (SELECT user_id, i, x / 300.0 >= 0.5 AS up, x / 300.0 < 0.35 AS down FROM signal),
-z AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS i, NULL::BIGINT AS s, NULL::BIGINT AS h, NULL::BIGINT AS c, NULL::BIGINT AS b, NULL::BIGINT AS es, NULL::BIGINT AS ee FROM pr
-UNION ALL SELECT user_id, i, CASE WHEN ends THEN NULL ELSE s END, CASE WHEN ends THEN NULL ELSE h END, CASE WHEN ends THEN NULL ELSE c END, CASE WHEN ends THEN NULL ELSE b END,
-  CASE WHEN ends AND h - s > {least} THEN s ELSE es END, CASE WHEN ends AND h - s > {least} THEN h ELSE ee END
- FROM (SELECT *, down AND s IS NOT NULL AND i - h >= {quiet} AS ends FROM (SELECT user_id, i, down, s, h, CASE WHEN longer THEN h ELSE c END AS c, CASE WHEN longer THEN NULL ELSE b END AS b, es, ee
-  FROM (SELECT *, coalesce(down AND s IS NOT NULL AND i - h > {brief} AND (c IS NULL OR c <> h), false) AS longer FROM (SELECT user_id, i, down, s, CASE WHEN down AND s IS NOT NULL THEN coalesce(h, i) ELSE h END AS h, c, b, es, ee
-   FROM (SELECT user_id, i, down, CASE WHEN opens THEN i WHEN over THEN CASE WHEN c IS NULL THEN NULL ELSE b END ELSE s END AS s, CASE WHEN over THEN NULL ELSE h END AS h, CASE WHEN over THEN NULL ELSE c END AS c,
-     CASE WHEN over THEN NULL ELSE b END AS b, CASE WHEN over THEN s END AS es, CASE WHEN over THEN coalesce(c, i) END AS ee
-    FROM (SELECT *, up AND s IS NULL AS opens, s IS NOT NULL AND i - s > {most} AS over FROM (SELECT p.user_id, p.i, p.up, p.down, z.s, CASE WHEN p.up THEN NULL ELSE z.h END AS h, z.c,
-      CASE WHEN p.up AND z.h IS NOT NULL AND z.c IS NOT NULL AND z.b IS NULL THEN p.i ELSE z.b END AS b FROM z JOIN pr p ON p.user_id = z.user_id AND p.i = z.i + 1))))) q))),
-n AS (SELECT user_id, count(*) AS n FROM signal GROUP BY user_id),
-f AS (SELECT user_id, es AS s, ee AS e FROM z WHERE ee IS NOT NULL UNION ALL SELECT user_id, s, n AS e FROM z JOIN n USING (user_id) WHERE i = n - 1 AND s IS NOT NULL AND n - s > {least}),
-g AS (SELECT *, row_number() OVER w AS k, s - lag(e) OVER w AS before, lead(s) OVER w - e AS after FROM f JOIN n USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY s))
+    """Padded spans by one recursive step for each span: it opens at s, and its silences are those of the hushed windows from p on.
+
+    A silence is counted from the first hushed window after the loud window before it. The span ends with the first hushed
+    window that is `quiet` beyond that; it is split at its first window of over `most`, if that comes no later, where the last
+    silence of over `brief` begins, or on the spot. The next one opens with the next loud window, or goes on from the one
+    after the silence that it was split at.
+    """
+    return f"""WITH RECURSIVE {SIGNAL}, pr AS (SELECT user_id, i, x / 300.0 >= 0.5 AS up, x / 300.0 < 0.35 AS down, count(*) OVER (PARTITION BY user_id) AS n FROM signal),
+nu AS (SELECT *, min(CASE WHEN up THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_up, max(CASE WHEN up THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS prev_up FROM pr),
+hushed AS (SELECT user_id, i, prev_up FROM nu WHERE down AND prev_up IS NOT NULL),
+z AS (SELECT user_id, n, min(i) AS s, min(i) AS p, NULL::BIGINT AS es, NULL::BIGINT AS ee FROM pr WHERE up GROUP BY user_id, n
+UNION ALL SELECT t.user_id, t.n, nu.next_up, CASE WHEN t.how = 'cut' AND nu.next_up <= t.late THEN t.late ELSE nu.next_up END, CASE WHEN t.counts THEN t.s END, CASE WHEN t.counts THEN t.stop END
+ FROM (SELECT *, how IN ('cut', 'late') OR stop - s > {least} AS counts FROM (SELECT *, CASE how WHEN 'end' THEN hush WHEN 'cut' THEN cut WHEN 'late' THEN late ELSE n END AS stop, CASE how WHEN 'end' THEN done WHEN 'cut' THEN cut WHEN 'late' THEN late + 1 END AS look
+  FROM (SELECT *, CASE WHEN done < late THEN 'end' WHEN late >= n THEN 'over' WHEN cut IS NULL THEN 'late' ELSE 'cut' END AS how
+   FROM (SELECT user_id, n, s, late, min(CASE WHEN i - h >= {quiet} THEN i END) AS done, arg_min(h, CASE WHEN i - h >= {quiet} THEN i END) AS hush, max(CASE WHEN i - h > {brief} AND i < late THEN h END) AS cut
+    FROM (SELECT z.user_id, z.n, z.s, greatest(z.p, z.s + {most} + 1) AS late, q.i, min(q.i) OVER (PARTITION BY z.user_id, q.prev_up) AS h FROM z LEFT JOIN hushed q ON q.user_id = z.user_id AND q.prev_up >= z.s AND q.i >= z.p WHERE z.s IS NOT NULL) GROUP BY user_id, n, s, late)))) t
+ LEFT JOIN nu ON nu.user_id = t.user_id AND nu.i = t.look),
+f AS (SELECT user_id, n, es AS s, ee AS e FROM z WHERE ee IS NOT NULL),
+g AS (SELECT *, row_number() OVER w AS k, s - lag(e) OVER w AS before, lead(s) OVER w - e AS after FROM f WINDOW w AS (PARTITION BY user_id ORDER BY s))
 SELECT user_id, k, CAST(CASE WHEN before IS NULL THEN greatest(0, s - 1) WHEN before < 2 THEN s - before // 2 ELSE s - 1 END AS BIGINT) AS start, CAST(CASE WHEN after IS NULL THEN least(n, e + 1) WHEN after < 2 THEN e + after // 2 ELSE e + 1 END AS BIGINT) AS end FROM g"""
 
 
