@@ -36,6 +36,14 @@ def prefixes(candidates: DataFrame, text: str) -> DataFrame:
     return d.select(F.expr(f"substring({text}, 1, n)").alias("prefix")).distinct()
 
 
+def progress_of(said: DataFrame, text: str, candidates: DataFrame, candidate: str) -> DataFrame:
+    """`said` with consistent and complete: whether its text begins some candidate, and whether it is one. A null is neither."""
+    whole = candidates.select(F.col(candidate).alias(text)).where(F.col(text).isNotNull()).distinct().withColumn("complete", F.lit(True))
+    begun = prefixes(candidates, candidate).select(F.col("prefix").alias(text)).where(F.col(text).isNotNull()).withColumn("consistent", F.lit(True))
+    d = said.join(begun, text, "left").join(whole, text, "left")
+    return d.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("consistent", "complete")})
+
+
 def pairing(df: DataFrame, keys: list[str], order: str, is_time: str) -> DataFrame:
     """What the two tokens before each one forbid: times after two times, text after a time that closes text.
 

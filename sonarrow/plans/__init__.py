@@ -1,3 +1,3 @@
 """Named queries: importing the modules below registers them in `catalog`."""
 
-from . import decoding_queries, linalg_queries, render_queries, sequential_queries, signal_queries, text_queries, timeline_queries  # noqa: F401
+from . import decoding_queries, linalg_queries, render_queries, sequential_queries, signal_queries, storage_queries, text_queries, timeline_queries  # noqa: F401
