@@ -158,13 +158,13 @@ def nibble_unpack(spark, d):
 
 @query(
     "block_sizes",
-    "WITH t AS (SELECT l_partkey % 10 AS t, CAST(l_quantity AS BIGINT) AS blocks FROM lineitem) SELECT CAST(t AS INT) AS dtype, CAST(CASE t WHEN 2 THEN 18 WHEN 3 THEN 20 WHEN 6 THEN 22 WHEN 7 THEN 24 WHEN 8 THEN 34 ELSE -1 END AS INT) AS bytes, CAST(sum(blocks * CASE t WHEN 2 THEN 18 WHEN 3 THEN 20 WHEN 6 THEN 22 WHEN 7 THEN 24 WHEN 8 THEN 34 END) AS BIGINT) AS total FROM t GROUP BY t",
+    "WITH t AS (SELECT l_partkey % 10 AS t, CAST(l_quantity AS BIGINT) AS blocks FROM lineitem) SELECT CAST(t AS INT) AS dtype, CAST(CASE t WHEN 2 THEN 18 WHEN 3 THEN 20 WHEN 6 THEN 22 WHEN 7 THEN 24 WHEN 8 THEN 34 ELSE -1 END AS INT) AS bytes, CAST(sum(blocks * CASE t WHEN 2 THEN 18 WHEN 3 THEN 20 WHEN 6 THEN 22 WHEN 7 THEN 24 WHEN 8 THEN 34 ELSE 0 END) AS BIGINT) AS total FROM t GROUP BY t",
 )
 def block_sizes(spark, d):
     """Lines as tensors of so many blocks of ten types, of which five are stored in blocks: bytes of a block and of all."""
     t = table(spark, d, "lineitem").select((F.col("l_partkey") % 10).cast("int").alias("dtype"), F.col("l_quantity").cast("long").alias("blocks"))
     size = M.block_bytes(F.col("dtype"))
-    return t.groupBy("dtype").agg(F.sum(F.col("blocks") * size).alias("total")).select("dtype", F.coalesce(size, F.lit(-1)).alias("bytes"), "total")
+    return t.groupBy("dtype").agg(F.sum(F.col("blocks") * F.coalesce(size, F.lit(0))).alias("total")).select("dtype", F.coalesce(size, F.lit(-1)).alias("bytes"), "total")
 
 
 @query("q8_dot_with_minimum", f"WITH {Q8}, {Q5[len(TENSOR) + 2:]}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.blk, sum(CAST(a.q AS BIGINT) * b.q) AS s, sum(CAST(a.q AS BIGINT)) AS t, max(a.d) AS da, max(b.d) AS db, max(b.m) AS mb FROM qq a JOIN q5 b USING (blk, pos) WHERE b.vec_id < 64 GROUP BY a.vec_id, b.vec_id, a.blk) SELECT a, b, round(sum(da * (db * CAST(s AS DOUBLE) + mb * CAST(t AS DOUBLE))), 6) AS dot FROM s GROUP BY a, b")
