@@ -17,11 +17,12 @@ def likelihood(pairs: np.ndarray, classes: np.ndarray, k: int) -> float:
     return float(_f(c).sum() - _f(c.sum(0)).sum() - _f(c.sum(1)).sum())
 
 
-def exchange(pairs: np.ndarray, k: int, fixed: np.ndarray, rounds: int = 12) -> np.ndarray:
+def exchange(pairs: np.ndarray, k: int, fixed: np.ndarray) -> np.ndarray:
     """The class of each unit from bigram counts `pairs` (units x units).
 
     `fixed` holds a class for units that stay (or -1). The others start in turn, most frequent first, and each round
-    moves every unit to its best class; the end comes when a round moves none.
+    moves every unit to its best class; the end comes when a round moves none. Each move raises the likelihood by a share
+    of its gain at least, so that an end comes.
     """
     n = len(pairs)
     pairs = pairs.astype(np.float64)
@@ -39,7 +40,9 @@ def exchange(pairs: np.ndarray, k: int, fixed: np.ndarray, rounds: int = 12) ->
         of[:, c] = pairs[classes == c].sum(0)
     grid = np.zeros((k, k))
     np.add.at(grid, classes, to)
-    for _ in range(rounds):
+    noise = 1e-12 * float(_f(pairs.sum()))  # below what rounding may make of the sums
+    moved = 1
+    while moved:
         moved = 0
         for u in free:
             a, own = classes[u], pairs[u, u]
@@ -57,7 +60,7 @@ def exchange(pairs: np.ndarray, k: int, fixed: np.ndarray, rounds: int = 12) ->
             left, right = base.sum(1) + into, base.sum(0) + out  # u's neighbours count beside it in any class
             gain -= _f(left + out.sum() + own) - _f(left) + _f(right + into.sum() + own) - _f(right)
             best = int(open_classes[gain[open_classes].argmax()])
-            if best != a and gain[best] > gain[a] + 1e-6 * abs(gain[a]):
+            if best != a and gain[best] > gain[a] + 1e-6 * abs(gain[a]) + noise:
                 grid = base
                 grid[best] += out
                 grid[:, best] += into
@@ -68,8 +71,6 @@ def exchange(pairs: np.ndarray, k: int, fixed: np.ndarray, rounds: int = 12) ->
                 of[:, a] -= pairs[u]
                 of[:, best] += pairs[u]
                 moved += 1
-        if not moved:
-            break
     return classes
 
 
