@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import struct
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from .files import Places, listed
 
 SCHEMA = "path string, sample_rate int, channels int, frame long, samples array<float>, channel_samples array<array<float>>, error string"
-#: Frames of a partition and of a row.
-RANGE, BLOCK = 1 << 20, 4096
+#: Frames of a partition and of a row; ranges of a partition; frames of a batch of rows.
+RANGE, BLOCK, FILES, BATCH_FRAMES = 1 << 20, 4096, 256, 1 << 16
 #: Sizes that a writer leaves while it does not know better.
 OPEN_SIZES = (0, 0xFFFFFFFF, 0x7FFFFFFF)
 HEADER = 44
@@ -66,38 +67,73 @@ def header(path: str) -> Form:
         f.close()
 
 
-class Frames(InputPartition):
+@dataclass
+class Range:
     """Frames `first` to `end` of a file, or why it cannot be read."""
 
-    def __init__(self, path: str, form: Form | None, first: int = 0, end: int = 0, error: str | None = None):
-        self.path, self.form, self.first, self.end, self.error = path, form, first, end, error
+    path: str
+    form: Form | None
+    first: int = 0
+    end: int = 0
+    error: str | None = None
 
 
-def ranges(path: str, form: Form, first: int, end: int, most: int) -> list[Frames]:
-    return [Frames(path, form, k, min(end, k + most)) for k in range(first, end, most)]
+class Frames(InputPartition):
+    """Ranges that one task reads: several small files, or a part of a large one."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def dealt(ranges: list[Range], most: int) -> list[Frames]:
+    """Partitions of at most `most` frames and FILES ranges; longer ranges are cut."""
+    out, held, n = [], [], 0
+    for r in ranges:
+        for k in range(r.first, max(r.end, r.first + 1), most):
+            part = Range(r.path, r.form, k, min(r.end, k + most), r.error)
+            if held and (n + part.end - k > most or len(held) == FILES):
+                out.append(Frames(held))
+                held, n = [], 0
+            held.append(part)
+            n += part.end - k
+    return [*out, Frames(held)] if held else out
 
 
 NAMES = ["path", "sample_rate", "channels", "frame", "samples", "channel_samples", "error"]
 KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.list_(pa.float32())), pa.string()]
 
 
-def read_frames(p: Frames, block: int):
-    """Record batches of the blocks of a partition; blocks begin at multiples of `block` from its first frame."""
-    if p.form is None:
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((p.path, None, None, None, None, None, p.error), KINDS, strict=True)], names=NAMES)
+def _rows(r: Range, block: int):
+    if r.form is None:
+        yield (r.path, None, None, None, None, None, r.error)
         return
-    f, width = Places(p.path), 2 * p.form.channels
+    f, width = Places(r.path), 2 * r.form.channels
     try:
-        for k in range(p.first, p.end, block):
-            f.at = p.form.begin + k * width
-            raw = f.take((min(p.end, k + block) - k) * width)
-            x = np.frombuffer(raw[: len(raw) // width * width], "<i2").reshape(-1, p.form.channels) / np.float32(32768)
-            row = (p.path, p.form.rate, p.form.channels, k, x.mean(axis=1), [c.copy() for c in x.T], None)
-            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, KINDS, strict=True)], names=NAMES)
+        for k in range(r.first, r.end, block):
+            f.at = r.form.begin + k * width
+            raw = f.take((min(r.end, k + block) - k) * width)
+            x = np.frombuffer(raw[: len(raw) // width * width], "<i2").reshape(-1, r.form.channels) / np.float32(32768)
+            yield (r.path, r.form.rate, r.form.channels, k, x.mean(axis=1), [c.copy() for c in x.T], None)
     finally:
         f.close()
 
 
+def read_frames(p: Frames, block: int):
+    """Record batches of the blocks of a partition; blocks begin at multiples of `block` from a range's first frame."""
+    held: list[tuple] = []
+    for row in chain.from_iterable(_rows(r, block) for r in p.ranges):
+        held.append(row)
+        if len(held) * block >= BATCH_FRAMES:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=NAMES)
+
+
 class _Options:
     def __init__(self, options):
         self.path = options["path"]
@@ -115,10 +151,10 @@ class WavReader(DataSourceReader):
             try:
                 form = header(path)
             except (ValueError, struct.error) as e:
-                out.append(Frames(path, None, error=str(e)))
+                out.append(Range(path, None, error=str(e)))
             else:
-                out += ranges(path, form, 0, form.frames, self.o.range)
-        return out
+                out += [Range(path, form, 0, form.frames)] if form.frames else []
+        return dealt(out, self.o.range)
 
     def read(self, partition):
         yield from read_frames(partition, self.o.block)
@@ -146,7 +182,7 @@ class WavStreamReader(DataSourceStreamReader):
         return out
 
     def partitions(self, start, end):
-        return [p for path, n in sorted(end.items()) if n > start.get(path, 0) for p in ranges(path, header(path), start.get(path, 0), n, self.o.range)]
+        return dealt([Range(path, header(path), start.get(path, 0), n) for path, n in sorted(end.items()) if n > start.get(path, 0)], self.o.range)
 
     def read(self, partition):
         yield from read_frames(partition, self.o.block)
