@@ -213,3 +213,23 @@ def test_kill_and_retry(tmp_path):
 def test_reader_options():
     r = WavReader({"path": "/nowhere/at/all"})
     assert r.partitions() == [] and r.o.block == 4096
+
+
+def test_vad_models(spark, tmp_path):
+    """The other container of that magic number, with its own parameters; read as a speech model it is a row with an error."""
+    f = lambda *v: struct.pack(f"<{len(v)}i", *v)
+    layers = [(129, 128, 3), (128, 64, 3), (64, 64, 3), (64, 128, 3)]
+    data = struct.pack("<I", models.GGML) + f(6) + b"silero" + f(5, 1, 2) + f(512, 64) + f(4) + b"".join(f(*x) for x in layers) + f(128, 128, 128, 1)
+    data += f(1, 4, 0) + f(2) + b"bias" + struct.pack("<2f", 0.5, -1.0) + f(2, 1, 1) + f(1, 2) + b"w" + np.array([1, 2], "<f2").tobytes()
+    (tmp_path / "vad.bin").write_bytes(data)
+    for rows in (models.read(spark, str(tmp_path), vad=True).collect(), model_source.read(spark, str(tmp_path), vad="true").collect()):
+        got = {r.name: r for r in rows}
+        number = lambda k: struct.unpack("<i", bytes(got[k].value))[0]  # noqa: E731, B023
+        assert bytes(got["model_type"].value) == b"silero" and [number(f"version_{i}") for i in range(3)] == [5, 1, 2]
+        assert (number("window_size"), number("context_size"), number("lstm_hidden_size"), number("final_out")) == (512, 64, 128, 1)
+        assert [tuple(number(f"layer_{i}_{k}") for k in ("in", "out", "kernel")) for i in range(4)] == layers
+        assert bytes(got["bias"].value) == struct.pack("<2f", 0.5, -1.0) and got["w"].shape == [2, 1] and got["w"].dtype == 1
+    assert [r.error is not None for r in model_source.read(spark, str(tmp_path)).collect()] == [True]
+    five = data.replace(f(4) + f(*layers[0]), f(5) + f(*layers[0]), 1)
+    with pytest.raises(ValueError, match="5 encoder layers"):
+        models.parse(five, vad=True)
