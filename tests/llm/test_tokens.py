@@ -142,3 +142,33 @@ def test_memory_is_bounded():
         assert flat.tolist() == [x for c in chunks for x in (len(c), *c)] and n.tolist() == [1 + len(c) for c in chunks]
         assert m.bytes < 1 << 19
     assert sum(calls) > m.n
+
+
+def test_long_texts_come_in_parts():
+    """Texts of several slices: packing's ids and the language model's words are those of the whole texts, and none of a neighbour's."""
+    import pyarrow as pa
+
+    from sonarrow.llm import lm, words
+
+    rng = random.Random(9)
+    long = " ".join(rng.choice(["Alpha", "beta,", "gam'ma", "über.", "x" * 900]) for _ in range(12_000))
+    texts = ["first one", long, None, long[:700_000].replace(" ", "\n"), "", "last"]
+    assert max(len(t.encode()) for t in texts if t) > 3 * words.SLICE_BYTES
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    got = {}
+    for first, ids, at in packing._token_ids(pa.array(texts), path):
+        got |= {first + i: ids[a:b].tolist() for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))}
+    assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    found = []
+    for h, n in lm._tokens(pa.array(texts)):
+        ends = np.cumsum(n)
+        found += [h[b - k : b].tolist() for b, k in zip(ends, n, strict=True)]
+
+    def whole(t):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        s = words.Slice(data, np.array([0, len(data)]), 0).lower()
+        begins, ends, _ = words.spans(s)
+        return words.hashes(s.data, begins, ends).tolist()
+
+    assert found == [whole(t) for t in texts]
