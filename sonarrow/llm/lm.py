@@ -7,7 +7,8 @@ P(w_i | w_{i-1}) = P(class_i | class_{i-1}) * P(w_i | class_i). Every word of th
    are one more unit there, in a class of its own;
 3. `ROUNDS` rounds of distributed exchange: a pass counts, for each further word, the classes of its neighbours, and each
    word goes to the class of greatest gain while the others stay. Neighbours that are not among the `HEAD` most frequent
-   words count as of the class of all others, whose words are never moved into it;
+   words count as of the class of all others, whose words are never moved into it; so their own classes count nowhere
+   before the last round, and they are placed in it;
 4. a last pass counts class bigrams, those of words beyond the head included;
 5. scores: words of the head are looked up in the task, the others are joined with the table of counts and classes.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .arrow import append, column, others, tidy
 from .brown import exchange, gains
 from .staging import Stage
-from .words import U64, hashes, slices, spans
+from .words import U64, finder, slices, spans, word_hashes
 
 #: Words looked up in tasks; words exchanged on the driver; classes, the first of which is the end's; weight of the classes' shares.
 HEAD, FREQUENT, CLASSES, SMOOTH = 1 << 18, 1022, 64, 20.0
@@ -50,7 +51,7 @@ def _tokens(texts):
     for s in slices(texts, parts=True):
         s = s.lower()
         begins, ends, n = spans(s)
-        h = hashes(s.data, begins, ends)
+        h = word_hashes(s.data, begins, ends)
         if s.more:
             before.append(h)
             continue
@@ -145,13 +146,6 @@ class Model:
     unseen: np.ndarray | None = None  # log10 of the probability of an unseen word after each class
 
 
-def _look(m: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(m.words):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
-    return at, m.words[at] == h
-
-
 def unit_pairs(docs: DataFrame, m: Model) -> DataFrame:
     """(pair, n): counts of unit after unit, as first * units + second; a text begins after an end, unit 0.
 
@@ -164,11 +158,11 @@ def unit_pairs(docs: DataFrame, m: Model) -> DataFrame:
 
     def run(batches):
         words, unit = held.value
-        look = Model(words, words, words, words, 0, 0)
+        look = finder(words)
         total = np.zeros(units * units, np.int64)
         for t in batches:
             for h, n in _tokens(t.column("_text")):
-                at, found = _look(look, h)
+                at, found = look(h)
                 u = _with_ends(np.where(found, unit[at], units - 1) if len(unit) else np.full(len(h), units - 1), n, 0).astype(np.int64)
                 pair, c = np.unique(np.append(0, u[:-1]) * units + u, return_counts=True)
                 total[pair] += c
@@ -178,8 +172,8 @@ def unit_pairs(docs: DataFrame, m: Model) -> DataFrame:
     return docs.select("_text").mapInArrow(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def contexts(docs: DataFrame, m: Model, beyond: bool) -> DataFrame:
-    """(word, slot, n): the neighbours by class of all words that are not frequent.
+def contexts(docs: DataFrame, m: Model, beyond: bool, head_alone: bool = False) -> DataFrame:
+    """(word, slot, n): the neighbours by class of all words that are not frequent; with `head_alone`, of those of the head.
 
     With `beyond`, (word, slot, other, n) of words beyond the head alone, and `other` is the word that follows where that
     is one of them too. The word GRID has the class bigrams of all text, as pairs of slots.
@@ -188,14 +182,16 @@ def contexts(docs: DataFrame, m: Model, beyond: bool) -> DataFrame:
 
     def count():
         words, classes, frequent = held.value
-        look = Model(words, words, words, words, 0, 0)
+        look = finder(words)
         none = lambda n: [np.zeros(n, np.int64)] if beyond else []
 
         def f(texts):
             for h, n in _tokens(texts):
-                at, found = _look(look, h)
+                at, found = look(h)
                 c = np.where(found, classes[at], REST) if len(words) else np.full(len(h), REST)
                 wanted = ~found if beyond or not len(words) else ~(found & frequent[at])
+                if head_alone:
+                    wanted &= found
                 h, c, wanted = _with_ends(h, n, U64(END)), _with_ends(c, n, 0).astype(np.int64), _with_ends(wanted, n, False)
                 before, last = np.append(U64(END), h[:-1]), np.append(0, c[:-1])
                 grid, k = np.unique(last * BEFORE + c, return_counts=True)
@@ -231,7 +227,7 @@ def assigned(found: DataFrame, m: Model, grid: np.ndarray) -> DataFrame:
 
     def run(batches):
         words, classes, grid = held.value
-        look = Model(words, words, words, words, 0, 0)
+        look = finder(words)
         for b in batches:
             word = b.column("word").to_numpy().view(U64)
             lists = b.column("at")
@@ -243,7 +239,7 @@ def assigned(found: DataFrame, m: Model, grid: np.ndarray) -> DataFrame:
                 own = slice(to[i], to[j])
                 table = np.zeros((j - i, SLOTS))
                 table[np.repeat(np.arange(j - i), np.diff(to[i : j + 1])), slot[own]] = n[own]
-                at, known = _look(look, word[i:j])
+                at, known = look(word[i:j])
                 now = np.where(known, classes[at], REST).astype(np.int64) if len(words) else np.full(j - i, REST)
                 g = gains(grid, table[:, :BEFORE], table[:, BEFORE:OWN], table[:, OWN], now)[:, 1:CLASSES]
                 top = g.argmax(1) + 1
@@ -258,8 +254,8 @@ def assigned(found: DataFrame, m: Model, grid: np.ndarray) -> DataFrame:
 
 def _into_head(m: Model, classes: DataFrame) -> None:
     """The classes of words of the head, HEAD rows at most, go into the model."""
-    head = classes.where("in_head").select("word", "class").toArrow()
-    at, found = _look(m, np.array(head.column("word"), np.int64).view(U64))
+    head = classes.select("word", "class").toArrow()
+    at, found = finder(m.words)(np.array(head.column("word"), np.int64).view(U64))
     m.classes = m.classes.copy()
     m.classes[at[found]] = np.array(head.column("class"))[found]
 
@@ -295,9 +291,12 @@ def train(docs: DataFrame, stage: Stage) -> tuple[Model, DataFrame]:
 
     known = counts.select("word", "c", in_head.alias("in_head"))
     for k in range(ROUNDS):
-        found = stage.put(contexts(docs, m, beyond=False), f"contexts{k}")
-        classes = stage.put(assigned(found, m, _grid(found)).join(known, "word"), f"classes{k}")
-        _into_head(m, classes)
+        final = k == ROUNDS - 1
+        found = stage.put(contexts(docs, m, beyond=False, head_alone=not final), f"contexts{k}")
+        classes = assigned(found, m, _grid(found))
+        if final:  # before it, a class of a word beyond the head would count nowhere
+            classes = stage.put(classes.join(known, "word"), "classes")
+        _into_head(m, classes.where("in_head") if final else classes)
         stage.drop(f"contexts{k}")
 
     found = stage.put(contexts(docs, m, beyond=True), "beyond")
@@ -339,7 +338,8 @@ def score(docs: DataFrame, m: Model, words: DataFrame, stage: Stage, *, text_col
         model = held.value
         log_c = np.log10(model.counts + 0.5) if len(model.counts) else np.zeros(1)
         classes = model.classes if len(model.classes) else np.zeros(1, np.int16)
-        at, found = _look(model, np.array([END], U64))
+        look = finder(model.words)
+        at, found = look(np.array([END], U64))
         end_known = bool(found[0])
         end_log = float(log_c[at[0]]) if end_known else float(np.log10(0.5))
 
@@ -347,7 +347,7 @@ def score(docs: DataFrame, m: Model, words: DataFrame, stage: Stage, *, text_col
             cols: list[list] = [[], [], [], []]
             rare: list[tuple] = []
             for h, n in _tokens(texts):
-                at, found = _look(model, h)
+                at, found = look(h)
                 text = np.repeat(np.arange(len(n)), n)
                 own = _with_ends(np.where(found, classes[at], -1).astype(np.int64), n, 0)
                 before = np.append(0, own[:-1])
@@ -410,5 +410,5 @@ def lm_scores(docs: DataFrame, train_if: Column, *, text_col="text") -> DataFram
     """
     stage = Stage(docs.sparkSession, "lm")
     model, words = train(docs.where(train_if).select(column(text_col).alias("_text")), stage)
-    stage.drop("counts", "beyond", *[f"classes{k}" for k in range(ROUNDS - 1)])
+    stage.drop("counts", "beyond")
     return score(docs, model, words, stage, text_col=text_col)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonarrow.llm import brown, lm
+from sonarrow.llm import brown, lm, words
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -160,3 +160,49 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.lm_scores(one, F.lit(False)).collect()}
     assert got[1].n_known == 0 and got[1].train_tokens == 0 and got[1].base_score == pytest.approx(0) and got[2].n_tokens == 1
+
+
+def test_word_hashes():
+    """Equal spans share a hash wherever they lie, others don't; also spans of several eights of bytes, long ones and those at the end of the data."""
+    rng = random.Random(7)
+    some = [bytes(rng.choice(b"ab") for _ in range(n)) for n in [*range(1, 40), 126, 127, 128, 129, 130, 5000] for _ in range(6)]
+    some += [b"\0", b"\0\0", b"\0" * 8, b"\0" * 9, b"\0" * 16]
+    seen: dict = {}
+    for front in range(9):
+        rng.shuffle(some)
+        text = np.frombuffer(b" " * front + b" ".join(some), np.uint8)
+        lens = np.array([len(x) for x in some])
+        ends = front + np.cumsum(lens + 1) - 1
+        for x, h in zip(some, words.word_hashes(text, ends - lens, ends).tolist(), strict=True):
+            assert seen.setdefault(x, h) == h
+    assert len(set(seen.values())) == len(set(some))
+    assert len(words.word_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_finder(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.append(rng.integers(0, 2**64, n, np.uint64), np.arange(min(n, 40), dtype=np.uint64)))  # some crowded
+    h = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 2**64, 500, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    at, found = words.finder(keys)(h)
+    assert found.tolist() == np.isin(h, keys).tolist()
+    assert not len(keys) or (keys[at[found]] == h[found]).all() and at.max() < len(keys)
+
+
+def test_words_beyond_the_head_are_counted_once(spark, monkeypatch):
+    """Rounds before the last count words of the head alone, which changes no class."""
+    monkeypatch.setattr(lm, "FREQUENT", 6)
+    monkeypatch.setattr(lm, "HEAD", 30)
+    counted, contexts = [], lm.contexts
+
+    def noted(docs, m, beyond, **how):
+        found = contexts(docs, m, beyond, **how)
+        if not beyond:
+            counted.append({np.uint64(r.word % 2**64) for r in found.select("word").distinct().collect()} - set(m.words) - {np.uint64(lm.GRID)})
+        return found
+
+    monkeypatch.setattr(lm, "contexts", noted)
+    m, found = trained(spark, corpus())
+    assert len(counted) == lm.ROUNDS and not any(counted[:-1]) and len(counted[-1]) == m.distinct - len(m.words) > 0
+    monkeypatch.setattr(lm, "contexts", lambda docs, m, beyond, **how: contexts(docs, m, beyond))
+    assert trained(spark, corpus())[1] == found
