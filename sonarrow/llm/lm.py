@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .arrow import append, column, others, tidy
 from .brown import exchange, gains
 from .staging import Stage
-from .words import U64, finder, slices, spans, word_hashes
+from .words import U64, finder, mix64, slices, spans, word_hashes
 
 #: Words looked up in tasks; words exchanged on the driver; classes, the first of which is the end's; weight of the classes' shares.
 HEAD, FREQUENT, CLASSES, SMOOTH = 1 << 18, 1022, 64, 20.0
@@ -81,7 +81,8 @@ def _summed(docs: DataFrame, count, other: bool = False) -> DataFrame:
 
         def merged():
             *key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort(key[::-1])
+            # by word, and in it by slot: rows that share these bits of other words are told apart below, equal ones left apart add up later
+            order = np.argsort((key[0] & ~U64(255)) | (sum(k.astype(U64) for k in key[1:]) & U64(255)))
             key = [k[order] for k in key]
             new = np.zeros(len(order), bool)
             new[:1] = True
@@ -220,6 +221,18 @@ def _grid(found: DataFrame) -> np.ndarray:
     return grid.reshape(BEFORE, BEFORE)
 
 
+def _gathered(batches, rows: int):
+    """The batches of a task as tables of at least so many rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held += [b] if b.num_rows else []
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def assigned(found: DataFrame, m: Model, grid: np.ndarray) -> DataFrame:
     """(word, class): the class of greatest gain for each word of `found`; a word of the head leaves its own only for more."""
     lists = found.where(F.col("word") != GRID).groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("at"))  # SLOTS at most
@@ -228,26 +241,30 @@ def assigned(found: DataFrame, m: Model, grid: np.ndarray) -> DataFrame:
     def run(batches):
         words, classes, grid = held.value
         look = finder(words)
-        for b in batches:
-            word = b.column("word").to_numpy().view(U64)
-            lists = b.column("at")
-            to, cells = lists.offsets.to_numpy(), lists.values
-            slot, n = cells.field("slot").to_numpy().astype(np.int64), cells.field("n").to_numpy().astype(float)
-            best = np.zeros(len(word), np.int16)
-            for i in range(0, len(word), 2048):
-                j = min(i + 2048, len(word))
-                own = slice(to[i], to[j])
-                table = np.zeros((j - i, SLOTS))
-                table[np.repeat(np.arange(j - i), np.diff(to[i : j + 1])), slot[own]] = n[own]
-                at, known = look(word[i:j])
-                now = np.where(known, classes[at], REST).astype(np.int64) if len(words) else np.full(j - i, REST)
-                g = gains(grid, table[:, :BEFORE], table[:, BEFORE:OWN], table[:, OWN], now)[:, 1:CLASSES]
+        for t in _gathered(batches, HELD // 16):
+            lists = t.column("at").combine_chunks()
+            to, cells = lists.offsets.to_numpy().astype(np.int64), lists.values
+            slot, n = cells.field("slot").to_numpy().astype(np.int64), cells.field("n").to_numpy()
+            word = t.column("word").to_numpy().view(U64)
+            at, known = look(word)
+            now = np.where(known, classes[at], REST).astype(np.int64) if len(words) else np.full(len(word), REST)
+            # words of one class with the same counts, as most rare ones are, have one best class
+            alike = np.add.reduceat(mix64(n.astype(U64) << U64(8) | slot.astype(U64)), to[:-1]) + mix64(now.astype(U64))
+            _, some, which = np.unique(alike, return_index=True, return_inverse=True)
+            best = np.zeros(len(some), np.int16)
+            for i in range(0, len(some), 2048):
+                w = some[i : i + 2048]
+                size, own, row = to[w + 1] - to[w], now[w], np.arange(len(w))
+                cell = np.arange(int(size.sum())) + np.repeat(to[w] - np.cumsum(size) + size, size)
+                table = np.zeros((len(w), SLOTS))
+                table[np.repeat(row, size), slot[cell]] = n[cell]
+                g = gains(grid, table[:, :BEFORE], table[:, BEFORE:OWN], table[:, OWN], own)[:, 1:CLASSES]
                 top = g.argmax(1) + 1
-                stay = now != REST
-                mine = g[np.arange(j - i), np.where(stay, now - 1, 0)]
-                top[stay] = np.where(g.max(1) > mine + 1e-6 * np.abs(mine), top, now)[stay]
-                best[i:j] = top
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(best)], names=["word", "class"])
+                stay = own != REST
+                mine = g[row, np.where(stay, own - 1, 0)]
+                top[stay] = np.where(g.max(1) > mine + 1e-6 * np.abs(mine), top, own)[stay]
+                best[i : i + 2048] = top
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(best[which])], names=["word", "class"])
 
     return lists.mapInArrow(tidy(run), "word long, class short")
 

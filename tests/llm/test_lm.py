@@ -206,3 +206,36 @@ def test_words_beyond_the_head_are_counted_once(spark, monkeypatch):
     assert len(counted) == lm.ROUNDS and not any(counted[:-1]) and len(counted[-1]) == m.distinct - len(m.words) > 0
     monkeypatch.setattr(lm, "contexts", lambda docs, m, beyond, **how: contexts(docs, m, beyond))
     assert trained(spark, corpus())[1] == found
+
+
+def test_best_classes_of_alike_words(spark, monkeypatch):
+    """Words of equal counts share their best class, whatever batch brings them; each is the best by its own gains."""
+    monkeypatch.setattr(lm, "HELD", 16 * 500)  # words of several batches are looked at together
+    rng = np.random.default_rng(5)
+    grid = rng.poisson(30.0, (lm.BEFORE, lm.BEFORE)).astype(float)
+    kinds = [{int(s): int(rng.integers(1, 4)) for s in rng.choice(lm.SLOTS, rng.integers(1, 4), replace=False)} for _ in range(90)]
+    m = lm.Model(np.arange(10, 20).astype(np.uint64), np.ones(10, np.int64), rng.integers(1, lm.CLASSES, 10), np.zeros(10, bool), 0, 0)
+    own = [*(k % 90 for k in range(1300)), *range(90)]
+    rows = [(w, s, n) for w, k in enumerate(own) for s, n in kinds[k].items()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {r.word: r["class"] for r in lm.assigned(spark.createDataFrame(rows, "word long, slot short, n long"), m, grid).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(own)
+    for w, k in enumerate(own):
+        table = np.zeros((1, lm.SLOTS))
+        table[0, list(kinds[k])] = list(kinds[k].values())
+        now = int(m.classes[w - 10]) if 10 <= w < 20 else lm.REST
+        g = brown.gains(grid, table[:, : lm.BEFORE], table[:, lm.BEFORE : lm.OWN], table[:, lm.OWN], np.array([now]))[0, 1 : lm.CLASSES]
+        assert g[got[w] - 1] == pytest.approx(g.max(), rel=2e-6)
+
+
+def test_gathered():
+    import pyarrow as pa
+
+    some = [pa.RecordBatch.from_pydict({"a": list(range(n))}, schema=pa.schema([("a", pa.int64())])) for n in [3, 0, 4, 9, 0, 1, 0]]
+    got = [t.column("a").to_pylist() for t in lm._gathered(iter(some), 5)]
+    assert got == [[0, 1, 2, 0, 1, 2, 3], list(range(9)), [0]]
+    assert not list(lm._gathered(iter(some[1:2]), 5))
